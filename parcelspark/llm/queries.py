@@ -6,6 +6,8 @@ from functools import wraps
 
 from ..functions.shipping import ship
 from .packing import op5_curve_packing
+from .lineqc import SQL as LINE_SQL
+from .lineqc import op4_line_frequency
 from .mixing import op10_source_mix
 from .sharding import op7_hilbert_shards
 from .tokenstore import op8_token_store
@@ -15,5 +17,5 @@ def _shipped(f):
     return wraps(f)(lambda spark, sf_dir: f(ship(spark), sf_dir))
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op5_curve_packing, op7_hilbert_shards, op8_token_store, op10_source_mix)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: _shipped(f) for f in (op4_line_frequency, op5_curve_packing, op7_hilbert_shards, op8_token_store, op10_source_mix)}
+ORACLE_SQL: dict[str, str] = {"op4_line_frequency": LINE_SQL}
