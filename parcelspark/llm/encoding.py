@@ -1,82 +1,110 @@
-"""Token ids of whole texts with the tokenizers library, remembering the ids of pieces already seen.
+"""Token ids of whole texts with the tokenizers library, encoding each distinct piece once.
 
 Both vocabularies cut a text before they merge bytes, and never merge over such a cut. A single space (or line
 feed) between two other characters is such a cut, so the ids of a text are those of its space-separated pieces in
 a row. Texts in which white space touches white space are encoded whole where the vocabulary keeps white space.
+A batch is split and its distinct pieces are found by Arrow; only pieces not seen before reach the tokenizer.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces remembered in a worker; beyond it the memory starts anew. It bounds memory and changes no result.
-MOST_PIECES = 400_000
+MOST_PIECES = 1_000_000
+#: Between pieces that are encoded together; a character of its own for either vocabulary.
+FEED, MARK, STOPS = "\n", "\x01", ".,;:!?"
 
 
 class Encoder:
     def __init__(self, path: str, keeps_space: bool):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
-        self.after: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
-        self.feed = self._whole("\n")
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, seen: dict[str, bytes | None], pieces: set[str], before: str) -> None:
-        new = list(pieces - seen.keys())
-        if len(seen) + len(new) > MOST_PIECES:
-            seen.clear()
-            new = list(pieces)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False)
-            lengths = np.fromiter((len(e) for e in found), np.int64, len(part)).cumsum() * 4
-            flat = np.fromiter((i for e in found for i in e.ids), "<u4").tobytes()
-            start = 0
-            for p, end in zip(part, lengths.tolist()):
-                safe = not self.keeps_space or not (p == "" or p[0].isspace() or p[-1].isspace())
-                seen[p] = flat[start:end] if safe else None
-                start = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        self.seen: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
+        self.between = self.whole(FEED if keeps_space else MARK)
+        if len(self.between) != 1:
+            raise ValueError("the separator must be one id")
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        """Stops after a letter or digit are pieces of their own to the vocabulary, so a word is encoded once for all of them."""
+        if len(self.seen) + len(new) > MOST_PIECES:
+            self.seen.clear()
+        stems = [(p, q if self.keeps_space or not q.isascii() else q.lower()) for p in new if (q := p.rstrip(STOPS)) and q[-1].isalnum()]
+        composed = {p for p, _ in stems}
+        self._encode_new([p for p in new if p not in composed])
+        self._encode_new(list({q for _, q in stems}.difference(self.seen)))
+        for p, q in stems:
+            tail = p[len(q) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail).tobytes() if tail else b""
+            self.seen[p] = None if self.seen[q] is None else self.seen[q] + self.tails[tail]
+
+    def _encode_new(self, new: list[str]) -> None:
+        """Encodes pieces together, separated by an id that none of them can hold."""
         if self.keeps_space:
-            return self._encode_kept(texts)
-        pieces: set[str] = set()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        for c in cut:
-            pieces.update(c)
-        self._learn(self.after, pieces, "")
-        get = self.after.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
-
-    def _encode_kept(self, texts: list[str]) -> list[bytes]:
-        pieces: set[str] = set()
-        heads: set[str] = set()
-        cut = []
-        for t in texts:
-            lines = [line.split(" ") for line in t.split("\n")]
-            cut.append(lines)
-            for line in lines:
-                heads.add(line[0])
-                pieces.update(line[1:])
-        self._learn(self.after, pieces, " ")
-        self._learn(self.first, heads, "")
-        get, out = self.after.__getitem__, []
-        for t, lines in zip(texts, cut):
-            try:
-                out.append(self.feed.join([self.first[x[0]] + b"".join(map(get, x[1:])) for x in lines]))
-            except TypeError:  # white space beside white space: the cut would not be exact
-                out.append(self._whole(t))
+            # a piece that begins with a line feed begins a line; others follow a space
+            plain = [p for p in new if p.strip(FEED) and not p.lstrip(FEED)[0].isspace() and not p[-1].isspace() and p.rfind(FEED) < 1]
+            texts, joint = [p[1:] if p[0] == FEED else " " + p for p in plain], FEED
+        else:
+            plain = [p for p in new if MARK not in p and not p.isspace() and p]
+            texts, joint = plain, f" {MARK} "
+        for at in range(0, len(plain), 4000):
+            ids = self.whole(joint.join(texts[at : at + 4000]))
+            cuts, part = np.flatnonzero(ids == self.between), plain[at : at + 4000]
+            if len(cuts) != len(part) - 1:
+                found = [self.whole(t).tobytes() for t in texts[at : at + 4000]]
+            else:
+                raw, ends = ids.tobytes(), [4 * c for c in cuts.tolist()] + [4 * len(ids)]
+                found = [raw[x:y] for x, y in zip([0] + [e + 4 for e in ends[:-1]], ends)]
+            lead = self.between.tobytes()
+            for p, x in zip(part, found):
+                self.seen[p] = lead + x if self.keeps_space and p[0] == FEED else x
+        for p in set(new).difference(plain):  # where white space is kept, texts with such a piece are encoded whole
+            self.seen[p] = None if self.keeps_space else self.whole(p).tobytes()
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return []
+        if self.keeps_space:
+            ready = pc.binary_join_element_wise(pa.scalar(FEED, pa.large_string()), pc.replace_substring(texts, FEED, " " + FEED), pa.scalar("", pa.large_string()))
+        else:
+            ready = pc.replace_substring(texts, FEED, " ")
+        lists = pc.split_pattern(ready, " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        at, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if new := [p for p in pieces if p not in self.seen]:
+            self._learn(pieces if len(self.seen) + len(new) > MOST_PIECES else new)
+        ids = [self.seen[p] for p in pieces]
+        unsafe = np.fromiter((x is None for x in ids), bool, len(ids))
+        sizes = np.fromiter((len(x) // 4 if x else 0 for x in ids), np.int64, len(ids))
+        flat = np.frombuffer(b"".join([x for x in ids if x]), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        stream = flat[np.repeat(starts[at] - total[:-1], n) + np.arange(total[-1])]
+        ends = ends - ends[0]
+        bad = np.concatenate([[0], np.cumsum(unsafe[at])])[ends]
+        bounds, lead = total[ends].tolist(), int(self.keeps_space)  # each text began with a line feed
+        out = [stream[a + lead : b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        for i in np.flatnonzero(np.diff(bad)).tolist():
+            out[i] = self.whole(texts[i].as_py()).tobytes()
         return out
 
 
@@ -86,13 +114,13 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return Encoder(path, keeps_space)
 
 
-def runs(texts: list[str], most_chars: int = 8_000_000):
-    """Slices of a batch whose texts have at most most_chars characters together (or one text)."""
+def runs(texts: pa.Array, most_bytes: int = 16_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of slices whose texts have at most most_bytes bytes together (or one text)."""
     start = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > most_chars:
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if total and total + n > most_bytes:
             yield start, i
             start, total = i, 0
-        total += len(t)
+        total += n
     if start < len(texts):
         yield start, len(texts)

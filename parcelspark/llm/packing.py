@@ -91,9 +91,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, keeps_s
             filled += len(ids) // 4
 
         for b in batches:
-            texts, doc_ids = [x or "" for x in b["text"].to_pylist()], b["doc_id"].to_pylist()
+            texts, doc_ids = b["text"], b["doc_id"].to_pylist()
             for lo, hi in runs(texts):
-                for doc_id, ids in zip(doc_ids[lo:hi], enc.encode(texts[lo:hi])):
+                for doc_id, ids in zip(doc_ids[lo:hi], enc.encode(texts.slice(lo, hi - lo))):
                     ids += end
                     total, at = len(ids) // 4, 0
                     while at < total:

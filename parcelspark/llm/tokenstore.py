@@ -36,6 +36,13 @@ def _hashes(keys: np.ndarray, salt: int) -> np.ndarray:
     return mixed(keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh3_64_intdigest(struct.pack("<q", salt))))
 
 
+_GOLD, _ODD, _ALL = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 2**64 - 1
+
+
+def _slot(h2: int, seed: int, n: int) -> int:
+    return (((h2 ^ (seed * _GOLD & _ALL)) * _ODD & _ALL) >> 32) % n
+
+
 def _place(h: np.ndarray, h2: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Each bucket's seed and each key's slot; None where two keys can't be told apart, for another salt."""
     n = len(h)
@@ -44,7 +51,7 @@ def _place(h: np.ndarray, h2: np.ndarray, buckets: int) -> tuple[np.ndarray, np.
     sizes = np.bincount(bucket, minlength=buckets)
     starts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
     seeds, taken, slot_of, free = np.zeros(buckets, np.int32), bytearray(n), np.zeros(n, np.int64), 0
-    base, step = ((h >> np.uint64(20)) % np.uint64(n)).tolist(), ((h2 | np.uint64(1)) % np.uint64(n)).tolist()
+    h2s = h2.tolist()
     for b in np.argsort(-sizes, kind="stable").tolist():
         members = order[starts[b] : starts[b + 1]]
         if not members:
@@ -55,7 +62,7 @@ def _place(h: np.ndarray, h2: np.ndarray, buckets: int) -> tuple[np.ndarray, np.
             taken[free], seeds[b], slot_of[members[0]] = 1, -free - 1, free
             continue
         for seed in range(50 * n + 1000):
-            slots = [(base[m] + seed * step[m] + seed * seed) % n for m in members]
+            slots = [_slot(h2s[m], seed, n) for m in members]
             if len(set(slots)) == len(slots) and not any(taken[s] for s in slots):
                 break
         else:
@@ -100,8 +107,8 @@ class Index:
         h, h2 = _hashes(keys, self.salt), _hashes(keys, ~self.salt)
         seed = self.seeds[(h % np.uint64(self.buckets)).astype(np.int64)].astype(np.int64)
         n = np.uint64(self.n)
-        s = np.where(seed < 0, 0, seed).astype(np.uint64)
-        placed = ((h >> np.uint64(20)) % n + ((s % n) * ((h2 | np.uint64(1)) % n)) % n + (s * s) % n) % n
+        x = h2 ^ (np.where(seed < 0, 0, seed).astype(np.uint64) * np.uint64(_GOLD))
+        placed = ((x * np.uint64(_ODD)) >> np.uint64(32)) % n
         slot = np.where(seed < 0, -seed - 1, placed.astype(np.int64))
         return np.where(self.prints[slot] == (h2 >> np.uint64(32)).astype(np.uint32), self.first[slot].astype(np.int64), -1)
 
@@ -132,9 +139,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [x.split()[0] for x in BLOCK.split(", ")])
 
         for b in batches:
-            texts, doc_ids = [x or "" for x in b["text"].to_pylist()], b["doc_id"].to_pylist()
+            texts, doc_ids = b["text"], b["doc_id"].to_pylist()
             for lo, hi in runs(texts):
-                for doc_id, x in zip(doc_ids[lo:hi], enc.encode(texts[lo:hi])):
+                for doc_id, x in zip(doc_ids[lo:hi], enc.encode(texts.slice(lo, hi - lo))):
                     keys.append(NULL_KEY if doc_id is None else doc_id)
                     ids.append(x + end)
                     lengths.append(len(x) // 4 + 1)
