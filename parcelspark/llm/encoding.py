@@ -9,6 +9,7 @@ A batch is split and its distinct pieces are found by Arrow; only pieces not see
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,11 +18,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces remembered in a worker; beyond it the memory starts anew. It bounds memory and changes no result.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 1_400_000
 #: Between pieces that are encoded together; a character of its own for either vocabulary.
 FEED, MARK, STOPS = "\n", "\x01", ".,;:!?"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for U+0100 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     def __init__(self, path: str, keeps_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -29,7 +40,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keeps_space = keeps_space
+        self.model, self.keeps_space = self.tokenizer.model, keeps_space
         self.seen: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
         self.between = self.whole(FEED if keeps_space else MARK)
@@ -39,22 +50,43 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, new: list[str]) -> None:
-        """Stops after a letter or digit are pieces of their own to the vocabulary, so a word is encoded once for all of them."""
+    def _ids(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of distinct pieces. Stops after a letter or digit are pieces of their own to the vocabulary, so only what
+        stands before them is remembered."""
+        stems = []
+        for p in pieces:
+            q = p.rstrip(STOPS)
+            if not q or not q[-1].isalnum():
+                stems.append((p, ""))
+            else:
+                stems.append((q if self.keeps_space or not q.isascii() else q.lower(), p[len(q) :]))
+        new = {q for q, _ in stems if q not in self.seen}
         if len(self.seen) + len(new) > MOST_PIECES:
             self.seen.clear()
-        stems = [(p, q if self.keeps_space or not q.isascii() else q.lower()) for p in new if (q := p.rstrip(STOPS)) and q[-1].isalnum()]
-        composed = {p for p, _ in stems}
-        self._encode_new([p for p in new if p not in composed])
-        self._encode_new(list({q for _, q in stems}.difference(self.seen)))
-        for p, q in stems:
-            tail = p[len(q) :]
-            if tail not in self.tails:
-                self.tails[tail] = self.whole(tail).tobytes() if tail else b""
-            self.seen[p] = None if self.seen[q] is None else self.seen[q] + self.tails[tail]
+            new = {q for q, _ in stems}
+        self._encode_new(list(new))
+        for tail in {t for _, t in stems}.difference(self.tails):
+            self.tails[tail] = self.whole(tail).tobytes() if tail else b""
+        seen, tails = self.seen, self.tails
+        return [None if (x := seen[q]) is None else x + tails[t] if t else x for q, t in stems]
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of letters below U+02B0 (after its space): one piece without normalisation, so the model alone is asked."""
+        if not self.keeps_space:
+            word = word.lower()
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))
+        return array("I", [t.id for t in found]).tobytes()
 
     def _encode_new(self, new: list[str]) -> None:
         """Encodes pieces together, separated by an id that none of them can hold."""
+        lead, rest = self.between.tobytes(), []
+        for p in new:
+            w = p[1:] if self.keeps_space and p[:1] == FEED else p
+            if w.isalpha() and max(w) < "ʰ" and "İ" not in w:
+                self.seen[p] = lead + self._letters(w) if w is not p else self._letters(" " + w if self.keeps_space else w)
+            else:
+                rest.append(p)
+        new = rest
         if self.keeps_space:
             # a piece that begins with a line feed begins a line; others follow a space
             plain = [p for p in new if p.strip(FEED) and not p.lstrip(FEED)[0].isspace() and not p[-1].isspace() and p.rfind(FEED) < 1]
@@ -70,7 +102,6 @@ class Encoder:
             else:
                 raw, ends = ids.tobytes(), [4 * c for c in cuts.tolist()] + [4 * len(ids)]
                 found = [raw[x:y] for x, y in zip([0] + [e + 4 for e in ends[:-1]], ends)]
-            lead = self.between.tobytes()
             for p, x in zip(part, found):
                 self.seen[p] = lead + x if self.keeps_space and p[0] == FEED else x
         for p in set(new).difference(plain):  # where white space is kept, texts with such a piece are encoded whole
@@ -89,9 +120,7 @@ class Encoder:
         ends = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         at, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if new := [p for p in pieces if p not in self.seen]:
-            self._learn(pieces if len(self.seen) + len(new) > MOST_PIECES else new)
-        ids = [self.seen[p] for p in pieces]
+        ids = self._ids(pieces)
         unsafe = np.fromiter((x is None for x in ids), bool, len(ids))
         sizes = np.fromiter((len(x) // 4 if x else 0 for x in ids), np.int64, len(ids))
         flat = np.frombuffer(b"".join([x for x in ids if x]), "<u4")
