@@ -6,6 +6,7 @@ from functools import wraps
 
 from ..functions.shipping import ship
 from .packing import op5_curve_packing
+from .ann import op6_multi_index
 from .lineqc import SQL as LINE_SQL
 from .lineqc import op4_line_frequency
 from .mixing import op10_source_mix
@@ -19,5 +20,5 @@ def _shipped(f):
     return wraps(f)(lambda spark, sf_dir: f(ship(spark), sf_dir))
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_toxicity_grammar, op2_rule_quality, op4_line_frequency, op5_curve_packing, op7_hilbert_shards, op8_token_store, op10_source_mix)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_toxicity_grammar, op2_rule_quality, op4_line_frequency, op5_curve_packing, op6_multi_index, op7_hilbert_shards, op8_token_store, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {"op4_line_frequency": LINE_SQL}
