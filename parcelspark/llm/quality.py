@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, remainder, table
+from .common import DOCUMENT_COLUMNS, bytes_of, remainder, table
 from .labelled import MOST_LABELLED, labelled_sample
 
 STATISTICS = (
@@ -144,9 +144,8 @@ def score(docs: DataFrame, model: RuleModel) -> DataFrame:
 
 def of_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """documents whose score is at least a half, with their own columns."""
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
     model = fit(docs, labels, most)
-    return with_statistics(docs.select(*columns)).where(model.column() >= 0.5).select(*columns)
+    return with_statistics(docs.select(*DOCUMENT_COLUMNS)).where(model.column() >= 0.5).select(*DOCUMENT_COLUMNS)
 
 
 def op2_rule_quality(spark, sf_dir: str) -> DataFrame:

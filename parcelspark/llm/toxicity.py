@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import DOCUMENT_COLUMNS, remainder, table
 from .labelled import MOST_LABELLED, labelled_sample
 
 INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, OTHER = "I", "T", "M", "P", "N", "R", "O"
@@ -284,8 +284,7 @@ def score(docs: DataFrame, model: Model, with_clauses: bool = True) -> DataFrame
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """documents whose score is under a half, with their own columns."""
     model = fit(docs, labels, most)
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    d = docs.select(*columns)
+    d = docs.select(*DOCUMENT_COLUMNS)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
