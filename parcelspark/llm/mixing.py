@@ -127,7 +127,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> tuple[DataFrame,
     low, high = F.greatest(F.col("start") - F.col("block") * block, F.lit(0)), F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     spans = spans.withColumn("low", low).withColumn("high", high)
     drawn = slots(targets, partitions(docs.sparkSession), block, seed)
-    pieces = spans.join(drawn, ["src", "block"]).withColumn("words", F.least("high", "used") - F.col("low")).where("words > 0")
+    # both sides grow with the corpus; Spark would take the slots, generated from a few rows, for small and broadcast them
+    pieces = spans.join(drawn.hint("merge"), ["src", "block"]).withColumn("words", F.least("high", "used") - F.col("low")).where("words > 0")
     pieces = pieces.select("src", "start", "shard", "slot", "pass", (F.col("block") * block + F.col("low") - F.col("start")).alias("at"), "words")
     return where.join(targets.select("src", "source_size", "target"), "src"), pieces
 
