@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import aggregates, extraction, joins, merging, reads, state  # noqa: F401  they register their queries
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
