@@ -6,9 +6,11 @@ give pairs that overlap, the sketch of a pair's union estimates its Jaccard simi
 How the lists stay small without losing a link: two linked sets share at least LEAST_COMMON of their LISTED smallest
 hashes (see there), so with values in order of rarity it is enough to list each document under all but the last
 LEAST_COMMON - 1 of the values that it doesn't have alone. Values of passages that many documents share come last, so
-only documents that consist of them are listed there. Equal sets are one class from the start. A first round compares
-each class with one leader of its lists; connected components follow; later rounds compare only what lies in
-different components. Long lists are cut into chunks, and only members outside a list's largest component visit all.
+only documents that consist of them are listed there. Equal sets are one class from the start.
+
+Lists are compared in chunks of bounded size. Sketches come first; only members with a candidate bring their full
+sets, in one chunk for each pair, and a chunk gives a spanning forest of its links. In long lists the first chunk is
+compared with all others; then, with connected components known, only members outside a list's largest component are.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from pyspark.sql import functions as F
 from .common import bytes_of, lower_words, mixed, partitions, table, word_hashes, written
 
 #: Hashes of a sketch; those of them that are listed.
-SKETCH, LISTED = 128, 16
+SKETCH, LISTED = 32, 16
 #: Of LISTED values of two sets with a similarity of 0.85 fewer than 5 are common with a chance of about 1e-7.
 LEAST_COMMON = 5
-#: Standard deviations by which an estimate may fall short of the limit.
-SLACK = 6
+#: Likewise of SKETCH values fewer than 16; the estimate over the union's sketch is no more than that share.
+LEAST_SKETCH = 16
 #: Members of one chunk of a list.
-CHUNK = 512
+CHUNK = 256
 PERCENT, WIDTH = 85, 5
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,7 +63,7 @@ SKETCHES = "doc_id long, n long, h1 long, h2 long, low array<long>"
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (fingerprint of the set), low (its LISTED smallest hashes)."""
+    """doc_id, n (set size), h1 and h2 (fingerprint of the set), low (its sketch: the SKETCH smallest hashes)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,7 +74,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 n.append(len(s))
                 h1.append((d >> 64) - (1 << 63))
                 h2.append((d & (1 << 64) - 1) - (1 << 63))
-                low.append(s[:LISTED].view(np.int64))
+                low.append(s[:SKETCH].view(np.int64))
                 ends.append(ends[-1] + len(low[-1]))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(low) if low else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "n", "h1", "h2", "low"])
@@ -81,7 +83,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and set: the sorted hashes as little-endian unsigned 64-bit integers. Its first values are the sketch."""
+    """doc_id and set: the sorted hashes as little-endian unsigned 64-bit integers."""
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,39 +92,6 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(computed, "doc_id long, set binary")
 
 
-def estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> tuple[float, int]:
-    """Similarity of two sets from the k smallest values of their union, and the number of those values."""
-    x, y = a[:k], b[:k]
-    union = np.union1d(x, y)[:k]
-    common = np.intersect1d(x, y, assume_unique=True)
-    return float(np.searchsorted(common, union[-1], side="right")) / len(union), len(union)
-
-
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """100 * |a & b| >= percent * |a | b|: by length, then by the estimate where it is sure, then exactly."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    p = percent / 100
-    about, k = estimate(a, b)
-    if k == SKETCH and about < p - SLACK * (p * (1 - p) / k) ** 0.5:
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that are links. A document with many pairs is split over tasks by the skew join."""
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sides = [[np.frombuffer(x, np.uint64) for x in b[c].to_pylist()] for c in ("sa", "sb")]
-            yield b.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(*sides)], pa.bool_()))
-
-    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(checked, "a long, b long")
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of all nodes with a link, but roots themselves.
 
@@ -150,84 +119,146 @@ def _common(percent: int):
 
 def _listed(reps: DataFrame, percent: int) -> DataFrame:
     """rep, n, prefix: the rarest values of a representative under which it is listed; only where there are any."""
-    entries = reps.select("rep", "n", F.explode("low").alias("value"))
+    entries = reps.select("rep", "n", F.explode(F.slice("low", 1, LISTED)).alias("value"))
     counts = entries.groupBy("value").agg(F.count("*").alias("docs")).where("docs > 1")
     held = entries.join(counts, "value").groupBy("rep", "n").agg(F.sort_array(F.array_distinct(F.collect_list(F.struct("docs", "value")))).alias("values"))
     held = held.withColumn("size", F.size("values") - _common(percent) + 1).where("size > 0")
     return held.select("rep", "n", F.slice("values", F.lit(1), F.col("size"))["value"].alias("prefix"))
 
 
-def _stars(listed: DataFrame) -> DataFrame:
-    """One pair for each representative: with the leader (smallest member) that most of its lists have."""
-    lists = listed.select("rep", F.explode("prefix").alias("value"))
-    leaders = lists.groupBy("value").agg(F.min("rep").alias("lead"), F.count("*").alias("members")).where("members > 1")
-    votes = lists.join(leaders, "value").where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("votes"))
-    return votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("lead")).alias("lead"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.lead")).alias("b"))
+def _overlaps(held: list[np.ndarray], asks: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common values, asks x held, by an inverted list of the held values."""
+    owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    values = np.concatenate(held)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    out = np.empty((len(asks), len(held)), np.int64)
+    for i, x in enumerate(asks):
+        start, stop = np.searchsorted(values, x), np.searchsorted(values, x, side="right")
+        m = stop - start
+        at = np.repeat(start - np.cumsum(m) + m, m) + np.arange(m.sum())
+        out[i] = np.bincount(owner[at], minlength=len(held))
+    return out
 
 
-def _across(listed: DataFrame, reps: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of different components that share a list, have near sizes and at least LEAST_COMMON listed values.
+def _lists(listed: DataFrame, reps: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """value, chunk, asks, rep, comp, n, low, earlier: the members of each chunk of each list, and those who visit it.
 
-    best: of a member's pairs with one component in one chunk only that with the most common values.
+    Without roots the members of a list's first chunk visit all its chunks, so that lists of one chunk are compared
+    whole. With roots only lists of several chunks and components are left, and all members outside the largest
+    component visit all chunks. earlier: the values before this one under which the member is listed.
     """
-    parts = partitions(listed.sparkSession)
-    comp = F.coalesce("root", "rep").alias("comp")
-    lists = listed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", comp, F.explode("prefix").alias("value"))
-    sizes = lists.groupBy("value", "comp").agg(F.count("*").alias("members"))
-    split = sizes.groupBy("value").agg(F.max(F.struct("members", "comp"))["comp"].alias("largest"), F.sum("members").alias("members"), F.count("*").alias("comps")).where("comps > 1")
-    some = lists.join(split.select("value", "largest", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")), "value")
-    some = some.join(reps.select("rep", "low"), "rep")
-    member = some.select("value", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("asks"), "rep", "comp", "n", (F.col("comp") == F.col("largest")).cast("int").alias("main"), "low")
-    asking = some.where("comp <> largest").select("value", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("asks"), "rep", "comp", "n", F.lit(0).alias("main"), "low")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    lists = listed.select("rep", "n", "prefix", F.posexplode("prefix").alias("at", "value")).select("rep", "n", "value", F.slice("prefix", F.lit(1), F.col("at")).alias("earlier"))
+    if roots is None:
+        sizes = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").withColumn("largest", F.lit(None).cast("long"))
+        lists = lists.withColumn("comp", F.col("rep"))
+    else:
+        lists = lists.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+        of = lists.groupBy("value", "comp").agg(F.count("*").alias("members"))
+        sizes = of.groupBy("value").agg(F.max(F.struct("members", "comp"))["comp"].alias("largest"), F.sum("members").alias("members"), F.count("*").alias("comps")).where(f"comps > 1 and members > {CHUNK}")
+    some = lists.join(sizes.select("value", "largest", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")), "value")
+    some = some.join(reps.select("rep", "low"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    columns = ("rep", "comp", "n", "low", "earlier")
+    visits = (F.col("chunk") == 0) if roots is None else (F.col("comp") != F.col("largest"))
+    asking = some.where(visits).select("value", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("asks"), *columns)
+    return some.select("value", "chunk", F.lit(0).alias("asks"), *columns).unionByName(asking)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list, Iterator[list]]]:
+    """(value, chunk), its members, and batches of those who ask. Members come first in a chunk."""
+
+    def rows() -> Iterator[tuple]:
         for b in batches:
-            yield from zip(*(b[c].to_pylist() for c in ("value", "chunk", "asks", "rep", "comp", "n", "main", "low")))
-
-    def compared(held: list[tuple], asks: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Members come first in a chunk; those who ask are compared with all of them by an inverted list of their values."""
-        rep, comp, n, main = (np.asarray([r[i] for r in held], np.int64) for i in (3, 4, 5, 6))
-        owner = np.repeat(np.arange(len(held)), [len(r[7]) for r in held])
-        values = np.concatenate([np.asarray(r[7], np.int64) for r in held])
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        q_rep, q_comp, q_n = (np.asarray([r[i] for r in asks], np.int64) for i in (3, 4, 5))
-        of = np.repeat(np.arange(len(asks)), [len(r[7]) for r in asks])
-        low = np.concatenate([np.asarray(r[7], np.int64) for r in asks])
-        start, stop = np.searchsorted(values, low), np.searchsorted(values, low, side="right")
-        m = stop - start
-        at = np.repeat(start, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        both = np.bincount(np.repeat(of, m) * len(held) + owner[at], minlength=len(asks) * len(held)).reshape(len(asks), len(held))
-        need = np.minimum(LEAST_COMMON, -(-np.minimum(q_n[:, None], n) * percent // 100))
-        near = 100 * np.minimum(q_n[:, None], n) >= percent * np.maximum(q_n[:, None], n)
-        ok = (both >= need) & near & (q_comp[:, None] != comp) & ((main == 1) | (q_rep[:, None] < rep))
-        i, j = np.nonzero(ok)
-        if best and len(i):
-            order = np.lexsort((rep[j], -both[i, j], comp[j], i))
-            i, j = i[order], j[order]
-            new = np.concatenate([[True], (i[1:] != i[:-1]) | (comp[j][1:] != comp[j][:-1])])
-            i, j = i[new], j[new]
-        if len(i):
-            yield np.minimum(q_rep[i], rep[j]), np.maximum(q_rep[i], rep[j])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in groupby(rows(batches), lambda r: r[:2]):
-            held, asks = [], []
-
-            def found():
-                for a, b in compared(held, asks):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield from zip(b["value"].to_pylist(), b["chunk"].to_pylist(), b["asks"].to_pylist(), *(b[c].to_pylist() for c in columns))
 
-            for r in group:
-                (asks if r[2] else held).append(r)
-                if len(asks) == 256:
-                    yield from found()
-                    asks.clear()
-            if asks and held:
-                yield from found()
+    for key, group in groupby(rows(), lambda r: r[:2]):
+        held: list[tuple] = []
 
-    dealt = member.unionByName(asking).repartition(parts, "value", "chunk").sortWithinPartitions("value", "chunk", "asks", "rep")
-    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+        def asking(group=group, held=held):
+            part = []
+            for r in group:
+                if not r[2]:
+                    held.append(r[3:])
+                    continue
+                part.append(r[3:])
+                if len(part) == 256:
+                    yield part
+                    part = []
+            if part:
+                yield part
+
+        yield key, held, asking()
+
+
+def _candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """value, chunk, asks, rep: who has a candidate in a chunk. Candidates have near sizes, an estimate over the union's
+    sketch that doesn't rule a link out, different components, and no earlier list in common."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (value, chunk), held, asking in _chunks(batches, ("rep", "comp", "n", "low", "earlier")):
+            hit_held: set[int] = set()
+            hit_asks: set[int] = set()
+            for part in asking:
+                if not held:
+                    continue
+                rep, comp, n = (np.asarray([r[i] for r in held], np.int64) for i in range(3))
+                q_rep, q_comp, q_n = (np.asarray([r[i] for r in part], np.int64)[:, None] for i in range(3))
+                ok = (100 * np.minimum(q_n, n) >= percent * np.maximum(q_n, n)) & (q_comp != comp)
+                rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+                if not len(rows):
+                    continue
+                sub = np.ix_(rows, cols)
+                arrays = lambda side, at, i: [np.asarray(side[k][i], np.int64) for k in at]
+                common = _overlaps(arrays(held, cols, 3), arrays(part, rows, 3))
+                smaller = np.minimum(q_n, n)[sub]
+                good = ok[sub] & (common >= np.minimum(LEAST_SKETCH, -(-smaller * percent // 100)))
+                good &= _overlaps(arrays(held, cols, 4), arrays(part, rows, 4)) == 0
+                hit_asks.update(q_rep[rows[good.any(1)], 0].tolist())
+                hit_held.update(rep[cols[good.any(0)]].tolist())
+            reps = [*hit_held, *hit_asks]
+            if reps:
+                k = len(reps)
+                columns = [pa.array([value] * k, pa.int64()), pa.array([chunk] * k, pa.int32()), pa.array([0] * len(hit_held) + [1] * len(hit_asks), pa.int32()), pa.array(reps, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["value", "chunk", "asks", "rep"])
+
+    dealt = lists.repartition(partitions(lists.sparkSession), "value", "chunk").sortWithinPartitions("value", "chunk", "asks")
+    return dealt.select("value", "chunk", "asks", "rep", "comp", "n", "low", "earlier").mapInArrow(found, "value long, chunk int, asks int, rep long")
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links among the members of each chunk, confirmed on full sets; of those that join what is joined already none."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held, asking in _chunks(batches, ("rep", "set")):
+            label: dict[int, int] = {}
+            a, b = [], []
+
+            def root(x: int) -> int:
+                while label.setdefault(x, x) != x:
+                    label[x] = label[label[x]]
+                    x = label[x]
+                return x
+
+            for part in asking:
+                if not held:
+                    continue
+                mine, others = ([np.frombuffer(r[1], np.uint64) for r in side] for side in (part, held))
+                common = _overlaps(others, mine)
+                n, q = np.asarray([len(x) for x in others]), np.asarray([len(x) for x in mine])[:, None]
+                i, j = np.nonzero(100 * common >= percent * (n + q - common))
+                for x, y in zip(i.tolist(), j.tolist()):
+                    r, s = part[x][0], held[y][0]
+                    u, v = root(r), root(s)
+                    if u != v:
+                        label[max(u, v)] = min(u, v)
+                        a.append(r)
+                        b.append(s)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    full = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    dealt = full.repartition(partitions(members.sparkSession), "value", "chunk").sortWithinPartitions("value", "chunk", "asks")
+    return dealt.select("value", "chunk", "asks", "rep", "set").mapInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -246,13 +277,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     listed = written(_listed(reps, percent), "listed")
     full = docs.join(listed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = written(full_sets(full, width), "sets")
-    links = written(verified(_stars(listed), sets, percent), "star-links")
+    links = written(_links(_candidates(_lists(listed, reps, None), percent), sets, percent), "links")
     roots = components(links)
-    for best in (True, False):
-        more = written(_across(listed, reps, roots, percent, best), "candidates")
-        if not more.isEmpty():
-            links = written(links.unionByName(verified(more, sets, percent)), "all-links")
-            roots = components(links)
+    # what is left: members of long lists outside the component of most
+    rest = written(_candidates(_lists(listed, reps, roots), percent), "candidates")
+    if not rest.isEmpty():
+        links = written(links.unionByName(_links(rest, sets, percent)), "links")
+        roots = components(links)
     of_class = classes.join(roots, classes["rep"] == roots["node"], "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component"))
     d = sk.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
