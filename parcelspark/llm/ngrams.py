@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, lower_words, mixed, partitions, remainder, shared_dir, table, word_hashes
+from .encoding import runs
 
 #: The token after each document's words, and the context before them (no words: they hold white space).
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end ", b" begin "))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-#: Tokens that a task holds before it counts their pairs.
-HELD = 4_000_000
+#: Tokens that a task holds before it counts their pairs; bytes of text whose words it holds as objects.
+HELD, SLICE = 2_000_000, 2_000_000
 #: Counts of a word: occurrences as a context, followers seen 1, 2, 3, 4 times, followers, preceding words.
 STATS = 7
 #: Discounts where the counts of counts can't give them.
@@ -205,12 +206,12 @@ def fit(docs: DataFrame) -> Model:
                 yield _out(blocks[at : at + 16])
 
         for b in batches:
-            if b.num_rows:
-                held.append(document_tokens(bytes_of(b["text"])))
+            for lo, hi in runs(b["text"], SLICE):
+                held.append(document_tokens(bytes_of(b["text"].slice(lo, hi - lo))))
                 size += len(held[-1][0])
-            if size >= HELD:
-                yield from flushed()
-                held, size = [], 0
+                if size >= HELD:
+                    yield from flushed()
+                    held, size = [], 0
         if held:
             yield from flushed()
 
@@ -349,7 +350,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     text's probability) and perplexity of each document. A null or empty text is a lone END. Repeated rows are scored each."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(lo, hi - lo) for b in batches for lo, hi in runs(b["text"], SLICE)):
             tokens, n = document_tokens(bytes_of(b["text"]))
             r = reader(model).score(tokens, n)
             columns = [b["doc_id"], pa.array(n), pa.array(r["n_known"].astype(np.int64)), pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(r["base"], pa.float64()), pa.array(r["score"], pa.float64()), pa.array(np.power(10.0, np.minimum(-r["score"] / n, 300.0)), pa.float64())]
