@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """ASCII letters of a text under compatibility decomposition; Spark has no expression for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii"))
@@ -17,7 +18,7 @@ def folded(text: pd.Series) -> pd.Series:
 
 def slug(text: Column, most: int = 60) -> Column:
     """Lower-case words joined by hyphens, cut at a hyphen in the second half of `most` characters. ASCII in, see folded()."""
-    s = F.trim(F.lit("-"), F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", "-"))
+    s = F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", "-"), F.lit("-"))
     cut = F.left(s, F.lit(most))
     last = F.length(cut) - F.instr(F.reverse(cut), "-")  # place of the last hyphen, from 0
     return F.when(F.length(s) <= most, s).when((F.instr(cut, "-") > 0) & (last > most // 2), F.left(cut, last)).otherwise(cut)
@@ -75,12 +76,12 @@ def title_of_snake(name: Column) -> Column:
 
 
 def snake_of_title(title: Column) -> Column:
-    return F.trim(F.lit("_"), F.regexp_replace(F.lower(F.trim(title)), "[^a-z0-9]+", "_"))
+    return F.trim(F.regexp_replace(F.lower(F.trim(title)), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def without_fences(text: Column) -> Column:
     """A text without the lines that open or close a code block."""
-    return F.trim(F.regexp_replace(text, r"(?m)^```.*$\n?", ""))
+    return F.regexp_replace(F.regexp_replace(text, r"(?m)^```.*$\n?", ""), r"^\s+|\s+$", "")
 
 
 def token_estimate(text: Column) -> Column:

@@ -155,7 +155,7 @@ def a21_approval_state(spark, d):
     return table(spark, d, "runs").groupBy("project_id").agg(F.bool_and("is_approved").alias("all_approved"), F.bool_or("is_approved").alias("any_approved"), F.max("completed_us").alias("latest"))
 
 
-_CHECKS = """, e AS (SELECT doc_id, unit_type, min(row_no) AS row_no, min_by(total_sqft, row_no) AS want, min_by(bedrooms, row_no) AS beds FROM specs WHERE unit_type IS NOT NULL GROUP BY doc_id, unit_type),
+_CHECKS = """, e AS (SELECT doc_id, unit_type, min(row_no) AS row_no, arg_min_null(total_sqft, row_no) AS want, arg_min_null(bedrooms, row_no) AS beds FROM specs WHERE unit_type IS NOT NULL GROUP BY doc_id, unit_type),
 k AS (SELECT p.doc_id, p.seq, e.row_no, CASE WHEN e.row_no IS NULL THEN 'missing' WHEN e.want IS NULL OR e.want <= 0 THEN 'skip' WHEN p.total_sqft IS NULL THEN 'null' WHEN abs(p.total_sqft - e.want) / e.want < 0.02 THEN 'pass' ELSE 'fail' END AS area, p.bedrooms = e.beds AS beds_ok FROM plans p LEFT JOIN e ON p.doc_id = e.doc_id AND p.unit_type = e.unit_type),
 c AS (SELECT doc_id, count(*) AS plans, count(row_no) AS matched, count(CASE WHEN area = 'pass' THEN 1 END) AS area_pass, count(CASE WHEN area = 'fail' THEN 1 END) AS area_fail, count(CASE WHEN area = 'null' THEN 1 END) AS area_null, count(CASE WHEN NOT beds_ok THEN 1 END) AS bed_fail FROM k GROUP BY doc_id)"""
 

@@ -17,9 +17,9 @@ def _text(spark, d):
     return table(spark, d, "brochures").select("doc_id", T.extraction_input(F.col("text")).alias("text"))
 
 
-@query("brochures", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('Creek Tower ', doc_id % 50) WHEN 1 THEN concat('Harbour Gate ', doc_id % 50) WHEN 2 THEN 'Green Crest' WHEN 3 THEN 'Palm Court' || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'A new address by Emaar Properties' || chr(10) ELSE '' END ELSE 'x' END AS value FROM brochures WHERE doc_id % 5 < 3""")
+@query("brochures", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('Creek Tower ', doc_id % 50) WHEN 1 THEN concat('Harbour Gate ', doc_id % 50) ELSE 'Green Crest' END AS value FROM brochures WHERE doc_id % 5 < 3 AND (doc_id % 5 <> 1 OR doc_id % 6 IN (0, 3, 4))""")
 def f01_project_name(spark, d):
-    return _text(spark, d).where("doc_id % 5 < 3").select("doc_id", T.project_name(F.col("text"))["value"].alias("value"))
+    return _text(spark, d).where("doc_id % 5 < 3 and (doc_id % 5 <> 1 or doc_id % 6 in (0, 3, 4))").select("doc_id", T.project_name(F.col("text"))["value"].alias("value"))
 
 
 @query("brochures", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Emaar' WHEN 1 THEN 'Sobha' WHEN 2 THEN 'Unheard Of Developments' END AS value, CASE doc_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.9 WHEN 2 THEN 0.6 END AS confidence FROM brochures WHERE doc_id % 4 < 2""")
@@ -161,7 +161,7 @@ def f22_slug(spark, d):
     return table(spark, d, "projects").where(F.length(F.concat_ws(" ", "name", "location")) <= 60).select("id", M.slug(F.concat_ws(" ", "name", "location")).alias("slug"))
 
 
-@query("", "SELECT conv_id, turn, length(trim(text)) AS n FROM conversations WHERE text NOT LIKE '%```%'")
+@query("", "SELECT conv_id, turn, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM conversations WHERE text NOT LIKE '%```%'")
 def f24_fences(spark, d):
     c = table(spark, d, "conversations").where(~F.contains("text", F.lit("```")))
     fenced = F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))

@@ -113,7 +113,7 @@ def j15_limit_mismatch(spark, d):
     return c.where(~F.regexp_like("content", F.concat(F.lit(r"\b"), F.col("char_limit").cast("string"), F.lit(r"\b")))).select("run_id", "field", "char_limit")
 
 
-@query("lines", "SELECT a.doc_id, a.page_no, count(*) AS pages, sum(length(b.text)) AS chars FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.page_no BETWEEN a.page_no - 2 AND a.page_no + 2 GROUP BY a.doc_id, a.page_no")
+@query("lines", "SELECT a.doc_id, a.page_no, count(*) AS pages, CAST(sum(length(b.text)) AS BIGINT) AS chars FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.page_no BETWEEN a.page_no - 2 AND a.page_no + 2 GROUP BY a.doc_id, a.page_no")
 def j16_context_pages(spark, d):
     w = Window.partitionBy("doc_id").orderBy("page_no").rangeBetween(-2, 2)
     return table(spark, d, "lines").select("doc_id", "page_no", F.count("*").over(w).alias("pages"), F.sum(F.length("text").cast("long")).over(w).alias("chars"))

@@ -82,8 +82,8 @@ def x09_location_text(spark, d):
 
 
 _KEYED = """, k AS (SELECT *, CASE WHEN unit_type LIKE 'Studio%' THEN 'studio' ELSE regexp_extract(unit_type, '^([0-9]+)', 1) || 'br' END AS bed, lower(regexp_extract(unit_type, 'Type ([A-Z][0-9]*)', 1)) AS sub FROM plans WHERE unit_type IS NOT NULL),
-n AS (SELECT doc_id, bed, count(DISTINCT nullif(sub, '')) AS specific, max(nullif(sub, '')) AS only FROM k GROUP BY doc_id, bed),
-g AS (SELECT k.* EXCLUDE (sub), CASE WHEN sub = '' AND specific = 1 THEN only ELSE sub END AS sub, (coalesce(suite_sqft > 0, false))::INT + (coalesce(balcony_sqft > 0, false))::INT + (coalesce(total_sqft > 0, false))::INT AS score FROM k JOIN n USING (doc_id, bed) WHERE NOT (sub = '' AND specific > 1)),
+n AS (SELECT doc_id, bed, count(DISTINCT nullif(sub, '')) AS specific, max(nullif(sub, '')) AS sole FROM k GROUP BY doc_id, bed),
+g AS (SELECT k.* EXCLUDE (sub), CASE WHEN sub = '' AND specific = 1 THEN sole ELSE sub END AS sub, (coalesce(suite_sqft > 0, false))::INT + (coalesce(balcony_sqft > 0, false))::INT + (coalesce(total_sqft > 0, false))::INT AS score FROM k JOIN n USING (doc_id, bed) WHERE NOT (sub = '' AND specific > 1)),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, bed, sub ORDER BY score DESC, confidence DESC, seq) AS place FROM g)"""
 
 

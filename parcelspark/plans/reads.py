@@ -34,7 +34,7 @@ def s04_eager_children(spark, d):
     return p.select("id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_approvals"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("approval_ids"))
 
 
-@query("lines", "SELECT doc_id, count(*) AS pages, sum(length(text)) AS chars FROM lines GROUP BY doc_id")
+@query("lines", "SELECT doc_id, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars FROM lines GROUP BY doc_id")
 def s05_page_scan(spark, d):
     return table(spark, d, "lines").groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.length("text").cast("long")).alias("chars"))
 
@@ -117,10 +117,10 @@ def p03_escaped_like(spark, d):
     return R.optional_filters(table(spark, d, "users"), name__like="R#0000001").select("id", "name")
 
 
-@query("projects", "SELECT id FROM projects WHERE location = 'CHINA' OR false")
+@query("projects", "SELECT id FROM projects WHERE location = 'NATION_7'")
 def p04_optional_filters(spark, d):
     """Criteria that are absent, and is_active=False, filter nothing."""
-    return R.optional_filters(table(spark, d, "projects"), location="CHINA", developer=None, starting_price__min=None, is_active=False).select("id")
+    return R.optional_filters(table(spark, d, "projects"), location="NATION_7", developer=None, starting_price__min=None, is_active=False).select("id")
 
 
 @query("jobs", "SELECT id, status FROM jobs WHERE status IN ('completed', 'failed')")
@@ -142,9 +142,9 @@ def p07_full_text_match(spark, d):
     return text_search(table(spark, d, "projects"), ["name", "developer", "location"], "the towers of hills").select("id")
 
 
-@query("projects", _TOKENS + " SELECT id, CAST(sum(CASE WHEN t IN ('marina', 'franc', 'france') THEN 1 ELSE 0 END) AS BIGINT) AS rank FROM s GROUP BY id HAVING count(DISTINCT CASE WHEN t IN ('marina', 'france') THEN t END) = 2 ORDER BY 2 DESC, 1 LIMIT 20")
+@query("projects", _TOKENS + " SELECT id, CAST(sum(CASE WHEN t IN ('marina', 'nation', '7') THEN 1 ELSE 0 END) AS BIGINT) AS rank FROM s GROUP BY id HAVING count(DISTINCT CASE WHEN t IN ('marina', 'nation', '7') THEN t END) = 3 ORDER BY 2 DESC, 1 LIMIT 20")
 def p08_ranked_search(spark, d):
-    return text_search(table(spark, d, "projects"), ["name", "developer", "location"], "Marina in FRANCE", limit=20).select("id", "rank")
+    return text_search(table(spark, d, "projects"), ["name", "developer", "location"], "Marina in NATION 7", limit=20).select("id", "rank")
 
 
 @query("jobs", f"SELECT id FROM jobs WHERE status = 'processing' AND started_us < {AS_OF} - 240 * {HOUR}")
@@ -317,7 +317,7 @@ def p33_registry_validation(spark, d):
     return f.select("run_id", "field", F.explode(F.filter(errors, lambda e: e.isNotNull())).alias("error"))
 
 
-@query("lines", "SELECT doc_id, count(*) AS rows, sum(CASE WHEN trim(text, ' ') = '' THEN 1 ELSE 0 END) AS nameless, sum(CASE WHEN regexp_matches(text, '<[^>]+>') THEN 1 ELSE 0 END) AS html_like FROM lines GROUP BY doc_id")
+@query("lines", "SELECT doc_id, count(*) AS rows, count(CASE WHEN trim(text, ' ') = '' THEN 1 END) AS nameless, count(CASE WHEN regexp_matches(text, '<[^>]+>') THEN 1 END) AS html_like FROM lines GROUP BY doc_id")
 def p34_sheet_checks(spark, d):
     return table(spark, d, "lines").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(F.trim("text") == "").alias("nameless"), F.count_if(F.col("text").rlike("<[^>]+>")).alias("html_like"))
 

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
 from ..operators import state as S
 from ..sources.canonical import AS_OF, DAY, table
 from ..streaming import jobs as J
@@ -115,7 +114,6 @@ def t01_rate_limit(spark, d):
 @query()
 def t01_rate_limit_stream(spark, d):
     """The same decisions from a stream of the request files."""
-    ship(spark)
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     ts = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")

@@ -55,7 +55,7 @@ def markdown_registry(spark: SparkSession, path: str) -> DataFrame:
 def registry_rows(texts: DataFrame) -> DataFrame:
     sections = texts.select("file", F.posexplode(F.split("text", r"(?m)^## ")).alias("no", "part"))
     lines = sections.select("file", "no", F.trim(F.substring_index("part", "\n", 1)).alias("section"), F.posexplode(F.split("part", "\n")).alias("line_no", "line"))
-    cells = lines.where(F.col("line").startswith("|") & ~F.col("line").rlike(r"^\|[\s:|\-]+$")).withColumn("cells", F.transform(F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"\|"), F.trim))
+    cells = lines.where(F.col("line").startswith("|") & ~F.col("line").rlike(r"^\|[\s:|\-]+$")).withColumn("cells", F.transform(F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"\|"), lambda x: F.trim(x)))
     named = cells.where((F.size("cells") >= 4) & F.expr("try_cast(cells[1] as int) is not null"))
     limit = F.when(F.col("cells")[2] != "-", F.expr("try_cast(cells[2] as int)"))
     return named.select("file", "section", F.col("cells")[0].alias("field"), F.expr("try_cast(cells[1] as int)").alias("row"), limit.alias("char_limit"), F.lower(F.col("cells")[3]).isin("yes", "true", "1").alias("required"))
