@@ -48,7 +48,7 @@ def markdown_registry(spark: SparkSession, path: str) -> DataFrame:
 
     A table's rows follow a line of dashes and end at the next heading; "-" is no limit; yes, true and 1 are true.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return registry_rows(text.select(F.input_file_name().alias("file"), F.col("value").alias("text")))
 
 
