@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     own = classes.withColumnRenamed("rep", "doc_id")
     reps = written(sk.join(own, ["doc_id", "h1", "h2", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "low"), "representatives")
     listed = written(_listed(reps, percent), "listed")
-    full = docs.join(listed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # the listed ids grow with the corpus: no broadcast at any size
+    full = docs.join(listed.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = written(full_sets(full, width), "sets")
     links = written(_links(_candidates(_lists(listed, reps, None), percent), sets, percent), "links")
     roots = components(links)
