@@ -103,12 +103,12 @@ def e14_resolve_issue(spark, d):
 def _requests(spark, d):
     r = table(spark, d, "requests").withColumn("rule", L.rule_of(F.col("path"))["rule"])
     # minutes of the sample stand for milliseconds, so that limits are reached
-    return r.select(L.key_of(F.when(F.col("user_id") % 4 > 0, F.col("user_id") % 3), F.col("forwarded"), F.col("peer"), F.col("rule")).alias("key"), "seq", F.floor(F.col("ts_us") / 600).alias("ts_us"))
+    return r.select(L.key_of(F.when(F.col("user_id") % 4 > 0, F.col("user_id") % 3), F.col("forwarded"), F.col("peer"), F.col("rule")).alias("key"), "seq", F.floor(F.col("ts_us") / 6000).alias("ts_us"))
 
 
 @query()
 def t01_rate_limit(spark, d):
-    return L.limited(_requests(spark, d), 20, 60)
+    return L.limited(_requests(spark, d), 10, 60)
 
 
 @query()
@@ -117,8 +117,8 @@ def t01_rate_limit_stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     ts = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    r = events.select(F.concat(F.lit("u"), (F.col("user_id") % 9).cast("string")).alias("key"), F.col("event_id").alias("seq"), F.floor(ts / 600).alias("ts_us"))
-    return J.run_to_memory(L.limited_stream(r, 20, 60), f"limited_{uuid.uuid4().hex}")
+    r = events.select(F.concat(F.lit("u"), (F.col("user_id") % 9).cast("string")).alias("key"), F.col("event_id").alias("seq"), F.floor(ts / 6000).alias("ts_us"))
+    return J.run_to_memory(L.limited_stream(r, 10, 60), f"limited_{uuid.uuid4().hex}")
 
 
 @query("requests", "SELECT seq, CASE WHEN path LIKE '/api/v1/auth%' THEN '/api/v1/auth' WHEN path LIKE '/api/v1/upload%' THEN '/api/v1/upload' WHEN path = '/api/v1/projects' THEN '/api/v1/projects' ELSE 'default' END AS rule, CASE WHEN path LIKE '/api/v1/auth%' THEN 10 WHEN path LIKE '/api/v1/upload%' THEN 20 WHEN path = '/api/v1/projects' THEN 100 ELSE 60 END AS max_requests FROM requests")

@@ -30,6 +30,12 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append", checkpoint
     w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
-    q = w.start()
-    q.awaitTermination()
+    # processing-time time-outs ask for batches without data for ever; a run over what is there needs none
+    spark, key = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        w.start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return stream.sparkSession.table(name)

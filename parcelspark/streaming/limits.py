@@ -58,14 +58,23 @@ def _frame(key: str, g: pd.DataFrame, out: list) -> pd.DataFrame:
 
 
 def limited(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """Decisions on requests (key, seq, ts_us), in order of time and seq. A key's requests are one group: time order is needed."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_us", "seq"])
-        out, _ = decide(g.ts_us.tolist(), [], limit, window_seconds * SECOND)
-        return _frame(g.key.iloc[0], g, out)
-
-    return requests.select("key", "seq", "ts_us").groupBy("key").applyInPandas(run, DECIDED)
+    """Decisions on requests (key, seq, ts_us), in order of time and seq.
+
+    A key's requests pass through one task in sorted batches, as each decision needs the ones before; the task holds a
+    batch and the log of one key, so its memory doesn't grow with a key's requests.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, log = None, []
+        for b in batches:
+            for k, g in b.groupby("key", sort=False):
+                if k != key:
+                    key, log = k, []
+                out, log = decide(g.ts_us.tolist(), log, limit, window_seconds * SECOND)
+                yield _frame(k, g, out)
+
+    ordered = requests.select("key", "seq", "ts_us").repartition("key").sortWithinPartitions("key", "ts_us", "seq")
+    return ordered.mapInPandas(run, DECIDED)
 
 
 def limited_stream(requests: DataFrame, limit: int, window_seconds: int, keep_seconds: int = 300) -> DataFrame:

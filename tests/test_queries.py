@@ -74,6 +74,6 @@ def test_leader_duplicates(spark):
 def test_stream_decides_as_batch(spark):
     stream = registry.QUERIES["t01_rate_limit_stream"](spark, SF)
     requests = stream.select("key", "seq", "ts_us")
-    batch = limits.limited(requests, 20, 60)
+    batch = limits.limited(requests, 10, 60)
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
     assert stream.where("limited").count() > 0
