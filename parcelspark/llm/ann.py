@@ -2,15 +2,16 @@
 
 Vectors get one more coordinate so that largest inner product is smallest distance (the public reduction
 [x, sqrt(M^2 - |x|^2)] against [q, 0]), and are cut into two halves. Each half has its own codebook; a vector's cell
-is its pair of nearest centroids. A query visits cells by summed half distances, in the order that a heap over the two
-sorted centroid lists gives, until the visited cells hold enough vectors; all of their vectors are reranked.
+is its pair of nearest centroids. A query first visits cells by summed half distances, in the order that a heap over
+the two sorted centroid lists gives, until the visited cells hold enough vectors; their k-th score is its floor. Then it
+visits every other cell whose bound (the centroids' product and the cell's radii) reaches the floor, so that no cell that
+may hold one of the k nearest is left out: the result is exact.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,13 @@ from .common import partitions, table, written
 
 #: Vectors that codebooks are fitted on, drawn by a hash of vec_id; centroids of each half; Lloyd steps.
 SAMPLE, CENTROIDS, STEPS = 20_000, 16, 12
-#: A query visits cells until they hold this share of all vectors, and at least so many times k vectors.
-SHARE, TIMES = 0.12, 25
-#: Entries of one chunk of a cell: larger cells are cut, so that no task has a whole hot cell.
-CHUNK = 4096
+#: A query's floor comes from cells that hold at least so many times k vectors.
+TIMES = 25
+#: Entries of a bucket: small cells share one, larger cells are cut, so that no task has a whole hot cell. On many
+#: vectors up to WIDEST times as many, as each query is sent to each bucket that it visits.
+CHUNK, WIDEST = 4096, 16
+#: Part of |q| M by which bounds and block products are widened against rounding.
+SLACK = 1e-9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -47,11 +51,16 @@ def _kmeans(x: np.ndarray, k: int, steps: int, seed: int) -> np.ndarray:
 
 
 class Codebooks:
-    """Two codebooks, the norm bound M and the cells' counts: at most CENTROIDS**2 numbers besides the centroids."""
+    """Two codebooks, the norm bound M, the cells' counts and radii: at most 4 CENTROIDS**2 numbers besides the centroids."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray, bound: float, cut: int):
         self.first, self.second, self.bound, self.cut = first, second, bound, cut
-        self.counts = np.zeros((len(first), len(second)), np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        """No vectors in any cell. radii: the largest distance from the centroid in the first half, the second and both."""
+        self.counts = np.zeros((len(self.first), len(self.second)), np.int64)
+        self.radii = np.zeros((3, len(self.first), len(self.second)))
 
     def halves(self, x: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
         last = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.bound**2 - (x**2).sum(1), 0))
@@ -79,6 +88,34 @@ class Codebooks:
                     heapq.heappush(heap, (d1[o1[a]] + d2[o2[b]], a, b))
         return cells
 
+    def offsets(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of vectors from their cell's centroids in the original components of each half."""
+        a, b = np.divmod(cell, len(self.second))
+        return np.sqrt(((x[:, : self.cut] - self.first[a]) ** 2).sum(1)), np.sqrt(((x[:, self.cut :] - self.second[b, :-1]) ** 2).sum(1))
+
+    def may_hold(self, q: np.ndarray, floor: float) -> np.ndarray:
+        """Cells with vectors whose product with q may reach the floor: q x = q c + q (x - c), by Cauchy and Schwarz."""
+        q1, q2 = q[: self.cut], q[self.cut :]
+        n1, n2, n = np.sqrt((q1**2).sum()), np.sqrt((q2**2).sum()), np.sqrt((q**2).sum())
+        r1, r2, r = self.radii
+        most = (self.first @ q1)[:, None] + self.second[:, :-1] @ q2 + np.minimum(n1 * r1 + n2 * r2, n * r)
+        return np.flatnonzero((self.counts > 0) & (most + SLACK * n * self.bound >= floor))
+
+
+def buckets(counts: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """The first bucket of each cell and the number of buckets over which it is spread, for buckets of about `size`."""
+    first, parts, at, held = [], [], 0, 0
+    for n in counts.ravel().tolist():
+        if held and held + n > size:
+            at, held = at + 1, 0
+        first.append(at)
+        parts.append(max(1, -(-n // size)))
+        if n > size:
+            at, held = at + parts[-1], 0
+        else:
+            held += n
+    return first, parts
+
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, steps: int = STEPS) -> Codebooks | None:
     """Codebooks from about `sample` vectors at most; None for no vectors. vectors: as usable() gives them, of one length."""
@@ -93,7 +130,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, st
     if len(x):
         a, b = books.halves(x, query=False)
         books.first, books.second = _kmeans(a.copy(), centroids, steps, 1), _kmeans(b.copy(), centroids, steps, 2)
-    books.counts = np.zeros((len(books.first), len(books.second)), np.int64)
+    books.clear()
     return books
 
 
@@ -104,17 +141,63 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             yield b["vec_id"].to_numpy(zero_copy_only=False), np.asarray(x.flatten()).reshape(b.num_rows, -1), b
 
 
-def _rows(groups: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in groups:
-        yield from zip(b["cell"].to_pylist(), b["chunk"].to_pylist(), b["query"].to_pylist(), b["vec_id"].to_pylist(), b["x"])
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    return b["x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE, times: int = TIMES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query by inner product, ties to the smaller vec_id.
+def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """query_id, vec_id, score: the k best of each query in a bucket that reach its floor. Entries come before queries."""
+    bucket, parts = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x, key, asks = _matrix(b), b["bucket"].to_numpy(), b["query"].to_numpy()
+        ids, cell, floor = b["vec_id"].to_numpy(), b["cell"].to_numpy(), b["floor"].to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(asks) != 0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if key[lo] != bucket:
+                bucket, parts, held = key[lo], [], None
+            if not asks[lo]:
+                parts.append((x[lo:hi].copy(), ids[lo:hi].copy(), cell[lo:hi].copy()))
+                continue
+            if not parts:
+                continue
+            if held is None:
+                held = [np.concatenate(p) for p in zip(*parts)]
+                longest = np.sqrt((held[0] ** 2).sum(1).max())
+            step = max(1, (1 << 21) // len(held[0]))
+            for i in range(lo, hi, step):
+                visited = b["cells"].slice(i, min(step, hi - i)).to_pylist()
+                yield _block(held, longest, x[i : min(i + step, hi)], ids[i : min(i + step, hi)], floor[i : min(i + step, hi)], visited, k)
+
+
+def _block(held: list[np.ndarray], longest: float, x: np.ndarray, ids: np.ndarray, floor: np.ndarray, visited: list[list[int]], k: int) -> pa.RecordBatch:
+    """Block products choose, with room for their rounding; sums of double products rank."""
+    entries, known, cell = held
+    at = np.zeros(int(cell.max()) + 1, bool)
+    q, v, s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for own, mine, least, cells, row in zip(ids, x, floor, visited, x @ entries.T):
+        at[:] = False
+        at[[c for c in cells if c < len(at)]] = True
+        row[~at[cell] | (known == own)] = -np.inf
+        if len(row) > k:
+            least = max(least, np.partition(row, -k)[-k])
+        some = np.flatnonzero((row >= least - SLACK * longest * np.sqrt((mine**2).sum())) & (row > -np.inf))
+        exact = (entries[some] * mine).sum(1)
+        order = np.lexsort((known[some], -exact))[:k]
+        q.append(np.full(len(order), own, np.int64))
+        v.append(known[some][order])
+        s.append(exact[order])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (q, v, s)], ["query_id", "vec_id", "score"])
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, times: int = TIMES, chunk: int = CHUNK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each query by inner product, ties to the smaller vec_id.
 
     queries: rows of vectors (null, zero and non-finite ones take no part on either side); a query is no candidate of
-    its own. Every vector is indexed. Cells over CHUNK entries are cut by a hash, and queries that visit a cell are
-    sent to each of its chunks. A chunk gives each query its k best, so that a query gets few rows from many vectors.
+    its own. Every vector is indexed. Cells lie in buckets of about `chunk` entries, larger cells are cut by a hash, and
+    a query is sent once to each bucket with cells that it visits. A bucket gives each query its k best, so that a query
+    gets few rows from many vectors. Vectors without structure have no cell that a bound rules out: then all are visited.
     Scores are sums of double products of the original components, the same for equal vectors wherever they lie.
     vec_ids that repeat with different vectors are candidates each.
     """
@@ -129,77 +212,67 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = S
         for ids, x, b in _batches(batches):
             d1, d2 = books.distances(x, query=False)
             cell = d1.argmin(1) * len(books.second) + d2.argmin(1)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b["vec_id"], b["x"]], ["cell", "vec_id", "x"])
+            r1, r2 = books.offsets(x, cell)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b["vec_id"], b["x"], pa.array(r1), pa.array(r2)], ["cell", "vec_id", "x", "r1", "r2"])
 
-    entries = written(base.mapInArrow(cells, "cell int, vec_id long, x array<double>"), "ann-entries")
-    total = 0
-    for cell, n in entries.groupBy("cell").agg(F.count("*")).collect():  # at most CENTROIDS**2 rows
+    entries = written(base.mapInArrow(cells, "cell int, vec_id long, x array<double>, r1 double, r2 double"), "ann-entries")
+    both = F.max(F.sqrt(F.col("r1") * F.col("r1") + F.col("r2") * F.col("r2")))
+    for cell, n, *radii in entries.groupBy("cell").agg(F.count("*"), F.max("r1"), F.max("r2"), both).collect():  # at most CENTROIDS**2 rows
         books.counts.flat[cell] = n
-        total += n
-    enough = max(share * total, times * k)
-    chunks = [max(1, -(-int(n) // CHUNK)) for n in books.counts.flat]
+        books.radii.reshape(3, -1)[:, cell] = radii
+    size = min(max(chunk, int(books.counts.sum()) // (4 * partitions(spark))), chunk * WIDEST)
+    first, parts = buckets(books.counts, size)
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x, b in _batches(batches):
             d1, d2 = books.distances(x, query=True)
-            at, cell, chunk = [], [], []
-            for i in range(len(x)):
-                for c in books.visit(d1[i], d2[i], enough):
-                    for part in range(chunks[c]):
-                        at.append(i)
-                        cell.append(c)
-                        chunk.append(part)
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(chunk, pa.int32()), b["vec_id"].take(at), b["x"].take(at)], ["cell", "chunk", "vec_id", "x"])
-
-    sides = "cell int, chunk int, vec_id long, x array<double>"
-    wanted = asked.mapInArrow(probes, sides).withColumn("query", F.lit(1))
-    parts = F.element_at(F.array(*map(F.lit, chunks)), F.col("cell") + 1)
-    held = entries.select("cell", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("chunk"), "vec_id", "x", F.lit(0).alias("query"))
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Within a chunk of a cell entries come before queries."""
-        q, v, s = [], [], []
-
-        def out():
-            nonlocal q, v, s
-            b = pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (q, v, s)], ["query_id", "vec_id", "score"])
-            q, v, s = [], [], []
-            return b
-
-        for _, rows in groupby(_rows(batches), lambda r: r[:2]):
-            ids, x = [], []
-            matrix = None
-            for _, _, is_query, vec_id, values in rows:
-                if not is_query:
-                    ids.append(vec_id)
-                    x.append(values.values.to_numpy())
-                    continue
-                if not ids:
-                    continue
-                if matrix is None:
-                    matrix, known = np.asarray(x), np.asarray(ids, np.int64)
-                scores = (matrix * values.values.to_numpy()).sum(1)
-                scores = np.where(known == vec_id, -np.inf, scores)
-                if len(scores) > k:
-                    least = np.partition(scores, -k)[-k]
-                    some = np.flatnonzero(scores >= least)
-                else:
-                    some = np.arange(len(scores))
-                some = some[np.lexsort((known[some], -scores[some]))][:k]
-                some = some[scores[some] > -np.inf]
-                q.append(np.full(len(some), vec_id, np.int64))
-                v.append(known[some])
-                s.append(scores[some])
-                if len(q) > 2000:
-                    yield out()
-        if q:
-            yield out()
-
-    dealt = wanted.unionByName(held).repartition(partitions(spark), "cell", "chunk").sortWithinPartitions("cell", "chunk", "query")
-    found = dealt.select("cell", "chunk", "query", "vec_id", "x").mapInArrow(ranked, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            visited = pa.array([books.visit(d1[i], d2[i], times * k) for i in range(len(x))], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b["vec_id"], b["x"], visited], ["vec_id", "x", "cells"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x, b in _batches(batches):
+            rest = []
+            for q, floor, visited in zip(x, b["floor"].to_pylist(), b["cells"].to_pylist()):
+                rest.append(np.setdiff1d(books.may_hold(q, floor), visited))
+            yield pa.RecordBatch.from_arrays([b["vec_id"], b["x"], pa.array(rest, pa.list_(pa.int32())), b["floor"]], ["vec_id", "x", "cells", "floor"])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, bucket, some = [], [], []
+            for i, visited in enumerate(b["cells"].to_pylist()):
+                to: dict[int, list[int]] = {}
+                for c in visited:
+                    for part in range(parts[c]):
+                        to.setdefault(first[c] + part, []).append(c)
+                at += [i] * len(to)
+                bucket += to.keys()
+                some += to.values()
+            for lo in range(0, len(at), 4096):  # a query goes to many buckets: not all copies of a batch at once
+                rows = pa.array(at[lo : lo + 4096], pa.int64())
+                columns = [pa.array(bucket[lo : lo + 4096], pa.int32()), b["vec_id"].take(rows), b["x"].take(rows), pa.array(some[lo : lo + 4096], pa.list_(pa.int32())), b["floor"].take(rows)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "vec_id", "x", "cells", "floor"])
+
+    of = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("cell") + 1)
+    bucket = (of(first) + F.pmod(F.xxhash64("vec_id"), of(parts))).cast("int")
+    none, least = F.lit(None).cast("array<int>"), F.lit(float("-inf"))
+    held = entries.select(bucket.alias("bucket"), F.lit(0).alias("query"), "vec_id", "x", "cell", none.alias("cells"), least.alias("floor"))
+
+    def visited(wanted: DataFrame) -> DataFrame:
+        asks = wanted.select("vec_id", "x", "cells", "floor").mapInArrow(sent, "bucket int, vec_id long, x array<double>, cells array<int>, floor double")
+        asks = asks.select("bucket", F.lit(1).alias("query"), "vec_id", "x", F.lit(-1).alias("cell"), "cells", "floor")
+        dealt = asks.unionByName(held).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "query")
+        return dealt.mapInArrow(lambda batches: _nearest(batches, k), "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    walked = written(asked.mapInArrow(walk, "vec_id long, x array<double>, cells array<int>"), "ann-walked")
+    near = written(best(visited(walked.withColumn("floor", least))), "ann-near")
+    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    wanted = walked.join(floors, "vec_id", "left").select("vec_id", "x", "cells", F.coalesce("floor", least).alias("floor"))
+    rest = wanted.mapInArrow(others, "vec_id long, x array<double>, cells array<int>, floor double")
+    return best(near.drop("rank").unionByName(visited(rest))).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_multi_index(spark, sf_dir: str) -> DataFrame:

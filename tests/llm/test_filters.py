@@ -105,6 +105,39 @@ def test_neighbours(shipped):
     assert found / total >= 0.9
 
 
+def _exact(x, ids, q, k):
+    s = (x * x[q]).sum(1)
+    s[q] = -np.inf
+    return ids[np.lexsort((ids, -s))][:k].tolist()
+
+
+def test_neighbours_are_exact_without_clusters(shipped):
+    """Isotropic vectors as in the embeddings, over many small buckets: nothing of a fixed share may be cut."""
+    x = np.random.default_rng(6).normal(size=(2000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = shipped.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {}
+    for r in ann.search(v, v.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    ids, m = np.arange(2000), x.astype(float)
+    assert {q: [r[i] for i in sorted(r)] for q, r in got.items()} == {q: _exact(m, ids, q, 20) for q in range(0, 2000, 20)}
+
+
+def test_neighbours_are_exact_in_small_buckets(shipped):
+    """Buckets of 50: cells that share one, a hot cell cut into many, and cells that bounds rule out."""
+    rng = np.random.default_rng(7)
+    centers = 5 * rng.normal(size=(12, 8))
+    x = np.vstack([centers[rng.integers(0, 12, 800)] + 0.1 * rng.normal(size=(800, 8)), centers[0] + 0.001 * rng.normal(size=(400, 8))])
+    v = shipped.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {}
+    for r in ann.search(v, v.where("vec_id % 40 = 0"), k=10, times=2, chunk=50).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert {q: [r[i] for i in sorted(r)] for q, r in got.items()} == {q: _exact(x, np.arange(1200), q, 10) for q in range(0, 1200, 40)}
+    books = ann.fit(ann.usable(v))
+    books.counts[:] = 1
+    assert len(books.may_hold(x[0], float(x[0] @ x[0]))) < books.counts.size
+
+
 def test_neighbours_of_few_and_none(shipped):
     schema = "vec_id long, embedding array<float>, label int"
     assert ann.search(shipped.createDataFrame([], schema), shipped.createDataFrame([], schema)).count() == 0
