@@ -2,7 +2,7 @@
 
 toxicity    documents that the pattern grammar scores at a half or more go
 quality     documents that the rule ensemble scores under a half go
-near_dedup  of each group of near copies the document with the smallest doc_id stays
+near_dedup  of each group of near copies (0.8 of the shingles of five words) the document with the smallest doc_id stays
 mixing      sources are mixed to their target weights: a row for each pass over a document, with the words taken
 packing     token sequences of at most 4096 ids along a space-filling curve, with the ids of each piece
 
@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from parcelspark.functions.shipping import ship
 from parcelspark.llm import common, mixing, neardup, packing, quality, toxicity
 
+#: Similarity of near copies in the stage; op3's own limit is 85.
+NEAR_PERCENT = 80
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, common.table(ship(spark), sf_dir, "labels"))
@@ -27,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return neardup.without_copies(docs.select(*common.DOCUMENT_COLUMNS))
+    return neardup.without_copies(docs.select(*common.DOCUMENT_COLUMNS), NEAR_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

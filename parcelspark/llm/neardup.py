@@ -3,9 +3,9 @@
 A document is its set of hashed word shingles; its sketch is the k smallest hashes. Inverted lists of retained values
 give pairs that overlap, the sketch of a pair's union estimates its Jaccard similarity, and full sets confirm it.
 
-How the lists stay small without losing a link: two linked sets share at least LEAST_COMMON of their LISTED smallest
-hashes (see there), so with values in order of rarity it is enough to list each document under all but the last
-LEAST_COMMON - 1 of the values that it doesn't have alone. Values of passages that many documents share come last, so
+How the lists stay small without losing a link: two linked sets share at least `common` of their `listed` smallest
+hashes (see limits()), so with values in order of rarity it is enough to list each document under all but the last
+common - 1 of the values that it doesn't have alone. Values of passages that many documents share come last, so
 only documents that consist of them are listed there. Equal sets are one class from the start.
 
 Lists are compared in chunks of bounded size. Sketches come first; only members with a candidate bring their full
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import groupby
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, lower_words, mixed, partitions, table, word_hashes, written
 
-#: Hashes of a sketch; those of them that are listed.
+#: Hashes of a sketch; the least number of them that are listed.
 SKETCH, LISTED = 32, 16
-#: Of LISTED values of two sets with a similarity of 0.85 fewer than 5 are common with a chance of about 1e-7.
-LEAST_COMMON = 5
-#: Likewise of SKETCH values fewer than 16; the estimate over the union's sketch is no more than that share.
-LEAST_SKETCH = 16
+#: Each of the two tests on sketches misses a link at the limit with no more than this chance.
+MISS = 2e-7
 #: Members of one chunk of a list.
 CHUNK = 256
 PERCENT, WIDTH = 85, 5
@@ -59,6 +58,31 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
+def least_common(size: int, percent: int) -> int:
+    """The most common values that two linked sets lack among `size` smallest ones with a chance of MISS at most.
+
+    A value of the union's smallest is common with a chance of percent; with one set in the other, the two sets'
+    smallest share as many as that, else more. For 85 %: 5 of 16 (1.3e-7), 15 of 32 (8.2e-8).
+    """
+    p, missed, n = percent / 100, 0.0, 0
+    while n < size and (missed := missed + comb(size, n) * p**n * (1 - p) ** (size - n)) <= MISS:
+        n += 1
+    return n
+
+
+def limits(percent: int) -> tuple[int, int, int]:
+    """How many of a sketch's values are listed, how many of these two linked sets share at least, and how many of all.
+
+    As many are listed as it takes for three tenths of them to be shared, so that passages of many documents stay at
+    the end of the order of rarity: 16 at 85 %, 20 at 80 %.
+    """
+    for size in range(LISTED, SKETCH + 1):
+        common = least_common(size, percent)
+        if 10 * common >= 3 * size:
+            return size, common, least_common(SKETCH, percent)
+    raise ValueError(f"sketches of {SKETCH} values don't bear a similarity of {percent} %")
+
+
 SKETCHES = "doc_id long, n long, h1 long, h2 long, low array<long>"
 
 
@@ -113,16 +137,14 @@ def components(links: DataFrame) -> DataFrame:
         e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
 
 
-def _common(percent: int):
-    return F.least(F.lit(LEAST_COMMON), F.ceil(F.col("n") * percent / 100)).cast("int")
-
-
 def _listed(reps: DataFrame, percent: int) -> DataFrame:
     """rep, n, prefix: the rarest values of a representative under which it is listed; only where there are any."""
-    entries = reps.select("rep", "n", F.explode(F.slice("low", 1, LISTED)).alias("value"))
+    size, least, _ = limits(percent)
+    common = F.least(F.lit(least), F.ceil(F.col("n") * percent / 100)).cast("int")
+    entries = reps.select("rep", "n", F.explode(F.slice("low", 1, size)).alias("value"))
     counts = entries.groupBy("value").agg(F.count("*").alias("docs")).where("docs > 1")
     held = entries.join(counts, "value").groupBy("rep", "n").agg(F.sort_array(F.array_distinct(F.collect_list(F.struct("docs", "value")))).alias("values"))
-    held = held.withColumn("size", F.size("values") - _common(percent) + 1).where("size > 0")
+    held = held.withColumn("size", F.size("values") - common + 1).where("size > 0")
     return held.select("rep", "n", F.slice("values", F.lit(1), F.col("size"))["value"].alias("prefix"))
 
 
@@ -193,6 +215,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
 def _candidates(lists: DataFrame, percent: int) -> DataFrame:
     """value, chunk, asks, rep: who has a candidate in a chunk. Candidates have near sizes, an estimate over the union's
     sketch that doesn't rule a link out, different components, and no earlier list in common."""
+    _, _, least = limits(percent)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (value, chunk), held, asking in _chunks(batches, ("rep", "comp", "n", "low", "earlier")):
@@ -211,7 +234,7 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
                 arrays = lambda side, at, i: [np.asarray(side[k][i], np.int64) for k in at]
                 common = _overlaps(arrays(held, cols, 3), arrays(part, rows, 3))
                 smaller = np.minimum(q_n, n)[sub]
-                good = ok[sub] & (common >= np.minimum(LEAST_SKETCH, -(-smaller * percent // 100)))
+                good = ok[sub] & (common >= np.minimum(least, -(-smaller * percent // 100)))
                 good &= _overlaps(arrays(held, cols, 4), arrays(part, rows, 4)) == 0
                 hit_asks.update(q_rep[rows[good.any(1)], 0].tolist())
                 hit_held.update(rep[cols[good.any(0)]].tolist())
@@ -262,7 +285,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document; percent must be 85 or more.
+    """doc_id, n_shingles, component_id, kept of each document, for a similarity of percent or more (see limits()).
 
     component_id is the smallest doc_id reachable over links, kept whether it is the document's own. Null and empty
     texts have no shingles and are linked with nothing. A null doc_id takes no part: its component_id is null and

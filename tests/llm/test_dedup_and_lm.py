@@ -67,6 +67,41 @@ def test_components(shipped, rows):
         assert r.kept == (r.doc_id is None or r.doc_id == want[r.doc_id])
 
 
+def between(limits, pairs=60, seed=5):
+    """Pairs whose similarity lies between two limits in percent: some words of one are changed, or words are added."""
+    r, rows = random.Random(seed), []
+    low, high = limits
+    while len(rows) < 2 * pairs:
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(60, 400))]
+        other = list(base)
+        if r.random() < 0.5:
+            other += [f"a{r.randrange(10**6)}" for _ in range(len(base) // 5)]
+        else:
+            at = r.randrange(len(base))
+            other[at : at + len(base) // 12] = [f"e{r.randrange(10**6)}" for _ in range(len(base) // 12)]
+        two = [(len(rows) + i, " ".join(w), "en", "s", 1) for i, w in enumerate((base, other))]
+        (_, s), (_, t) = shingle_sets(two)
+        if low * len(s | t) <= 100 * len(s & t) < high * len(s | t):
+            rows += two
+    return rows
+
+
+def test_pipeline_stage_drops_copies_from_four_fifths(shipped):
+    import corpus_pipeline
+
+    rows = between((80, 85)) + [(1000 + i, *x[1:]) for i, x in enumerate(between((70, 80), 20, 6))]
+    docs = shipped.createDataFrame(rows, DOCUMENTS).repartition(4)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(shipped, docs, "").collect()}
+    assert kept == {*range(0, 120, 2), *range(1000, 1040)}
+    assert {r.doc_id for r in neardup.without_copies(docs).collect()} == {r[0] for r in rows}  # op3's limit stays
+
+
+def test_limits_follow_from_the_similarity():
+    assert neardup.limits(85) == (16, 5, 15) and neardup.limits(80) == (20, 6, 13)
+    with pytest.raises(ValueError):
+        neardup.limits(50)
+
+
 def test_chunks_of_long_lists(shipped, monkeypatch):
     """Lists over the chunk size find the same links. The group is a chain: each text is a copy of its predecessor but for a step."""
     base = [f"c{i}" for i in range(200)]
