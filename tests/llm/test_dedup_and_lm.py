@@ -102,6 +102,20 @@ def test_limits_follow_from_the_similarity():
         neardup.limits(50)
 
 
+def test_estimate_over_the_unions_sketch():
+    r, pairs = random.Random(8), []
+    for n in (1, 5, 31, 32, 40, 300):
+        for shared in (0, n // 2, n):
+            common = {r.randrange(2**64 - 1) for _ in range(shared)}
+            pairs.append([common | {r.randrange(2**64 - 1) for _ in range(n - shared + extra)} for extra in (0, n // 3)])
+    low = lambda s: np.asarray(sorted(s)[:32], np.uint64)
+    one, two = (neardup._filled([low(p[i]) for p in pairs]) for i in (0, 1))
+    size, common = neardup.union_estimate(one, two)
+    want = [sorted(a | b)[:32] for a, b in pairs]
+    assert size.tolist() == [len(u) for u in want]
+    assert common.tolist() == [sum(x in a and x in b for x in u) for u, (a, b) in zip(want, pairs)]
+
+
 def test_chunks_of_long_lists(shipped, monkeypatch):
     """Lists over the chunk size find the same links. The group is a chain: each text is a copy of its predecessor but for a step."""
     base = [f"c{i}" for i in range(200)]
