@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import state as S
@@ -117,8 +115,8 @@ def t01_rate_limit_stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     ts = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    r = events.select(F.concat(F.lit("u"), (F.col("user_id") % 9).cast("string")).alias("key"), F.col("event_id").alias("seq"), F.floor(ts / 6000).alias("ts_us"))
-    return J.run_to_memory(L.limited_stream(r, 10, 60), f"limited_{uuid.uuid4().hex}")
+    r = events.select(F.concat_ws("", F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), F.floor(ts / 6000).alias("ts_us"))
+    return L.limited_stream(r, 10, 60, J.shared_folder(spark, "limited"))
 
 
 @query("requests", "SELECT seq, CASE WHEN path LIKE '/api/v1/auth%' THEN '/api/v1/auth' WHEN path LIKE '/api/v1/upload%' THEN '/api/v1/upload' WHEN path = '/api/v1/projects' THEN '/api/v1/projects' ELSE 'default' END AS rule, CASE WHEN path LIKE '/api/v1/auth%' THEN 10 WHEN path LIKE '/api/v1/upload%' THEN 20 WHEN path = '/api/v1/projects' THEN 100 ELSE 60 END AS max_requests FROM requests")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import job_states
@@ -25,17 +28,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return w.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there now and returns the sink's table."""
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    # processing-time time-outs ask for batches without data for ever; a run over what is there needs none
-    spark, key = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        w.start().awaitTermination()
-    finally:
-        spark.conf.set(key, before)
-    return stream.sparkSession.table(name)
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's tables where driver and executors share one; a temporary one only where none is set."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}" if found else "file://" + tempfile.mkdtemp(prefix=f"{name}-")

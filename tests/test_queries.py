@@ -77,3 +77,21 @@ def test_stream_decides_as_batch(spark):
     batch = limits.limited(requests, 10, 60)
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
     assert stream.where("limited").count() > 0
+
+
+def test_stream_has_each_user_and_lies_in_files(spark):
+    stream = registry.QUERIES["t01_rate_limit_stream"](spark, SF)
+    users = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
+    assert stream.select("key").distinct().count() == users and stream.inputFiles()
+
+
+def test_stream_of_several_batches_decides_as_batch(spark, tmp_path):
+    rows = [(f"k{i % 7 % 3}", i, (i * 2_300_000)) for i in range(600)]
+    schema = "key string, seq long, ts_us long"
+    for part in range(3):
+        spark.createDataFrame(rows[200 * part : 200 * part + 200], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    requests = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = limits.limited_stream(requests, 5, 60, f"file://{tmp_path}/out")
+    want = limits.limited(spark.createDataFrame(rows, schema), 5, 60)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("limited").count() > 0 and len(list((tmp_path / "out" / "decided").glob("batch=*"))) == 3
