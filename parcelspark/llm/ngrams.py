@@ -160,6 +160,13 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(i)) for i, d in enumerate(found, 1))
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts as they are stored, unsigned 32 bits; one that doesn't fit raises, as a wrapped count falsifies scores."""
+    if counts.size and int(counts.max()) >= 1 << 32:
+        raise OverflowError(f"a count of {int(counts.max())} doesn't fit 32 bits: the training text is too large")
+    return counts.astype("<u4")
+
+
 def _blocks(tokens: np.ndarray, n: np.ndarray, side: int) -> Iterator[tuple[int, bytes]]:
     (first, second), c = summed((contexts(tokens, n), tokens), np.ones(len(tokens), np.uint32))
     shard = _range_of(first, side) * side + (mixed(second) % np.uint64(side)).astype(np.int64)
@@ -168,13 +175,13 @@ def _blocks(tokens: np.ndarray, n: np.ndarray, side: int) -> Iterator[tuple[int,
     for s in np.unique(shard).tolist():
         lo, hi = np.searchsorted(shard, s), np.searchsorted(shard, s, side="right")
         words, runs = np.unique(first[lo:hi], return_counts=True)
-        yield s, struct.pack("<qq", len(words), hi - lo) + words.tobytes() + runs.astype("<u4").tobytes() + second[lo:hi].tobytes() + c[lo:hi].astype("<u4").tobytes()
+        yield s, struct.pack("<qq", len(words), hi - lo) + words.tobytes() + narrow(runs).tobytes() + second[lo:hi].tobytes() + narrow(c[lo:hi]).tobytes()
 
 
 def _block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, m = struct.unpack_from("<qq", data)
     words, runs = np.frombuffer(data, "<u8", n, 16), np.frombuffer(data, "<u4", n, 16 + 8 * n)
-    return np.repeat(words, runs), np.frombuffer(data, "<u8", m, 16 + 12 * n), np.frombuffer(data, "<u4", m, 16 + 12 * n + 8 * m)
+    return np.repeat(words, runs), np.frombuffer(data, "<u8", m, 16 + 12 * n), np.frombuffer(data, "<u4", m, 16 + 12 * n + 8 * m).astype(np.int64)  # to be summed
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[bytes]]]:
@@ -221,7 +228,7 @@ def fit(docs: DataFrame) -> Model:
             (first, second), c = summed((np.concatenate(parts_[0]), np.concatenate(parts_[1])), np.concatenate(parts_[2]))
             keys = pair_hashes(first, second)
             order = np.argsort(keys, kind="stable")
-            folder.write(f"pairs-{shard}", keys[order].tobytes() + c[order].astype("<u4").tobytes())
+            folder.write(f"pairs-{shard}", keys[order].tobytes() + narrow(c[order]).tobytes())
             before = np.stack([c, c == 1, c == 2, c == 3, c == 4, np.ones_like(c), np.zeros_like(c)], 1).astype(np.int64)
             (contexts_,), a = summed((first,), before)
             (words,), p = summed((second,), np.ones(len(second), np.int64))
@@ -232,7 +239,7 @@ def fit(docs: DataFrame) -> Model:
             rows = []
             for t in np.unique(of).tolist():
                 some = of == t
-                rows.append((t, struct.pack("<q", int(some.sum())) + words[some].tobytes() + stats[some].astype("<u4").T.tobytes()))
+                rows.append((t, struct.pack("<q", int(some.sum())) + words[some].tobytes() + narrow(stats[some]).T.tobytes()))
             yield _out(rows)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +250,7 @@ def fit(docs: DataFrame) -> Model:
                 words.append(np.frombuffer(d, "<u8", n, 8))
                 stats.append(np.frombuffer(d, "<u4", n * STATS, 8 + 8 * n).reshape(STATS, n).T.astype(np.int64))
             (w,), s = summed((np.concatenate(words),), np.concatenate(stats))
-            folder.write(f"words-{shard}", w.tobytes() + s.astype("<u4").T.tobytes())
+            folder.write(f"words-{shard}", w.tobytes() + narrow(s).T.tobytes())
             token = w != BEGIN
             ends = s[w == BEGIN, 0].sum()  # END is no context; it occurs once in each document
             before = s[token, 6]

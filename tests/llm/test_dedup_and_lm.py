@@ -2,6 +2,7 @@
 
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -196,3 +197,14 @@ def test_no_training_rows(no_docs, clashing_docs):
     model = ngrams.fit(no_docs)
     rows = ngrams.score(clashing_docs, model).collect()
     assert len(rows) == len(ROWS) and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in rows)
+
+
+def test_counts_over_32_bits_raise():
+    most = (1 << 32) - 1
+    assert ngrams.narrow(np.asarray([0, most])).tolist() == [0, most]
+    with pytest.raises(OverflowError):
+        ngrams.narrow(np.asarray([[1], [most + 1]]))
+    block = struct.pack("<qqQIQI", 1, 1, 7, 1, 8, most)  # one pair of words
+    first, second, c = (np.concatenate(x) for x in zip(*[ngrams._block(block)] * 2))
+    (_, _), sums = ngrams.summed((first, second), c)
+    assert sums.tolist() == [2 * most]  # not wrapped before the check
