@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces remembered in a worker; beyond it the memory starts anew. It bounds memory and changes no result.
-MOST_PIECES = 1_400_000
+#: Bytes of remembered pieces in each of a worker's two generations. It bounds memory and changes no result.
+MOST_BYTES = 24 << 20
+#: What a remembered piece takes beside its characters and ids: two objects and a place in the table.
+OVERHEAD = 200
 #: Between pieces that are encoded together; a character of its own for either vocabulary.
 FEED, MARK, STOPS = "\n", "\x01", ".,;:!?"
 
@@ -42,6 +44,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model, self.keeps_space = self.tokenizer.model, keeps_space
         self.seen: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.held = 0  # bytes of self.seen
         self.tails: dict[str, bytes] = {}
         self.between = self.whole(FEED if keeps_space else MARK)
         if len(self.between) != 1:
@@ -60,15 +64,26 @@ class Encoder:
                 stems.append((p, ""))
             else:
                 stems.append((q if self.keeps_space or not q.isascii() else q.lower(), p[len(q) :]))
-        new = {q for q, _ in stems if q not in self.seen}
-        if len(self.seen) + len(new) > MOST_PIECES:
-            self.seen.clear()
-            new = {q for q, _ in stems}
-        self._encode_new(list(new))
+        needed, new = {q for q, _ in stems}, []
+        for q in needed.difference(self.seen):
+            if q in self.older:
+                self._remember(q, self.older.pop(q))
+            else:
+                new.append(q)
+        self._encode_new(new)
         for tail in {t for _, t in stems}.difference(self.tails):
             self.tails[tail] = self.whole(tail).tobytes() if tail else b""
         seen, tails = self.seen, self.tails
-        return [None if (x := seen[q]) is None else x + tails[t] if t else x for q, t in stems]
+        out = [None if (x := seen[q]) is None else x + tails[t] if t else x for q, t in stems]
+        if self.held > MOST_BYTES:  # pieces that aren't asked for while the next generation fills are forgotten
+            self.older, self.seen, self.held = self.seen, {}, 0
+        if len(tails) > 10_000:
+            tails.clear()
+        return out
+
+    def _remember(self, piece: str, ids: bytes | None) -> None:
+        self.seen[piece] = ids
+        self.held += OVERHEAD + len(piece) + len(ids or b"")
 
     def _letters(self, word: str) -> bytes:
         """Ids of a word of letters below U+02B0 (after its space): one piece without normalisation, so the model alone is asked."""
@@ -83,7 +98,7 @@ class Encoder:
         for p in new:
             w = p[1:] if self.keeps_space and p[:1] == FEED else p
             if w.isalpha() and max(w) < "ʰ" and "İ" not in w:
-                self.seen[p] = lead + self._letters(w) if w is not p else self._letters(" " + w if self.keeps_space else w)
+                self._remember(p, lead + self._letters(w) if w is not p else self._letters(" " + w if self.keeps_space else w))
             else:
                 rest.append(p)
         new = rest
@@ -103,9 +118,9 @@ class Encoder:
                 raw, ends = ids.tobytes(), [4 * c for c in cuts.tolist()] + [4 * len(ids)]
                 found = [raw[x:y] for x, y in zip([0] + [e + 4 for e in ends[:-1]], ends)]
             for p, x in zip(part, found):
-                self.seen[p] = lead + x if self.keeps_space and p[0] == FEED else x
+                self._remember(p, lead + x if self.keeps_space and p[0] == FEED else x)
         for p in set(new).difference(plain):  # where white space is kept, texts with such a piece are encoded whole
-            self.seen[p] = None if self.keeps_space else self.whole(p).tobytes()
+            self._remember(p, None if self.keeps_space else self.whole(p).tobytes())
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
@@ -143,7 +158,7 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return Encoder(path, keeps_space)
 
 
-def runs(texts: pa.Array, most_bytes: int = 16_000_000) -> Iterator[tuple[int, int]]:
+def runs(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of slices whose texts have at most most_bytes bytes together (or one text)."""
     start = total = 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):

@@ -20,6 +20,8 @@ from .common import bytes_of, hilbert_index, partitions
 from .encoding import encoder, runs
 
 WIDTH, DIMS, BITS = 256, 3, 10
+#: Pieces, and bytes of their ids, that a task holds before it hands them on.
+MOST_ROWS, MOST_BYTES = 20_000, 4 << 20
 
 
 def curve_keys(texts: list[bytes]) -> np.ndarray:
@@ -70,17 +72,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, keeps_s
         types = [pa.int64()] * 7 + [pa.binary()] * with_ids
         open_rows: list[list] = []  # of the sequence that is being filled
         open_ids: list[bytes] = []
-        filled = count = 0
+        filled = count = held = 0
         rows: list[list] = []
 
         def out():
-            nonlocal rows
-            r, rows = rows, []
+            nonlocal rows, held
+            r, rows, held = rows, [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*r), types)], names)
 
         def close() -> None:
-            nonlocal open_rows, open_ids, filled, count
+            nonlocal open_rows, open_ids, filled, count, held
             rows.extend(open_rows)
+            held += 4 * filled
             open_rows, open_ids, filled, count = [], [], 0, count + 1
 
         def add(doc_id, start: int, ids: bytes, total: int) -> None:
@@ -102,8 +105,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, keeps_s
                         at += take
                         if filled == size:
                             close()
-                if len(rows) > 20_000:
-                    yield out()
+                    if len(rows) > MOST_ROWS or with_ids and held > MOST_BYTES:
+                        yield out()
         # the rest: binary digits of its length, largest first
         rest, rest_ids, left = open_rows, open_ids, filled
         open_rows, open_ids, filled = [], [], 0
