@@ -24,12 +24,25 @@ def slug(text: Column, most: int = 60) -> Column:
     return F.when(F.length(s) <= most, s).when((F.instr(cut, "-") > 0) & (last > most // 2), F.left(cut, last)).otherwise(cut)
 
 
+def _one_decimal(x: Column) -> Column:
+    """A number of at least 1 with one decimal, its exact binary value rounded half to even.
+
+    Formatters of the JVM round the shortest decimal text of a double instead, and half up: 1.15 and 1.25 would differ.
+    """
+    whole, unit = F.floor(x).cast("long"), 1 << 52
+    tenths = ((x - F.floor(x)) * float(unit)).cast("long") * 10  # exact: a double of at least 1 has 52 bits after the point at most
+    digit, rest = F.floor(tenths / unit).cast("long"), tenths % unit
+    up = (rest > unit // 2) | ((rest == unit // 2) & (digit % 2 == 1))
+    digit = digit + up.cast("long")
+    return F.concat((whole + F.when(digit == 10, 1).otherwise(0)).cast("string"), F.lit("."), (digit % 10).cast("string"))
+
+
 def price_text(price: Column) -> Column:
     """AED 1.2M, AED 850K, AED 900; null: on request."""
     p = price.cast("double")
     return (
         F.when(p.isNull(), "Price on request")
-        .when(p >= 1_000_000, F.concat(F.lit("AED "), F.format_string("%.1f", p / 1_000_000), F.lit("M")))
+        .when(p >= 1_000_000, F.concat(F.lit("AED "), _one_decimal(p / 1_000_000), F.lit("M")))
         .when(p >= 1_000, F.concat(F.lit("AED "), F.bround(p / 1_000).cast("long"), F.lit("K")))
         .otherwise(F.concat(F.lit("AED "), F.format_number(p, 0)))
     )
