@@ -1,75 +1,91 @@
-"""Record linkage and duplicates where results depend on order: one small group (a document) at a time.
+"""Record linkage and duplicates where results depend on order.
 
-A document has tens of plans and images, so its group fits a task; groups are spread by their key.
+Both sides of a document come as one sorted stream of Arrow batches, so that a task holds a batch and what one document
+still offers, never a frame for each document.
 """
 
 from __future__ import annotations
 
-import re
+from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.floorplans import type_letter, unit_key
 
-def _key(label: str) -> tuple[str, str]:
-    s = label.lower().strip()
-    m = re.search(r"(?:type|unit)\s+([a-z]\d*)\b", s) or re.search(r"[-]\s*([a-z]\d*)\b", s)
-    sub = m[1] if m else ""
-    if "studio" in s or "std" in s:
-        return "studio", sub
-    m = re.match(r"(\d+)\s*(?:br|bed(?:room)?(?:\s+apartment)?)", s) or re.search(r"(\d+)", s)
-    return (f"{m[1]}br" if m else s), sub
-
-
-def _letter(label: str) -> str | None:
-    s = label.lower().strip()
-    m = re.search(r"(?:type|unit)\s+([a-z]\d*)\b", s) or re.search(r"[-]\s*([a-z]\d*)\s*$", s)
-    return m[1] if m else None
-
-
-def assign_in_order(plans: list[tuple], rows: list[tuple]) -> list[int | None]:
-    """For each plan (label, bedrooms), in order, the first free row (label, bedrooms) of the best pass: exact key,
-    bedrooms and letter, bedrooms of the label, number of bedrooms."""
-    keys = [(_key(label), _letter(label)) if label else None for label, _ in rows]
-    used: set[int] = set()
-    out: list[int | None] = []
-    for label, beds in plans:
-        hit = None
-        if label:
-            (bed, sub), letter = _key(label), _letter(label)
-            passes = (
-                lambda k, b: k and sub and k[0] == (bed, sub),
-                lambda k, b: k and letter and k[0][0] == bed and k[1] == letter,
-                lambda k, b: k and k[0][0] == bed,
-                lambda k, b: beds is not None and b is not None and int(b) == beds,
-            )
-            free = [i for i in range(len(rows)) if i not in used]
-            hit = next((i for test in passes for i in free if test(keys[i], rows[i][1])), None)
-            if hit is not None:
-                used.add(hit)
-        out.append(hit)
-    return out
-
-
-def _known(x):
-    return None if pd.isna(x) else x
+
+def _streamed(df: DataFrame, run, schema: str, group: str, *order: str) -> DataFrame:
+    """run over batches in which a group's rows follow one another, in order."""
+    return df.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)
+
+
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in b.columns))
+
+
+def _batch(rows: list[tuple], names: str, types: tuple[pa.DataType, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names.split())
+
+
+def _likeness(bed: str | None, sub: str | None, letter: str | None, beds: int | None) -> list[tuple]:
+    """What two labels can agree in, the most telling first."""
+    keys = [("unit", bed, sub)] * bool(bed and sub) + [("letter", bed, letter)] * bool(bed and letter) + [("bed", bed)] * bool(bed)
+    return keys + [("number", beds)] * (beds is not None)
+
+
+class Offers:
+    """The rows of one document that no plan has taken yet, by each key that they can be asked for."""
+
+    def __init__(self):
+        self.by_key: dict[tuple, deque] = {}
+        self.taken: set[int] = set()
+
+    def add(self, row: int, keys: list[tuple]) -> None:
+        for k in keys:
+            self.by_key.setdefault(k, deque()).append(row)
+
+    def take(self, keys: list[tuple]) -> int | None:
+        """The first free row under the first key that has one."""
+        for k in keys:
+            rows = self.by_key.get(k, ())
+            while rows and rows[0] in self.taken:
+                rows.popleft()
+            if rows:
+                self.taken.add(rows[0])
+                return rows.popleft()
+        return None
 
 
 def link_plans(plans: DataFrame, specs: DataFrame) -> DataFrame:
     """doc_id, seq, row_no (null: none) of plans (doc_id, seq, unit_type, bedrooms) and specs (doc_id, row_no, unit_type, bedrooms).
 
-    Passes run plan by plan, so an earlier plan may take a row that fits a later one better.
+    Plans choose in order of seq, each the first free row that agrees with it best, so that an earlier plan may take a
+    row that fits a later one better. A plan without a label takes none.
     """
 
-    def link(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        p, s = p.sort_values("seq"), s.sort_values("row_no")
-        hits = assign_in_order([(_known(a), _known(b)) for a, b in zip(p.unit_type, p.bedrooms)], [(_known(a), _known(b)) for a, b in zip(s.unit_type, s.bedrooms)])
-        rows = s.row_no.tolist()
-        return pd.DataFrame({"doc_id": p.doc_id, "seq": p.seq, "row_no": pd.array([None if h is None else rows[h] for h in hits], dtype="Int64")})
-
-    left = plans.select("doc_id", "seq", "unit_type", "bedrooms").groupBy("doc_id")
-    return left.cogroup(specs.select("doc_id", "row_no", "unit_type", "bedrooms").groupBy("doc_id")).applyInPandas(link, "doc_id long, seq int, row_no long")
+    def side(df: DataFrame, number: int, at: str) -> DataFrame:
+        key = unit_key(F.col("unit_type"))
+        return df.select("doc_id", F.lit(number).alias("side"), F.col(at).cast("long").alias("at"), key["bed"].alias("bed"), key["sub"].alias("sub"), type_letter(F.col("unit_type")).alias("letter"), F.col("bedrooms").cast("int").alias("beds"))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, offers = None, Offers()
+        for b in batches:
+            out = []
+            for doc_id, plan, at, bed, sub, letter, beds in _rows(b):
+                if doc_id != doc:
+                    doc, offers = doc_id, Offers()
+                keys = _likeness(bed, sub, letter, beds)
+                if not plan:
+                    offers.add(at, keys)
+                else:
+                    out.append((doc_id, at, offers.take(keys) if bed else None))
+            if out:
+                yield _batch(out, "doc_id seq row_no", (pa.int64(), pa.int32(), pa.int64()))
+
+    both = side(specs, 0, "row_no").unionByName(side(plans, 1, "seq"))
+    return _streamed(both, link, "doc_id long, seq int, row_no long", "doc_id", "side", "at")
 
 
 def linked_areas(plans: DataFrame, specs: DataFrame, links: DataFrame) -> DataFrame:
@@ -81,62 +97,87 @@ def linked_areas(plans: DataFrame, specs: DataFrame, links: DataFrame) -> DataFr
     return j.select("doc_id", "seq", "row_no", F.coalesce("unit_type", "label").alias("unit_type"), over(F.col("t"), F.col("total_sqft")).alias("total_sqft"), over(F.col("b"), F.col("balcony_sqft")).alias("balcony_sqft"), sure.alias("confidence"))
 
 
-def leaders(hashes: list[int | None], threshold: float) -> list[int | None]:
-    """For each hash, in order, the place of the first registered hash that is similar; null hashes never register."""
-    known: list[tuple[int, int]] = []
-    out: list[int | None] = []
-    for i, h in enumerate(hashes):
-        hit = None if h is None else next((j for j, k in known if 1 - (h ^ k).bit_count() / 64 >= threshold), None)
-        if h is not None and hit is None:
-            known.append((i, h))
-        out.append(hit)
-    return out
+def leader(phash: int | None, known: list[tuple[int, int]], at: int, threshold: float) -> int | None:
+    """Where the first of the known hashes that is similar stands; a hash without one becomes known, null hashes never do."""
+    if phash is None:
+        return None
+    phash &= (1 << 64) - 1  # longs are signed; their bits are compared
+    for place, other in known:
+        if 1 - (phash ^ other).bit_count() / 64 >= threshold:
+            return place
+    known.append((at, phash))
+    return None
 
 
 def leader_duplicates(images: DataFrame, threshold: float, order: list[str], group: str = "doc_id") -> DataFrame:
     """group, image_id, duplicate_of (image_id; null for those that stay): not transitive, the first similar leader wins."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        ids = g.image_id.tolist()
-        # hashes are signed 64-bit; their bits are compared
-        hits = leaders([None if pd.isna(x) else int(x) & (1 << 64) - 1 for x in g.phash.tolist()], threshold)
-        return pd.DataFrame({group: g[group], "image_id": g.image_id, "duplicate_of": pd.array([None if h is None else ids[h] for h in hits], dtype="Int64")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, known = None, []
+        for b in batches:
+            out = []
+            for g, image_id, phash in _rows(b.select([0, 1, 2])):
+                if g != current:
+                    current, known = g, []
+                out.append((g, image_id, leader(phash, known, image_id, threshold)))
+            if out:
+                yield _batch(out, f"{group} image_id duplicate_of", (pa.int64(),) * 3)
 
-    text = images.withColumn("phash", F.col("phash").cast("string"))  # nulls would make doubles of longs in pandas
-    return text.select(group, "image_id", "phash", *[c for c in order if c != "image_id"]).groupBy(group).applyInPandas(run, f"{group} long, image_id long, duplicate_of long")
+    rows = images.select(F.col(group).cast("long").alias(group), F.col("image_id").cast("long").alias("image_id"), "phash", *[c for c in order if c != "image_id"])
+    return _streamed(rows, run, f"{group} long, image_id long, duplicate_of long", group, *order)
 
 
 def without_covered(renders: DataFrame, embedded: DataFrame, threshold: float = 0.9, coverage: float = 0.7) -> DataFrame:
-    """Page renders without those that an embedded image of the same page covers or resembles."""
+    """Page renders without those that an embedded image of the same page of the same document covers or resembles."""
     from ..functions.units import similarity64
 
-    e = embedded.select(F.col("page_no").alias("p"), (F.col("width") * F.col("height")).alias("area"), F.col("phash").alias("h"))
+    e = embedded.select(F.col("doc_id").alias("d"), F.col("page_no").alias("p"), (F.col("width") * F.col("height")).alias("area"), F.col("phash").alias("h"))
     own = F.col("width") * F.col("height")
     covered = (own > F.col("area")) & (F.col("area") / own >= coverage)
     alike = similarity64(F.col("phash"), F.col("h")) >= threshold
-    return renders.join(e, (F.col("page_no") == F.col("p")) & (covered | F.coalesce(alike, F.lit(False))), "left_anti")
+    return renders.join(e, (F.col("doc_id") == F.col("d")) & (F.col("page_no") == F.col("p")) & (covered | F.coalesce(alike, F.lit(False))), "left_anti")
+
+
+def _boxes_of_plans(boxes: list[tuple[int, str]], plans: list[tuple[int, str]]) -> dict[int, int]:
+    """box -> plan of one document, both in order, each plan once: by equal labels, by a label within the other, by order."""
+    free, found = dict(plans), {}
+    for agree in (str.__eq__, lambda a, b: a in b or b in a):
+        for box, label in boxes:
+            if label and box not in found:
+                plan = next((p for p, x in free.items() if x and agree(label, x)), None)
+                if plan is not None:
+                    found[box] = plan
+                    del free[plan]
+    return found | dict(zip((box for box, _ in boxes if box not in found), list(free)))
 
 
 def box_matches(boxes: DataFrame, plans: DataFrame) -> DataFrame:
-    """doc_id, box_no, seq: boxes (doc_id, box_no, label, x) and plans (doc_id, seq, unit_type) by equal label, then by a
-    label within the other, then in order of x."""
-
-    def run(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        b, p = b.sort_values(["x", "box_no"]), p.sort_values("seq")
-        labels = [(s, (t or "").lower()) for s, t in zip(p.seq, p.unit_type)]
-        free, got = dict(labels), {}
-        for test in (lambda x, y: x == y, lambda x, y: x in y or y in x):
-            for no, x in zip(b.box_no, b.label):
-                x = (x or "").lower()
-                if no not in got and x and (hit := next((s for s, y in free.items() if y and test(x, y)), None)) is not None:
-                    got[no] = hit
-                    free.pop(hit)
-        for no, s in zip([n for n in b.box_no if n not in got], list(free)):
-            got[no] = s
-        return pd.DataFrame({"doc_id": b.doc_id, "box_no": b.box_no, "seq": pd.array([got.get(n) for n in b.box_no], dtype="Int64")})
-
-    return boxes.groupBy("doc_id").cogroup(plans.select("doc_id", "seq", "unit_type").groupBy("doc_id")).applyInPandas(run, "doc_id long, box_no int, seq int")
+    """doc_id, box_no, seq (null: none): boxes (doc_id, box_no, label, x) and plans (doc_id, seq, unit_type) by equal label,
+    then by a label within the other, then in order of x."""
+    none = F.lit(None)
+    p = plans.select("doc_id", F.lit(0).alias("side"), none.cast("long").alias("x"), F.col("seq").cast("long").alias("at"), F.lower(F.coalesce("unit_type", F.lit(""))).alias("label"))
+    b = boxes.select("doc_id", F.lit(1).alias("side"), F.col("x").cast("long").alias("x"), F.col("box_no").cast("long").alias("at"), F.lower(F.coalesce("label", F.lit(""))).alias("label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, sides = None, ([], [])
+
+        def matched() -> list[tuple]:
+            found = _boxes_of_plans(sides[1], sides[0])
+            return [(doc, box, found.get(box)) for box, _ in sides[1]]
+
+        for batch in batches:
+            out = []
+            for doc_id, side, _, at, label in _rows(batch):
+                if doc_id != doc:
+                    out += matched()
+                    doc, sides = doc_id, ([], [])
+                sides[side].append((at, label))
+            if out:
+                yield _batch(out, "doc_id box_no seq", (pa.int64(), pa.int32(), pa.int32()))
+        if sides[1]:
+            yield _batch(matched(), "doc_id box_no seq", (pa.int64(), pa.int32(), pa.int32()))
+
+    return _streamed(p.unionByName(b), run, "doc_id long, box_no int, seq int", "doc_id", "side", "x", "at")
 
 
 def compare_maps(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
