@@ -54,6 +54,23 @@ def page(df: DataFrame, number: int, size: int, most: int = 100) -> DataFrame:
     return df.offset((number - 1) * size).limit(size)
 
 
+#: Sizes that the table of a list page offers.
+PAGE_SIZES = (10, 20, 50, 100)
+
+
+def table_page(df: DataFrame, column: str | None, descending: bool, number: int, size: int, tie: str = "id") -> DataFrame:
+    """A page of a table sorted by any of its columns (None: by `tie` alone), ties by `tie`; nulls come last.
+
+    Sizes other than PAGE_SIZES and columns that the table hasn't got raise.
+    """
+    if size not in PAGE_SIZES:
+        raise ValueError(f"a page has one of {PAGE_SIZES} rows, not {size}")
+    if column is not None and column not in df.columns:
+        raise ValueError(f"no column {column}")
+    order = [] if column is None else [F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()]
+    return page(df.orderBy(*order, F.col(tie)), number, size)
+
+
 def page_metadata(df: DataFrame, number: int, size: int, least_pages: int = 0) -> DataFrame:
     """One row: total, pages, has_next, has_prev. least_pages=1 is the board's variant."""
     total = df.agg(F.count("*").alias("total"))

@@ -1,6 +1,7 @@
-"""Full-text search: terms of lower-cased text, a small stop list, light suffix stripping; rank is the number of hits.
+"""Full-text search: terms of lower-cased text, a small stop list, stems; rank is the number of hits.
 
-An approximation of a database's English text search, in built-in expressions only.
+An approximation of a database's English text search, in built-in expressions only: stems are those of steps 1a to 1c of
+the public Porter2 algorithm (plurals, -ed and -ing, final y), without its later steps (-ation, -ness, ...).
 """
 
 from __future__ import annotations
@@ -11,15 +12,34 @@ from pyspark.sql import functions as F
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "with")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def stem(t: Column) -> Column:
-    n = F.length(t)
-    cut = lambda k: F.left(t, n - k)
-    return (
-        F.when((n > 5) & F.endswith(t, F.lit("ing")), cut(F.lit(3)))
-        .when((n > 4) & (F.endswith(t, F.lit("es")) | F.endswith(t, F.lit("ed"))), cut(F.lit(2)))
-        .when((n > 3) & F.endswith(t, F.lit("s")) & ~F.endswith(t, F.lit("ss")), cut(F.lit(1)))
-        .otherwise(t)
-    )
+    """Words of up to two letters stay as they are."""
+    without = lambda c, n: F.left(c, F.length(c) - n)
+
+    def plural(w: Column) -> Column:
+        return (
+            F.when(F.endswith(w, F.lit("sses")), without(w, 2)).when(w.rlike("^.(ies|ied)$"), without(w, 1)).when(w.rlike("(ies|ied)$"), without(w, 2))
+            .when(w.rlike("[aeiouy].+s$") & ~w.rlike("(us|ss)$"), without(w, 1)).otherwise(w)
+        )
+
+    def mended(w: Column) -> Column:
+        """What is left of a word after -ed or -ing."""
+        short = "^[^aeiouy]*[aeiouy][^aeiouywx]$"
+        return F.when(w.rlike("(at|bl|iz)$"), F.concat(w, F.lit("e"))).when(w.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), without(w, 1)).when(w.rlike(short), F.concat(w, F.lit("e"))).otherwise(w)
+
+    def verb(w: Column) -> Column:
+        return (
+            F.when(w.rlike("eed(ly)?$"), F.when(w.rlike("[aeiouy][^aeiouy].*eed(ly)?$"), F.regexp_replace(w, "eed(ly)?$", "ee")).otherwise(w))
+            .when(w.rlike("[aeiouy].*(ed|edly|ing|ingly)$"), _let(F.regexp_replace(w, "(ed|edly|ing|ingly)$", ""), mended)).otherwise(w)
+        )
+
+    final = lambda w: F.when(w.rlike("^.+[^aeiouy]y$"), F.concat(without(w, 1), F.lit("i"))).otherwise(w)
+    return F.when(F.length(t) <= 2, t).otherwise(_let(_let(plural(t), verb), final))
 
 
 def search_terms(text: Column) -> Column:

@@ -40,9 +40,9 @@ def a03_pivoted_counts(spark, d):
     return table(spark, d, "jobs").groupBy("user_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in JOB_STATES), F.count("*").alias("total"))
 
 
-@query("projects", f"SELECT w.workflow_status, count(p.id) AS n FROM {_DOMAIN} LEFT JOIN (SELECT * FROM projects WHERE emirate = 'ASIA' AND id % 16 < 4) p USING (workflow_status) GROUP BY 1")
+@query("projects", f"SELECT w.workflow_status, count(p.id) AS n FROM {_DOMAIN} LEFT JOIN (SELECT * FROM projects WHERE emirate = 'ASIA' AND template_type = 'opr') p USING (workflow_status) GROUP BY 1")
 def a04_zero_filled_counts(spark, d):
-    return R.counts_over(table(spark, d, "projects").where("emirate = 'ASIA' and id % 16 < 4"), "workflow_status", WORKFLOW)
+    return R.counts_over(table(spark, d, "projects").where("emirate = 'ASIA' and template_type = 'opr'"), "workflow_status", WORKFLOW)
 
 
 @query("jobs", f"SELECT user_id, count(*) AS n FROM jobs WHERE status = 'failed' AND created_us >= {AS_OF} - 10 * {DAY} GROUP BY user_id")
@@ -199,13 +199,13 @@ def a29_affected_rows(spark, d):
     return table(spark, d, "jobs").where(F.col("status").isin("completed", "failed") & (F.col("completed_us") < AS_OF - 20 * DAY)).agg(F.count("*").alias("deleted"))
 
 
-@query("images", "SELECT category, CAST(sum(width * height) AS BIGINT) AS before, CAST(sum(CAST(trunc(width * least(1.0, 1200.0 / width, 800.0 / height)) AS BIGINT) * CAST(trunc(height * least(1.0, 1200.0 / width, 800.0 / height)) AS BIGINT)) AS BIGINT) AS after FROM images WHERE width IN (1200, 2400, 600, 300) OR height IN (800, 400) OR width < 1200 AND height < 800 GROUP BY category")
+@query("images", """, r AS (SELECT *, least(1.0::DOUBLE, 1200::DOUBLE / width, 800::DOUBLE / height) AS r FROM images)
+SELECT category, CAST(sum(width * height) AS BIGINT) AS before, CAST(sum(CAST(trunc(width * r) AS BIGINT) * CAST(trunc(height * r) AS BIGINT)) AS BIGINT) AS after FROM r GROUP BY category""")
 def a30_bytes_saved(spark, d):
     from ..functions.units import fitted
 
-    i = table(spark, d, "images").where("width in (1200, 2400, 600, 300) or height in (800, 400) or width < 1200 and height < 800")
     f = fitted(F.col("width"), F.col("height"), 1200, 800)
-    return i.groupBy("category").agg(F.sum(F.col("width") * F.col("height")).alias("before"), F.sum((f["width"] * f["height"]).cast("long")).alias("after"))
+    return table(spark, d, "images").groupBy("category").agg(F.sum(F.col("width") * F.col("height")).alias("before"), F.sum((f["width"] * f["height"]).cast("long")).alias("after"))
 
 
 @query("approvals", "SELECT user_id, count(CASE WHEN id % 3 <> 0 THEN 1 END) AS unread FROM approvals GROUP BY user_id")

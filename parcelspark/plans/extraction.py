@@ -17,14 +17,42 @@ def _text(spark, d):
     return table(spark, d, "brochures").select("doc_id", T.extraction_input(F.col("text")).alias("text"))
 
 
-@query("brochures", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('Creek Tower ', doc_id % 50) WHEN 1 THEN concat('Harbour Gate ', doc_id % 50) ELSE 'Green Crest' END AS value FROM brochures WHERE doc_id % 5 < 3 AND (doc_id % 5 <> 1 OR doc_id % 6 IN (0, 3, 4))""")
+def _sql(pattern: str) -> str:
+    """A pattern or name as an SQL literal."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _sql_list(names) -> str:
+    return "[" + ", ".join(map(_sql, names)) + "]"
+
+
+def _named(text: str, names, suffix: str = "") -> str:
+    """SQL: the names of a list that a text holds as whole words, in the list's order."""
+    return f"list_filter({_sql_list(names)}, lambda n: regexp_matches({text}, '(?i)\\b' || regexp_escape(n) || '{suffix}\\b'))"
+
+
+_LETTERS = "length(regexp_replace(x, '[^A-Za-z]', '', 'g'))"
+_CLEAN = "regexp_replace(trim(x), '^[*#_ ]+|[*#_ ]+$', '', 'g')"
+_KNOWN = f"list_filter({_sql_list(T.DEVELOPERS)}, lambda n: contains(lower({{}}), lower(n)))[1]"
+
+
+@query("brochures", f""", l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM brochures),
+c AS (SELECT doc_id, text, list_filter(list_transform(list_filter(ls[1:10], lambda x: starts_with(x, '# ')), lambda x: trim(substr(x, 3))), lambda x: NOT list_contains({_sql_list(T.GENERIC_HEADINGS)}, lower(x)))[1] AS heading,
+  list_filter(list_transform(list_filter(ls[1:20], lambda x: length(trim(x)) >= 3 AND {_LETTERS} > 0 AND length(regexp_replace(x, '[^A-Z]', '', 'g')) >= 0.7 * {_LETTERS}), lambda x: {_CLEAN}), lambda x: length(x) >= 3 AND NOT list_contains({_sql_list(T.GENERIC_NAMES)}, lower(x)))[1] AS capitals,
+  list_filter(list_transform(ls[1:15], lambda x: trim(regexp_extract(x, '\\*\\*([^*]+)\\*\\*|__([^_]+)__', 1) || regexp_extract(x, '\\*\\*([^*]+)\\*\\*|__([^_]+)__', 2))), lambda x: length(x) >= 3 AND NOT list_contains({_sql_list(T.GENERIC_NAMES)}, lower(x)))[1] AS bold,
+  nullif(trim(regexp_extract(text, {_sql(T.NAME_LABEL)}, 1)), '') AS labelled, nullif(trim(regexp_extract(text, {_sql(T.NAME_PHRASE)}, 1)), '') AS phrase FROM l)
+SELECT doc_id, coalesce(heading, array_to_string(list_transform(regexp_extract_all(lower(capitals), '([a-z]+|[^a-z]+)'), lambda x: upper(x[1]) || x[2:]), ''), bold, labelled, phrase) AS value,
+  CASE WHEN heading IS NOT NULL THEN 0.9 WHEN capitals IS NOT NULL OR bold IS NOT NULL THEN 0.85 WHEN labelled IS NOT NULL THEN 0.8 WHEN phrase IS NOT NULL THEN 0.7 ELSE 0.0 END::DOUBLE AS confidence FROM c""")
 def f01_project_name(spark, d):
-    return _text(spark, d).where("doc_id % 5 < 3 and (doc_id % 5 <> 1 or doc_id % 6 in (0, 3, 4))").select("doc_id", T.project_name(F.col("text"))["value"].alias("value"))
+    return _text(spark, d).select("doc_id", T.project_name(F.col("text")).alias("r")).select("doc_id", "r.value", "r.confidence")
 
 
-@query("brochures", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Emaar' WHEN 1 THEN 'Sobha' WHEN 2 THEN 'Unheard Of Developments' END AS value, CASE doc_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.9 WHEN 2 THEN 0.6 END AS confidence FROM brochures WHERE doc_id % 4 < 2""")
+@query("brochures", f""", c AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, {_sql(T.BY_MAKER)}, 1), lambda x: trim(x)), lambda x: {_KNOWN.format("x")} IS NOT NULL OR length(x) > 3)[1] AS by_maker,
+  nullif(trim(regexp_extract(text, {_sql(T.MAKER_LABEL)}, 1)), '') AS label, nullif(trim(regexp_extract(text, {_sql(T.MADE_BY)}, 1)), '') AS made FROM brochures),
+k AS (SELECT *, {_KNOWN.format("by_maker")} AS k1, {_KNOWN.format("label")} AS k2, {_KNOWN.format("made")} AS k3 FROM c)
+SELECT doc_id, coalesce(k1, by_maker, k2, label, made) AS value, CASE WHEN by_maker IS NOT NULL THEN CASE WHEN k1 IS NULL THEN 0.6 ELSE 0.9 END WHEN label IS NOT NULL THEN CASE WHEN k2 IS NULL THEN 0.6 ELSE 0.9 END WHEN made IS NOT NULL THEN CASE WHEN k3 IS NULL THEN 0.5 ELSE 0.7 END ELSE 0.0 END::DOUBLE AS confidence FROM k""")
 def f02_developer(spark, d):
-    return _text(spark, d).where("doc_id % 4 < 2").select("doc_id", T.developer(F.col("text")).alias("r")).select("doc_id", "r.value", "r.confidence")
+    return _text(spark, d).select("doc_id", T.developer(F.col("text")).alias("r")).select("doc_id", "r.value", "r.confidence")
 
 
 @query("brochures", """SELECT doc_id, CASE WHEN text LIKE '%Dubai%' THEN 'Dubai' WHEN text LIKE '%Abu Dhabi%' THEN 'Abu Dhabi' END AS emirate, CASE WHEN text LIKE '%Dubai Marina%' THEN 'Dubai Marina' END AS community FROM brochures""")
@@ -59,21 +87,21 @@ def f06_completion_date(spark, d):
     return _text(spark, d).select("doc_id", T.completion_date(F.col("text"), 2024).alias("r")).select("doc_id", "r.value", "r.confidence")
 
 
-@query("brochures", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'BBQ Area,Fitness Centre,Swimming Pool' WHEN 1 THEN 'Covered Parking,Parking,Pool,Spa' ELSE 'Playground' END AS amenities FROM brochures WHERE doc_id % 4 = 3""")
+@query("brochures", f""", n AS (SELECT doc_id, {_named("text", T.AMENITIES)} AS n FROM brochures)
+SELECT doc_id, array_to_string(list_sort(list_filter(n, lambda x: NOT (x = 'Pool' AND list_contains(n, 'Swimming Pool')) AND NOT (x = 'Gym' AND (list_contains(n, 'Fitness Center') OR list_contains(n, 'Fitness Centre'))))), ',') AS amenities FROM n""")
 def f07_amenities(spark, d):
-    return _text(spark, d).where("doc_id % 4 = 3").select("doc_id", F.array_join(T.amenities(F.col("text")), ",").alias("amenities"))
+    return _text(spark, d).select("doc_id", F.array_join(T.amenities(F.col("text")), ",").alias("amenities"))
 
 
-@query("brochures", """SELECT doc_id, CAST(regexp_extract(text, '([0-9]+)% down payment', 1) AS DOUBLE) AS down_payment, CAST(regexp_extract(text, '([0-9]+)% during construction', 1) AS DOUBLE) AS during_construction, 30.0::DOUBLE AS on_handover, round(0.9, 2)::DOUBLE AS confidence FROM brochures""")
+@query("brochures", """SELECT doc_id, CAST(regexp_extract(text, '([0-9]+)% down payment', 1) AS DOUBLE) AS down_payment, CAST(regexp_extract(text, '([0-9]+)% during construction', 1) AS DOUBLE) AS during_construction, CAST(regexp_extract(text, '([0-9]+)% on handover', 1) AS DOUBLE) AS on_handover, round(0.9, 2)::DOUBLE AS confidence FROM brochures""")
 def f08_payment_plan(spark, d):
     r = _text(spark, d).select("doc_id", T.payment_plan(F.col("text")).alias("r"))
     return r.select("doc_id", "r.down_payment", "r.during_construction", "r.on_handover", F.round("r.confidence", 2).alias("confidence"))
 
 
-@query("brochures", """SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\bvillas?\\b') THEN 'Villa' WHEN regexp_matches(text, '(?i)\\bpenthouses?\\b') THEN 'Penthouse' WHEN regexp_matches(text, '(?i)\\bstudios?\\b') THEN 'Studio' END AS value FROM brochures WHERE text NOT LIKE '%Residence%'""")
+@query("brochures", f"SELECT doc_id, {_named('text', T.PROPERTY_TYPES, 's?')}[1] AS value FROM brochures")
 def f09_property_type(spark, d):
-    t = _text(spark, d).where(~F.contains("text", F.lit("Residence")))
-    return t.select("doc_id", T.property_type(F.col("text"))["value"].alias("value"))
+    return _text(spark, d).select("doc_id", T.property_type(F.col("text"))["value"].alias("value"))
 
 
 _SIZE = "CAST(regexp_extract(text, '{}', 1) AS DOUBLE)"
@@ -85,14 +113,15 @@ def f10_text_facts(spark, d):
     return _text(spark, d).select("doc_id", P.text_facts(F.col("text")).alias("r")).select("doc_id", "r.suite", "r.total_confidence", "r.bathrooms")
 
 
-@query("brochures", """, v AS (SELECT doc_id, regexp_extract_all(text, '([0-9.]+) Sq.ft', 1) AS v FROM brochures WHERE doc_id % 4 = 0) SELECT doc_id, CAST(v[1] AS DOUBLE) AS suite, CAST(v[2] AS DOUBLE) AS balcony, CAST(v[3] AS DOUBLE) AS total FROM v""")
+@query("brochures", r""", v AS (SELECT doc_id, regexp_extract_all(regexp_extract(text, '(?is)suite\s*\n\s*balcony\s*\n\s*total(.*)$', 1), '([0-9.]+) Sq.ft', 1) AS v FROM brochures) SELECT doc_id, CAST(v[1] AS DOUBLE) AS suite, CAST(v[2] AS DOUBLE) AS balcony, CAST(v[3] AS DOUBLE) AS total FROM v""")
 def f11_header_breakdown(spark, d):
-    return _text(spark, d).where("doc_id % 4 = 0").select("doc_id", P.header_breakdown(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return _text(spark, d).select("doc_id", P.header_breakdown(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
-@query("brochures", """SELECT doc_id, CAST(regexp_extract(text, 'Suite area: ([0-9]+)', 1) AS DOUBLE) AS suite, CAST(regexp_extract(text, 'Balcony area: ([0-9]+)', 1) AS DOUBLE) AS balcony, CAST(replace(regexp_extract(text, 'Total area: ([0-9,.]+)', 1), ',', '') AS DOUBLE) AS total FROM brochures WHERE doc_id % 4 = 1""")
+@query("brochures", """, v AS (SELECT doc_id, TRY_CAST(regexp_extract(text, 'Suite area: ([0-9]+)', 1) AS DOUBLE) AS suite, TRY_CAST(regexp_extract(text, 'Balcony area: ([0-9]+)', 1) AS DOUBLE) AS balcony, TRY_CAST(replace(regexp_extract(text, 'Total area: ([0-9,.]+)', 1), ',', '') AS DOUBLE) AS total FROM brochures)
+SELECT doc_id, CASE WHEN total >= suite THEN suite END AS suite, CASE WHEN total >= suite THEN balcony END AS balcony, CASE WHEN total >= suite THEN total END AS total FROM v""")
 def f12_labelled_breakdown(spark, d):
-    return _text(spark, d).where("doc_id % 4 = 1").select("doc_id", P.labelled_breakdown(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return _text(spark, d).select("doc_id", P.labelled_breakdown(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 @query("plans", """SELECT doc_id, seq, CASE WHEN unit_type LIKE 'Studio%' THEN 'studio' ELSE concat(regexp_extract(unit_type, '^([0-9]+)', 1), 'br') END AS bed, lower(regexp_extract(unit_type, 'Type ([A-Z][0-9]*)', 1)) AS sub FROM plans WHERE unit_type IS NOT NULL""")
@@ -135,18 +164,19 @@ def f18_table_kind(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), P.table_kind(_headers()).alias("kind"))
 
 
-@query("", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'unit_type|bedrooms|total_sqft|balcony_sqft' WHEN 3 THEN '-|total_sqft' ELSE 'unit_type|total_sqft|-' END AS fields FROM part WHERE p_partkey % 5 IN (0, 3, 4)")
+@query("", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'unit_type|bedrooms|total_sqft|balcony_sqft' WHEN 1 THEN '-|-|-' WHEN 2 THEN '-|-' WHEN 3 THEN '-|total_sqft' ELSE 'unit_type|total_sqft|-' END AS fields FROM part")
 def f19_column_fields(spark, d):
     fields = F.transform(P.column_fields(_headers()), lambda f: F.coalesce(f, F.lit("-")))
-    return table(spark, d, "part").where("p_partkey % 5 in (0, 3, 4)").select(F.col("p_partkey").alias("id"), F.array_join(fields, "|").alias("fields"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(fields, "|").alias("fields"))
 
 
-@query("", "SELECT p_partkey AS id, concat(p_size % 4 + 1, 'BR') AS unit_type, round_even(p_size * 10.764, 1) AS total FROM part WHERE p_partkey % 5 = 4")
+@query("", """SELECT p_partkey AS id, CASE WHEN p_partkey % 5 IN (0, 4) THEN concat(p_size % 4 + 1, 'BR') END AS unit_type, CASE p_partkey % 5 WHEN 0 THEN p_size END AS bedrooms,
+CASE p_partkey % 5 WHEN 3 THEN p_size WHEN 4 THEN round_even(p_size * 10.764, 1) END::DOUBLE AS total FROM part""")
 def f20_floor_plan_rows(spark, d):
+    """A part whose row has no field of its headers has no plan."""
     rows = F.array(F.array(F.concat((F.col("p_size") % 4 + 1).cast("string"), F.lit("BR")), F.col("p_size").cast("string"), F.lit("")))
-    p = table(spark, d, "part").where("p_partkey % 5 = 4")
-    m = p.select(F.col("p_partkey").alias("id"), P.floor_plan_rows(_headers(), rows)[0].alias("m"))
-    return m.select("id", F.col("m")["unit_type"].alias("unit_type"), F.col("m")["total_sqft"].cast("double").alias("total"))
+    m = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.get(P.floor_plan_rows(_headers(), rows), F.lit(0)).alias("m"))
+    return m.select("id", F.col("m")["unit_type"].alias("unit_type"), F.col("m")["bedrooms"].cast("int").alias("bedrooms"), F.col("m")["total_sqft"].cast("double").alias("total"))
 
 
 @query("", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'down_payment' WHEN 1 THEN 'during_construction' WHEN 2 THEN 'post_handover' ELSE 'on_handover' END AS bucket FROM part")
@@ -156,16 +186,18 @@ def f21_payment_rows(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), P.payment_bucket(m).alias("bucket"))
 
 
-@query("projects", "SELECT id, trim(regexp_replace(lower(name || ' ' || location), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM projects WHERE length(name || ' ' || location) <= 60")
+@query("projects", """, s AS (SELECT id, trim(regexp_replace(lower(repeat(name || ' ', id % 4) || location), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM projects), c AS (SELECT id, s, left(s, 60) AS c, 60 - instr(reverse(left(s, 60)), '-') AS last FROM s)
+SELECT id, CASE WHEN length(s) <= 60 THEN s WHEN instr(c, '-') > 0 AND last > 30 THEN left(c, last) ELSE c END AS slug FROM c""")
 def f22_slug(spark, d):
-    return table(spark, d, "projects").where(F.length(F.concat_ws(" ", "name", "location")) <= 60).select("id", M.slug(F.concat_ws(" ", "name", "location")).alias("slug"))
+    """Some names are long enough to be cut."""
+    name = F.concat(F.repeat(F.concat("name", F.lit(" ")), (F.col("id") % 4).cast("int")), "location")
+    return table(spark, d, "projects").select("id", M.slug(name).alias("slug"))
 
 
-@query("", "SELECT conv_id, turn, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM conversations WHERE text NOT LIKE '%```%'")
+@query("", r"SELECT conv_id, turn, length(regexp_replace(regexp_replace('```json' || chr(10) || text || chr(10) || '```', '(?m)^```.*$\n?', '', 'g'), '^\s+|\s+$', '', 'g')) AS n FROM conversations")
 def f24_fences(spark, d):
-    c = table(spark, d, "conversations").where(~F.contains("text", F.lit("```")))
     fenced = F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))
-    return c.select("conv_id", "turn", F.length(M.without_fences(fenced)).alias("n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.length(M.without_fences(fenced)).alias("n"))
 
 
 @query("projects", "SELECT id, concat(name, ' in ', location, ': N/A {name}') AS text FROM projects")
@@ -174,9 +206,13 @@ def f25_template(spark, d):
     return table(spark, d, "projects").select("id", M.filled_template(F.lit("{name} in {place}: {missing} {trap}"), values).alias("text"))
 
 
-@query("projects", "SELECT id, CASE WHEN starting_price >= 1000 THEN concat('AED ', CAST(round_even(CAST(starting_price AS DOUBLE) / 1000, 0) AS BIGINT), 'K') ELSE 'x' END AS text FROM projects WHERE starting_price BETWEEN 1000 AND 999999")
+@query("projects", """, p AS (SELECT id, CAST(CASE id % 4 WHEN 0 THEN starting_price * 12 WHEN 1 THEN starting_price / 1000 WHEN 2 THEN starting_price END AS DOUBLE) AS p FROM projects)
+SELECT id, CASE WHEN p IS NULL THEN 'Price on request' WHEN p >= 1000000 THEN printf('AED %.1fM', p / 1000000) WHEN p >= 1000 THEN concat('AED ', CAST(round_even(p / 1000, 0) AS BIGINT), 'K') ELSE format('AED {:,}', CAST(round_even(p, 0) AS BIGINT)) END AS text FROM p""")
 def f26_price_text(spark, d):
-    return table(spark, d, "projects").where("starting_price between 1000 and 999999").select("id", M.price_text(F.col("starting_price")).alias("text"))
+    """Millions, thousands, less, and none."""
+    i, p = F.col("id") % 4, F.col("starting_price").cast("double")
+    price = F.when(i == 0, F.col("starting_price") * 12).when(i == 1, p / 1000).when(i == 2, F.col("starting_price"))
+    return table(spark, d, "projects").select("id", M.price_text(price).alias("text"))
 
 
 @query("plans", "SELECT doc_id, CASE WHEN len(t) <= 3 THEN array_to_string(t, ', ') ELSE array_to_string(t[1:3], ', ') || ', and ' || (len(t) - 3) || ' more' END AS text FROM (SELECT doc_id, list(DISTINCT unit_type ORDER BY unit_type) AS t FROM plans WHERE unit_type IS NOT NULL GROUP BY doc_id)")
@@ -261,9 +297,10 @@ def m04_bathrooms(spark, d):
     return table(spark, d, "events").select("event_id", U.bathrooms_of_rooms(rooms).alias("baths"))
 
 
-@query("plans", "SELECT doc_id, seq, CASE WHEN total_sqft IS NOT NULL THEN total_sqft WHEN round_even(suite_sqft * 1.15, 1) BETWEEN 50 AND 25000 THEN round_even(suite_sqft * 1.15, 1) END AS total FROM plans WHERE suite_sqft IS NULL OR suite_sqft % 2 = 0")
+@query("plans", """, g AS (SELECT *, CAST(CAST(suite_sqft * 1.15::DOUBLE AS VARCHAR) AS DECIMAL(38, 20)) * 10 AS g FROM plans), r AS (SELECT *, CAST(floor(g) + CASE WHEN g - floor(g) > 0.5 OR g - floor(g) = 0.5 AND CAST(floor(g) AS BIGINT) % 2 = 1 THEN 1 ELSE 0 END AS DOUBLE) / 10 AS gross FROM g)
+SELECT doc_id, seq, CASE WHEN total_sqft IS NOT NULL THEN total_sqft WHEN gross BETWEEN 50 AND 25000 THEN gross END AS total FROM r""")
 def m05_filled_total(spark, d):
-    return table(spark, d, "plans").where("suite_sqft is null or suite_sqft % 2 = 0").select("doc_id", "seq", U.filled_total(F.col("total_sqft"), F.col("suite_sqft")).alias("total"))
+    return table(spark, d, "plans").select("doc_id", "seq", U.filled_total(F.col("total_sqft"), F.col("suite_sqft")).alias("total"))
 
 
 @query("plans", """, k AS (SELECT *, (coalesce(suite_sqft > 0, false))::INT + (coalesce(balcony_sqft > 0, false))::INT + (coalesce(total_sqft > 0, false))::INT AS known FROM plans)
@@ -281,10 +318,12 @@ def m07_hash_similarity(spark, d):
     return i.join(n, "image_id").select("image_id", "other", U.similarity64(F.col("phash"), F.col("h")).alias("similarity"))
 
 
-@query("images", "SELECT image_id, greatest(0, CAST(trunc(8.0 / 100 * width) AS INT)) AS left_px, least(width, CAST(trunc(62.0 / 100 * width) AS INT)) AS right_px FROM images WHERE CAST(trunc(62.0 / 100 * width) AS INT) - CAST(trunc(8.0 / 100 * width) AS INT) >= 200 AND CAST(trunc(92.0 / 100 * height) AS INT) - CAST(trunc(8.0 / 100 * height) AS INT) >= 200 AND width % 50 <> 0 AND height % 25 <> 0")
+@query("images", """, b AS (SELECT image_id, greatest(0, CAST(trunc(8::DOUBLE / 100 * width) AS INT)) AS l, greatest(0, CAST(trunc(8::DOUBLE / 100 * height) AS INT)) AS t, least(width, CAST(trunc(62::DOUBLE / 100 * width) AS INT)) AS r, least(height, CAST(trunc(92::DOUBLE / 100 * height) AS INT)) AS b FROM images)
+SELECT image_id, CASE WHEN r - l >= 200 AND b - t >= 200 THEN l END AS left_px, CASE WHEN r - l >= 200 AND b - t >= 200 THEN r END AS right_px FROM b""")
 def m08_crop_box(spark, d):
+    """Boxes that get too small are null."""
     box = U.crop_box(F.lit(10.0), F.lit(10.0), F.lit(50.0), F.lit(80.0), F.col("width"), F.col("height"))
-    i = table(spark, d, "images").where("width % 50 <> 0 and height % 25 <> 0").select("image_id", box.alias("b")).where("b is not null")
+    i = table(spark, d, "images").select("image_id", box.alias("b"))
     return i.select("image_id", F.col("b.left").alias("left_px"), F.col("b.right").alias("right_px"))
 
 
@@ -293,9 +332,9 @@ def m09_fitted(spark, d):
     return table(spark, d, "images").select("image_id", U.fitted(F.col("width"), F.col("height"), 4000, 4000)["width"].cast("long").alias("width"))
 
 
-@query("images", "SELECT image_id, CAST(floor(width * height / 750.0) AS INT) AS tokens FROM images WHERE width <= 1568 AND height <= 1568")
+@query("images", """, r AS (SELECT *, least(1.0::DOUBLE, 1568::DOUBLE / width, 1568::DOUBLE / height) AS r FROM images) SELECT image_id, CAST(floor(CAST(trunc(width * r) AS BIGINT) * CAST(trunc(height * r) AS BIGINT) / 750) AS INT) AS tokens FROM r""")
 def m10_image_tokens(spark, d):
-    return table(spark, d, "images").where("width <= 1568 and height <= 1568").select("image_id", U.image_tokens(F.col("width"), F.col("height")).alias("tokens"))
+    return table(spark, d, "images").select("image_id", U.image_tokens(F.col("width"), F.col("height")).alias("tokens"))
 
 
 @query("lines", "SELECT doc_id, CASE WHEN count(*) > 50 OR sum(length(text)) > 10000 THEN 150 WHEN count(*) > 20 OR sum(length(text)) > 5000 THEN 200 ELSE 300 END AS dpi FROM lines GROUP BY doc_id")
@@ -308,9 +347,9 @@ def m12_image_quality(spark, d):
     return table(spark, d, "images").select("image_id", U.image_quality(F.col("width")).alias("quality"), U.keeps_original(F.col("width"), F.col("height")).alias("keeps"))
 
 
-@query("images", "SELECT image_id, CAST(trunc(seq * 3.0 * width / 100) AS INT) AS x FROM images WHERE width % 5 <> 0")
+@query("images", "SELECT image_id, CAST(trunc(seq * 3.0::DOUBLE * width / 100) AS INT) AS x FROM images")
 def m13_rescaled(spark, d):
-    return table(spark, d, "images").where("width % 5 <> 0").select("image_id", U.rescaled(F.col("seq") * 3.0, F.lit(100.0), F.col("width")).alias("x"))
+    return table(spark, d, "images").select("image_id", U.rescaled(F.col("seq") * 3.0, F.lit(100.0), F.col("width")).alias("x"))
 
 
 @query("jobs", "SELECT id, least(pow(2, retry_count), 6.0) AS delay FROM jobs")

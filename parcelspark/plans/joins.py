@@ -124,7 +124,7 @@ def j17_adjacent_pages(spark, d):
     return page_context(table(spark, d, "lines"), 1).select("doc_id", "page_no", F.md5(F.concat("context", F.lit("\n"))).alias("context"))
 
 
-@query("images", """SELECT r.image_id FROM images r WHERE r.source = 'page_render' AND NOT EXISTS (SELECT 1 FROM images e WHERE e.source = 'embedded' AND e.page_no = r.page_no AND ((r.width * r.height > e.width * e.height AND e.width * e.height / (r.width * r.height) >= 0.7) OR 1 - bit_count(xor(r.phash, e.phash)) / 64.0 >= 0.9))""")
+@query("images", """SELECT r.image_id FROM images r WHERE r.source = 'page_render' AND NOT EXISTS (SELECT 1 FROM images e WHERE e.source = 'embedded' AND e.doc_id = r.doc_id AND e.page_no = r.page_no AND ((r.width * r.height > e.width * e.height AND e.width * e.height / (r.width * r.height) >= 0.7) OR 1 - bit_count(xor(r.phash, e.phash)) / 64.0 >= 0.9))""")
 def j18_covered_renders(spark, d):
     i = table(spark, d, "images")
     return L.without_covered(i.where("source = 'page_render'"), i.where("source = 'embedded'")).select("image_id")
@@ -137,14 +137,17 @@ def j19_positional_join(spark, d):
     return table(spark, d, "plans").join(i, ["doc_id", "seq"]).select("doc_id", "seq", "image_id")
 
 
-@query("jobs runs", "SELECT DISTINCT j.id AS job_id, r.id AS run_id FROM jobs j JOIN runs r ON (j.project_id = r.project_id OR j.id = r.package_id) AND j.job_type = 'extraction' AND j.id < 300 AND r.id < 900")
+@query("jobs runs", "SELECT j.id AS job_id, r.id AS run_id FROM jobs j JOIN runs r ON j.project_id = r.project_id WHERE j.job_type = 'extraction' UNION SELECT j.id, r.id FROM jobs j JOIN runs r ON j.id = r.package_id WHERE j.job_type = 'extraction'")
 def j20_either_key(spark, d):
-    """An OR of two equalities is the union of two equi-joins; a nested loop would grow with the product."""
-    j = table(spark, d, "jobs").where("job_type = 'extraction' and id < 300").select(F.col("id").alias("job_id"), "project_id")
-    r = table(spark, d, "runs").where("id < 900").select(F.col("id").alias("run_id"), "project_id", "package_id")
-    one = j.join(r, "project_id").select("job_id", "run_id")
-    two = j.join(r, j["job_id"] == r["package_id"]).select("job_id", "run_id")
-    return one.unionByName(two).distinct()
+    """An OR of two equalities is the union of two equi-joins; a nested loop would grow with the product.
+
+    The second join leaves out what the first has, so no distinct has to shuffle the pairs.
+    """
+    j = table(spark, d, "jobs").where("job_type = 'extraction'").select(F.col("id").alias("job_id"), "project_id")
+    r = table(spark, d, "runs").select(F.col("id").alias("run_id"), F.col("project_id").alias("of_run"), "package_id")
+    one = j.join(r, F.col("project_id") == F.col("of_run")).select("job_id", "run_id")
+    two = j.join(r, F.col("job_id") == F.col("package_id")).where("not project_id <=> of_run or project_id is null").select("job_id", "run_id")
+    return one.unionByName(two)
 
 
 @query("projects runs", "SELECT 'no_run' AS kind, p.id FROM projects p WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.project_id = p.id) UNION ALL SELECT DISTINCT 'no_project', r.project_id FROM runs r WHERE NOT EXISTS (SELECT 1 FROM projects p WHERE p.id = r.project_id)")

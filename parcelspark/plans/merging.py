@@ -63,11 +63,11 @@ def x06_sure_hints(spark, d):
     return table(spark, d, "plans").select("doc_id", "seq", F.when(F.col("confidence") >= 0.6, F.col("unit_type")).alias("hint"))
 
 
-@query("lines", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page_no, b.page_no) AS page_no, md5(coalesce(a.text, b.text)) AS digest FROM (SELECT * FROM lines WHERE page_no % 3 > 0) a FULL JOIN (SELECT doc_id, page_no, upper(substr(text, 1, 3)) AS text FROM lines WHERE page_no % 2 = 0 AND NOT regexp_matches(text, '[^ -~]')) b ON a.doc_id = b.doc_id AND a.page_no = b.page_no")
+@query("lines", "SELECT doc_id, page_no, md5(CASE WHEN trim(text) <> '' THEN text ELSE concat('page ', page_no) END) AS digest FROM lines")
 def x07_native_over_ocr(spark, d):
+    """Pages with text of their own keep it; the others take what was read from their image."""
     p = table(spark, d, "lines")
-    ocr = p.where((F.col("page_no") % 2 == 0) & ~F.col("text").rlike("[^ -~]")).withColumn("text", F.upper(F.substring("text", 1, 3)))
-    return native_over_ocr(p.where("page_no % 3 > 0"), ocr).select("doc_id", "page_no", F.md5("text").alias("digest"))
+    return native_over_ocr(p.where("trim(text) <> ''"), p.withColumn("text", F.concat(F.lit("page "), F.col("page_no").cast("string")))).select("doc_id", "page_no", F.md5("text").alias("digest"))
 
 
 @query("plans", "SELECT doc_id, seq, CASE WHEN unit_type IS NULL AND total_sqft IS NULL THEN concat('plan ', seq) ELSE unit_type END AS name, CASE WHEN unit_type IS NULL AND total_sqft IS NULL THEN 0.5 END AS confidence FROM plans")
@@ -97,13 +97,12 @@ def w08_generic_absorption(spark, d):
     return X.merged_plans(table(spark, d, "plans")).where("unit_type is not null").groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
-@query("brochures", "SELECT doc_id, len(regexp_extract_all(text, '(?i)[0-9]+\\s*(?:bed(?:room)?s?|br)\\s*-?\\s*|studio|penthouse|duplex|townhouse')) AS labels FROM brochures WHERE regexp_matches(text, '(?i)[0-9]+\\s*(bed(room)?s?|br)|studio|penthouse|duplex|townhouse')")
+@query("brochures", r"SELECT doc_id, greatest(len(regexp_extract_all(text, '(?i)[0-9]+\s*(?:bed(?:room)?s?|br)\s*-?\s*(?:(?:apartment|unit)\s*)?(?:type\s+[a-z][0-9]*)?|studio|penthouse|duplex|townhouse')), 1) AS labels FROM brochures")
 def w10_sections(spark, d):
-    """Sections begin at unit labels."""
+    """Sections begin at unit labels; a text without any is one."""
     from ..functions.floorplans import sections
 
-    label = r"(?i)[0-9]+\s*(bed(room)?s?|br)|studio|penthouse|duplex|townhouse"
-    return table(spark, d, "brochures").where(F.col("text").rlike(label)).select("doc_id", F.size(sections(F.col("text"))).cast("long").alias("labels"))
+    return table(spark, d, "brochures").select("doc_id", F.size(sections(F.col("text"))).cast("long").alias("labels"))
 
 
 @query()

@@ -134,7 +134,10 @@ def p06_null_safe_tests(spark, d):
 
 
 _TOKENS = """, w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(name || ' ' || developer || ' ' || location), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','the','to','with'))) AS t FROM projects),
-s AS (SELECT id, CASE WHEN length(t) > 5 AND t LIKE '%ing' THEN left(t, length(t) - 3) WHEN length(t) > 4 AND t LIKE '%es' THEN left(t, length(t) - 2) WHEN length(t) > 4 AND t LIKE '%ed' THEN left(t, length(t) - 2) WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN left(t, length(t) - 1) ELSE t END AS t FROM w)"""
+a AS (SELECT id, t, CASE WHEN length(t) <= 2 THEN t WHEN t LIKE '%sses' THEN t[:-3] WHEN regexp_matches(t, '^.(ies|ied)$') THEN t[:-2] WHEN regexp_matches(t, '(ies|ied)$') THEN t[:-3] WHEN regexp_matches(t, '[aeiouy].+s$') AND NOT regexp_matches(t, '(us|ss)$') THEN t[:-2] ELSE t END AS a FROM w),
+b AS (SELECT id, t, a, CASE WHEN length(t) > 2 AND NOT regexp_matches(a, 'eed(ly)?$') AND regexp_matches(a, '[aeiouy].*(ed|edly|ing|ingly)$') THEN regexp_replace(a, '(ed|edly|ing|ingly)$', '') END AS cut FROM a),
+c AS (SELECT id, t, CASE WHEN cut IS NOT NULL THEN CASE WHEN regexp_matches(cut, '(at|bl|iz)$') THEN cut || 'e' WHEN regexp_matches(cut, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN cut[:-2] WHEN regexp_matches(cut, '^[^aeiouy]*[aeiouy][^aeiouywx]$') THEN cut || 'e' ELSE cut END WHEN length(t) > 2 AND regexp_matches(a, '[aeiouy][^aeiouy].*eed(ly)?$') THEN regexp_replace(a, 'eed(ly)?$', 'ee') ELSE a END AS c FROM b),
+s AS (SELECT id, CASE WHEN length(t) > 2 AND regexp_matches(c, '^.+[^aeiouy]y$') THEN c[:-2] || 'i' ELSE c END AS t FROM c)"""
 
 
 @query("projects", _TOKENS + " SELECT id FROM s WHERE t IN ('tower', 'hill') GROUP BY id HAVING count(DISTINCT t) = 2")
@@ -390,10 +393,101 @@ def o08_pages_joined(spark, d):
     return joined_pages(table(spark, d, "lines"), "\n\n")
 
 
-@query("jobs", "SELECT id, row_number() OVER (ORDER BY created_us, id) - 1 AS seq FROM jobs ORDER BY created_us, id LIMIT 200")
+@query("jobs", "SELECT id, row_number() OVER (ORDER BY created_us, id) - 1 AS seq FROM jobs")
 def o10_explicit_order(spark, d):
     from ..operators.feeds import numbered
 
-    return numbered(table(spark, d, "jobs").select("id", "created_us"), ["created_us", "id"]).where("seq < 200").select("id", "seq")
+    return numbered(table(spark, d, "jobs").select("id", "created_us"), ["created_us", "id"]).select("id", "seq")
 
 
+
+
+@query("projects", "SELECT id, name, location FROM projects ORDER BY location DESC, id LIMIT 20 OFFSET 40")
+def o09_table_page(spark, d):
+    """Any listed column, any of the page sizes."""
+    return R.table_page(table(spark, d, "projects"), "location", True, 3, 20).select("id", "name", "location")
+
+
+def _raw_tables(spark, d):
+    """Tables as they are read from pages: floor plans, payment plans and others, with blank and short rows."""
+    i, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    a = lambda *x: F.array(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    headers = F.when(i == 0, a("Type", "Bedrooms", "Suite (sqft)")).when(i == 1, a("Milestone", "Percentage", "Due")).when(i == 2, a("Column A", "Column B", "Column C")).when(i == 3, a("Name", "Area", "Note")).otherwise(a("Unit Type", "Total area (sqm)", "Area"))
+    home = a(F.concat(size, F.lit("BR")), size, F.concat(F.lit(" 1,"), F.lpad(size, 3, "0")))
+    paid = [a("On Booking", F.concat(size, F.lit("%")), ""), a("Handover", "40%", "x"), a("At completion", F.concat(size, F.lit(" %")), "x"), a("Post Handover")]
+    rows = F.when(i == 1, F.array(*paid)).otherwise(F.array(home, a("", " ", "\t")))
+    cells = F.when(F.col("p_partkey") % 7 == 0, F.array(headers)).otherwise(F.concat(F.array(headers), rows))
+    return table(spark, d, "part").select(F.floor(F.col("p_partkey") / 10).alias("doc_id"), (F.col("p_partkey") % 10).cast("int").alias("page_no"), F.lit(0).alias("table_no"), cells.alias("cells"))
+
+
+@query("", """SELECT p_partkey // 10 AS doc_id, count(*) AS tables, count(CASE WHEN p_partkey % 5 IN (0, 3, 4) THEN 1 END) AS plans, coalesce(sum(CASE p_partkey % 5 WHEN 3 THEN p_size WHEN 4 THEN round_even(p_size * 10.764, 1) END), 0)::DOUBLE AS total,
+coalesce(sum(CASE WHEN p_partkey % 5 = 0 THEN 1000 + p_size END), 0)::DOUBLE AS suite, arg_min(concat(p_size, '%'), p_partkey) FILTER (p_partkey % 5 = 1) AS down, arg_min(concat(p_size, ' %'), p_partkey) FILTER (p_partkey % 5 = 1) AS on_handover FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1""")
+def s08_table_scan(spark, d):
+    from ..operators.tables import document_tables
+
+    t = document_tables(_raw_tables(spark, d))
+    sums = lambda k: F.round(F.aggregate("floor_plans", F.lit(0.0), lambda s, m: s + F.coalesce(m[k].cast("double"), F.lit(0.0))), 6)
+    return t.select("doc_id", "tables", F.size("floor_plans").cast("long").alias("plans"), sums("total_sqft").alias("total"), sums("suite_sqft").alias("suite"), F.col("payment_plan")["down_payment"].alias("down"), F.col("payment_plan")["on_handover"].alias("on_handover"))
+
+
+@query("projects", "SELECT id, name, location AS city, workflow_status AS status FROM projects")
+def s09_packages(spark, d):
+    """Packages written as JSON (S10) and read again under their schema."""
+    from ..sources.exports import write_packages
+    from ..sources.files import packages
+    from ..streaming.jobs import shared_folder
+
+    path = shared_folder(spark, "packages")
+    p = table(spark, d, "projects").select("id", F.struct("name", F.create_map(F.lit("city"), "location", F.lit("status"), "workflow_status").alias("facts")).alias("project"))
+    write_packages(p, path)
+    return packages(spark, path, p.schema, lines=True).select("id", "project.name", F.col("project.facts")["city"].alias("city"), F.col("project.facts")["status"].alias("status"))
+
+
+@query()
+def s11_file_listing(spark, d):
+    """The tables' files with their sizes; contents aren't read. No SQL: a listing is no table."""
+    from ..sources.files import listing
+
+    return listing(spark, d, "*.parquet").select(F.regexp_extract("path", r"([^/]+\.parquet)", 1).alias("file"), "length")
+
+
+@query()
+def s12_file_metadata(spark, d):
+    """Whether given files exist, and their sizes: one row for each that is asked for."""
+    from ..sources.files import listing
+
+    asked = spark.createDataFrame([("events.parquet",), ("missing.parquet",)], "file string")
+    found = listing(spark, d, "*.parquet").groupBy(F.regexp_extract("path", r"([^/]+\.parquet)", 1).alias("file")).agg(F.sum("length").alias("length"))
+    return asked.join(found, "file", "left").select("file", F.col("length").isNotNull().alias("is_there"), "length")
+
+
+@query("files", "SELECT file_id, name FROM files WHERE contains(name, 'r''s bro') AND NOT trashed AND folder = 'f3' UNION ALL SELECT file_id, name FROM files WHERE name = '100% logo 20.png' AND NOT trashed")
+def s14_files_by_name(spark, d):
+    """Names that hold a text in a folder, and one exact name anywhere."""
+    from ..operators.listings import files_named
+
+    f = table(spark, d, "files")
+    return files_named(f, "r's bro", "f3").unionByName(files_named(f, "100% logo 20.png", exact=True)).select("file_id", "name")
+
+
+@query("files", "SELECT file_id, name FROM files WHERE mime = 'image/png' AND NOT trashed AND folder = 'f5'")
+def s15_files_by_type(spark, d):
+    from ..operators.listings import files_of_type
+
+    return files_of_type(table(spark, d, "files"), "image/png", "f5").select("file_id", "name")
+
+
+@query("", """SELECT concat('reg', p_partkey) AS file, x.section, x.field, (p_partkey % 90 + x.add)::INT AS row, CASE WHEN x.capped THEN p_size END::INT AS char_limit, x.required
+FROM part, (VALUES ('Head', 'title', 0, true, true), ('Head', 'body', 1, false, false), ('Tail', 'slug', 2, true, true)) x(section, field, add, capped, required)""")
+def s21_markdown_registry(spark, d):
+    """Registry tables in Markdown texts, one for each part."""
+    from ..sources.files import registry_rows
+
+    row, limit = (lambda add: (F.col("p_partkey") % 90 + add).cast("string")), F.col("p_size").cast("string")
+    lines = [
+        F.lit("# Registry"), F.lit("## Head"), F.lit(""), F.lit("| Field | Row | Limit | Required |"), F.lit("|---|:--|--:|---|"),
+        F.concat(F.lit("| title | "), row(0), F.lit(" | "), limit, F.lit(" | Yes |")), F.concat(F.lit("| body | "), row(1), F.lit(" | - | no |")), F.lit("| no row | x | 1 | yes |"),
+        F.lit("## Tail"), F.lit("plain text"), F.lit("| Field | Row | Limit | Required |"), F.lit("|---|---|---|---|"), F.concat(F.lit("| slug | "), row(2), F.lit(" | "), limit, F.lit(" | 1 |")),
+    ]
+    texts = table(spark, d, "part").select(F.concat(F.lit("reg"), F.col("p_partkey").cast("string")).alias("file"), F.concat_ws("\n", *lines).alias("text"))
+    return registry_rows(texts)

@@ -159,12 +159,13 @@ def t09_all_done(spark, d):
     return S.complete_groups(table(spark, d, "jobs"), "project_id")
 
 
-@query("approvals users", "SELECT a.id, u.id AS user_id FROM approvals a JOIN users u ON u.is_active AND u.id <> a.user_id AND u.role = 'MACHINERY' AND u.id < 60 AND a.id < 200")
+@query("approvals users", "SELECT a.id, u.id AS user_id FROM approvals a JOIN users o ON o.id = a.user_id JOIN users u ON u.emirate = o.emirate AND u.is_active AND u.role = 'MACHINERY' AND u.id <> a.user_id")
 def t10_fan_out(spark, d):
-    """A notice for each active user but the actor: the team (bounded by its size) travels as one array."""
-    team = table(spark, d, "users").where("is_active and role = 'MACHINERY' and id < 60").agg(F.collect_list("id").alias("team"))
-    a = table(spark, d, "approvals").where("id < 200").join(F.broadcast(team), F.lit(True))  # one row
-    return a.select("id", "user_id", F.explode("team").alias("to")).where("to <> user_id").select("id", F.col("to").alias("user_id"))
+    """A notice for each active user of the actor's team but the actor: two equi-joins, by actor and by team."""
+    u = table(spark, d, "users")
+    team = u.where("is_active and role = 'MACHINERY'").select(F.col("id").alias("to"), "emirate")
+    a = table(spark, d, "approvals").select("id", "user_id").join(u.select(F.col("id").alias("user_id"), "emirate"), "user_id")
+    return a.join(team, "emirate").where("to <> user_id").select("id", F.col("to").alias("user_id"))
 
 
 @query("jobs", "SELECT id % 200 AS job_id, status AS from_state, lead(status) OVER (PARTITION BY id % 200 ORDER BY created_us, id) AS to_state FROM jobs QUALIFY to_state IS NOT NULL AND NOT ((from_state = 'pending' AND to_state IN ('processing', 'cancelled')) OR (from_state = 'processing' AND to_state IN ('completed', 'failed', 'cancelled')))")

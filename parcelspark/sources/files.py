@@ -38,9 +38,9 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-def packages(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON packages under an explicit schema; files that don't parse give null columns."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def packages(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
+    """JSON packages under an explicit schema, one in a file or (lines) one in a line; what doesn't parse gives null columns."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def markdown_registry(spark: SparkSession, path: str) -> DataFrame:

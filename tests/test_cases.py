@@ -24,7 +24,7 @@ def plain(x):
 
 @pytest.mark.parametrize("label, bed, sub", [("1BR Type A", "1br", "a"), ("3 Bedroom - Type A1", "3br", "a1"), ("Studio", "studio", ""), ("STD Type A", "studio", "a"), ("  1 BR Type A  ", "1br", "a"), ("2 bed - Type B", "2br", "b"), ("1BR", "1br", ""), ("Penthouse", "penthouse", "")])
 def test_unit_key(spark, label, bed, sub):
-    assert plain(one(spark, P.unit_key(F.lit(label)))) == {"bed": bed, "sub": sub} and linkage._key(label) == (bed, sub)
+    assert plain(one(spark, P.unit_key(F.lit(label)))) == {"bed": bed, "sub": sub}
 
 
 @pytest.mark.parametrize("plans, rows, picks", [
@@ -34,8 +34,12 @@ def test_unit_key(spark, label, bed, sub):
     ([(None, 1)], [("1BR", 1)], [None]),
     ([("1BR", 1), ("1BR Type A", 1)], [("1BR Type A", None), ("1BR Type B", None)], [0, 1]),
 ])
-def test_linkage(plans, rows, picks):
-    assert linkage.assign_in_order(plans, rows) == picks
+def test_linkage(spark, plans, rows, picks):
+    """Another document with the same rows takes nothing of this one."""
+    numbered = lambda given: [(doc, i, *x) for doc in (1, 2) for i, x in enumerate(given)]
+    p = spark.createDataFrame(numbered(plans), "doc_id long, seq int, unit_type string, bedrooms int")
+    s = spark.createDataFrame(numbered(rows), "doc_id long, row_no long, unit_type string, bedrooms int")
+    assert {(r.doc_id, r.seq): r.row_no for r in linkage.link_plans(p, s).collect()} == {(doc, i): x for doc in (1, 2) for i, x in enumerate(picks)}
 
 
 @pytest.mark.parametrize("given, want", [((1000, 50, 1050), (1000, 50, 1050)), ((1000, 150, 1005), (1000, 150, 1150)), ((1000, 150, 950), (1000, 150, 1150)), ((800, 200, 1000), (800, 200, 1000)), ((800, None, 1000), (800, 200, 1000)), ((None, 200, 1000), (800, 200, 1000)), ((800, 200, None), (800, 200, 1000)), ((800, None, None), (800, None, None))])
@@ -121,12 +125,57 @@ def test_square_metres(spark):
     assert rows == [{"unit_type": "1BR", "total_sqft": "555.1"}]
 
 
-def test_leaders():
-    h0, h1, h2 = 0, 0x1, 0x3F
-    assert linkage.leaders([h0, h1, h2], 0.95) == [None, 0, None]
-    assert linkage.leaders([h0, h1, h2], 0.90) == [None, 0, 0]
-    assert linkage.leaders([h2, h0, h1], 0.90) == [None, 0, 0]
-    assert linkage.leaders([None, h0, None], 0.9) == [None, None, None]
+@pytest.mark.parametrize("words, stem", [("city cities", "citi"), ("run running", "run"), ("tower towers", "tower"), ("hope hoped hoping", "hope"), ("agreed agree", "agree"), ("feed", "feed"), ("bus", "bus"), ("gas", "gas"), ("class classes", "class"), ("tie ties", "tie"), ("stay stays staying", "stay"), ("create created creating", "create"), ("hill hills", "hill"), ("sing", "sing"), ("by", "by")])
+def test_stems(spark, words, stem):
+    from parcelspark.operators.search import stem as stem_of
+
+    assert {one(spark, stem_of(F.lit(w))) for w in words.split()} == {stem}
+
+
+def test_tables_of_a_document(spark):
+    """First rows are headers, blank rows and short tables go, plans add up over pages, the first payment plan wins."""
+    from parcelspark.operators.tables import document_tables, page_tables
+
+    raw = [
+        (1, 2, 0, [["Type", "Area (sqm)"], ["1BR", "51.57"], ["", None], ["2BR", "x"]]),
+        (1, 1, 0, [["Type", "Bedrooms", "Total area"], [" 3BR ", "3", "1,200"]]),
+        (1, 3, 0, [["Milestone", "Percentage"], ["On Booking", "10%"], ["short"], ["Down Payment", "20%"], ["Handover", "80%"]]),
+        (1, 4, 0, [["Milestone", "Percentage"], ["On Booking", "99%"]]),
+        (1, 5, 0, [["Column A"], ["x"]]),
+        (1, 6, 0, [["Type", "Area"]]),
+        (1, 7, 0, [["Milestone", "Payment"], [None, " "]]),
+        (2, 1, 0, [["Milestone", "Payment"], ["whatever", "5%"]]),
+    ]
+    df = spark.createDataFrame(raw, "doc_id long, page_no int, table_no int, cells array<array<string>>")
+    assert sorted((r.page_no, r.kind) for r in page_tables(df.where("doc_id = 1")).collect()) == [(1, "floor_plan"), (2, "floor_plan"), (3, "payment_plan"), (4, "payment_plan"), (5, "unknown")]
+    got = {r.doc_id: (r.tables, r.floor_plans, r.payment_plan) for r in document_tables(df).collect()}
+    assert got[1] == (5, [{"unit_type": "3BR", "bedrooms": "3", "total_sqft": "1200.0"}, {"unit_type": "1BR", "total_sqft": "555.1"}, {"unit_type": "2BR"}], {"down_payment": "20%", "on_handover": "80%"})
+    assert got[2] == (1, [], None)
+
+
+def test_pages_of_a_table(spark):
+    from parcelspark.operators.relational import table_page
+
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else i % 5) for i in range(40)], "id long, v long")
+    want = sorted(range(40), key=lambda i: (i % 7 == 0, 0 if i % 7 == 0 else -(i % 5), i))
+    assert [r.id for r in table_page(df, "v", True, 2, 10).collect()] == want[10:20]
+    for column, size in (("v", 30), ("none", 10)):
+        with pytest.raises(ValueError):
+            table_page(df, column, True, 1, size)
+
+
+def test_packages_are_written_and_read(spark, tmp_path):
+    from parcelspark.sources.exports import write_packages
+
+    df = spark.createDataFrame([(1, "a", {"k": "v"}), (2, None, {})], "id long, name string, facts map<string,string>")
+    write_packages(df, f"{tmp_path}/out")
+    assert sorted(map(str, files.packages(spark, f"{tmp_path}/out", df.schema, lines=True).collect())) == sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("hashes, threshold, want", [([0, 1, 0x3F], 0.95, [None, 0, None]), ([0, 1, 0x3F], 0.9, [None, 0, 0]), ([0x3F, 0, 1], 0.9, [None, 0, 0]), ([None, 0, None], 0.9, [None, None, None]), ([-1, -2], 0.9, [None, 0])])
+def test_leaders(spark, hashes, threshold, want):
+    images = spark.createDataFrame([(7, i, h) for i, h in enumerate(hashes)], "doc_id long, image_id long, phash long")
+    assert {r.image_id: r.duplicate_of for r in linkage.leader_duplicates(images, threshold, ["image_id"]).collect()} == dict(enumerate(want))
 
 
 def test_rate_limit():
@@ -143,7 +192,10 @@ def test_brand_rules(spark, content, hits):
 def test_formats(spark):
     assert one(spark, M.slug(M.folded(F.lit("Crème Brûlée  Tower!")))) == "creme-brulee-tower"
     assert one(spark, M.slug(F.lit("word " * 20))) == "-".join(["word"] * 12)
-    assert [one(spark, M.price_text(F.lit(x).cast("double"))) for x in (None, 1_250_000, 850_000, 900)] == ["Price on request", "AED 1.3M", "AED 850K", "AED 900"]
+    assert [one(spark, M.price_text(F.lit(x).cast("double"))) for x in (None, 1_250_000, 850_000, 900)] == ["Price on request", "AED 1.2M", "AED 850K", "AED 900"]
+    prices = [1_150_000, 1_250_000, 1_349_999, 1_350_000, 1_750_000, 1_950_000, 1_999_999, 99_950_000, 123_456_789]
+    got = spark.createDataFrame([(float(x),) for x in prices], "p double").select("p", M.price_text(F.col("p")).alias("t")).collect()
+    assert {r.p: r.t for r in got} == {float(x): f"AED {x / 1_000_000:.1f}M" for x in prices}
     assert one(spark, M.filled_template(F.lit("{a}{b} {x}"), F.create_map(F.lit("a"), F.lit("{b}"), F.lit("b"), F.lit("2")))) == "{b}2 N/A"
     assert one(spark, M.list_text(F.array(*map(F.lit, "abcde")))) == "a, b, c, and 2 more"
 
