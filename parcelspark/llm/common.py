@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,22 +24,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. A temporary one where none is set and all run in one process (tests);
+    on a cluster without one, each executor would write to its own disk: that raises."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    own = getattr(spark.sparkContext, "_parcelspark_dir", None)
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = getattr(sc, "_parcelspark_dir", None)
     if own is None:
-        own = spark.sparkContext._parcelspark_dir = "file://" + tempfile.mkdtemp(prefix="parcelspark-")
+        own = sc._parcelspark_dir = "file://" + tempfile.mkdtemp(prefix="parcelspark-")
     return own
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, outlives lost executors, is computed once."""
+    """df as a Parquet table in the shared folder: cuts lineage, outlives lost executors, is computed once.
+
+    Results are read from such tables until they are written elsewhere; forget() and cleared() delete them after that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables(spark).append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._parcelspark_path = path
+    return out
+
+
+def _tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that written() has made in this context and that are still there."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_parcelspark_tables"):
+        sc._parcelspark_tables = []
+    return sc._parcelspark_tables
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _tables(spark).remove(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table of written() that df was read from, which nothing needs any more."""
+    if getattr(df, "_parcelspark_path", None) in _tables(df.sparkSession):
+        _delete(df.sparkSession, df._parcelspark_path)
+
+
+def cleared(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes all tables of written() in this context but that of `keep`: for when results are stored elsewhere."""
+    for path in list(_tables(spark)):
+        if path != getattr(keep, "_parcelspark_path", None):
+            _delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -50,6 +89,25 @@ def remainder(doc_id: Column | str, by: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % by
 
 
+def runs(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of slices whose texts have at most most_bytes bytes together (or one text)."""
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if total and total + n > most_bytes:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into such slices by their column text, so that a worker holds few texts as objects."""
+    for b in batches:
+        for lo, hi in runs(b["text"], most_bytes):
+            yield b.slice(lo, hi - lo)
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string or binary column, empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -156,15 +155,3 @@ class Encoder:
 def encoder(path: str, keeps_space: bool) -> Encoder:
     """One for each Python worker, kept over its tasks."""
     return Encoder(path, keeps_space)
-
-
-def runs(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Bounds of slices whose texts have at most most_bytes bytes together (or one text)."""
-    start = total = 0
-    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-        if total and total + n > most_bytes:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(texts):
-        yield start, len(texts)

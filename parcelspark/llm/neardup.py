@@ -25,14 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, lower_words, mixed, partitions, table, word_hashes, written
+from .common import bytes_of, forget, lower_words, mixed, partitions, sliced, table, word_hashes, written
 
 #: Hashes of a sketch; the least number of them that are listed.
 SKETCH, LISTED = 32, 16
 #: Each of the two tests on sketches misses a link at the limit with no more than this chance.
 MISS = 2e-7
-#: Members of one chunk of a list.
-CHUNK = 256
+#: Members of one chunk of a list, and about how many shingles these may have together.
+CHUNK, CHUNK_SHINGLES = 256, 1 << 22
+#: Rows of a chunk's visitors that are compared at once, and the bytes of their full sets.
+PART, PART_BYTES = 256, 16 << 20
 PERCENT, WIDTH = 85, 5
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,6 +79,8 @@ def limits(percent: int) -> tuple[int, int, int]:
     As many are listed as it takes for three tenths of them to be shared, so that passages of many documents stay at
     the end of the order of rarity: 16 at 85 %, 20 at 80 %.
     """
+    if not 0 < percent <= 100:
+        raise ValueError(f"a similarity is over 0 and up to 100 %, not {percent}")
     for size in range(LISTED, SKETCH + 1):
         common = least_common(size, percent)
         if 10 * common >= 3 * size:
@@ -91,7 +95,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n (set size), h1 and h2 (fingerprint of the set), low (its sketch: the SKETCH smallest hashes)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n, h1, h2, low, ends = [], [], [], [], [0]
             for t in bytes_of(b["text"]):
                 s = shingle_set(t, width)
@@ -111,7 +115,7 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id and set: the sorted hashes as little-endian unsigned 64-bit integers."""
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([shingle_set(t, width).tobytes() for t in bytes_of(b["text"])], pa.binary())], ["doc_id", "set"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(computed, "doc_id long, set binary")
@@ -135,7 +139,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        e, before = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars"), e
+        forget(before)
 
 
 def _listed(reps: DataFrame, percent: int) -> DataFrame:
@@ -194,13 +199,15 @@ def _lists(listed: DataFrame, reps: DataFrame, roots: DataFrame | None) -> DataF
     """
     lists = listed.select("rep", "n", "prefix", F.posexplode("prefix").alias("at", "value")).select("rep", "n", "value", F.slice("prefix", F.lit(1), F.col("at")).alias("earlier"))
     if roots is None:
-        sizes = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").withColumn("largest", F.lit(None).cast("long"))
+        sizes = lists.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1").withColumn("largest", F.lit(None).cast("long"))
         lists = lists.withColumn("comp", F.col("rep"))
     else:
         lists = lists.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-        of = lists.groupBy("value", "comp").agg(F.count("*").alias("members"))
-        sizes = of.groupBy("value").agg(F.max(F.struct("members", "comp"))["comp"].alias("largest"), F.sum("members").alias("members"), F.count("*").alias("comps")).where(f"comps > 1 and members > {CHUNK}")
-    some = lists.join(sizes.select("value", "largest", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")), "value")
+        of = lists.groupBy("value", "comp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+        sizes = of.groupBy("value").agg(F.max(F.struct("members", "comp"))["comp"].alias("largest"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), F.count("*").alias("comps")).where("comps > 1")
+    chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    sizes = sizes.select("value", "largest", chunks.alias("chunks"))
+    some = lists.join(sizes if roots is None else sizes.where("chunks > 1"), "value")
     some = some.join(reps.select("rep", "low"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     columns = ("rep", "comp", "n", "low", "earlier")
     visits = (F.col("chunk") == 0) if roots is None else (F.col("comp") != F.col("largest"))
@@ -219,15 +226,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         held: list[tuple] = []
 
         def asking(group=group, held=held):
-            part = []
+            part, size = [], 0
             for r in group:
                 if not r[2]:
                     held.append(r[3:])
                     continue
                 part.append(r[3:])
-                if len(part) == 256:
+                size += len(r[-1])  # bytes of a full set
+                if len(part) == PART or size > PART_BYTES:
                     yield part
-                    part = []
+                    part, size = [], 0
             if part:
                 yield part
 

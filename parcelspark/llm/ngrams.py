@@ -6,8 +6,8 @@ a whole row. A shard adds up its pairs, stores them as one file, and sends what
 followers seen once, twice, ..., preceding words) to word shards, which add up and store these.
 
 Scoring: workers map the files into memory and look up the sorted distinct pairs of a batch. Mapped pages are shared by
-all workers of a machine and given back under pressure. Where the shared folder has no local path, workers fetch the
-files once.
+all workers of a machine and given back under pressure. Where the shared folder has no local path, the workers of an
+executor fetch the files once.
 """
 
 from __future__ import annotations
@@ -30,8 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, lower_words, mixed, partitions, remainder, shared_dir, table, word_hashes
-from .encoding import runs
+from .common import bytes_of, lower_words, mixed, partitions, remainder, runs, shared_dir, table, word_hashes
 
 #: The token after each document's words, and the context before them (no words: they hold white space).
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end ", b" begin "))
@@ -125,13 +124,17 @@ class Folder:
         if not self.local:
             from pyarrow.fs import FileSystem
 
-            if not hasattr(self, "fetched"):
-                self.fetched = tempfile.mkdtemp(prefix="parcelspark-model-")
-                atexit.register(shutil.rmtree, self.fetched, True)
-            fs, there = FileSystem.from_uri(self.uri)
-            path = f"{self.fetched}/{name}"
-            with fs.open_input_stream(f"{there}/{name}") as src, open(path, "wb") as f:
-                shutil.copyfileobj(src, f)
+            # one copy for all workers that share a temporary folder; files appear whole, by a rename
+            fetched = f"{tempfile.gettempdir()}/parcelspark-model-{self.uri.rstrip('/').rpartition('/')[2]}"
+            os.makedirs(fetched, exist_ok=True)
+            path = f"{fetched}/{name}"
+            if not os.path.exists(path):
+                fs, there = FileSystem.from_uri(self.uri)
+                part = f"{fetched}/.{name}-{uuid.uuid4().hex}"
+                with fs.open_input_stream(f"{there}/{name}") as src, open(part, "wb") as f:
+                    shutil.copyfileobj(src, f)
+                os.replace(part, path)
+                atexit.register(shutil.rmtree, fetched, True)  # what is mapped stays readable
         with open(path, "rb") as f:
             return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 

@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, hilbert_index, partitions
-from .encoding import encoder, runs
+from .common import bytes_of, hilbert_index, partitions, runs, sliced
+from .encoding import encoder
 
 WIDTH, DIMS, BITS = 256, 3, 10
 #: Pieces, and bytes of their ids, that a task holds before it hands them on.
@@ -42,7 +42,7 @@ def with_curve_key(docs: DataFrame) -> DataFrame:
     """(doc_id, text, curve): the text empty for null, curve its place on the Hilbert curve."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(curve_keys(bytes_of(b["text"])), pa.int64())], ["doc_id", "text", "curve"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(keys, "doc_id long, text string, curve long")

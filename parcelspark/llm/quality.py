@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOCUMENT_COLUMNS, bytes_of, remainder, table
+from .common import DOCUMENT_COLUMNS, bytes_of, remainder, sliced, table
 from .labelled import MOST_LABELLED, labelled_sample
 
 STATISTICS = (
@@ -31,6 +31,8 @@ for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#*$%&<>@~^_{}[]=+\
     _CLASS[list(_chars)] = _i
 _CLASS[128:] = 7
 WINDOW, WORD_WINDOW = 256, 64
+#: Partitions of the bounded sample's statistics, on which the fit runs many small jobs.
+PARTS = 6
 
 
 def statistics(text: bytes) -> list[float]:
@@ -62,7 +64,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = np.asarray([statistics(t) for t in bytes_of(b["text"])], float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([b[c] for c in names] + [pa.array(np.ascontiguousarray(x)) for x in rows.T], [*names, *STATISTICS])
 
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, trees: in
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    sample = with_statistics(labelled_sample(docs, labels, "quality", most)).drop("text").persist()
+    sample = with_statistics(labelled_sample(docs, labels, "quality", most)).drop("text").repartition(PARTS).persist()  # small rows: many tasks would only cost their start
     n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if ones in (0, n):
         sample.unpersist()

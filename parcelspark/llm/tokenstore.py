@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir
-from .encoding import encoder, runs
+from .common import partitions, runs, shared_dir
+from .encoding import encoder
 
-BLOCK = "part int, block int, first_key long, last_key long, n_docs int, n_ids long, width int, payload binary, index binary, keys binary"
-#: Stands for a null doc_id among keys.
+BLOCK = "part int, block int, first_key long, last_key long, n_docs int, n_null int, n_ids long, width int, payload binary, index binary, keys binary"
+#: Stands for a null doc_id among keys; a block's first n_null documents are those with null.
 NULL_KEY = -(2**63)
 
 
@@ -116,7 +116,8 @@ class Index:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_space: bool = True, block_ids: int = 1_000_000, id_bytes: int = 2) -> None:
     """Encodes every text (null: empty), appends end_id, and writes blocks in ascending doc_id order (nulls first).
 
-    Rows that repeat a doc_id are all kept, in the order of their texts; the index leads to the first of them.
+    Rows that repeat a doc_id are all kept, in the order of their texts; the index leads to the first of them. An id that
+    id_bytes can't hold raises.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,17 +126,19 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
         keys: list[int] = []
         ids: list[bytes] = []
         lengths: list[int] = []
-        number = held = 0
+        number = held = nulls = 0
 
         def block() -> pa.RecordBatch:
-            nonlocal keys, ids, lengths, number, held
+            nonlocal keys, ids, lengths, number, held, nulls
             k = np.asarray(keys, np.int64)
-            distinct, first = np.unique(k, return_index=True)
+            distinct, first = np.unique(k[nulls:], return_index=True)  # nulls come first, and are no keys of the index
             offsets = np.concatenate([[0], np.cumsum(lengths)])
-            payload = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{id_bytes}").tobytes()
-            row = [part, number, keys[0], keys[-1], len(keys), int(offsets[-1]), id_bytes, payload, build_index(distinct, first, offsets), k.astype("<i8").tobytes()]
-            keys, ids, lengths, number, held = [], [], [], number + 1, 0
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            payload = np.frombuffer(b"".join(ids), "<u4")
+            if int(payload.max()) >= 1 << 8 * id_bytes:
+                raise ValueError(f"an id of {int(payload.max())} doesn't fit {id_bytes} bytes")
+            row = [part, number, keys[0], keys[-1], len(keys), nulls, int(offsets[-1]), id_bytes, payload.astype(f"<u{id_bytes}").tobytes(), build_index(distinct, first + nulls, offsets), k.astype("<i8").tobytes()]
+            keys, ids, lengths, number, held, nulls = [], [], [], number + 1, 0, 0
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [x.split()[0] for x in BLOCK.split(", ")])
 
         for b in batches:
@@ -143,6 +146,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
             for lo, hi in runs(texts):
                 for doc_id, x in zip(doc_ids[lo:hi], enc.encode(texts.slice(lo, hi - lo))):
                     keys.append(NULL_KEY if doc_id is None else doc_id)
+                    nulls += doc_id is None
                     ids.append(x + end)
                     lengths.append(len(x) // 4 + 1)
                     held += lengths[-1]
@@ -171,37 +175,57 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 ix, keys = Index(row["index"]), np.frombuffer(row["keys"], "<i8")
-                first = ix.find(keys)
+                nulls, at = row["n_null"], np.arange(len(keys))
+                first = np.concatenate([at[:nulls], ix.find(keys[nulls:])])
                 # rows that repeat a key follow its first
-                new = np.concatenate([[True], keys[1:] != keys[:-1]])
-                at = np.arange(len(keys))
+                new = np.concatenate([[True], keys[1:] != keys[:-1]]) | (at <= nulls)
                 ordinal = first + at - np.maximum.accumulate(np.where(new, at, 0))
                 payload = np.frombuffer(row["payload"], f"<u{row['width']}").astype("<u4")
                 lo, hi = ix.offsets[ordinal].astype(np.int64), ix.offsets[ordinal + 1].astype(np.int64)
                 ids = [payload[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())]
                 n = len(keys)
-                cols = [[row["part"]] * n, [row["block"]] * n, [None if k == NULL_KEY else k for k in keys.tolist()], lo, hi - lo, [zlib.crc32(x) for x in ids], ids]
+                cols = [[row["part"]] * n, [row["block"]] * n, [None] * row["n_null"] + keys[row["n_null"] :].tolist(), lo, hi - lo, [zlib.crc32(x) for x in ids], ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    found = store.select("part", "block", "width", "payload", "index", "keys").mapInArrow(documents, "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
+    found = store.select("part", "block", "n_null", "width", "payload", "index", "keys").mapInArrow(documents, "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
     return found.join(starts, ["part", "block"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """The ids of given documents: blocks are pruned by their key range, documents found through the index."""
-    store, wanted = spark.read.parquet(path), np.asarray(sorted(keys), np.int64)
-    span = store.where((F.col("last_key") >= int(wanted[0])) & (F.col("first_key") <= int(wanted[-1])))
+    """doc_id, ids (uint32) of given documents, the first of each key; keys that aren't there give no row.
 
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The key ranges of blocks tell which hold a wanted key: at most a few for each key. Only their rows are read, first the
+    indexes, which give a document's place in a few array reads, then of their payloads the bytes of these documents.
+    """
+    store, wanted = spark.read.parquet(path), np.asarray(sorted({*keys}), np.int64)
+    found_schema = "doc_id long, ids binary"
+    if not len(wanted):
+        return spark.createDataFrame([], found_schema)
+    asked = F.array(*(F.lit(k) for k in wanted.tolist()))
+    has = F.exists(asked, lambda k: (k >= F.col("first_key")) & (k <= F.col("last_key")))
+    at = store.select("part", "first_key", "last_key").where(has).select("part", "first_key").distinct().collect()  # bounded by the keys that are asked for
+    some = store.where(F.col("first_key").isin([r.first_key for r in at]) & F.col("part").isin([r.part for r in at]) & has)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                some = wanted[(wanted >= row["first_key"]) & (wanted <= row["last_key"])]
-                ix, payload = Index(row["index"]), np.frombuffer(row["payload"], f"<u{row['width']}").astype("<u4")
-                hits = [(k, o) for k, o in zip(some.tolist(), ix.find(some).tolist()) if o >= 0]
-                ids = [payload[int(ix.offsets[o]) : int(ix.offsets[o + 1])].tobytes() for _, o in hits]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hits], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                mine = wanted[(wanted >= row["first_key"]) & (wanted <= row["last_key"])]
+                ix = Index(row["index"])
+                first = ix.find(mine)
+                ok = first >= 0
+                lo, hi = ix.offsets[first[ok]].astype(np.int64), ix.offsets[first[ok] + 1].astype(np.int64)
+                columns = [pa.array([row[c]] * int(ok.sum()), t) for c, t in (("part", pa.int32()), ("block", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(mine[ok]), pa.array(lo), pa.array(hi)], ["part", "block", "doc_id", "lo", "hi"])
+
+    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.frombuffer(x, f"<u{w}").astype("<u4").tobytes() for x, w in zip(b["raw"].to_pylist(), b["width"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return span.select("first_key", "last_key", "width", "payload", "index").mapInArrow(documents, "doc_id long, ids binary")
+    placed = some.select("part", "block", "first_key", "last_key", "index").mapInArrow(places, "part int, block int, doc_id long, lo long, hi long")
+    raw = some.select("part", "block", "width", "payload").join(placed, ["part", "block"])
+    raw = raw.select("doc_id", "width", F.expr("substring(payload, cast(lo * width + 1 as int), cast((hi - lo) * width as int))").alias("raw"))
+    return raw.mapInArrow(widened, found_schema)
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
