@@ -2,9 +2,10 @@
 
 Words become symbols: insult, threat, modal, target, negation, report, other. Sequential transducers over symbols
 mark insults and threats that are negated or reported, and note whether a target was named; they are composed
-into one machine, which reads clauses. A document's score is logistic in the best weights of its matched clauses.
+into one machine, which reads clauses and adds up the weights of what it writes. A document's score is logistic in the
+weights of its matched clauses, each mark by itself: a word counts only as its clause marks it.
 
-The insult lexicon (words and word beginnings) and the clause weights are learned from labelled rows; the small word
+The insult lexicon (words and word beginnings) and the weights of marks are learned from labelled rows; the small word
 lists of the other symbols are fixed.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, remainder, table
+from .common import DOCUMENT_COLUMNS, remainder, sliced, table
 from .labelled import MOST_LABELLED, labelled_sample
 
 INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, OTHER = "I", "T", "M", "P", "N", "R", "O"
@@ -34,14 +35,20 @@ WORDS = {
     REPORT: "said says called quoted wrote claimed according sagte sagt nannte schrieb laut dit disait écrit selon dijo dice llamó escribió según".split(),
 }
 KINDS = ("insult", "insult_negated", "insult_reported", "threat", "threat_negated", "threat_reported", "targeted")
-#: Prior means of the bias, the weights of KINDS and those of the counts (see features), and the common prior variance; data moves them.
-PRIOR, VARIANCE = (-4.0, 3.0, 1.5, 1.0, 4.5, 1.0, 1.0, 1.0, 1.0, 0.5, 0.0, 0.5), 4.0
+#: What a score is made of, with the prior means of their weights; data moves them. The best clause of each kind; then, over
+#: all clauses, the sums of insults by mark and of threats; the text's length; and the insults by mark in ten words.
+PRIOR = {
+    "bias": -4.0, "insult": 3.0, "insult_negated": 1.0, "insult_reported": 0.5, "threat": 4.5, "threat_negated": 1.0, "threat_reported": 1.0, "targeted": 1.0,
+    "insults": 1.0, "insults_negated": 0.3, "insults_reported": 0.3, "threats": 1.0, "length": 0.0, "share": 0.5, "share_negated": 0.2, "share_reported": 0.2,
+}
+#: The common prior variance; the most that one clause counts for a kind of insult.
+VARIANCE, MOST_IN_CLAUSE = 4.0, 4.0
 BEGINNINGS = (4, 5, 6)
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»]")
 LETTERS = re.compile(r"[^\W\d_]{2,}")
-CLAUSE_END = re.compile(r"[.!?;:\n]+")
-#: A clause without marks of its end is read from so many characters before its first seed to so many after it; seeds beyond begin another.
-BEFORE, AFTER = 400, 2000
+#: What ends a clause; a text without any is one clause.
+CLAUSE_ENDS = ".!?;:\n"
+CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 
 @dataclass
@@ -118,7 +125,7 @@ WRITTEN = {INSULT: 0, INSULT + "-": 1, INSULT + '"': 2, THREAT: 3, THREAT + "-":
 class Model:
     """What scoring needs: lexicon {word or beginning*: log-odds}, bias and clause weights. Small: bounded by the fit's sample."""
 
-    def __init__(self, lexicon: dict[str, float], weights: tuple[float, ...] = PRIOR):
+    def __init__(self, lexicon: dict[str, float], weights: tuple[float, ...] = tuple(PRIOR.values())):
         self.lexicon, self.weights = lexicon, tuple(weights)
         self._ready = None
 
@@ -151,41 +158,38 @@ class Model:
             return NEGATION, 0.0
         return (REPORT, 0.0) if word in '"“”«»' else (OTHER, 0.0)
 
-    def clauses(self, text: str) -> list[tuple[int, int, list[float], list[float]]]:
-        """Start, end, a value for each kind, and the weights of the insults, of each clause that the grammar matches."""
+    def clauses(self, text: str) -> list[tuple[int, int, list[float]]]:
+        """Start, end, and a value for each of KINDS of each clause that the grammar matches."""
         seeds, fixed, machine = self.prepare()
         low = text.lower()
         if len(low) != len(text):  # keep positions
             low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
-        hits = [e - len(x) + 1 for e, x in seeds.iter(low)] if seeds else []
         out, last = [], -1
-        for at in sorted(hits):
+        for at in sorted({e - len(x) + 1 for e, x in seeds.iter(low)}) if seeds else ():
             if at < last:
                 continue
-            start = max((m.end() for m in CLAUSE_END.finditer(low, max(0, at - BEFORE), at)), default=max(0, at - BEFORE, last))
-            stop = CLAUSE_END.search(low, at, at + AFTER)
-            last = end = stop.start() if stop else min(len(low), at + AFTER)
-            state, values, weights = machine.start, [0.0] * len(KINDS), []
+            start = max(last, *(low.rfind(c, max(last, 0), at) + 1 for c in CLAUSE_ENDS))
+            stop = CLAUSE_END.search(low, at)
+            last = end = stop.start() if stop else len(low)
+            state, values = machine.start, [0.0] * len(KINDS)
             for m in TOKEN.finditer(low, start, end):
                 symbol, weight = self.symbol(m[0], fixed)
                 state, written = machine.arcs[state, symbol]
                 if written in WRITTEN:
-                    k = WRITTEN[written]
-                    values[k] = max(values[k], min(weight, 6.0) / 3 if symbol == INSULT else 1.0)
-                    if symbol == INSULT:
-                        weights.append(weight)
+                    values[WRITTEN[written]] += weight / 3 if symbol == INSULT else 1.0
             if any(values):
-                values[-1] = float(state[1])
-                out.append((start, end, values, weights))
+                values = [min(v, MOST_IN_CLAUSE) for v in values]
+                values[-1] = max(values[0], values[3]) if state[1] else 0.0
+                out.append((start, end, values))
         return out
 
     def features(self, text: str, found: list | None = None) -> list[float]:
-        """The best value of each kind over matched clauses; then counts: insults, their weights, words, insults in 10 words."""
+        """The values that PRIOR names, but the bias: all but the length come from matched clauses."""
         found = self.clauses(text) if found is None else found
         words = text.count(" ") + 1
-        weights = [w for f in found for w in f[3]]
         best = [max(v) for v in zip(*(f[2] for f in found))] if found else [0.0] * len(KINDS)
-        return [*best, math.log1p(len(weights)), math.log1p(sum(weights)), math.log(words) / 5, min(10 * len(weights) / words, 3.0)]
+        sums = [sum(v) for v in zip(*(f[2] for f in found))] if found else [0.0] * len(KINDS)
+        return [*best, *(math.log1p(x) for x in sums[:4]), math.log(words) / 5, *(min(10 * x / words, 3.0) for x in sums[:3])]
 
     def score(self, features: list[float]) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], features))
@@ -197,8 +201,8 @@ def _lexicon(sample: DataFrame, least: int = 3, odds: float = 1.5) -> dict[str,
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
-        for b in batches:
-            for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist()):
+        for b in sliced(batches):
+            for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
                 words = set(LETTERS.findall(text.lower()))
                 words |= {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) >= n}
                 (toxic if label > 0 else clean).update(words)
@@ -224,7 +228,7 @@ def _lexicon(sample: DataFrame, least: int = 3, odds: float = 1.5) -> dict[str,
 def _weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic weights by Newton steps under the Gaussian prior."""
     a = np.hstack([np.ones((len(x), 1)), x])
-    m = np.asarray(PRIOR)
+    m = np.asarray([*PRIOR.values()])
     w = m.copy()
 
     def loss(w: np.ndarray) -> float:
@@ -250,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     model = Model(_lexicon(sample))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [model.features(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b["label"]], ["x", "y"])
 
@@ -272,10 +276,11 @@ def score(docs: DataFrame, model: Model, with_clauses: bool = True) -> DataFrame
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [model.clauses(t or "") for t in b["text"].to_pylist()]
-            scores = [model.score(model.features(t or "", f)) for t, f in zip(b["text"].to_pylist(), found)]
-            spans = pa.array([[{"start": s, "end": e, "kinds": v} for s, e, v, _ in f] for f in found] if with_clauses else [None] * len(found), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kinds", pa.list_(pa.float64()))])))
+        for b in sliced(batches):
+            texts = [t or "" for t in b["text"].to_pylist()]
+            found = [model.clauses(t) for t in texts]
+            scores = [model.score(model.features(t, f)) for t, f in zip(texts, found)]
+            spans = pa.array([[{"start": s, "end": e, "kinds": v} for s, e, v in f] for f in found] if with_clauses else [None] * len(found), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kinds", pa.list_(pa.float64()))])))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(scores, pa.float64()), spans], ["doc_id", "score", "clauses"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, SCORED)
@@ -287,7 +292,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     d = docs.select(*DOCUMENT_COLUMNS)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([model.score(model.features(t or "")) < 0.5 for t in b["text"].to_pylist()], pa.bool_()))
 
     return d.mapInArrow(kept, d.schema)
