@@ -1,8 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-The words of a source, its documents in a fixed order, are packed into blocks of fixed length. A mix has a number
-of slots for each source, dealt to output shards by multinomial draws; slot j of a source holds the block that a
-pseudorandom permutation of the source's block indices gives for j, and blocks are joined by index.
+The words of a source, its documents in a fixed order, are packed into blocks of fixed length. Output shards of SHARD
+slots each draw how many slots they give to each source: a multinomial draw over the sources, weighed by what each needs
+for its target. A source's slots are numbered through the shards; slot j holds the block that a pseudorandom permutation
+of the source's block indices gives for j, and blocks are joined by index. Where a source's draws add up to more slots
+than it needs, the last ones give back the rest; where they add up to fewer, a closing shard holds what is missing.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import GAP, WORD, partitions, table, written
 
-#: Words in a block, slots in a chunk of generated rows, documents in a bucket of a source, slots in an output shard.
-BLOCK, CHUNK, BUCKET, SHARD = 128, 1 << 14, 1 << 13, 1 << 13
+#: Words in a block, documents in a bucket of a source, slots in an output shard, slots in a range that one task fills.
+BLOCK, BUCKET, SHARD, RANGE = 512, 1 << 11, 1 << 13, 1 << 13
 WEIGHTS = (5, 2, 1)
+SPACES = " \t\n\x0b\x0c\r"
 SHARE, MOST = 1.5, 2
 
 
@@ -86,21 +89,60 @@ def placed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return d.withColumn("inside", inside).join(before, ["src", "bucket"]).select("doc_id", "source", "src", "size", "key", (F.col("before") + F.col("inside")).alias("start"))
 
 
-def slots(targets: DataFrame, parts: int, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """src, slot, pass, block, used (words taken of the block, from its first), shard.
+def needs(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """src, want (rounded target), blocks, short (words that the last block lacks), n (slots), all (slots of all): for sources with words.
 
-    A source has as many slots as its target needs, at most one for each block and pass. The last is cut so that
-    the used words add up to the rounded target. Each slot draws its output shard, which makes the counts of a
-    source over shards multinomial.
+    A source has as many slots as its target needs, at most one for each block and pass.
     """
     t = targets.where("source_size > 0").select("src", "source_size", F.round("target").cast("long").alias("want"))
     t = t.withColumn("blocks", _div(F.col("source_size") + (block - 1), block))
     t = t.withColumn("short", F.col("blocks") * block - F.col("source_size"))
-    t = t.withColumn("n", F.least(MOST * F.col("blocks"), _div(F.col("want") + MOST * F.col("short") + (block - 1), block)))
-    t = t.where("n > 0").withColumn("all", F.sum("n").over(Window.partitionBy()))
-    chunks = t.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("n") - 1, CHUNK)))).repartition(parts, "src", "chunk")
-    j = F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")) - 1))
-    s = chunks.withColumn("slot", j).withColumn("pass", _div(F.col("slot"), F.col("blocks")).cast("int"))
+    n = F.least(MOST * F.col("blocks"), _div(F.col("want") + MOST * F.col("short") + (block - 1), block))
+    return t.withColumn("n", n).where("n > 0").drop("source_size").withColumn("all", F.sum("n").over(Window.partitionBy()))
+
+
+def draws(need: DataFrame, parts: int, shard_slots: int = SHARD, seed: int = 17) -> DataFrame:
+    """shard, src, drawn: the multinomial counts of each output shard, none of them 0.
+
+    There are as many shards as all slots fill; each has shard_slots draws, the last one the rest. A draw picks one of all
+    needed slots by a hash of the draw's number, and so a source with a chance of its share of them. The sources' bounds
+    travel as one array with each shard, so no draw is joined; counts are combined before they are shuffled.
+    """
+    one = need.agg(F.sort_array(F.collect_list(F.struct("src", "n"))).alias("of"), F.max("all").alias("all")).where("all > 0")
+    upto = F.transform("of", lambda x, i: F.aggregate(F.slice("of", F.lit(1), i + 1), F.lit(0).cast("long"), lambda t, y: t + y["n"]))
+    shards = one.withColumn("upto", upto).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("all") - 1, shard_slots)))).repartition(parts, "shard")
+    first = F.col("shard") * shard_slots
+    draw = shards.select("of", "upto", "all", "shard", F.explode(F.sequence(first, F.least(first + shard_slots, F.col("all")) - 1)).alias("draw"))
+    ticket = F.pmod(F.xxhash64("draw", F.lit(seed + 1)), F.col("all"))
+    hit = F.size(F.filter("upto", lambda u: u <= ticket))
+    return draw.select("shard", F.col("of")[hit]["src"].alias("src")).groupBy("shard", "src").agg(F.count("*").alias("drawn"))
+
+
+def dealt(need: DataFrame, drawn: DataFrame, shard_slots: int = SHARD) -> DataFrame:
+    """src, shard, first, count: the source's slots first .. first + count - 1 lie in the shard.
+
+    Slots are numbered by shard; those beyond the source's need go, missing ones lie in a closing shard after all others.
+    """
+    order = Window.partitionBy("src").orderBy("shard")
+    d = drawn.join(need.select("src", "n"), "src").withColumn("first", F.sum("drawn").over(order) - F.col("drawn"))
+    inside = d.select("src", "shard", "first", F.least("drawn", F.col("n") - F.col("first")).alias("count")).where("count > 0")
+    sums = drawn.groupBy("src").agg(F.sum("drawn").alias("first"))
+    closing = need.join(sums, "src", "left").withColumn("first", F.coalesce("first", F.lit(0))).where("first < n")
+    closing = closing.select("src", (_div(F.col("all") - 1, shard_slots) + 1).alias("shard"), "first", (F.col("n") - F.col("first")).alias("count"))
+    return inside.unionByName(closing)
+
+
+def slots(targets: DataFrame, parts: int, block: int = BLOCK, shard_slots: int = SHARD, seed: int = 17) -> DataFrame:
+    """src, slot, pass, block, used (words taken of the block, from its first), shard.
+
+    A source's last slot is cut so that the used words add up to the rounded target.
+    """
+    need = needs(targets, block)
+    ranges = dealt(need, written(draws(need, parts, shard_slots, seed), "mix-draws"), shard_slots)
+    ranges = ranges.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("count") - 1, RANGE))))
+    ranges = ranges.select("src", "shard", (F.col("first") + F.col("part") * RANGE).alias("low"), F.least(F.col("count") - F.col("part") * RANGE, F.lit(RANGE)).alias("count"))
+    s = ranges.repartition(parts, "src", "low").select("src", "shard", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("count") - 1)).alias("slot"))
+    s = s.join(need, "src").withColumn("pass", _div(F.col("slot"), F.col("blocks")).cast("int"))
     s = s.withColumn("block", _permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64("src", "pass", F.lit(seed))))
     # a source's last block is short: its slots, one a pass, move those after them
     tails = s.where("block = blocks - 1").groupBy("src").agg(F.sort_array(F.collect_list("slot")).alias("tails"))
@@ -109,11 +151,10 @@ def slots(targets: DataFrame, parts: int, block: int = BLOCK, seed: int = 17) ->
     before = F.col("slot") * block - F.col("short") * F.when(F.col("tails").isNull(), 0).otherwise(passed)
     full = block - F.when(F.col("block") == F.col("blocks") - 1, F.col("short")).otherwise(0)
     used = F.least(full, F.greatest(F.col("want") - before, F.lit(0)))
-    shard = F.pmod(F.xxhash64("src", "slot", F.lit(seed + 1)), F.greatest(_div(F.col("all"), SHARD), F.lit(1)))
-    return s.select("src", "slot", "pass", "block", used.cast("long").alias("used"), shard.cast("int").alias("shard"))
+    return s.select("src", "slot", "pass", "block", used.cast("long").alias("used"), "shard")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = BLOCK, seed: int = 17, shard_slots: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """The documents, placed, with their source's size and target; and the pieces of them that the mix takes.
 
     Pieces: src, start (together they name a placed document), shard, slot, pass (a block is taken at most once in
@@ -126,39 +167,64 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> tuple[DataFrame,
     spans = where.where("size > 0").select("src", "start", "size", F.explode(F.sequence(_div(F.col("start"), block), _div(F.col("start") + F.col("size") - 1, block))).alias("block"))
     low, high = F.greatest(F.col("start") - F.col("block") * block, F.lit(0)), F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     spans = spans.withColumn("low", low).withColumn("high", high)
-    drawn = slots(targets, partitions(docs.sparkSession), block, seed)
+    drawn = slots(targets, partitions(docs.sparkSession), block, shard_slots, seed)
     # both sides grow with the corpus; Spark would take the slots, generated from a few rows, for small and broadcast them
     pieces = spans.join(drawn.hint("merge"), ["src", "block"]).withColumn("words", F.least("high", "used") - F.col("low")).where("words > 0")
     pieces = pieces.select("src", "start", "shard", "slot", "pass", (F.col("block") * block + F.col("low") - F.col("start")).alias("at"), "words")
     return where.join(targets.select("src", "source_size", "target"), "src"), pieces
 
 
-def taken(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each document."""
-    where, pieces = mix(docs, block, seed)
-    sums = pieces.groupBy("src", "start").agg(F.sum("words").alias("words"))
+def taken(docs: DataFrame, block: int = BLOCK, seed: int = 17, shard_slots: int = SHARD) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_shard of each document: the words that the mix takes of it, and the
+    first output shard that has any of them (null: none)."""
+    where, pieces = mix(docs, block, seed, shard_slots)
+    sums = pieces.groupBy("src", "start").agg(F.sum("words").alias("words"), F.min("shard").alias("first_shard"))
     # documents of size 0 may share a start with the one after them
-    found = F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(0).cast("long")
-    return where.join(sums, ["src", "start"], "left").select("doc_id", "size", "source_size", "target", found.alias("taken"))
+    has = F.col("size") > 0
+    found = F.when(has, F.coalesce("words", F.lit(0))).otherwise(0).cast("long")
+    return where.join(sums, ["src", "start"], "left").select("doc_id", "size", "source_size", "target", found.alias("taken"), F.when(has, F.col("first_shard")).alias("first_shard"))
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """The mix as documents: for each pass one row with the words taken of a document, in order.
+def passages(docs: DataFrame, block: int = BLOCK, seed: int = 17, shard_slots: int = SHARD) -> DataFrame:
+    """doc_id, text, lang, source, n_chars, shard, pass, at, words: the mix as passages of its output shards.
 
-    A document taken whole keeps its text; of others the taken words are joined by single spaces, n_chars follows
-    the text. Columns are those of documents.
+    A passage is a run of adjacent blocks of one document in one shard and pass, `words` words from word `at` on, with the
+    white space that stands between them; a document taken in one run keeps its text and n_chars whole.
     """
-    where, pieces = mix(docs, block, seed)
-    runs = pieces.groupBy("src", "start", "pass").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("at", "words"))).alias("runs"))
-    rows = where.where("size > 0").join(runs, ["src", "start"]).select("doc_id", "key", "size", "words", "runs")
+    where, pieces = mix(docs, block, seed, shard_slots)
+    runs = pieces.groupBy("src", "start").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "at", "words"))).alias("p"))
+    p = F.col("p")
+    goes_on = lambda i: (p[i]["pass"] == p[i - 1]["pass"]) & (p[i]["shard"] == p[i - 1]["shard"]) & (p[i]["at"] == p[i - 1]["at"] + p[i - 1]["words"])
+    runs = runs.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.when(i == 0, True).otherwise(~goes_on(F.greatest(i, F.lit(1))))))
+    b = F.col("begins")
+    last = lambda k: p[F.coalesce(F.get(b, k + 1), F.size("p")) - 1]
+    run = lambda i, k: F.struct(p[i]["shard"].alias("shard"), p[i]["pass"].alias("pass"), p[i]["at"].alias("at"), (last(k)["at"] + last(k)["words"] - p[i]["at"]).alias("words"))
+    runs = runs.select("src", "start", F.transform("begins", run).alias("runs"))
+    rows = where.where("size > 0").join(runs, ["src", "start"]).select("doc_id", "key", "size", "runs")
     # one row for each distinct content, on the join's own keys
     texts = docs.withColumn("key", F.xxhash64("doc_id", "text", "source")).groupBy("doc_id", "key").agg(*(F.first(c).alias(c) for c in ("text", "lang", "source", "n_chars")))
     full = rows.join(texts.withColumnRenamed("doc_id", "id").withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    words = F.filter(F.split("text", GAP), lambda w: w != "")
-    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["at"] + 1).cast("int"), r["words"].cast("int")))), " "))[0]
-    whole = F.col("words") == F.col("size")
-    text = F.when(whole, F.col("text")).otherwise(cut)
-    return full.select("doc_id", text.alias("text"), "lang", "source", "n_chars", whole.alias("whole")).select("doc_id", "text", "lang", "source", F.when(F.col("whole"), F.col("n_chars")).otherwise(F.length("text").cast("long")).alias("n_chars"))
+    whole = lambda r: r["words"] == F.col("size")
+    tokens = F.regexp_extract_all("text", F.lit(GAP[:-1] + "*" + WORD), F.lit(0))  # each word with the white space before it
+    cut = lambda t: F.transform("runs", lambda r: F.when(~whole(r), F.ltrim(F.array_join(F.slice(t, (r["at"] + 1).cast("int"), r["words"].cast("int")), ""), F.lit(SPACES))))
+    cuts = F.when(F.exists("runs", lambda r: ~whole(r)), F.transform(F.array(tokens), cut)[0]).otherwise(F.transform("runs", lambda r: F.lit(None).cast("string")))
+    out = full.select("doc_id", F.col("text").alias("all"), "lang", "source", "n_chars", F.explode(F.arrays_zip(F.col("runs").alias("run"), cuts.alias("cut"))).alias("x"))
+    r, part = F.col("x")["run"], F.col("x")["cut"]
+    n_chars = F.when(part.isNull(), F.col("n_chars")).otherwise(F.length(part).cast("long"))
+    return out.select("doc_id", F.coalesce(part, F.col("all")).alias("text"), "lang", "source", n_chars.alias("n_chars"), r["shard"].alias("shard"), r["pass"].alias("pass"), r["at"].alias("at"), r["words"].alias("words"))
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """The passages of the mix with the columns of documents; a document has a row for each of its passages."""
+    return passages(docs, block, seed).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def write_mix(docs: DataFrame, path: str, block: int = BLOCK, seed: int = 17, shard_slots: int = SHARD, parts_a_shard: int = 4) -> None:
+    """The passages under path/shard=N. A shard's passages come in an order of their hashes, in parts_a_shard files."""
+    mixed = passages(docs, block, seed, shard_slots).withColumn("turn", F.xxhash64("doc_id", "pass", "at", F.lit(seed)))
+    part = F.pmod(F.col("turn"), F.lit(parts_a_shard))
+    dealt_out = mixed.withColumn("part", part).repartition(partitions(docs.sparkSession), "shard", "part").sortWithinPartitions("shard", "part", "turn")
+    dealt_out.drop("part", "turn").write.partitionBy("shard").parquet(path)
 
 
 def op10_source_mix(spark, sf_dir: str) -> DataFrame:
