@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, table, written
+from .common import DOCUMENT_COLUMNS, GAP, table, written
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: A line goes where over LIMIT_PERCENT of the host's documents, and over LEAST_DOCS of them, hold it; a document goes with under LEFT_PERCENT of its words left.
@@ -22,6 +22,11 @@ def _long(c: Column) -> Column:
     return c.cast("long")
 
 
+def _normal(line: Column) -> Column:
+    """Without case, outer blanks and lengths of gaps; any digit is 0."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, GAP, " "), "[0-9]", "0")))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, host, key (row hash), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines.
 
@@ -30,7 +35,6 @@ def statistics(docs: DataFrame) -> DataFrame:
     """
     words = lambda c: F.filter(F.split(c, GAP), lambda w: w != "")
     d = docs.select("doc_id", F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text", "source").alias("key"))
-    normal = lambda line: F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, GAP, " "), "[0-9]", "0")))
     d = d.withColumn("hashes", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
     d = d.withColumn("full", F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != ""))
     d = d.select(
@@ -39,7 +43,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         _long(F.length(F.translate("text", SPACES, ""))).alias("word_chars"),
         _long(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
         _long(F.size("full") - F.size(F.array_distinct("full"))).alias("n_dup_lines"),
-        F.sort_array(F.transform("full", lambda x: F.struct(F.xxhash64(normal(x)).alias("hash"), F.size(words(x)).alias("words")))).alias("sorted_lines"),
+        F.sort_array(F.transform("full", lambda x: F.struct(F.xxhash64(_normal(x)).alias("hash"), F.size(words(x)).alias("words")))).alias("sorted_lines"),
     )
     h = F.col("hashes")
     window = lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2])
@@ -71,17 +75,14 @@ def frequent_lines(stats: DataFrame, limit_percent: int = LIMIT_PERCENT, least_d
     return counts.where(F.col("docs") > least_docs).join(sizes, "host_key").where(100 * F.col("docs") > limit_percent * F.col("host_docs")).select("host_key", "hash", "docs")
 
 
-def verdicts(docs: DataFrame, limit_percent: int = LIMIT_PERCENT, least_docs: int = LEAST_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
-    """The statistics of each document with left_words (after removal of frequent lines), base_failed and kept.
-
-    kept is false for base_failed documents (under 50 words, or over half of the words in repeated 3-word windows) and
-    for documents of which under left_percent of the words are left. Repeated rows are documents each.
-    """
+def _judged(docs: DataFrame, limit_percent: int, least_docs: int, left_percent: int) -> tuple[DataFrame, DataFrame]:
+    """The statistics of each document with left_words, base_failed and kept; and its frequent lines (doc_id, key, line_hash, words)."""
     stats = written(statistics(docs), "line-statistics")
-    often = frequent_lines(stats, limit_percent, least_docs).select("host_key", F.col("hash").alias("line_hash"), F.lit(True).alias("often"))
+    often = frequent_lines(stats, limit_percent, least_docs).select("host_key", F.col("hash").alias("line_hash"))
     host = F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")).alias("host_key")
     lines = stats.where("n_words > 0").select("doc_id", "key", host, F.explode("lines").alias("line")).select("doc_id", "key", "host_key", F.col("line.hash").alias("line_hash"), "line.words")
-    gone = lines.join(often, ["host_key", "line_hash"]).groupBy("doc_id", "key").agg(F.sum("words").alias("gone"))
+    frequent = lines.join(often, ["host_key", "line_hash"]).select("doc_id", "key", "line_hash", "words")
+    gone = frequent.groupBy("doc_id", "key").agg(F.sum("words").alias("gone"))
     # equal rows add up under one key: each has its share
     equal = stats.groupBy("doc_id", "key").agg(F.count("*").alias("equal"))
     share = gone.join(equal, (gone["key"] == equal["key"]) & gone["doc_id"].eqNullSafe(equal["doc_id"])).select(gone["doc_id"].alias("id"), gone["key"].alias("k"), (F.col("gone") / F.col("equal")).cast("long").alias("gone"))
@@ -89,13 +90,33 @@ def verdicts(docs: DataFrame, limit_percent: int = LIMIT_PERCENT, least_docs: in
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (100 * left >= left_percent * F.col("n_words"))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), left.alias("left_words"))
+    return d.select("doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), left.alias("left_words")), frequent
+
 
+def verdicts(docs: DataFrame, limit_percent: int = LIMIT_PERCENT, least_docs: int = LEAST_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
+    """The statistics of each document with left_words (after removal of frequent lines), base_failed and kept.
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """documents that the rules keep, as they are (removal of single lines serves the verdict only)."""
-    keep = verdicts(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    kept is false for base_failed documents (under 50 words, or over half of the words in repeated 3-word windows) and
+    for documents of which under left_percent of the words are left. Repeated rows are documents each.
+    """
+    return _judged(docs, limit_percent, least_docs, left_percent)[0].drop("key")
+
+
+def cleaned(docs: DataFrame, limit_percent: int = LIMIT_PERCENT, least_docs: int = LEAST_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
+    """The documents that are kept, with their own columns, without their host's frequent lines; n_chars follows the text.
+
+    Every occurrence of a frequent line goes with its line break; all other lines, blank ones too, stay as they are. Rows
+    that repeat are cleaned each; a document with a null doc_id is judged by its text and source like any other.
+    """
+    judged, frequent = _judged(docs, limit_percent, least_docs, left_percent)
+    keep = judged.where("kept").select(F.col("doc_id").alias("id"), F.col("key").alias("k")).distinct()
+    gone = frequent.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(F.collect_set("line_hash").alias("gone"))
+    same = (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    d = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("doc_id", "text", "source").alias("key")).join(keep, same, "left_semi").join(gone, same, "left")
+    stays = lambda x: (F.translate(x, SPACES, "") == "") | ~F.array_contains("gone", F.xxhash64(_normal(x)))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
+    n_chars = F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    return d.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def op4_line_frequency(spark, sf_dir: str) -> DataFrame:

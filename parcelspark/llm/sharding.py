@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hilbert_index, table
+from .common import hilbert_index, partitions, table
 
 BITS, DIMS = 4, 3
 CELLS = 1 << (BITS * DIMS)
@@ -32,24 +32,25 @@ def _ranks(docs: DataFrame, name: str, levels: int) -> DataFrame:
     return values.select("value", F.floor((place - 1) * levels / of).cast("int").alias(f"{name}_level"))
 
 
-def hilbert_cells(docs: DataFrame) -> DataFrame:
+def hilbert_cells(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """docs with size (UTF-8 bytes of the text plus 8), text_crc32 and cell (Hilbert index of lang, source and size).
 
     lang and source take levels by rank among their distinct values, size by its binary logarithm; nulls are
-    values of their own, a null text counts as empty. Other columns of docs, whatever their names, are not read.
+    values of their own, a null text counts as empty. Other columns of docs, whatever their names, are not read, but
+    those of `carried` (text, n_chars), which come along.
     """
     size = (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long")
-    d = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    d = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), *carried)
     top = (1 << BITS) - 1
     for name in ("lang", "source"):
         levels = _ranks(docs.select(name), name, 1 << BITS)
         d = d.join(levels, d[name].eqNullSafe(levels["value"]), "left").drop("value")
     long = F.least(F.floor(F.log2(F.col("size") / 8.0)).cast("int"), F.lit(top))
     cell = F.col("lang_level") * (1 << 2 * BITS) + F.col("source_level") * (1 << BITS) + long
-    return d.select("doc_id", "lang", "source", "size", "text_crc32", F.element_at(_curve(), cell + 1).alias("cell"))
+    return d.select("doc_id", "lang", "source", "size", "text_crc32", F.element_at(_curve(), cell + 1).alias("cell"), *carried)
 
 
-def assign_shards(docs: DataFrame, shards: int = 24, rows_a_part: int = 1 << 20) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 24, rows_a_part: int = 1 << 20, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang, source, size, text_crc32, cell, shard, slot: the curve cut into runs of equal row counts.
 
     Law "rows": shards differ by at most one row. The order is (cell, part, doc_id, text_crc32, size): a cell with
@@ -58,7 +59,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, rows_a_part: int = 1 << 20)
     counts of (cell, part). Equal rows are interchangeable, and any of them may take either slot. An empty table
     gives no rows.
     """
-    cells = hilbert_cells(docs)
+    cells = hilbert_cells(docs, carried)
     # at most CELLS rows, so it can be broadcast
     parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / rows_a_part).alias("parts"))
     d = cells.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
@@ -71,17 +72,20 @@ def assign_shards(docs: DataFrame, shards: int = 24, rows_a_part: int = 1 << 20)
     shard = F.expr(f"cast(((before + inside) * {shards}) div rows as int)")
     # the first place of a shard: the least p with p * shards >= shard * rows
     slot = place - F.expr(f"(cast(shard as bigint) * rows + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard).select("doc_id", "lang", "source", "size", "text_crc32", "cell", "shard", slot.cast("long").alias("slot"))
+    return ranked.withColumn("shard", shard).select("doc_id", "lang", "source", "size", "text_crc32", "cell", "shard", slot.cast("long").alias("slot"), *carried)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24) -> DataFrame:
-    """Writes documents under path/shard=N in curve order; returns each shard's ranges of lang, source and size."""
-    placed = assign_shards(docs, shards).select("doc_id", "size", "text_crc32", "shard", "slot")
-    full = docs.select("doc_id", "text", "lang", "source").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    same = placed.dropDuplicates(["doc_id", "text_crc32"])
-    out = full.join(same, full["doc_id"].eqNullSafe(same["doc_id"]) & (full["text_crc32"] == same["text_crc32"])).select(full["doc_id"], "text", "lang", "source", "size", "shard", "slot")
-    out.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return manifest(placed.sparkSession.read.parquet(path))
+def write_shards(docs: DataFrame, path: str, shards: int = 24, rows_a_file: int = 1 << 18) -> DataFrame:
+    """Writes documents with their slot under path/shard=N; returns each shard's ranges of lang, source and size.
+
+    A shard is cut along the curve into runs of rows_a_file slots, each written in order by one task, so that a shard of
+    any size is spread over tasks and the ranges of its files prune too. Every row is written once, repeated ones too.
+    """
+    placed = assign_shards(docs, shards, carried=("text", "n_chars")).drop("text_crc32", "cell")
+    run = F.floor(F.col("slot") / rows_a_file)
+    out = placed.withColumn("run", run).repartition(partitions(docs.sparkSession), "shard", "run").sortWithinPartitions("shard", "run", "slot")
+    out.drop("run").write.partitionBy("shard").parquet(path)
+    return manifest(docs.sparkSession.read.schema("doc_id long, lang string, source string, size long, slot long, text string, n_chars long, shard int").parquet(path))
 
 
 def manifest(sharded: DataFrame) -> DataFrame:
