@@ -146,13 +146,13 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """query_id, vec_id, score: the k best of each query in a bucket that reach its floor. Entries come before queries."""
+    """query_id, turn, vec_id, score: the k best of each query in a bucket that reach its floor. Entries come before queries."""
     bucket, parts = None, []
     for b in batches:
         if not b.num_rows:
             continue
         x, key, asks = _matrix(b), b["bucket"].to_numpy(), b["query"].to_numpy()
-        ids, cell, floor = b["vec_id"].to_numpy(), b["cell"].to_numpy(), b["floor"].to_numpy()
+        ids, turn, cell, floor = (b[c].to_numpy() for c in ("vec_id", "turn", "cell", "floor"))
         cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(asks) != 0)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             if key[lo] != bucket:
@@ -168,15 +168,15 @@ def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             step = max(1, (1 << 21) // len(held[0]))
             for i in range(lo, hi, step):
                 visited = b["cells"].slice(i, min(step, hi - i)).to_pylist()
-                yield _block(held, longest, x[i : min(i + step, hi)], ids[i : min(i + step, hi)], floor[i : min(i + step, hi)], visited, k)
+                yield _block(held, longest, x[i : min(i + step, hi)], ids[i : min(i + step, hi)], turn[i : min(i + step, hi)], floor[i : min(i + step, hi)], visited, k)
 
 
-def _block(held: list[np.ndarray], longest: float, x: np.ndarray, ids: np.ndarray, floor: np.ndarray, visited: list[list[int]], k: int) -> pa.RecordBatch:
+def _block(held: list[np.ndarray], longest: float, x: np.ndarray, ids: np.ndarray, turns: np.ndarray, floor: np.ndarray, visited: list[list[int]], k: int) -> pa.RecordBatch:
     """Block products choose, with room for their rounding; sums of double products rank."""
     entries, known, cell = held
     at = np.zeros(int(cell.max()) + 1, bool)
-    q, v, s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-    for own, mine, least, cells, row in zip(ids, x, floor, visited, x @ entries.T):
+    q, t, v, s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for own, turn, mine, least, cells, row in zip(ids, turns, x, floor, visited, x @ entries.T):
         at[:] = False
         at[[c for c in cells if c < len(at)]] = True
         row[~at[cell] | (known == own)] = -np.inf
@@ -186,24 +186,32 @@ def _block(held: list[np.ndarray], longest: float, x: np.ndarray, ids: np.ndarra
         exact = (entries[some] * mine).sum(1)
         order = np.lexsort((known[some], -exact))[:k]
         q.append(np.full(len(order), own, np.int64))
+        t.append(np.full(len(order), turn, np.int64))
         v.append(known[some][order])
         s.append(exact[order])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (q, v, s)], ["query_id", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (q, t, v, s)], ["query_id", "turn", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, times: int = TIMES, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each query by inner product, ties to the smaller vec_id.
 
-    queries: rows of vectors (null, zero and non-finite ones take no part on either side); a query is no candidate of
-    its own. Every vector is indexed. Cells lie in buckets of about `chunk` entries, larger cells are cut by a hash, and
+    queries: rows of vectors (null, zero and non-finite ones take no part on either side, nor do vectors of another length
+    than most have); vectors with a query's vec_id are no candidates of its. Rows that repeat a query are one query; rows
+    with its vec_id and another vector are queries each. Every vector is indexed. Cells lie in buckets of about `chunk` entries, larger cells are cut by a hash, and
     a query is sent once to each bucket with cells that it visits. A bucket gives each query its k best, so that a query
     gets few rows from many vectors. Vectors without structure have no cell that a bound rules out: then all are visited.
     Scores are sums of double products of the original components, the same for equal vectors wherever they lie.
     vec_ids that repeat with different vectors are candidates each.
     """
     spark = vectors.sparkSession
-    base, asked = usable(vectors), usable(queries)
-    empty = "query_id long, rank int, vec_id long, score double"
+    base, empty = usable(vectors), "query_id long, rank int, vec_id long, score double"
+    lengths = base.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("rows"))
+    usual = lengths.agg(F.max(F.struct("rows", "n"))["n"]).first()[0]
+    if usual is None:
+        return spark.createDataFrame([], empty)
+    base = base.where(F.size("x") == usual)
+    # one query for each vec_id and vector
+    asked = usable(queries).where(F.size("x") == usual).dropDuplicates(["vec_id", "x"]).select("vec_id", F.xxhash64("x").alias("turn"), "x")
     books = fit(base)
     if books is None:
         return spark.createDataFrame([], empty)
@@ -227,14 +235,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, times: int = TIM
         for ids, x, b in _batches(batches):
             d1, d2 = books.distances(x, query=True)
             visited = pa.array([books.visit(d1[i], d2[i], times * k) for i in range(len(x))], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b["vec_id"], b["x"], visited], ["vec_id", "x", "cells"])
+            yield pa.RecordBatch.from_arrays([b["vec_id"], b["turn"], b["x"], visited], ["vec_id", "turn", "x", "cells"])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x, b in _batches(batches):
             rest = []
             for q, floor, visited in zip(x, b["floor"].to_pylist(), b["cells"].to_pylist()):
                 rest.append(np.setdiff1d(books.may_hold(q, floor), visited))
-            yield pa.RecordBatch.from_arrays([b["vec_id"], b["x"], pa.array(rest, pa.list_(pa.int32())), b["floor"]], ["vec_id", "x", "cells", "floor"])
+            yield pa.RecordBatch.from_arrays([b["vec_id"], b["turn"], b["x"], pa.array(rest, pa.list_(pa.int32())), b["floor"]], ["vec_id", "turn", "x", "cells", "floor"])
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,29 +257,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, times: int = TIM
                 some += to.values()
             for lo in range(0, len(at), 4096):  # a query goes to many buckets: not all copies of a batch at once
                 rows = pa.array(at[lo : lo + 4096], pa.int64())
-                columns = [pa.array(bucket[lo : lo + 4096], pa.int32()), b["vec_id"].take(rows), b["x"].take(rows), pa.array(some[lo : lo + 4096], pa.list_(pa.int32())), b["floor"].take(rows)]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "vec_id", "x", "cells", "floor"])
+                columns = [pa.array(bucket[lo : lo + 4096], pa.int32()), b["vec_id"].take(rows), b["turn"].take(rows), b["x"].take(rows), pa.array(some[lo : lo + 4096], pa.list_(pa.int32())), b["floor"].take(rows)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "vec_id", "turn", "x", "cells", "floor"])
 
     of = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("cell") + 1)
     bucket = (of(first) + F.pmod(F.xxhash64("vec_id"), of(parts))).cast("int")
     none, least = F.lit(None).cast("array<int>"), F.lit(float("-inf"))
-    held = entries.select(bucket.alias("bucket"), F.lit(0).alias("query"), "vec_id", "x", "cell", none.alias("cells"), least.alias("floor"))
+    held = entries.select(bucket.alias("bucket"), F.lit(0).alias("query"), "vec_id", F.lit(0).cast("long").alias("turn"), "x", "cell", none.alias("cells"), least.alias("floor"))
 
     def visited(wanted: DataFrame) -> DataFrame:
-        asks = wanted.select("vec_id", "x", "cells", "floor").mapInArrow(sent, "bucket int, vec_id long, x array<double>, cells array<int>, floor double")
-        asks = asks.select("bucket", F.lit(1).alias("query"), "vec_id", "x", F.lit(-1).alias("cell"), "cells", "floor")
+        asks = wanted.select("vec_id", "turn", "x", "cells", "floor").mapInArrow(sent, "bucket int, vec_id long, turn long, x array<double>, cells array<int>, floor double")
+        asks = asks.select("bucket", F.lit(1).alias("query"), "vec_id", "turn", "x", F.lit(-1).alias("cell"), "cells", "floor")
         dealt = asks.unionByName(held).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "query")
-        return dealt.mapInArrow(lambda batches: _nearest(batches, k), "query_id long, vec_id long, score double")
+        return dealt.mapInArrow(lambda batches: _nearest(batches, k), "query_id long, turn long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("query_id", "turn").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    walked = written(asked.mapInArrow(walk, "vec_id long, x array<double>, cells array<int>"), "ann-walked")
+    walked = written(asked.mapInArrow(walk, "vec_id long, turn long, x array<double>, cells array<int>"), "ann-walked")
     near = written(best(visited(walked.withColumn("floor", least))), "ann-near")
-    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    wanted = walked.join(floors, "vec_id", "left").select("vec_id", "x", "cells", F.coalesce("floor", least).alias("floor"))
-    rest = wanted.mapInArrow(others, "vec_id long, x array<double>, cells array<int>, floor double")
+    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "turn", F.col("score").alias("floor"))
+    wanted = walked.join(floors, ["vec_id", "turn"], "left").select("vec_id", "turn", "x", "cells", F.coalesce("floor", least).alias("floor"))
+    rest = wanted.mapInArrow(others, "vec_id long, turn long, x array<double>, cells array<int>, floor double")
     return best(near.drop("rank").unionByName(visited(rest))).select("query_id", "rank", "vec_id", "score")
 
 
