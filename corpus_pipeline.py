@@ -3,7 +3,7 @@
 toxicity    documents that the pattern grammar scores at a half or more go
 quality     documents that the rule ensemble scores under a half go
 near_dedup  of each group of near copies (0.8 of the shingles of five words) the document with the smallest doc_id stays
-mixing      sources are mixed to their target weights: a row for each pass over a document, with the words taken
+mixing      sources are mixed to their target weights: a row for each passage that an output shard of the mix takes
 packing     token sequences of at most 4096 ids along a space-filling curve, with the ids of each piece
 
 Both classifiers learn from the labelled documents among the stage's own input.
@@ -57,8 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each written to the shared folder and read again; the tables before it go once a stage is written."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.cleared(spark, keep=docs)
     return docs
