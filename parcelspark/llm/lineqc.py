@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .common import DOCUMENT_COLUMNS, GAP, table, written
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
-#: A line goes where over LIMIT_PERCENT of the host's documents, and over LEAST_DOCS of them, hold it; a document goes with under LEFT_PERCENT of its words left.
-LIMIT_PERCENT, LEAST_DOCS, LEFT_PERCENT = 5, 30, 50
+#: A line goes where over LIMIT_PERCENT of the host's documents, and over LEAST_DOCS of them, hold it, or over MOST_DOCS
+#: however large the host is; a document goes with under LEFT_PERCENT of its words left.
+LIMIT_PERCENT, LEAST_DOCS, MOST_DOCS, LEFT_PERCENT = 5, 30, 1000, 50
 #: Up to so many distinct repeated windows are looked up one by one; beyond it positions are found by sorting.
 FEW = 12
 
@@ -48,7 +49,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     h = F.col("hashes")
     window = lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2])
     d = d.withColumn("windows", F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size(h) - 3), window)).otherwise(F.array().cast("array<bigint>")))
-    d = d.withColumn("ordered", F.sort_array("windows"))
+    # most texts repeat no window: then nothing is sorted
+    d = d.withColumn("ordered", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array("windows")).otherwise(F.array().cast("array<bigint>")))
     o = F.col("ordered")
     d = d.withColumn("twice", F.array_distinct(F.filter(o, lambda x, i: (i + 1 < F.size(o)) & (x == o[i + 1]))))
     w = F.col("windows")
@@ -65,20 +67,20 @@ def statistics(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "host", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", _long(covered).alias("n_repeat_words"), lines.alias("lines"))
 
 
-def frequent_lines(stats: DataFrame, limit_percent: int = LIMIT_PERCENT, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """host_key, hash, docs of lines above their host's limit: counts over all documents, combined before the shuffle."""
+def frequent_lines(stats: DataFrame, limit_percent: int = LIMIT_PERCENT, least_docs: int = LEAST_DOCS, most_docs: int = MOST_DOCS) -> DataFrame:
+    """host_key, hash, docs of lines above their host's limits: counts over all documents, combined before the shuffle."""
     host = F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")).alias("host_key")
     lines = stats.select(host, F.explode("lines").alias("line")).where("line.first")
     counts = lines.groupBy("host_key", F.col("line.hash").alias("hash")).agg(F.count("*").alias("docs"))
     sizes = stats.groupBy(host).agg(F.count("*").alias("host_docs"))
     # only lines over least_docs can be frequent, so few rows reach the join
-    return counts.where(F.col("docs") > least_docs).join(sizes, "host_key").where(100 * F.col("docs") > limit_percent * F.col("host_docs")).select("host_key", "hash", "docs")
+    return counts.where(F.col("docs") > least_docs).join(sizes, "host_key").where((F.col("docs") > most_docs) | (100 * F.col("docs") > limit_percent * F.col("host_docs"))).select("host_key", "hash", "docs")
 
 
-def _judged(docs: DataFrame, limit_percent: int, least_docs: int, left_percent: int) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, limit_percent: int, least_docs: int, most_docs: int, left_percent: int) -> tuple[DataFrame, DataFrame]:
     """The statistics of each document with left_words, base_failed and kept; and its frequent lines (doc_id, key, line_hash, words)."""
     stats = written(statistics(docs), "line-statistics")
-    often = frequent_lines(stats, limit_percent, least_docs).select("host_key", F.col("hash").alias("line_hash"))
+    often = frequent_lines(stats, limit_percent, least_docs, most_docs).select("host_key", F.col("hash").alias("line_hash"))
     host = F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")).alias("host_key")
     lines = stats.where("n_words > 0").select("doc_id", "key", host, F.explode("lines").alias("line")).select("doc_id", "key", "host_key", F.col("line.hash").alias("line_hash"), "line.words")
     frequent = lines.join(often, ["host_key", "line_hash"]).select("doc_id", "key", "line_hash", "words")
@@ -93,22 +95,22 @@ def _judged(docs: DataFrame, limit_percent: int, least_docs: int, left_percent:
     return d.select("doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), left.alias("left_words")), frequent
 
 
-def verdicts(docs: DataFrame, limit_percent: int = LIMIT_PERCENT, least_docs: int = LEAST_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def verdicts(docs: DataFrame, limit_percent: int = LIMIT_PERCENT, least_docs: int = LEAST_DOCS, most_docs: int = MOST_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """The statistics of each document with left_words (after removal of frequent lines), base_failed and kept.
 
     kept is false for base_failed documents (under 50 words, or over half of the words in repeated 3-word windows) and
     for documents of which under left_percent of the words are left. Repeated rows are documents each.
     """
-    return _judged(docs, limit_percent, least_docs, left_percent)[0].drop("key")
+    return _judged(docs, limit_percent, least_docs, most_docs, left_percent)[0].drop("key")
 
 
-def cleaned(docs: DataFrame, limit_percent: int = LIMIT_PERCENT, least_docs: int = LEAST_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def cleaned(docs: DataFrame, limit_percent: int = LIMIT_PERCENT, least_docs: int = LEAST_DOCS, most_docs: int = MOST_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """The documents that are kept, with their own columns, without their host's frequent lines; n_chars follows the text.
 
     Every occurrence of a frequent line goes with its line break; all other lines, blank ones too, stay as they are. Rows
     that repeat are cleaned each; a document with a null doc_id is judged by its text and source like any other.
     """
-    judged, frequent = _judged(docs, limit_percent, least_docs, left_percent)
+    judged, frequent = _judged(docs, limit_percent, least_docs, most_docs, left_percent)
     keep = judged.where("kept").select(F.col("doc_id").alias("id"), F.col("key").alias("k")).distinct()
     gone = frequent.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(F.collect_set("line_hash").alias("gone"))
     same = (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))
@@ -147,7 +149,7 @@ WITH d AS (
 ), h AS (
   SELECT host, count(*) AS host_docs FROM d GROUP BY host
 ), q AS (
-  SELECT o.host, o.norm FROM o JOIN h USING (host) WHERE 100 * docs > 5 * host_docs
+  SELECT o.host, o.norm FROM o JOIN h USING (host) WHERE docs > 1000 OR 100 * docs > 5 * host_docs
 ), s AS (
   SELECT f.r, count(*) - count(DISTINCT line) AS n_dup_lines, sum(CASE WHEN q.norm IS NOT NULL THEN words ELSE 0 END) AS gone
   FROM f LEFT JOIN q ON f.host = q.host AND f.norm = q.norm GROUP BY f.r

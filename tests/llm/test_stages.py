@@ -157,6 +157,15 @@ def test_frequent_lines_are_removed(shipped):
     assert plain(lineqc.cleaned(shipped.createDataFrame(rows, DOCUMENTS)).collect()) == Counter(want)
 
 
+def test_lines_of_a_large_host(shipped):
+    """A group of boilerplate documents far under the share of a large host goes by the count alone."""
+    boilerplate = "\n".join(words(12, k) for k in range(6))
+    own = "array_join(transform(sequence(1, 60), k -> translate(md5(concat(id, '-', k)), '0123456789', 'ghijklmnop')), ' ')"
+    docs = shipped.range(3_000).selectExpr("id as doc_id", f"case when id % 50 = 7 then '{boilerplate}' else {own} end as text", "'en' as lang", "'hot' as source", "1L as n_chars")
+    kept = lambda most: {r.doc_id for r in lineqc.verdicts(docs, most_docs=most).where("kept").collect()}
+    assert kept(50) == {i for i in range(3_000) if i % 50 != 7} and len(kept(60)) == 3_000
+
+
 # shards
 
 
