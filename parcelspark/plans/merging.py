@@ -105,30 +105,55 @@ def w10_sections(spark, d):
     return table(spark, d, "brochures").select("doc_id", F.size(sections(F.col("text"))).cast("long").alias("labels"))
 
 
-@query()
+# plan by plan over the rows of its document that are still free
+_LINKED = """, RECURSIVE k AS (SELECT doc_id, seq, bedrooms, CASE WHEN unit_type LIKE 'Studio%' THEN 'studio' ELSE regexp_extract(unit_type, '^([0-9]+)', 1) || 'br' END AS bed, lower(regexp_extract(unit_type, 'Type ([A-Z][0-9]*)', 1)) AS sub FROM plans),
+f AS (SELECT s.doc_id, list({'row_no': s.row_no, 'beds': s.bedrooms, 'bed': CASE WHEN s.unit_type LIKE 'Studio%' THEN 'studio' ELSE regexp_extract(s.unit_type, '^([0-9]+)', 1) || 'br' END, 'sub': lower(regexp_extract(s.unit_type, 'Type ([A-Z][0-9]*)', 1))} ORDER BY s.row_no) AS free FROM specs s GROUP BY s.doc_id),
+l AS (SELECT doc_id, -1::BIGINT AS seq, NULL::BIGINT AS row_no, free FROM f
+UNION ALL SELECT doc_id, seq, hit, list_filter(free, lambda x: hit IS NULL OR x.row_no <> hit) FROM (SELECT k.doc_id, k.seq, l.free, CASE WHEN k.bed IS NOT NULL THEN coalesce(list_filter(l.free, lambda x: k.sub <> '' AND x.bed = k.bed AND x.sub = k.sub)[1].row_no, list_filter(l.free, lambda x: x.bed = k.bed)[1].row_no, list_filter(l.free, lambda x: x.beds = k.bedrooms)[1].row_no) END AS hit FROM l JOIN k ON k.doc_id = l.doc_id AND k.seq = l.seq + 1))"""
+
+
+@query("plans specs", _LINKED + " SELECT doc_id, seq::INT AS seq, row_no FROM l WHERE seq >= 0")
 def j08_linked_plans(spark, d):
     return L.link_plans(table(spark, d, "plans"), table(spark, d, "specs"))
 
 
-@query()
+@query("plans specs", _LINKED + """, p AS (SELECT p.*, l.row_no AS hit FROM plans p JOIN l USING (doc_id, seq))
+SELECT coalesce(p.doc_id, s.doc_id) AS doc_id, p.seq::INT AS seq, coalesce(p.hit, s.row_no) AS row_no, coalesce(p.unit_type, s.unit_type) AS unit_type, coalesce(nullif(s.total_sqft, 0), p.total_sqft) AS total_sqft, coalesce(nullif(s.balcony_sqft, 0), p.balcony_sqft) AS balcony_sqft,
+CASE WHEN p.doc_id IS NULL THEN 0.95 WHEN coalesce(nullif(s.total_sqft, 0), nullif(s.balcony_sqft, 0)) IS NOT NULL THEN 0.99 ELSE p.confidence END::DOUBLE AS confidence FROM p FULL JOIN specs s ON s.doc_id = p.doc_id AND s.row_no = p.hit""")
 def j09_linked_areas(spark, d):
     p, s = table(spark, d, "plans"), table(spark, d, "specs")
     return L.linked_areas(p, s, L.link_plans(p, s))
 
 
-@query()
+# box by box, first for equal labels and then for contained ones; what is left is matched in order
+@query("plans images", """, RECURSIVE b AS (SELECT doc_id, list({'no': seq, 'label': lower(CASE WHEN image_id % 2 = 0 THEN 'Studio' ELSE alt_text END)} ORDER BY width % 100, seq) AS boxes FROM images WHERE category = 'floor_plan' GROUP BY doc_id),
+p AS (SELECT doc_id, list({'seq': seq, 'label': lower(coalesce(unit_type, ''))} ORDER BY seq) AS plans FROM plans GROUP BY doc_id),
+s AS (SELECT doc_id, boxes, 0::BIGINT AS m, coalesce(plans, CAST([] AS STRUCT(seq BIGINT, label VARCHAR)[])) AS free, CAST([] AS STRUCT(no BIGINT, seq BIGINT)[]) AS found FROM b LEFT JOIN p USING (doc_id)
+UNION ALL SELECT doc_id, boxes, m, list_filter(free, lambda x: hit IS NULL OR x.seq <> hit), CASE WHEN hit IS NULL THEN found ELSE list_append(found, {'no': box.no, 'seq': hit}) END
+FROM (SELECT *, CASE WHEN box.label <> '' AND NOT list_contains(list_transform(found, lambda y: y.no), box.no) THEN list_filter(free, lambda x: x.label <> '' AND CASE WHEN m <= len(boxes) THEN x.label = box.label ELSE contains(x.label, box.label) OR contains(box.label, x.label) END)[1].seq END AS hit
+FROM (SELECT doc_id, boxes, m + 1 AS m, free, found, boxes[m % len(boxes) + 1] AS box FROM s WHERE m < 2 * len(boxes)))),
+u AS (SELECT doc_id, free, found, unnest(boxes).no AS no, generate_subscripts(boxes, 1) AS place FROM s WHERE m = 2 * len(boxes)), v AS (SELECT *, list_filter(found, lambda y: y.no = no)[1].seq AS hit FROM u)
+SELECT doc_id, no::INT AS box_no, coalesce(hit, free[row_number() OVER (PARTITION BY doc_id, hit IS NULL ORDER BY place)].seq)::INT AS seq FROM v""")
 def j11_box_matches(spark, d):
     i = table(spark, d, "images").where("category = 'floor_plan'")
     boxes = i.select("doc_id", F.col("seq").cast("int").alias("box_no"), F.when(F.col("image_id") % 2 == 0, "Studio").otherwise(F.col("alt_text")).alias("label"), (F.col("width") % 100).alias("x"))
     return L.box_matches(boxes, table(spark, d, "plans"))
 
 
-@query()
+def _led(where: str, order: str, threshold: float) -> str:
+    """SQL: image by image of each document, with the hashes that are known so far."""
+    return f""", RECURSIVE o AS (SELECT doc_id, image_id, phash, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS n FROM images WHERE {where}),
+s AS (SELECT doc_id, 0::BIGINT AS n, NULL::BIGINT AS image_id, NULL::BIGINT AS duplicate_of, CAST([] AS STRUCT(i BIGINT, h BIGINT)[]) AS known FROM (SELECT DISTINCT doc_id FROM o)
+UNION ALL SELECT doc_id, n, image_id, hit, CASE WHEN phash IS NULL OR hit IS NOT NULL THEN known ELSE list_append(known, {{'i': image_id, 'h': phash}}) END
+FROM (SELECT o.*, s.known, CASE WHEN o.phash IS NOT NULL THEN list_filter(s.known, lambda k: 1 - bit_count(xor(k.h, o.phash)) / 64.0 >= {threshold})[1].i END AS hit FROM s JOIN o ON o.doc_id = s.doc_id AND o.n = s.n + 1))"""
+
+
+@query("images", _led("true", "seq, image_id", 0.9) + " SELECT doc_id, image_id, duplicate_of FROM s WHERE n > 0")
 def d01_leader_duplicates(spark, d):
     return L.leader_duplicates(table(spark, d, "images"), 0.9, ["seq", "image_id"])
 
 
-@query()
+@query("images", _led("category <> 'other'", "source = 'page_render', seq, image_id", 0.95) + " SELECT doc_id, count(*) AS images, count(duplicate_of) AS duplicates FROM s WHERE n > 0 GROUP BY doc_id")
 def d02_classification_fold(spark, d):
     """Images but others, embedded ones before renders, at the stricter threshold; with counts."""
     i = table(spark, d, "images").where("category <> 'other'").withColumn("late", (F.col("source") == "page_render").cast("int"))

@@ -104,12 +104,24 @@ def _requests(spark, d):
     return r.select(L.key_of(F.when(F.col("user_id") % 4 > 0, F.col("user_id") % 3), F.col("forwarded"), F.col("peer"), F.col("rule")).alias("key"), "seq", F.floor(F.col("ts_us") / 6000).alias("ts_us"))
 
 
-@query()
+def _decided(rows: str) -> str:
+    """SQL: request by request of each key, with the log of what was let through, for 10 in 60 seconds."""
+    return f""", RECURSIVE r AS ({rows}), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_us, seq) AS n FROM r),
+s AS (SELECT key, n, seq, ts_us, false AS limited, 9::INT AS remaining, 60::INT AS reset, [ts_us] AS log FROM o WHERE n = 1
+UNION ALL SELECT key, n, seq, ts_us, len(alive) >= 10, greatest(9 - len(alive), 0)::INT, CASE WHEN len(alive) >= 10 THEN greatest(CAST(trunc((list_min(alive) + 60000000 - ts_us) / 1e6) AS INT), 1) ELSE 60 END, CASE WHEN len(alive) >= 10 THEN alive ELSE list_append(alive, ts_us) END
+FROM (SELECT o.*, list_filter(s.log, lambda t: t > o.ts_us - 60000000) AS alive FROM s JOIN o ON o.key = s.key AND o.n = s.n + 1))
+SELECT key, seq, ts_us, limited, remaining, reset FROM s"""
+
+
+_RULE = "CASE WHEN path LIKE '/api/v1/auth%' THEN '/api/v1/auth' WHEN path LIKE '/api/v1/upload%' THEN '/api/v1/upload' WHEN path = '/api/v1/projects' THEN '/api/v1/projects' ELSE 'default' END"
+
+
+@query("requests", _decided(f"SELECT CASE WHEN user_id % 4 > 0 THEN concat('user:', user_id % 3) ELSE concat('ip:', coalesce(forwarded, peer)) END || ':' || {_RULE} AS key, seq, ts_us // 6000 AS ts_us FROM requests"))
 def t01_rate_limit(spark, d):
     return L.limited(_requests(spark, d), 10, 60)
 
 
-@query()
+@query("requests", _decided("SELECT concat('u', user_id) AS key, seq, ts_us // 6000 AS ts_us FROM requests"))
 def t01_rate_limit_stream(spark, d):
     """The same decisions from a stream of the request files."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema

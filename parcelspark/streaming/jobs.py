@@ -29,6 +29,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's tables where driver and executors share one; a temporary one only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}" if found else "file://" + tempfile.mkdtemp(prefix=f"{name}-")
+    """A new folder for tables that driver and executors share. A temporary one where none is set and all run in one
+    process; on a cluster without one that raises, as each executor would write to its own disk."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix=f"{name}-")

@@ -42,7 +42,7 @@ def test_against_sql(spark, sql, name):
 
 
 def test_without_sql_are_few():
-    assert len(registry.QUERIES) - len(registry.ORACLE_SQL) <= 10
+    assert len(registry.QUERIES) - len(registry.ORACLE_SQL) <= 3
 
 
 def parts(label):
