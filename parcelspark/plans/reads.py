@@ -420,7 +420,7 @@ def _raw_tables(spark, d):
     return table(spark, d, "part").select(F.floor(F.col("p_partkey") / 10).alias("doc_id"), (F.col("p_partkey") % 10).cast("int").alias("page_no"), F.lit(0).alias("table_no"), cells.alias("cells"))
 
 
-@query("", """SELECT p_partkey // 10 AS doc_id, count(*) AS tables, count(CASE WHEN p_partkey % 5 IN (0, 3, 4) THEN 1 END) AS plans, coalesce(sum(CASE p_partkey % 5 WHEN 3 THEN p_size WHEN 4 THEN round_even(p_size * 10.764, 1) END), 0)::DOUBLE AS total,
+@query("", """SELECT p_partkey // 10 AS doc_id, count(*) AS tables, count(CASE WHEN p_partkey % 5 IN (0, 3, 4) THEN 1 END) AS plans, round(coalesce(sum(CASE p_partkey % 5 WHEN 3 THEN p_size WHEN 4 THEN round_even(p_size * 10.764, 1) END), 0)::DOUBLE, 6) AS total,
 coalesce(sum(CASE WHEN p_partkey % 5 = 0 THEN 1000 + p_size END), 0)::DOUBLE AS suite, arg_min(concat(p_size, '%'), p_partkey) FILTER (p_partkey % 5 = 1) AS down, arg_min(concat(p_size, ' %'), p_partkey) FILTER (p_partkey % 5 = 1) AS on_handover FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1""")
 def s08_table_scan(spark, d):
     from ..operators.tables import document_tables
