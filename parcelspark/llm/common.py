@@ -72,11 +72,16 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, df._parcelspark_path)
 
 
-def cleared(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes all tables of written() in this context but that of `keep`: for when results are stored elsewhere."""
-    for path in list(_tables(spark)):
-        if path != getattr(keep, "_parcelspark_path", None):
-            _delete(spark, path)
+def tables(spark: SparkSession) -> set[str]:
+    """The tables of written() in this context that are there now."""
+    return {*_tables(spark)}
+
+
+def cleared(spark: SparkSession, keep: DataFrame | None = None, older: set[str] = frozenset()) -> None:
+    """Deletes the tables of written() in this context but that of `keep` and the `older` ones: for when results that are
+    read from them are stored elsewhere."""
+    for path in tables(spark) - older - {getattr(keep, "_parcelspark_path", None)}:
+        _delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

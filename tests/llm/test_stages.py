@@ -325,8 +325,11 @@ def test_neighbours_of_repeated_and_odd_rows(shipped):
 
 
 def test_tables_are_cleared(shipped, odd_docs):
+    older = common.written(odd_docs, "older")
+    before = common.tables(shipped)
     one, two = common.written(odd_docs, "one"), common.written(odd_docs, "two")
     common.forget(one)
-    assert two.count() == len(ROWS) and one._parcelspark_path not in common._tables(shipped)
-    common.cleared(shipped, keep=two)
-    assert common._tables(shipped) == [two._parcelspark_path] and two.count() == len(ROWS)
+    assert one._parcelspark_path not in common.tables(shipped) and two.count() == len(ROWS)
+    three = common.written(odd_docs, "three")
+    common.cleared(shipped, keep=three, older=before)
+    assert common.tables(shipped) == before | {three._parcelspark_path} and older.count() == three.count() == len(ROWS)
