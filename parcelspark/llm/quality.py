@@ -115,28 +115,75 @@ def tree_rules(root) -> set[tuple[Test, ...]]:
     return rules
 
 
+def lasso(hits: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40, sweeps: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the mean logistic loss plus penalty times the weights' absolute sum.
+
+    Rows with the same hits are added up first; then Newton steps, each solved by coordinate descent, with halved steps
+    where the loss would rise.
+    """
+    patterns, of = np.unique(hits, axis=0, return_inverse=True)
+    n = np.bincount(of.ravel(), minlength=len(patterns)).astype(float)
+    ones = np.bincount(of.ravel(), weights=y, minlength=len(patterns))
+    a, total = np.hstack([np.ones((len(patterns), 1)), patterns.astype(float)]), n.sum()
+    cost = np.full(a.shape[1], penalty)
+    cost[0] = 0.0
+
+    def loss(x: np.ndarray) -> float:
+        z = a @ x
+        return float((n @ np.logaddexp(0, z) - ones @ z) / total + cost @ np.abs(x))
+
+    x = np.zeros(a.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ x, -30, 30)))
+        g = a.T @ (n * p - ones) / total
+        h = (a * (n * np.maximum(p * (1 - p), 1e-6) / total)[:, None]).T @ a
+        goal, slope, curve = x.copy(), g.copy(), np.diag(h)
+        for _ in range(sweeps):
+            most = 0.0
+            for j in np.flatnonzero(curve > 1e-12).tolist():
+                v = goal[j] - slope[j] / curve[j]
+                new = np.sign(v) * max(abs(v) - cost[j] / curve[j], 0.0)
+                if new != goal[j]:
+                    most = max(most, abs(new - goal[j]))
+                    slope += h[:, j] * (new - goal[j])
+                    goal[j] = new
+            if most < 1e-6:
+                break
+        part, before = 1.0, loss(x)
+        while part > 1e-4 and loss(x + part * (goal - x)) > before:
+            part /= 2
+        x = x + part * (goal - x)
+        if before - loss(x) < 1e-9:
+            break
+    return x[1:], float(x[0])
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, trees: int = 12, depth: int = 4, penalty: float = 0.0008, seed: int = 5) -> RuleModel:
-    """A rule ensemble from at most about `most` labelled rows; with one class only, or none, a constant."""
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    """A rule ensemble from at most about `most` labelled rows; with one class only, or none, a constant.
+
+    The forest is grown by Spark; the weights are found from the sample's statistics, a few numbers for each of its rows.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     sample = with_statistics(labelled_sample(docs, labels, "quality", most)).drop("text").repartition(PARTS).persist()  # small rows: many tasks would only cost their start
-    n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    rows = np.asarray(sample.select("label", *STATISTICS).collect(), float).reshape(-1, 1 + len(STATISTICS))  # bounded by `most`
+    y, n, ones = rows[:, 0], len(rows), float(rows[:, 0].sum())
+    constant = RuleModel([], [], math.log((ones + 1) / (n - ones + 1)))
     if ones in (0, n):
         sample.unpersist()
-        return RuleModel([], [], math.log((ones + 1) / (n - ones + 1)))
+        return constant
     features = array_to_vector(F.array(*STATISTICS)).alias("features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, seed=seed, featureSubsetStrategy="onethird").fit(sample.select("label", features))
+    sample.unpersist()
     rules = sorted(set().union(*(tree_rules(t._call_java("rootNode")) for t in forest.trees)))
     if not rules:
-        sample.unpersist()
-        return RuleModel([], [], math.log((ones + 1) / (n - ones + 1)))
-    hits = sample.select("label", array_to_vector(F.array(*(holds(r).cast("double") for r in rules))).alias("features")).persist()
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(hits)
-    hits.unpersist()
-    sample.unpersist()
-    kept = [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray()) if abs(w) > 1e-6]
-    return RuleModel([r for r, _ in kept], [w for _, w in kept], float(lasso.intercept))
+        return constant
+    values = dict(zip(STATISTICS, rows[:, 1:].T))
+    hits = np.stack([np.all([values[s] <= t if op == "<=" else values[s] > t for s, op, t in r], axis=0) for r in rules], axis=1)
+    weights, bias = lasso(hits, y, penalty)
+    kept = [(r, float(w)) for r, w in zip(rules, weights) if abs(w) > 1e-6]
+    return RuleModel([r for r, _ in kept], [w for _, w in kept], bias)
 
 
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:

@@ -96,6 +96,19 @@ def test_rules_and_their_column_agree(shipped, odd_docs):
     assert 3 <= len(model.rules) and all(w for w in model.weights)
 
 
+def test_lasso_is_at_its_minimum():
+    """At the minimum the loss's slope is the penalty where a weight isn't zero, and no more than it elsewhere."""
+    rng = np.random.default_rng(3)
+    hits = rng.random((2_000, 12)) < 0.4
+    y = (rng.random(2_000) < 1 / (1 + np.exp(-(2.0 * hits[:, 0] - 1.5 * hits[:, 3] - 0.2)))).astype(float)
+    w, b = quality.lasso(hits, y, 0.01)
+    p = 1 / (1 + np.exp(-(hits @ w + b)))
+    slope = hits.T @ (p - y) / len(y)
+    assert abs((p - y).mean()) < 1e-5
+    assert np.allclose(slope[w != 0], -0.01 * np.sign(w[w != 0]), atol=1e-5) and (np.abs(slope[w == 0]) <= 0.01 + 1e-5).all()
+    assert w[0] > 1 and w[3] < -0.7 and (w == 0).sum() >= 6
+
+
 # stages
 
 
@@ -222,6 +235,14 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_store_of_clashing_columns(shipped, odd_docs, clashing_docs, tmp_path):
+    p, rows = public_tokenizers.path("byte_bpe_50k.json"), []
+    for name, docs in (("odd", odd_docs), ("clashing", clashing_docs)):
+        tokenstore.write_store(docs, f"file://{tmp_path}/{name}", p, end_id=0, block_ids=1000)
+        rows.append(plain(tokenstore.read_store(shipped, f"file://{tmp_path}/{name}").collect()))
+    assert rows[0] == rows[1] and sum(rows[0].values()) == len(ROWS)
+
+
 # mixing
 
 
