@@ -116,7 +116,8 @@ def limited_stream(requests: DataFrame, limit: int, window_seconds: int, folder:
 
     Each micro-batch is sorted as in batch, so a task holds a batch of rows and one log; a key's log is its state, kept
     with the batch's decisions, and dropped when its newest request lies keep_seconds (the window at least) before the
-    oldest request of a batch. A batch that is run again overwrites what it left. A new run on the folder goes on where the last ended.
+    oldest request of a batch. A request that
+    comes in a later batch than a younger one of its key is decided after that one. A batch that is run again overwrites what it left. A new run on the folder goes on where the last ended.
     """
     spark = requests.sparkSession
     path = lambda n: f"{folder}/decided/batch={n}"

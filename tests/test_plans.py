@@ -1,0 +1,38 @@
+"""Plans of the registered queries: no products of tables, filters and columns reach the scan, Python only where it must run."""
+
+import pytest
+
+from parcelspark.plans import registry
+
+SF = "/root/testdata/sf0.001"
+#: Joins with one row or a short fixed list, which Spark broadcasts: each side of these is bounded whatever the tables hold.
+ONE_ROW = {"a04_zero_filled_counts"}
+#: Decisions that depend on order, and letters that no expression folds.
+PYTHON = {"j08_linked_plans", "j09_linked_areas", "j11_box_matches", "d01_leader_duplicates", "d02_classification_fold", "d05_folded_slug", "t01_rate_limit"}
+
+
+@pytest.fixture(scope="module")
+def plans(spark):
+    return {n: f(spark, SF)._jdf.queryExecution().executedPlan().toString() for n, f in registry.QUERIES.items() if n not in ("t01_rate_limit_stream",)}
+
+
+def test_no_products(plans):
+    assert not [n for n, p in plans.items() if "CartesianProduct" in p]
+
+
+def test_python_only_where_order_decides(plans):
+    assert {n for n, p in plans.items() if "MapInArrow" in p or "MapInPandas" in p or "ArrowEvalPython" in p or "BatchEvalPython" in p} <= PYTHON
+
+
+def test_nothing_is_collected_for_a_plan(plans):
+    assert not [n for n, p in plans.items() if "LocalTableScan" in p and n not in ONE_ROW and "Join" not in p and "Union" not in p and "FileScan" not in p and "Scan parquet" not in p and n not in ("s11_file_listing",)]
+
+
+@pytest.mark.parametrize("name, pushed, columns", [
+    ("a05_filtered_count", "EqualTo(event_type,error)", "event_type"),
+    ("p09_stale_jobs", "event_type", "event_id"),
+])
+def test_filters_and_columns_reach_the_scan(plans, name, pushed, columns):
+    p = plans[name]
+    assert columns in p[p.index("ReadSchema") :] and "props" not in p[p.index("ReadSchema") :].split("\n")[0]
+    assert pushed in p
