@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, GAP, table, written
+from .common import DOCUMENT_COLUMNS, GAP, WORD, table, written
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: A line goes where over LIMIT_PERCENT of the host's documents, and over LEAST_DOCS of them, hold it, or over MOST_DOCS
@@ -25,7 +25,7 @@ def _long(c: Column) -> Column:
 
 def _normal(line: Column) -> Column:
     """Without case, outer blanks and lengths of gaps; any digit is 0."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, GAP, " "), "[0-9]", "0")))
+    return F.lower(F.trim(F.translate(F.regexp_replace(line, GAP, " "), "123456789", "000000000")))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         _long(F.length(F.translate("text", SPACES, ""))).alias("word_chars"),
         _long(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
         _long(F.size("full") - F.size(F.array_distinct("full"))).alias("n_dup_lines"),
-        F.sort_array(F.transform("full", lambda x: F.struct(F.xxhash64(_normal(x)).alias("hash"), F.size(words(x)).alias("words")))).alias("sorted_lines"),
+        F.sort_array(F.transform("full", lambda x: F.struct(F.xxhash64(_normal(x)).alias("hash"), F.regexp_count(x, F.lit(WORD)).alias("words")))).alias("sorted_lines"),
     )
     h = F.col("hashes")
     window = lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2])
