@@ -7,16 +7,17 @@ overlaps), and a subtree is left where the overlap so far and what remains of ei
 
 How the work stays small without losing a link:
 - Equal sets are one class from the start; one document stands for it.
-- In any order two linked sets share `l` n-grams among the first n - ceil(limit * n) + l, so by order of hashes a fifth of
-  each set is counted first; sets too few of whose n-grams occur elsewhere have no links and go. Only what is left
-  is counted and ordered as a whole.
-- A list is compared in chunks of bounded size. Each set visits two of its lists first, of which a spanning forest of
-  links is kept; with connected components known, only lists that several components share are gone through in full.
+- In any order two linked sets share `l` n-grams among the first n - ceil(limit * n) + l. So a fifth of each set by order of
+  hashes is counted first, and sets too few of whose n-grams occur elsewhere go. Only what is left is ordered.
+- Lists hold no whole sets, but the beginnings in which two linked sets share `l` n-grams. The tries of these give
+  candidates, whose whole sets are compared in a second trie.
+- A list is compared in chunks of bounded size. Each set is in its two largest lists first, of which a spanning forest of
+  links is kept; with connected components known, all lists follow, but pairs within a component are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -33,7 +34,7 @@ PERCENT, WIDTH = 85, 4
 CHUNK, CHUNK_KEYS = 256, 1 << 21
 #: Visitors of a chunk that go down its trie together, and the n-grams these may have.
 PART, PART_KEYS = 256, 1 << 21
-#: Lists that a set visits before components are known.
+#: Lists that a set is compared in before components are known.
 FIRST_LISTS = 2
 #: Bits of an n-gram's hash in a key of the global order; above them stands the class of its frequency (up to 31).
 KEY_BITS = 58
@@ -151,8 +152,8 @@ class Trie:
                 cuts = [lo, *(lo + 1 + np.flatnonzero(self.shared[lo + 1 : hi] == end)).tolist(), hi]
                 waiting += [(x, y, end, at) for x, y in zip(cuts, cuts[1:])]
 
-    def search(self, asks: list[np.ndarray], ask_sizes: np.ndarray, percent: int, before: int = 1) -> Iterator[tuple[int, int]]:
-        """(ask, array) of each pair with a similarity of percent or more, where `before` keys are common besides."""
+    def search(self, asks: list[np.ndarray], ask_sizes: np.ndarray, need: Callable[[np.ndarray, int], np.ndarray]) -> Iterator[tuple[int, int]]:
+        """(ask, array) of each pair that has as many keys in common as it needs, given the asks' sizes and the least below."""
         if not self.arrays or not asks:
             return
         owner = np.repeat(np.arange(len(asks)), [len(x) for x in asks])
@@ -161,7 +162,7 @@ class Trie:
         values, owner = values[order], owner[order]
         lasts = np.asarray([self.arrays[lo][end - 1] if end else -1 for lo, _, _, end in self.nodes])
         left = np.stack([len(x) - np.searchsorted(x, lasts, side="right") for x in asks], 1)  # node, ask: keys after the node's end
-        waiting = [(0, np.full(len(asks), before, np.int64), np.ones(len(asks), bool))]
+        waiting = [(0, np.zeros(len(asks), np.int64), np.ones(len(asks), bool))]
         while waiting:
             at, overlap, active = waiting.pop()
             lo, hi, depth, end = self.nodes[at]
@@ -173,69 +174,138 @@ class Trie:
                     hits = owner[np.repeat(start - np.cumsum(m) + m, m) + np.arange(total)]
                     overlap = overlap + np.bincount(hits, minlength=len(asks))
             remaining = np.minimum(left[at], int(self.lengths[lo:hi].max()) - end)
-            active = active & ((100 + percent) * (overlap + remaining) >= percent * (ask_sizes + int(self.sizes[lo:hi].min())))
+            active = active & (overlap + remaining >= need(ask_sizes, int(self.sizes[lo:hi].min())))
             if not active.any():
                 continue
             if hi - lo == 1:
-                for q in np.flatnonzero(active & ((100 + percent) * overlap >= percent * (ask_sizes + int(self.sizes[lo])))).tolist():
+                for q in np.flatnonzero(active).tolist():
                     yield q, self.order[lo]
                 continue
             waiting += [(child, overlap, active) for child in self.children[at]]
 
 
-def _visits(lists: DataFrame, ordered: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """key, chunk, asks, rep, comp, n, keys: the members of each chunk of each list, and those who visit it, with their keys
-    after the list's own.
+def _lists(ordered: DataFrame, percent: int) -> DataFrame:
+    """row, rep, n, key, members, begin: a row for each list of a set that others are in too. begin: what follows the list's
+    key in the set's beginning, in which two linked sets share l keys; of each key the upper half."""
+    beginning = F.slice("keys", F.lit(1), (F.col("listed") + _least(F.col("n"), percent) - 1).cast("int"))
+    upper = F.transform(beginning, lambda k: F.shiftright(k, 32).cast("int"))
+    places = ordered.select("row", "rep", "n", upper.alias("begin"), F.posexplode(F.slice("keys", F.lit(1), F.col("listed"))).alias("at", "key"))
+    lists = places.select("row", "rep", "n", "key", F.slice("begin", F.col("at") + 2, F.size("begin")).alias("begin"))
+    members = ordered.select(F.explode(F.slice("keys", F.lit(1), F.col("listed"))).alias("key")).groupBy("key").agg(F.count("*").alias("members"))
+    return lists.join(members.where("members > 1"), "key")
+
+
+def _largest(lists: DataFrame) -> DataFrame:
+    """The FIRST_LISTS largest lists of each set; sets of a group have them in common."""
+    best = lists.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct("members", "key")), False), 1, FIRST_LISTS).alias("best"))
+    return lists.join(best.select("row", F.explode("best.key").alias("key")), ["row", "key"])
+
+
+def _visits(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """key, chunk, asks, row, comp, n, begin: the members of each chunk of each list, and those who visit it.
 
     Without roots the members of a list's first chunk visit all its chunks. With roots only lists of several components are
     left, and all members outside the largest component visit all chunks.
     """
     if roots is None:
         lists = lists.withColumn("comp", F.col("rep"))
-        sizes = lists.groupBy("key").agg(F.count("*").alias("members"), F.sum("after").alias("total"), F.lit(None).cast("long").alias("largest")).where("members > 1")
+        sizes = lists.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.lit(None).cast("long").alias("largest")).where("members > 1")
     else:
         lists = lists.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-        of = lists.groupBy("key", "comp").agg(F.count("*").alias("members"), F.sum("after").alias("total"))
+        of = lists.groupBy("key", "comp").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
         sizes = of.groupBy("key").agg(F.max(F.struct("members", "comp"))["comp"].alias("largest"), F.sum("members").alias("members"), F.sum("total").alias("total"), F.count("*").alias("comps")).where("comps > 1")
     chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("total") / CHUNK_KEYS)).cast("int")
-    some = lists.join(sizes.select("key", "largest", chunks.alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+    some = lists.drop("members").join(sizes.select("key", "largest", chunks.alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     visits = (F.col("chunk") == 0) if roots is None else (F.col("comp") != F.col("largest"))
-    here = F.array(F.struct("chunk", F.lit(0).alias("asks")))
-    there = F.when(visits, F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(1).alias("asks")))).otherwise(F.array().cast("array<struct<chunk:int,asks:int>>"))
-    some = some.join(ordered.select("row", "keys"), "row")
-    some = some.select("key", "rep", "comp", "n", F.slice("keys", F.col("at") + 2, F.greatest(F.col("after"), F.lit(0))).alias("keys"), F.explode(F.concat(here, there)).alias("place"))
-    return some.select("key", "place.chunk", "place.asks", "rep", "comp", "n", "keys")
+    # asks: 0 a member, 1 a visitor, 2 both
+    here = F.array(F.struct("chunk", F.when(visits, 2).otherwise(0).alias("asks")))
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))
+    there = F.when(visits, F.transform(others, lambda c: F.struct(c.alias("chunk"), F.lit(1).alias("asks")))).otherwise(F.array().cast("array<struct<chunk:int,asks:int>>"))
+    some = some.select("key", "row", "rep", "comp", "n", "begin", F.explode(F.concat(here, there)).alias("place"))
+    return some.select("key", "place.chunk", "place.asks", "row", "rep", "comp", "n", "begin")
 
 
-def _links(visits: DataFrame, percent: int) -> DataFrame:
-    """a, b: links among the members and visitors of each chunk; of those that join what is joined already none."""
+def _found(rows: DataFrame, keys: str, need: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator:
+    """A function over sorted batches of rows: for each chunk its (key, chunk) and an iterator of the pairs found, as a
+    visitor's and a member's (asks, row, rep, comp, n)."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            lists = b["keys"]
+            lists = b[keys]
             values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy(zero_copy_only=False)]))
-            keys = [values[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield from zip(b["key"].to_pylist(), b["chunk"].to_pylist(), b["asks"].to_pylist(), b["rep"].to_pylist(), b["comp"].to_pylist(), b["n"].to_pylist(), keys)
+            arrays = [values[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield from zip(*(b[c].to_pylist() for c in ("key", "chunk", "asks", "row", "rep", "comp", "n")), arrays)
+
+    def pairs(group: Iterator[tuple]) -> Iterator[tuple[tuple, tuple]]:
+        held, asks = [], []
+        size, trie = 0, None
+
+        def search() -> Iterator[tuple[tuple, tuple]]:
+            nonlocal trie
+            if trie is None:  # members come before visitors
+                trie = Trie([r[7] for r in held], np.asarray([r[6] for r in held], np.int64))
+            for i, j in trie.search([r[7] for r in asks], np.asarray([r[6] for r in asks], np.int64), need):
+                yield asks[i][2:7], held[j][2:7]
 
-    def parts(group: Iterator[tuple], held: list[tuple]) -> Iterator[list[tuple]]:
-        part, size = [], 0
         for r in group:
-            if not r[2]:
-                held.append(r[3:])
-                continue
-            part.append(r[3:])
-            size += len(r[6])
-            if len(part) == PART or size > PART_KEYS:
-                yield part
-                part, size = [], 0
-        if part:
-            yield part
+            if r[2] != 1:
+                held.append(r)
+            if r[2] and held:
+                asks.append(r)
+                size += len(r[7])
+            if r[2] == 1 and (len(asks) >= PART or size > PART_KEYS):
+                yield from search()
+                asks, size = [], 0
+        if asks:
+            yield from search()
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[tuple[tuple, tuple]]]]:
+        for at, group in groupby(read(batches), lambda r: r[:2]):
+            yield at, pairs(group)
+
+    return chunks
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Chunks in one task each, those who only visit last."""
+    return rows.repartition(partitions(rows.sparkSession), "key", "chunk").sortWithinPartitions("key", "chunk", F.col("asks") == 1)
+
+
+def _candidates(visits: DataFrame, percent: int) -> DataFrame:
+    """key, chunk, asks, row, comp of the members and visitors of a chunk that share l keys with one of another component."""
+
+    def need(sizes: np.ndarray, least: int) -> np.ndarray:
+        return np.minimum(_least(sizes, percent), _least(least, percent)) - 1  # the list's key is common
+
+    chunks = _found(visits, "begin", need)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, chunk), pairs in chunks(batches):
+            hits: set[tuple] = set()
+            for visitor, member in pairs:
+                (*_, comp, n), (*_, its_comp, its_n) = visitor, member
+                if comp != its_comp and 100 * min(n, its_n) >= percent * max(n, its_n):
+                    hits.update((visitor, member))
+            if hits:
+                k, (asks, row, rep, comp, _) = len(hits), zip(*hits)
+                columns = [pa.array([key] * k, pa.int64()), pa.array([chunk] * k, pa.int32()), pa.array(asks, pa.int32()), *(pa.array(x, pa.int64()) for x in (row, rep, comp))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "chunk", "asks", "row", "rep", "comp"])
+
+    return _dealt(visits).mapInArrow(found, "key long, chunk int, asks int, row long, rep long, comp long")
+
+
+def _links(candidates: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """a, b: links among the candidates of each chunk, on whole sets; of those that join what is joined already none."""
+
+    def need(sizes: np.ndarray, least: int) -> np.ndarray:
+        return -(-percent * (sizes + least) // (100 + percent))
+
+    chunks = _found(candidates, "keys", need)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in groupby(rows(batches), lambda r: r[:2]):
-            held: list[tuple] = []
+        for _, pairs in chunks(batches):
             label: dict[int, int] = {}
-            trie, a, b = None, [], []
+            a, b = [], []
 
             def root(x: int) -> int:
                 while label.setdefault(x, x) != x:
@@ -243,25 +313,17 @@ def _links(visits: DataFrame, percent: int) -> DataFrame:
                     x = label[x]
                 return x
 
-            for part in parts(group, held):
-                if not held:
-                    continue
-                if trie is None:  # members come before visitors
-                    trie = Trie([r[3] for r in held], np.asarray([r[2] for r in held], np.int64))
-                for i, j in trie.search([r[3] for r in part], np.asarray([r[2] for r in part], np.int64), percent):
-                    (x, x_comp), (y, y_comp) = part[i][:2], held[j][:2]
-                    if x_comp == y_comp:
-                        continue
-                    u, v = root(x_comp), root(y_comp)
-                    if u != v:
-                        label[max(u, v)] = min(u, v)
-                        a.append(x)
-                        b.append(y)
+            for (_, _, rep, comp, _), (_, _, its_rep, its_comp, _) in pairs:
+                u, v = root(comp), root(its_comp)
+                if u != v:
+                    label[max(u, v)] = min(u, v)
+                    a.append(rep)
+                    b.append(its_rep)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = visits.repartition(partitions(visits.sparkSession), "key", "chunk").sortWithinPartitions("key", "chunk", "asks")
-    return dealt.mapInArrow(linked, "a long, b long")
+    full = candidates.join(ordered.select("row", "n", "keys"), "row").select("key", "chunk", "asks", "row", "rep", "comp", "n", "keys")
+    return _dealt(full).mapInArrow(linked, "a long, b long")
 
 
 def similarity_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -284,16 +346,11 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, width: int =
     left = full_sets(docs.join(some.hint("merge"), "doc_id", "left_semi"), width)
     sets = written(left.where("octet_length(set) > 0").withColumn("row", F.monotonically_increasing_id()), "sets")
     ordered = written(ordered_sets(sets, percent), "ordered")
-    begin = F.slice("keys", F.lit(1), F.col("listed"))
-    lists = ordered.select("row", "rep", "n", F.size("keys").alias("size"), F.posexplode(begin).alias("at", "key"))
-    lists = lists.select("row", "rep", "n", "at", "key", (F.col("size") - F.col("at") - 1).alias("after"))
-    # the lists of the least hashes are the same ones for most sets of a group
-    spread = F.sort_array(F.transform(begin, lambda k, i: F.struct(F.xxhash64(k).alias("hash"), k.alias("key"), i.alias("at"))))
-    first = ordered.select("row", "rep", "n", F.size("keys").alias("size"), F.explode(F.slice(spread, 1, FIRST_LISTS)).alias("place"))
-    first = first.select("row", "rep", "n", "place.at", "place.key", (F.col("size") - F.col("place.at") - 1).alias("after"))
-    links = written(_links(_visits(first, ordered, None), percent), "links")
+    lists = written(_lists(ordered, percent), "lists")
+    links = written(_links(_candidates(_visits(_largest(lists), None), percent), ordered, percent), "links")
     roots = components(links)
-    more = written(_links(_visits(lists, ordered, roots), percent), "links")
+    rest = written(_candidates(_visits(lists, roots), percent), "candidates")
+    more = written(_links(rest, ordered, percent), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     of_class = classes.join(roots, classes["rep"] == roots["node"], "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component"))
