@@ -9,10 +9,10 @@ How the work stays small without losing a link:
 - Equal sets are one class from the start; one document stands for it.
 - In any order two linked sets share `l` n-grams among the first n - ceil(limit * n) + l. So a fifth of each set by order of
   hashes is counted first, and sets too few of whose n-grams occur elsewhere go. Only what is left is ordered.
-- Lists hold no whole sets, but the beginnings in which two linked sets share `l` n-grams. The tries of these give
-  candidates, whose whole sets are compared in a second trie.
-- A list is compared in chunks of bounded size. Each set is in its two largest lists first, of which a spanning forest of
-  links is kept; with connected components known, all lists follow, but pairs within a component are left out.
+- Lists hold no whole sets, but the beginnings in which two linked sets share `l` n-grams, by half keys. What the tries of
+  these connect is one cluster, in which whole sets are compared in a second trie, so a whole set is moved once.
+- Lists and clusters are compared in chunks of bounded size, of which a spanning forest of pairs is kept. In long ones the
+  first chunk is compared with all others; then, with connected components known, members outside the largest one are.
 """
 
 from __future__ import annotations
@@ -26,16 +26,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, partitions, sliced, table, written
-from .neardup import components, full_sets, shingle_set
+from .common import bytes_of, forget, partitions, release, sliced, table, written
+from .neardup import components, shingle_set
 
 PERCENT, WIDTH = 85, 4
 #: Members of one chunk of a list, and about how many n-grams these may have together.
 CHUNK, CHUNK_KEYS = 256, 1 << 21
 #: Visitors of a chunk that go down its trie together, and the n-grams these may have.
 PART, PART_KEYS = 256, 1 << 21
-#: Lists that a set is compared in before components are known.
-FIRST_LISTS = 2
+#: Bits of the map that tells which documents are left.
+PLACES = 1 << 23
 #: Bits of an n-gram's hash in a key of the global order; above them stands the class of its frequency (up to 31).
 KEY_BITS = 58
 
@@ -86,6 +86,31 @@ def _survivors(reps: DataFrame, percent: int) -> DataFrame:
     return found.where(F.col("shared") >= _least(_needed(F.col("n"), percent), percent)).select("doc_id").distinct()
 
 
+def _sets(docs: DataFrame, some: DataFrame, width: int) -> DataFrame:
+    """doc_id and set (see full_sets) of the documents in `some`, and of a few others whose ids fall on the same bits.
+
+    A map of PLACES bits, of one size for any corpus, tells them, so that no text is shuffled; who comes along with them does
+    no harm. Where the ids are too many for it, all sets come along.
+    """
+    spark = docs.sparkSession
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES)) + 1
+    marks = some.select(F.bitmap_bucket_number(place("doc_id")).alias("part"), F.bitmap_bit_position(place("doc_id")).alias("bit"))
+    found = marks.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # 4 kB each, PLACES / 8 bytes in all
+    bits = spark.sparkContext.broadcast({r["part"]: bytes(r["bits"]) for r in found})
+
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            ids, sets = [], []
+            for doc_id, text, part, bit in zip(b["doc_id"].to_pylist(), bytes_of(b["text"]), b["part"].to_pylist(), b["bit"].to_pylist()):
+                if part in bits.value and bits.value[part][bit >> 3] >> (bit & 7) & 1:
+                    ids.append(doc_id)
+                    sets.append(shingle_set(text, width).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "set"])
+
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.withColumns({"part": F.bitmap_bucket_number(place("doc_id")), "bit": F.bitmap_bit_position(place("doc_id"))}).mapInArrow(computed, "doc_id long, set binary")
+
+
 def _exploded(sets: DataFrame) -> DataFrame:
     """row and value of each n-gram of each set."""
 
@@ -184,28 +209,17 @@ class Trie:
             waiting += [(child, overlap, active) for child in self.children[at]]
 
 
-def _lists(ordered: DataFrame, percent: int) -> DataFrame:
-    """row, rep, n, key, members, begin: a row for each list of a set that others are in too. begin: what follows the list's
-    key in the set's beginning, in which two linked sets share l keys; of each key the upper half."""
-    beginning = F.slice("keys", F.lit(1), (F.col("listed") + _least(F.col("n"), percent) - 1).cast("int"))
-    upper = F.transform(beginning, lambda k: F.shiftright(k, 32).cast("int"))
-    places = ordered.select("row", "rep", "n", upper.alias("begin"), F.posexplode(F.slice("keys", F.lit(1), F.col("listed"))).alias("at", "key"))
-    lists = places.select("row", "rep", "n", "key", F.slice("begin", F.col("at") + 2, F.size("begin")).alias("begin"))
-    members = ordered.select(F.explode(F.slice("keys", F.lit(1), F.col("listed"))).alias("key")).groupBy("key").agg(F.count("*").alias("members"))
-    return lists.join(members.where("members > 1"), "key")
-
-
-def _largest(lists: DataFrame) -> DataFrame:
-    """The FIRST_LISTS largest lists of each set; sets of a group have them in common."""
-    best = lists.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct("members", "key")), False), 1, FIRST_LISTS).alias("best"))
-    return lists.join(best.select("row", F.explode("best.key").alias("key")), ["row", "key"])
+def _lists(ordered: DataFrame) -> DataFrame:
+    """row, rep, n, at, key: a row for each list of a set that others are in too; at: the key's place in the set."""
+    lists = ordered.select("row", "rep", "n", F.posexplode(F.slice("keys", F.lit(1), F.col("listed"))).alias("at", "key"))
+    return lists.join(lists.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "key")
 
 
 def _visits(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """key, chunk, asks, row, comp, n, begin: the members of each chunk of each list, and those who visit it.
+    """key, chunk, asks, row, rep, comp, n, at: the members of each chunk of each list, and those who visit it.
 
-    Without roots the members of a list's first chunk visit all its chunks. With roots only lists of several components are
-    left, and all members outside the largest component visit all chunks.
+    Without roots the members of a list's first chunk visit all its chunks, so that lists of one chunk are compared whole.
+    With roots only lists of several chunks and components are left, and members outside the largest component visit all chunks.
     """
     if roots is None:
         lists = lists.withColumn("comp", F.col("rep"))
@@ -215,26 +229,26 @@ def _visits(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
         of = lists.groupBy("key", "comp").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
         sizes = of.groupBy("key").agg(F.max(F.struct("members", "comp"))["comp"].alias("largest"), F.sum("members").alias("members"), F.sum("total").alias("total"), F.count("*").alias("comps")).where("comps > 1")
     chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("total") / CHUNK_KEYS)).cast("int")
-    some = lists.drop("members").join(sizes.select("key", "largest", chunks.alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+    sizes = sizes.select("key", "largest", chunks.alias("chunks"))
+    some = lists.join(sizes if roots is None else sizes.where("chunks > 1"), "key").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     visits = (F.col("chunk") == 0) if roots is None else (F.col("comp") != F.col("largest"))
     # asks: 0 a member, 1 a visitor, 2 both
     here = F.array(F.struct("chunk", F.when(visits, 2).otherwise(0).alias("asks")))
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))
     there = F.when(visits, F.transform(others, lambda c: F.struct(c.alias("chunk"), F.lit(1).alias("asks")))).otherwise(F.array().cast("array<struct<chunk:int,asks:int>>"))
-    some = some.select("key", "row", "rep", "comp", "n", "begin", F.explode(F.concat(here, there)).alias("place"))
-    return some.select("key", "place.chunk", "place.asks", "row", "rep", "comp", "n", "begin")
+    some = some.select("key", "row", "rep", "comp", "n", "at", F.explode(F.concat(here, there)).alias("place"))
+    return some.select("key", "place.chunk", "place.asks", "row", "rep", "comp", "n", "at")
 
 
-def _found(rows: DataFrame, keys: str, need: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator:
-    """A function over sorted batches of rows: for each chunk its (key, chunk) and an iterator of the pairs found, as a
-    visitor's and a member's (asks, row, rep, comp, n)."""
+def _pairs(need: Callable[[np.ndarray, int], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[Iterator[tuple[tuple, tuple]]]]:
+    """A function over sorted batches of visits: for each chunk the pairs found, as a visitor's and a member's (rep, comp, n)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            lists = b[keys]
+            lists = b["keys"]
             values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy(zero_copy_only=False)]))
             arrays = [values[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield from zip(*(b[c].to_pylist() for c in ("key", "chunk", "asks", "row", "rep", "comp", "n")), arrays)
+            yield from zip(*(b[c].to_pylist() for c in ("key", "chunk", "asks", "rep", "comp", "n")), arrays)
 
     def pairs(group: Iterator[tuple]) -> Iterator[tuple[tuple, tuple]]:
         held, asks = [], []
@@ -243,67 +257,38 @@ def _found(rows: DataFrame, keys: str, need: Callable[[np.ndarray, np.ndarray],
         def search() -> Iterator[tuple[tuple, tuple]]:
             nonlocal trie
             if trie is None:  # members come before visitors
-                trie = Trie([r[7] for r in held], np.asarray([r[6] for r in held], np.int64))
-            for i, j in trie.search([r[7] for r in asks], np.asarray([r[6] for r in asks], np.int64), need):
-                yield asks[i][2:7], held[j][2:7]
+                trie = Trie([r[6] for r in held], np.asarray([r[5] for r in held], np.int64))
+            for i, j in trie.search([r[6] for r in asks], np.asarray([r[5] for r in asks], np.int64), need):
+                yield asks[i][3:6], held[j][3:6]
 
         for r in group:
             if r[2] != 1:
                 held.append(r)
             if r[2] and held:
                 asks.append(r)
-                size += len(r[7])
+                size += len(r[6])
             if r[2] == 1 and (len(asks) >= PART or size > PART_KEYS):
                 yield from search()
                 asks, size = [], 0
         if asks:
             yield from search()
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[tuple[tuple, tuple]]]]:
-        for at, group in groupby(read(batches), lambda r: r[:2]):
-            yield at, pairs(group)
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[tuple, tuple]]]:
+        for _, group in groupby(read(batches), lambda r: r[:2]):
+            yield pairs(group)
 
     return chunks
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Chunks in one task each, those who only visit last."""
-    return rows.repartition(partitions(rows.sparkSession), "key", "chunk").sortWithinPartitions("key", "chunk", F.col("asks") == 1)
-
-
-def _candidates(visits: DataFrame, percent: int) -> DataFrame:
-    """key, chunk, asks, row, comp of the members and visitors of a chunk that share l keys with one of another component."""
-
-    def need(sizes: np.ndarray, least: int) -> np.ndarray:
-        return np.minimum(_least(sizes, percent), _least(least, percent)) - 1  # the list's key is common
-
-    chunks = _found(visits, "begin", need)
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, chunk), pairs in chunks(batches):
-            hits: set[tuple] = set()
-            for visitor, member in pairs:
-                (*_, comp, n), (*_, its_comp, its_n) = visitor, member
-                if comp != its_comp and 100 * min(n, its_n) >= percent * max(n, its_n):
-                    hits.update((visitor, member))
-            if hits:
-                k, (asks, row, rep, comp, _) = len(hits), zip(*hits)
-                columns = [pa.array([key] * k, pa.int64()), pa.array([chunk] * k, pa.int32()), pa.array(asks, pa.int32()), *(pa.array(x, pa.int64()) for x in (row, rep, comp))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "chunk", "asks", "row", "rep", "comp"])
+def _forest(visits: DataFrame, arrays: DataFrame, need: Callable, percent: int) -> DataFrame:
+    """a, b: pairs of each chunk that have what they need in common; of those that join what is joined already none.
 
-    return _dealt(visits).mapInArrow(found, "key long, chunk int, asks int, row long, rep long, comp long")
-
-
-def _links(candidates: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
-    """a, b: links among the candidates of each chunk, on whole sets; of those that join what is joined already none."""
-
-    def need(sizes: np.ndarray, least: int) -> np.ndarray:
-        return -(-percent * (sizes + least) // (100 + percent))
-
-    chunks = _found(candidates, "keys", need)
+    arrays: row and keys, from which a visit's keys follow after its place `at`; they join last, so they are moved once.
+    """
+    chunks = _pairs(need)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, pairs in chunks(batches):
+        for pairs in chunks(batches):
             label: dict[int, int] = {}
             a, b = [], []
 
@@ -313,17 +298,27 @@ def _links(candidates: DataFrame, ordered: DataFrame, percent: int) -> DataFrame
                     x = label[x]
                 return x
 
-            for (_, _, rep, comp, _), (_, _, its_rep, its_comp, _) in pairs:
+            for (rep, comp, n), (its_rep, its_comp, its_n) in pairs:
                 u, v = root(comp), root(its_comp)
-                if u != v:
+                if u != v and 100 * min(n, its_n) >= percent * max(n, its_n):
                     label[max(u, v)] = min(u, v)
                     a.append(rep)
                     b.append(its_rep)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    full = candidates.join(ordered.select("row", "n", "keys"), "row").select("key", "chunk", "asks", "row", "rep", "comp", "n", "keys")
-    return _dealt(full).mapInArrow(linked, "a long, b long")
+    full = visits.join(arrays, "row").select("key", "chunk", "asks", "rep", "comp", "n", F.slice("keys", F.col("at") + 2, F.size("keys")).alias("keys"))
+    # those who only visit come last
+    dealt = full.repartition(partitions(full.sparkSession), "key", "chunk").sortWithinPartitions("key", "chunk", F.col("asks") == 1)
+    return dealt.mapInArrow(linked, "a long, b long")
+
+
+def _joined(lists: DataFrame, arrays: DataFrame, need: Callable, percent: int) -> DataFrame:
+    """node, root of what the pairs in lists connect."""
+    links = written(_forest(_visits(lists, None), arrays, need, percent), "links")
+    roots = components(links)
+    more = written(_forest(_visits(lists, roots), arrays, need, percent), "links")
+    return roots if more.isEmpty() else components(links.unionByName(more))
 
 
 def similarity_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -337,22 +332,32 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, width: int =
     """
     if not 50 <= percent <= 100:
         raise ValueError(f"the similarity must be 50 to 100 %, not {percent}")
-    docs = docs.select("doc_id", "text")
-    found = written(profiles(docs, width, percent), "profiles")
-    classes = written(found.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = found.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h1", "h2", "n"], "left_semi")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    profile = written(profiles(docs, width, percent), "profiles")
+    classes = written(profile.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = profile.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h1", "h2", "n"], "left_semi")
     some = written(_survivors(reps, percent), "survivors")
-    # the ids grow with the corpus: no broadcast at any size
-    left = full_sets(docs.join(some.hint("merge"), "doc_id", "left_semi"), width)
-    sets = written(left.where("octet_length(set) > 0").withColumn("row", F.monotonically_increasing_id()), "sets")
+    found = written(profile.drop("low"), "found")
+    forget(profile)
+    release(spark)
+    sets = written(_sets(docs, some, width).where("octet_length(set) > 0").withColumn("row", F.monotonically_increasing_id()), "sets")
     ordered = written(ordered_sets(sets, percent), "ordered")
-    lists = written(_lists(ordered, percent), "lists")
-    links = written(_links(_candidates(_visits(_largest(lists), None), percent), ordered, percent), "links")
-    roots = components(links)
-    rest = written(_candidates(_visits(lists, roots), percent), "candidates")
-    more = written(_links(rest, ordered, percent), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    forget(sets)
+    release(spark)
+
+    def some_common(sizes: np.ndarray, least: int) -> np.ndarray:
+        return np.minimum(_least(sizes, percent), _least(least, percent)) - 1  # the list's key is common
+
+    def enough_common(sizes: np.ndarray, least: int) -> np.ndarray:
+        return -(-percent * (sizes + least) // (100 + percent))
+
+    beginning = F.slice("keys", F.lit(1), (F.col("listed") + _least(F.col("n"), percent) - 1).cast("int"))
+    upper = ordered.select("row", F.transform(beginning, lambda k: F.shiftright(k, 32).cast("int")).alias("keys"))
+    near = _joined(written(_lists(ordered), "lists"), upper, some_common, percent)
+    near = written(near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct().withColumnsRenamed({"node": "rep", "root": "key"}), "near")
+    release(spark)
+    together = ordered.select("row", "rep", "n", F.lit(-1).alias("at")).join(near, "rep")
+    roots = _joined(together, ordered.select("row", "keys"), enough_common, percent)
     of_class = classes.join(roots, classes["rep"] == roots["node"], "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component"))
     out = found.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
