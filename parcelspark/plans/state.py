@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import state as S
-from ..sources.canonical import AS_OF, DAY, table
+from ..sources.canonical import AS_OF, DAY, streamed, table
 from ..streaming import jobs as J
+from ..streaming import keyed as K
 from ..streaming import limits as L
 from .base import query
 
@@ -101,7 +102,7 @@ def e14_resolve_issue(spark, d):
 def _requests(spark, d):
     r = table(spark, d, "requests").withColumn("rule", L.rule_of(F.col("path"))["rule"])
     # minutes of the sample stand for milliseconds, so that limits are reached
-    return r.select(L.key_of(F.when(F.col("user_id") % 4 > 0, F.col("user_id") % 3), F.col("forwarded"), F.col("peer"), F.col("rule")).alias("key"), "seq", F.floor(F.col("ts_us") / 6000).alias("ts_us"))
+    return r.select(L.key_of(F.when(F.col("user_id") % 4 > 0, F.col("user_id")), F.col("forwarded"), F.col("peer"), F.col("rule")).alias("key"), "seq", F.floor(F.col("ts_us") / 6000).alias("ts_us"))
 
 
 def _decided(rows: str) -> str:
@@ -116,19 +117,32 @@ SELECT key, seq, ts_us, limited, remaining, reset FROM s"""
 _RULE = "CASE WHEN path LIKE '/api/v1/auth%' THEN '/api/v1/auth' WHEN path LIKE '/api/v1/upload%' THEN '/api/v1/upload' WHEN path = '/api/v1/projects' THEN '/api/v1/projects' ELSE 'default' END"
 
 
-@query("requests", _decided(f"SELECT CASE WHEN user_id % 4 > 0 THEN concat('user:', user_id % 3) ELSE concat('ip:', coalesce(forwarded, peer)) END || ':' || {_RULE} AS key, seq, ts_us // 6000 AS ts_us FROM requests"))
+@query("requests", _decided(f"SELECT CASE WHEN user_id % 4 > 0 THEN concat('user:', user_id) ELSE concat('ip:', coalesce(forwarded, peer)) END || ':' || {_RULE} AS key, seq, ts_us // 6000 AS ts_us FROM requests"))
 def t01_rate_limit(spark, d):
     return L.limited(_requests(spark, d), 10, 60)
 
 
-@query("requests", _decided("SELECT concat('u', user_id) AS key, seq, ts_us // 6000 AS ts_us FROM requests"))
+_OF_USERS = "SELECT concat('u', user_id) AS key, seq, ts_us // 6000 AS ts_us FROM requests"
+
+
+def _stream(spark, d, folder):
+    r = streamed(spark, d, "requests").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), "seq", F.floor(F.col("ts_us") / 6000).alias("ts_us"))
+    return K.limited_stream(r, 10, 60, folder)
+
+
+@query("requests", _decided(_OF_USERS))
 def t01_rate_limit_stream(spark, d):
-    """The same decisions from a stream of the request files."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    ts = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    r = events.select(F.concat_ws("", F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), F.floor(ts / 6000).alias("ts_us"))
-    return L.limited_stream(r, 10, 60, J.shared_folder(spark, "limited"))
+    """The same decisions from a stream of the request files, with a log for each user in the state store."""
+    return _stream(spark, d, J.shared_folder(spark, "limited"))
+
+
+@query("requests", _decided(_OF_USERS).replace("SELECT key, seq, ts_us, limited, remaining, reset FROM s", """SELECT key, unnest(log) AS at_us FROM s
+WHERE (key, n) IN (SELECT (key, max(n)) FROM s GROUP BY key) AND list_max(log) // 1000 + 300000 > (SELECT max(ts_us) // 1000 FROM s)"""))
+def t02_expired_logs(spark, d):
+    """The state that is left once the timers of logs five minutes old have fired."""
+    folder = J.shared_folder(spark, "limited")
+    _stream(spark, d, folder)
+    return K.held_logs(spark, folder)
 
 
 @query("requests", "SELECT seq, CASE WHEN path LIKE '/api/v1/auth%' THEN '/api/v1/auth' WHEN path LIKE '/api/v1/upload%' THEN '/api/v1/upload' WHEN path = '/api/v1/projects' THEN '/api/v1/projects' ELSE 'default' END AS rule, CASE WHEN path LIKE '/api/v1/auth%' THEN 10 WHEN path LIKE '/api/v1/upload%' THEN 20 WHEN path = '/api/v1/projects' THEN 100 ELSE 60 END AS max_requests FROM requests")
@@ -152,16 +166,28 @@ def t06_retention_purge(spark, d):
     return S.purged(table(spark, d, "jobs"), F.col("status").isin("completed", "failed"), AS_OF - 10 * DAY).select("id")
 
 
+@query("jobs", f", e AS (SELECT *, CASE WHEN status = 'processing' THEN started_us ELSE created_us END AS at_us FROM jobs) SELECT id, CASE WHEN status = 'processing' AND (at_us + {DAY}) // 1000 <= (SELECT max(at_us) // 1000 FROM e) THEN 'failed' ELSE status END AS status FROM e")
+def t05_sweep_stream(spark, d):
+    """The sweep by timers: a job that has been processing for a day when the stream's time comes by fails without an event."""
+    at = F.when(F.col("status") == "processing", F.col("started_us")).otherwise(F.col("created_us"))
+    events = streamed(spark, d, "jobs").select(F.col("id").alias("job_id"), "status", at.alias("at_us"), F.col("id").alias("seq"))
+    return K.job_clock(events, DAY // 1_000_000, J.shared_folder(spark, "clock")).select(F.col("job_id").alias("id"), "status")
+
+
+#: Rows of the sample that are taken as the history of one job.
+STEPS = 20
+
+
 def _history(spark, d):
-    return table(spark, d, "jobs").select((F.col("id") % 200).alias("job_id"), "status", F.col("created_us").alias("at_us"), F.col("id").alias("seq"))
+    return table(spark, d, "jobs").select(F.floor(F.col("id") / STEPS).alias("job_id"), "status", F.col("created_us").alias("at_us"), F.col("id").alias("seq"))
 
 
-@query("jobs", "SELECT id % 200 AS job_id, arg_max(status, created_us) AS status, min(CASE WHEN status = 'processing' THEN created_us END) AS started_us, max(CASE WHEN status IN ('completed', 'failed', 'cancelled') THEN created_us END) AS completed_us FROM jobs GROUP BY 1")
+@query("jobs", f"SELECT id // {STEPS} AS job_id, arg_max(status, created_us) AS status, min(CASE WHEN status = 'processing' THEN created_us END) AS started_us, max(CASE WHEN status IN ('completed', 'failed', 'cancelled') THEN created_us END) AS completed_us FROM jobs GROUP BY 1")
 def t07_job_states(spark, d):
     return S.job_states(_history(spark, d))
 
 
-@query("jobs", "SELECT id % 200 AS job_id, count(*) AS failures, CASE WHEN count(*) < 3 THEN 'processing' ELSE 'failed' END AS status FROM jobs WHERE status = 'failed' GROUP BY 1")
+@query("jobs", f"SELECT id // {STEPS} AS job_id, count(*) AS failures, CASE WHEN count(*) < 3 THEN 'processing' ELSE 'failed' END AS status FROM jobs WHERE status = 'failed' GROUP BY 1")
 def t08_retry_policy(spark, d):
     return S.retried(_history(spark, d))
 
@@ -171,16 +197,24 @@ def t09_all_done(spark, d):
     return S.complete_groups(table(spark, d, "jobs"), "project_id")
 
 
-@query("approvals users", "SELECT a.id, u.id AS user_id FROM approvals a JOIN users o ON o.id = a.user_id JOIN users u ON u.emirate = o.emirate AND u.is_active AND u.role = 'MACHINERY' AND u.id <> a.user_id")
+@query("jobs", "SELECT project_id AS group_id, count(*) AS members FROM jobs GROUP BY project_id HAVING bool_and(status IN ('completed', 'failed', 'cancelled'))")
+def t09_fire_once(spark, d):
+    """A project fires once, when the last of its jobs has ended; the ledger of what fired is written by epoch."""
+    expected = table(spark, d, "jobs").groupBy(F.col("project_id").alias("group_id")).agg(F.count("*").alias("expected"))
+    jobs = streamed(spark, d, "jobs").select(F.col("project_id").alias("group_id"), F.col("id").alias("member"), "status")
+    return K.fired_once(jobs.join(expected, "group_id"), J.shared_folder(spark, "fired"))
+
+
+@query("approvals users", "SELECT a.id, u.id AS user_id FROM approvals a JOIN users o ON o.id = a.user_id JOIN users u ON u.team = o.team AND u.is_active AND u.role = 'MACHINERY' AND u.id <> a.user_id")
 def t10_fan_out(spark, d):
     """A notice for each active user of the actor's team but the actor: two equi-joins, by actor and by team."""
     u = table(spark, d, "users")
-    team = u.where("is_active and role = 'MACHINERY'").select(F.col("id").alias("to"), "emirate")
-    a = table(spark, d, "approvals").select("id", "user_id").join(u.select(F.col("id").alias("user_id"), "emirate"), "user_id")
-    return a.join(team, "emirate").where("to <> user_id").select("id", F.col("to").alias("user_id"))
+    team = u.where("is_active and role = 'MACHINERY'").select(F.col("id").alias("to"), "team")
+    a = table(spark, d, "approvals").select("id", "user_id").join(u.select(F.col("id").alias("user_id"), "team"), "user_id")
+    return a.join(team, "team").where("to <> user_id").select("id", F.col("to").alias("user_id"))
 
 
-@query("jobs", "SELECT id % 200 AS job_id, status AS from_state, lead(status) OVER (PARTITION BY id % 200 ORDER BY created_us, id) AS to_state FROM jobs QUALIFY to_state IS NOT NULL AND NOT ((from_state = 'pending' AND to_state IN ('processing', 'cancelled')) OR (from_state = 'processing' AND to_state IN ('completed', 'failed', 'cancelled')))")
+@query("jobs", f"SELECT id // {STEPS} AS job_id, status AS from_state, lead(status) OVER (PARTITION BY id // {STEPS} ORDER BY created_us, id) AS to_state FROM jobs QUALIFY to_state IS NOT NULL AND NOT ((from_state = 'pending' AND to_state IN ('processing', 'cancelled')) OR (from_state = 'processing' AND to_state IN ('completed', 'failed', 'cancelled')))")
 def t11_job_transitions(spark, d):
     from pyspark.sql import Window
 

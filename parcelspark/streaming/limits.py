@@ -1,4 +1,4 @@
-"""Rate limiting by a sliding log: in batch, and as a stateful stream; both decide alike.
+"""Rate limiting by a sliding log, in batch; keyed.py has the stream, which decides alike.
 
 A request is let through if fewer than `limit` let-through ones of its key are younger than the window. Rejected
 requests leave no trace, so each decision depends on earlier ones and a window count can't express it.
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 #: Rules in order: exact path first, then the first prefix in this order, else the default (limit, seconds).
 RULES = {"/api/v1/auth": (10, 60), "/api/v1/upload": (20, 60), "/api/v1/projects": (100, 60), "default": (60, 60)}
 SECOND = 1_000_000
-#: Time of the row that brings a key's log, before all requests.
-LEAST = -(1 << 63)
 
 
 def decide(times: list[int], log: list[int], limit: int, window_us: int) -> tuple[list[tuple[bool, int, int]], list[int]]:
@@ -75,65 +73,3 @@ def limited(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
 
     ordered = requests.select("key", "seq", "ts_us").repartition("key").sortWithinPartitions("key", "ts_us", "seq")
     return ordered.mapInPandas(run, DECIDED)
-
-
-STATED = DECIDED + ", log array<long>"
-
-
-def _stated(rows: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """Decisions on requests after the logs of their keys, and a row with the log of each key after them.
-
-    rows: key, seq, ts_us and log, which only the row of a key's log has; that row's ts_us is the least. A task holds
-    a sorted batch and the log of one key.
-    """
-
-    def state(key: str, log: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key], "seq": [-1], "ts_us": [LEAST], "limited": [False], "remaining": [0], "reset": [0], "log": [log]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, log = None, []
-        for b in batches:
-            for k, g in b.groupby("key", sort=False):
-                if k != key:
-                    if key is not None:
-                        yield state(key, log)
-                    key, log = k, []
-                before = g.log.notna()
-                for held in g.log[before]:
-                    log = [int(t) for t in held]
-                g = g[~before]
-                if len(g):
-                    out, log = decide(g.ts_us.tolist(), log, limit, window_seconds * SECOND)
-                    yield _frame(k, g, out).assign(log=None)
-        if key is not None:
-            yield state(key, log)
-
-    return rows.repartition("key").sortWithinPartitions("key", "ts_us", "seq").mapInPandas(run, STATED)
-
-
-def limited_stream(requests: DataFrame, limit: int, window_seconds: int, folder: str, keep_seconds: int = 300) -> DataFrame:
-    """The same on a stream over what is there now, written to `folder`, which driver and executors share.
-
-    Each micro-batch is sorted as in batch, so a task holds a batch of rows and one log; a key's log is its state, kept
-    with the batch's decisions, and dropped when its newest request lies keep_seconds (the window at least) before the
-    oldest request of a batch. A request that
-    comes in a later batch than a younger one of its key is decided after that one. A batch that is run again overwrites what it left. A new run on the folder goes on where the last ended.
-    """
-    spark = requests.sparkSession
-    path = lambda n: f"{folder}/decided/batch={n}"
-
-    def decided(rows: DataFrame, n: int) -> None:
-        none = F.lit(None).cast("array<long>")
-        rows = rows.select("key", "seq", "ts_us", none.alias("log"))
-        if n:
-            oldest = rows.agg(F.min("ts_us")).first()[0]
-            logs = rows.sparkSession.read.schema(STATED).parquet(path(n - 1)).where("log is not null")
-            if oldest is not None:
-                logs = logs.where(F.array_max("log") > oldest - max(keep_seconds, window_seconds) * SECOND)
-            rows = rows.unionByName(logs.select("key", "seq", "ts_us", "log"))
-        _stated(rows, limit, window_seconds).write.mode("overwrite").parquet(path(n))
-
-    w = requests.writeStream.foreachBatch(decided).option("checkpointLocation", f"{folder}/checkpoint")
-    w.trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema(STATED + ", batch int").option("basePath", f"{folder}/decided").parquet(f"{folder}/decided/batch=*")
-    return found.where("log is null").drop("log", "batch")
