@@ -26,7 +26,7 @@ from .common import bytes_of, partitions, sliced, table, written
 
 BLOCK = 128
 #: Documents and postings of a segment at most (one document more).
-SEGMENT_DOCS, SEGMENT_POSTINGS = 16384, 4 << 20
+SEGMENT_DOCS, SEGMENT_POSTINGS = 8192, 1 << 20
 #: Items that are searched together in one segment.
 ITEMS = 1024
 #: Stretches that are looked at before all others where an item has no score to beat yet.
@@ -102,7 +102,7 @@ class _Segment:
         self.ids.append(doc_id)
         self.lengths.append(len(words))
         self.terms.append(found.astype(np.int32))
-        self.counts.append(counts.astype(np.int64))
+        self.counts.append(counts.astype(np.int32))
         self.postings += len(found)
 
     def full(self) -> bool:
@@ -115,7 +115,7 @@ class _Segment:
         term = place[np.concatenate(self.terms)]
         doc = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.terms])
         order = np.argsort(term, kind="stable")
-        term, doc, tf = term[order], doc[order], np.concatenate(self.counts)[order]
+        term, doc, tf = term[order], doc[order], np.concatenate(self.counts)[order].astype(np.int64)
         df = np.bincount(term, minlength=len(words))
         begins = np.cumsum(df) - df
         nth = np.arange(len(term)) - begins[term]
