@@ -6,9 +6,11 @@ still offers, never a frame for each document.
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,29 +99,55 @@ def linked_areas(plans: DataFrame, specs: DataFrame, links: DataFrame) -> DataFr
     return j.select("doc_id", "seq", "row_no", F.coalesce("unit_type", "label").alias("unit_type"), over(F.col("t"), F.col("total_sqft")).alias("total_sqft"), over(F.col("b"), F.col("balcony_sqft")).alias("balcony_sqft"), sure.alias("confidence"))
 
 
-def leader(phash: int | None, known: list[tuple[int, int]], at: int, threshold: float) -> int | None:
-    """Where the first of the known hashes that is similar stands; a hash without one becomes known, null hashes never do."""
-    if phash is None:
+class Leaders:
+    """Hashes of 64 bits that no earlier one is similar to, found again by bands.
+
+    Two similar hashes differ in `most` bits at most, so of most + 1 bands of bits one is equal: a hash meets only
+    leaders that share a band, however many there are.
+    """
+
+    def __init__(self, threshold: float):
+        self.most = int((1 - threshold) * 64 + 1e-9)
+        edges = [64 * i // (self.most + 1) for i in range(self.most + 2)]
+        self.bands = [(lo, (1 << hi - lo) - 1) for lo, hi in zip(edges, edges[1:])]
+        self.held: dict[tuple[int, int], tuple[array, array]] = {}
+        self.ids: list[int] = []
+
+    def place(self, phash: int | None, at: int) -> int | None:
+        """The id of the first leader that is similar; a hash without one becomes a leader, null hashes never do."""
+        if phash is None:
+            return None
+        phash &= (1 << 64) - 1  # longs are signed; their bits are compared
+        keys = [(i, phash >> lo & mask) for i, (lo, mask) in enumerate(self.bands)]
+        first = None
+        for k in keys:
+            if k in self.held:
+                hashes, order = self.held[k]
+                near = np.bitwise_count(np.frombuffer(hashes, np.uint64) ^ np.uint64(phash)) <= self.most
+                at_ = int(near.argmax())
+                if near[at_]:
+                    first = order[at_] if first is None else min(first, order[at_])
+        if first is not None:
+            return self.ids[first]
+        for k in keys:
+            hashes, order = self.held.setdefault(k, (array("Q"), array("L")))
+            hashes.append(phash)
+            order.append(len(self.ids))
+        self.ids.append(at)
         return None
-    phash &= (1 << 64) - 1  # longs are signed; their bits are compared
-    for place, other in known:
-        if 1 - (phash ^ other).bit_count() / 64 >= threshold:
-            return place
-    known.append((at, phash))
-    return None
 
 
 def leader_duplicates(images: DataFrame, threshold: float, order: list[str], group: str = "doc_id") -> DataFrame:
     """group, image_id, duplicate_of (image_id; null for those that stay): not transitive, the first similar leader wins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, known = None, []
+        current, known = None, Leaders(threshold)
         for b in batches:
             out = []
             for g, image_id, phash in _rows(b.select([0, 1, 2])):
                 if g != current:
-                    current, known = g, []
-                out.append((g, image_id, leader(phash, known, image_id, threshold)))
+                    current, known = g, Leaders(threshold)
+                out.append((g, image_id, known.place(phash, image_id)))
             if out:
                 yield _batch(out, f"{group} image_id duplicate_of", (pa.int64(),) * 3)
 

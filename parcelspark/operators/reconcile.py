@@ -35,8 +35,9 @@ def reconciled(field: Column, regex: Column, llm: Column, found: Column) -> Colu
 
 
 def reconciled_fields(long: DataFrame) -> DataFrame:
-    """doc_id, field, value, source, confidence, flagged of rows (doc_id, field, regex, llm, found)."""
-    return long.select("doc_id", "field", reconciled(F.col("field"), F.col("regex"), F.col("llm"), F.col("found")).alias("r")).select("doc_id", "field", "r.*")
+    """value, source, confidence, flagged beside the keys of rows (field, regex, llm, found and any keys)."""
+    keys = [c for c in long.columns if c not in ("regex", "llm", "found")]
+    return long.select(*keys, reconciled(F.col("field"), F.col("regex"), F.col("llm"), F.col("found")).alias("r")).select(*keys, "r.*")
 
 
 def by_confidence(text: Column, text_confidence: Column, vision: Column, vision_confidence: Column) -> Column:

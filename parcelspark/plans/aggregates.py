@@ -294,3 +294,19 @@ def w13_even_split(spark, d):
     i = table(spark, d, "images").where("category = 'floor_plan'").select("image_id", (F.row_number().over(w.orderBy("seq")) - 1).alias("i"), F.count("*").over(w).alias("n"))
     few = F.col("n") <= 3
     return i.select("image_id", F.when(few, F.col("i") * 100.0 / F.col("n")).otherwise(F.col("i") % 2 * 50.0).alias("x"), F.when(few, 0.0).otherwise(F.floor(F.col("i") / 2) * 100.0 / F.floor((F.col("n") + 1) / 2)).alias("y"))
+
+
+@query("jobs", """SELECT (completed_us // 86400000000) // 7 AS week, count(*) AS n, CAST(sum(completed_us - started_us) AS DOUBLE) AS total, CAST(max(completed_us - started_us) AS DOUBLE) AS high, true AS within FROM jobs WHERE completed_us IS NOT NULL GROUP BY 1""")
+def a35_merged_sketches(spark, d):
+    """Durations by week from what is stored for each day; within: the merged sketch's p95 has a rank of 94 to 96 %."""
+    from ..operators.sketches import daily, merged, stored
+    from ..streaming.jobs import shared_folder
+
+    folder, jobs = shared_folder(spark, "days"), table(spark, d, "jobs").where("completed_us is not null")
+    day, took = F.floor(F.col("completed_us") / 86_400_000_000), F.col("completed_us") - F.col("started_us")
+    stored(daily(jobs, day, took), folder)
+    weeks = merged(spark, folder, F.floor(F.col("day") / 7), {"p95": 0.95})
+    values = jobs.select(F.floor(day / 7).alias("period"), took.cast("double").alias("v")).join(weeks.select("period", "p95"), "period")
+    ranks = values.groupBy("period").agg((F.count_if(F.col("v") < F.col("p95")) / F.count("*")).alias("below"), (F.count_if(F.col("v") <= F.col("p95")) / F.count("*")).alias("upto"))
+    within = ((F.col("below") <= 0.96) & (F.col("upto") >= 0.94)).alias("within")
+    return weeks.join(ranks, "period").select(F.col("period").alias("week"), "n", "total", "high", within)

@@ -71,17 +71,26 @@ def a22_comparison_counts(spark, d):
     return g.withColumn("status", F.when(F.col("differences") + F.col("missing") == 0, "passed").otherwise("failed"))
 
 
-@query("", "SELECT l.field, p.version IS NOT NULL AS has_prompt, coalesce(p.version, 0) AS version FROM (VALUES ('meta_title'), ('meta_description'), ('url_slug'), ('body'), ('faq')) l(field) LEFT JOIN (SELECT 'meta_title' AS field, 3 AS version UNION ALL SELECT 'body', 1) p USING (field)")
+@query("contents", ", p AS (SELECT field, count(DISTINCT content) AS version FROM contents WHERE location = 'Dubai' AND field IN ('meta_title', 'body') GROUP BY field) SELECT run_id, field, p.version IS NOT NULL AS has_prompt, coalesce(p.version, 0) AS version FROM contents LEFT JOIN p USING (field)")
 def j07_registry_prompts(spark, d):
-    registry = spark.createDataFrame([(x,) for x in ("meta_title", "meta_description", "url_slug", "body", "faq")], "field string")
-    prompts = spark.createDataFrame([("meta_title", 3), ("body", 1)], "field string, version int")
-    return registry.join(F.broadcast(prompts), "field", "left").select("field", F.col("version").isNotNull().alias("has_prompt"), F.coalesce("version", F.lit(0)).alias("version"))
+    """Each field of the contents with the number of versions of its prompt, where it has one."""
+    c = table(spark, d, "contents")
+    prompts = c.where("location = 'Dubai' and field in ('meta_title', 'body')").groupBy("field").agg(F.count_distinct("content").alias("version"))
+    return c.join(prompts, "field", "left").select("run_id", "field", F.col("version").isNotNull().alias("has_prompt"), F.coalesce("version", F.lit(0)).alias("version"))
+
 
+_KEY = "CASE WHEN unit_type LIKE 'Studio%' THEN 'studio' ELSE regexp_extract(unit_type, '^([0-9]+)', 1) || 'br' END AS bed, lower(regexp_extract(unit_type, 'Type ([A-Z][0-9]*)', 1)) AS sub"
 
-@query("plans specs", r"""SELECT p.doc_id, p.seq, s.row_no IS NULL AS missing, s.row_no FROM plans p LEFT JOIN (SELECT doc_id, unit_type, min(row_no) AS row_no FROM specs WHERE unit_type IS NOT NULL GROUP BY doc_id, unit_type) s ON p.doc_id = s.doc_id AND p.unit_type = s.unit_type""")
+
+@query("plans specs", f""", k AS (SELECT doc_id, {_KEY}, min(row_no) AS row_no FROM specs WHERE unit_type IS NOT NULL GROUP BY ALL)
+SELECT p.doc_id, p.seq, k.row_no IS NULL AS missing, k.row_no FROM (SELECT doc_id, seq, {_KEY} FROM plans) p LEFT JOIN k ON p.doc_id = k.doc_id AND p.bed = k.bed AND p.sub = k.sub""")
 def j10_ground_truth_linkage(spark, d):
-    s = L.first_per_key(table(spark, d, "specs").where("unit_type is not null"), ["doc_id", "unit_type"], ["row_no"]).select("doc_id", "unit_type", "row_no")
-    return table(spark, d, "plans").join(s, ["doc_id", "unit_type"], "left").select("doc_id", "seq", F.col("row_no").isNull().alias("missing"), "row_no")
+    """By normalised labels: "2 Bedroom Type A" is "2BR Type A"."""
+    from ..functions.floorplans import unit_key
+
+    keyed = lambda t: table(spark, d, t).withColumn("key", unit_key(F.col("unit_type"))).withColumns({"bed": F.col("key")["bed"], "sub": F.col("key")["sub"]})
+    s = L.first_per_key(keyed("specs").where("unit_type is not null"), ["doc_id", "bed", "sub"], ["row_no"]).select("doc_id", "bed", "sub", "row_no")
+    return keyed("plans").join(s, ["doc_id", "bed", "sub"], "left").select("doc_id", "seq", F.col("row_no").isNull().alias("missing"), "row_no")
 
 
 @query("jobs users", "SELECT id FROM jobs WHERE user_id IN (SELECT id FROM users WHERE is_active) OR NOT EXISTS (SELECT 1 FROM users)")
@@ -156,19 +165,21 @@ def j21_orphans(spark, d):
     return p.join(r, "id", "left_anti").select(F.lit("no_run").alias("kind"), "id").unionByName(r.join(p, "id", "left_anti").select(F.lit("no_project").alias("kind"), "id"))
 
 
-@query("", """, r AS (SELECT DISTINCT p_type AS k FROM part), s AS (SELECT DISTINCT p_name AS n FROM part), e AS (SELECT n, k FROM s JOIN r ON upper(n) = k)
-SELECT n AS name, CASE WHEN e.k IS NOT NULL THEN 'MATCH' WHEN c.k IS NOT NULL THEN 'PARTIAL' ELSE 'UNMATCHED' END AS status, coalesce(e.k, c.k) AS key FROM s LEFT JOIN e USING (n) LEFT JOIN (SELECT n, min(k) AS k FROM s JOIN r ON strpos(upper(n), left(k, 3)) > 0 GROUP BY n) c USING (n)""")
+_NAMES = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(lower(p_type), ' ', p_name) WHEN 2 THEN substr(p_type, 2, 1 + p_size % 4) ELSE lower(p_type) END"
+_KEYS = "CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN concat(p_type, ' ', p_size) ELSE concat(p_brand, ' ', p_size) END"
+
+
+@query("", f""", n AS (SELECT DISTINCT {_NAMES} AS name FROM part), k AS (SELECT DISTINCT {_KEYS} AS key FROM part),
+e AS (SELECT name, min(key) AS key FROM n JOIN k ON upper(name) = upper(key) GROUP BY name),
+c AS (SELECT name, min(key) AS key FROM n JOIN k ON contains(upper(name), upper(key)) OR contains(upper(key), upper(name)) WHERE name NOT IN (SELECT name FROM e) GROUP BY name)
+SELECT name, CASE WHEN e.key IS NOT NULL THEN 'MATCH' WHEN c.key IS NOT NULL THEN 'PARTIAL' ELSE 'UNMATCHED' END AS status, coalesce(e.key, c.key) AS key FROM n LEFT JOIN e USING (name) LEFT JOIN c USING (name)
+UNION ALL SELECT NULL, 'UNUSED', key FROM k WHERE key NOT IN (SELECT key FROM e UNION SELECT key FROM c)""")
 def j22_name_mapping(spark, d):
-    """Equal names first; the others by containment against the list of keys, the least one winning.
+    """Equal names first; the others by containment either way, the least key winning; and the keys that are left."""
+    from ..operators.names import mapped_names
 
-    The keys are a template's fields (about a hundred), so they travel as one array instead of a join by containment.
-    """
     p = table(spark, d, "part")
-    names, keys = p.select(F.col("p_name").alias("name")).distinct(), p.agg(F.array_sort(F.collect_set("p_type")).alias("keys"))
-    j = names.join(F.broadcast(keys), F.lit(True))
-    exact = F.get(F.filter("keys", lambda k: k == F.upper("name")), F.lit(0))
-    near = F.get(F.filter("keys", lambda k: F.contains(F.upper("name"), F.left(k, F.lit(3)))), F.lit(0))
-    return j.select("name", F.when(exact.isNotNull(), "MATCH").when(near.isNotNull(), "PARTIAL").otherwise("UNMATCHED").alias("status"), F.coalesce(exact, near).alias("key"))
+    return mapped_names(p.select(F.expr(_NAMES).alias("name")), p.select(F.expr(_KEYS).alias("key")))
 
 
 @query("contents", ", m AS (SELECT 'meta_title' AS field, 3 AS row UNION ALL SELECT 'body', 7 UNION ALL SELECT 'body', 8) SELECT run_id, field, row FROM contents JOIN m USING (field) UNION ALL SELECT run_id, field, NULL FROM contents WHERE field NOT IN ('meta_title', 'body')")

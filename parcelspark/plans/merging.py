@@ -14,20 +14,20 @@ from .base import query
 
 def _sources(spark, d):
     """Three sources of two fields of each plan, as text."""
-    p = table(spark, d, "plans").where("seq = 0")
+    p = table(spark, d, "plans")
     text = lambda c: c.cast("long").cast("string")
-    numeric = p.select("doc_id", F.lit("total_sqft").alias("field"), text(F.col("total_sqft")).alias("regex"), text(F.col("suite_sqft") + F.col("doc_id") % 2).alias("llm"), text(F.when(F.col("doc_id") % 5 == 0, F.col("balcony_sqft"))).alias("found"))
-    words = p.select("doc_id", F.lit("developer").alias("field"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Dev "), (F.col("doc_id") % 4).cast("string"), F.lit(" "))).alias("regex"), F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("dev "), (F.col("doc_id") % 8).cast("string"))).alias("llm"), F.lit(None).cast("string").alias("found"))
+    numeric = p.select("doc_id", "seq", F.lit("total_sqft").alias("field"), text(F.col("total_sqft")).alias("regex"), text(F.col("suite_sqft") + F.col("doc_id") % 2).alias("llm"), text(F.when(F.col("doc_id") % 5 == 0, F.col("balcony_sqft"))).alias("found"))
+    words = p.select("doc_id", "seq", F.lit("developer").alias("field"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Dev "), (F.col("doc_id") % 4).cast("string"), F.lit(" "))).alias("regex"), F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("dev "), (F.col("doc_id") % 8).cast("string"))).alias("llm"), F.lit(None).cast("string").alias("found"))
     return numeric.unionByName(words)
 
 
-_SOURCES = """, s AS (SELECT doc_id, 'total_sqft' AS field, CAST(CAST(total_sqft AS BIGINT) AS VARCHAR) AS regex, CAST(CAST(suite_sqft + doc_id % 2 AS BIGINT) AS VARCHAR) AS llm, CAST(CAST(CASE WHEN doc_id % 5 = 0 THEN balcony_sqft END AS BIGINT) AS VARCHAR) AS found FROM plans WHERE seq = 0
-UNION ALL SELECT doc_id, 'developer', CASE WHEN doc_id % 3 > 0 THEN concat('Dev ', doc_id % 4, ' ') END, CASE WHEN doc_id % 7 > 0 THEN concat('dev ', doc_id % 8) END, NULL FROM plans WHERE seq = 0),
-m AS (SELECT *, CASE WHEN field = 'total_sqft' THEN abs(CAST(regex AS DOUBLE) - CAST(llm AS DOUBLE)) < 1 ELSE lower(trim(regex)) = lower(trim(llm)) END AS same FROM (SELECT doc_id, field, regex, llm, found FROM s WHERE field = 'total_sqft') UNION ALL SELECT *, lower(trim(regex)) = lower(trim(llm)) FROM s WHERE field <> 'total_sqft')"""
+_SOURCES = """, s AS (SELECT doc_id, seq, 'total_sqft' AS field, CAST(CAST(total_sqft AS BIGINT) AS VARCHAR) AS regex, CAST(CAST(suite_sqft + doc_id % 2 AS BIGINT) AS VARCHAR) AS llm, CAST(CAST(CASE WHEN doc_id % 5 = 0 THEN balcony_sqft END AS BIGINT) AS VARCHAR) AS found FROM plans
+UNION ALL SELECT doc_id, seq, 'developer', CASE WHEN doc_id % 3 > 0 THEN concat('Dev ', doc_id % 4, ' ') END, CASE WHEN doc_id % 7 > 0 THEN concat('dev ', doc_id % 8) END, NULL FROM plans),
+m AS (SELECT *, CASE WHEN field = 'total_sqft' THEN abs(CAST(regex AS DOUBLE) - CAST(llm AS DOUBLE)) < 1 ELSE lower(trim(regex)) = lower(trim(llm)) END AS same FROM (SELECT doc_id, seq, field, regex, llm, found FROM s WHERE field = 'total_sqft') UNION ALL SELECT *, lower(trim(regex)) = lower(trim(llm)) FROM s WHERE field <> 'total_sqft')"""
 _SOURCES = _SOURCES.replace("CASE WHEN field = 'total_sqft' THEN abs(CAST(regex AS DOUBLE) - CAST(llm AS DOUBLE)) < 1 ELSE lower(trim(regex)) = lower(trim(llm)) END", "abs(CAST(regex AS DOUBLE) - CAST(llm AS DOUBLE)) < 1")
 
 
-@query("plans", _SOURCES + """ SELECT doc_id, field, CASE WHEN found IS NOT NULL THEN found WHEN regex IS NOT NULL AND llm IS NOT NULL THEN CASE WHEN same OR field = 'total_sqft' THEN regex ELSE llm END ELSE coalesce(regex, llm) END AS value,
+@query("plans", _SOURCES + """ SELECT doc_id, seq, field, CASE WHEN found IS NOT NULL THEN found WHEN regex IS NOT NULL AND llm IS NOT NULL THEN CASE WHEN same OR field = 'total_sqft' THEN regex ELSE llm END ELSE coalesce(regex, llm) END AS value,
 CASE WHEN found IS NOT NULL THEN 'table' WHEN regex IS NOT NULL AND llm IS NOT NULL THEN CASE WHEN same THEN 'agreement' WHEN field = 'total_sqft' THEN 'regex' ELSE 'llm' END WHEN regex IS NOT NULL THEN 'regex' WHEN llm IS NOT NULL THEN 'llm' ELSE 'none' END AS source,
 CASE WHEN found IS NOT NULL THEN 0.99 WHEN regex IS NOT NULL AND llm IS NOT NULL THEN CASE WHEN same THEN 0.98 WHEN field = 'total_sqft' THEN 0.85 ELSE 0.8 END WHEN regex IS NOT NULL THEN 0.8 WHEN llm IS NOT NULL THEN 0.7 ELSE 0.0 END::DOUBLE AS confidence,
 CASE WHEN found IS NOT NULL THEN coalesce(llm <> found, false) WHEN regex IS NOT NULL AND llm IS NOT NULL THEN NOT same ELSE false END AS flagged FROM m""")
@@ -35,17 +35,17 @@ def x01_reconcile(spark, d):
     return X.reconciled_fields(_sources(spark, d))
 
 
-@query("plans", _SOURCES + " SELECT doc_id, field, same FROM m WHERE regex IS NOT NULL AND llm IS NOT NULL")
+@query("plans", _SOURCES + " SELECT doc_id, seq, field, same FROM m WHERE regex IS NOT NULL AND llm IS NOT NULL")
 def x02_values_match(spark, d):
     s = _sources(spark, d).where("regex is not null and llm is not null")
-    return s.select("doc_id", "field", X.values_match(F.col("regex"), F.col("llm"), F.col("field") == "total_sqft").alias("same"))
+    return s.select("doc_id", "seq", "field", X.values_match(F.col("regex"), F.col("llm"), F.col("field") == "total_sqft").alias("same"))
 
 
-@query("plans", _SOURCES + """ SELECT doc_id, max(CASE WHEN field = 'total_sqft' THEN CASE WHEN found IS NOT NULL THEN found ELSE coalesce(regex, llm) END END) AS total_sqft, CAST(sum(CASE WHEN found IS NOT NULL THEN coalesce(llm <> found, false)::INT WHEN regex IS NOT NULL AND llm IS NOT NULL THEN (NOT same)::INT ELSE 0 END) AS BIGINT) AS flags FROM m GROUP BY doc_id""")
+@query("plans", _SOURCES + """ SELECT doc_id, seq, max(CASE WHEN field = 'total_sqft' THEN CASE WHEN found IS NOT NULL THEN found ELSE coalesce(regex, llm) END END) AS total_sqft, CAST(sum(CASE WHEN found IS NOT NULL THEN coalesce(llm <> found, false)::INT WHEN regex IS NOT NULL AND llm IS NOT NULL THEN (NOT same)::INT ELSE 0 END) AS BIGINT) AS flags FROM m GROUP BY doc_id, seq""")
 def x03_reconcile_project(spark, d):
     """Fields in long form are reconciled at once and pivoted back."""
     r = X.reconciled_fields(_sources(spark, d))
-    return r.groupBy("doc_id").agg(F.max(F.when(F.col("field") == "total_sqft", F.col("value"))).alias("total_sqft"), F.count_if("flagged").alias("flags"))
+    return r.groupBy("doc_id", "seq").agg(F.max(F.when(F.col("field") == "total_sqft", F.col("value"))).alias("total_sqft"), F.count_if("flagged").alias("flags"))
 
 
 @query("plans", "SELECT doc_id, seq, CASE WHEN total_sqft IS NULL OR (suite_sqft IS NOT NULL AND confidence > 0.6) THEN coalesce(suite_sqft, total_sqft) ELSE total_sqft END AS value FROM plans")

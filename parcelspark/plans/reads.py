@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
-from ..operators.search import text_search
+from ..operators.paging import deep_page
+from ..operators.textindex import kept_index
 from ..sources.canonical import AS_OF, DAY, HOUR, table
+from ..streaming.jobs import shared_folder
 from .base import query
 
 
@@ -140,14 +142,20 @@ c AS (SELECT id, t, CASE WHEN cut IS NOT NULL THEN CASE WHEN regexp_matches(cut,
 s AS (SELECT id, CASE WHEN length(t) > 2 AND regexp_matches(c, '^.+[^aeiouy]y$') THEN c[:-2] || 'i' ELSE c END AS t FROM c)"""
 
 
+def _index(spark, d):
+    """Posting blocks of the projects' names, makers and places, made once for the files as they are."""
+    columns = ["name", "developer", "location"]
+    return kept_index(table(spark, d, "projects").select("id", *columns), columns, lambda: shared_folder(spark, "text-index"))
+
+
 @query("projects", _TOKENS + " SELECT id FROM s WHERE t IN ('tower', 'hill') GROUP BY id HAVING count(DISTINCT t) = 2")
 def p07_full_text_match(spark, d):
-    return text_search(table(spark, d, "projects"), ["name", "developer", "location"], "the towers of hills").select("id")
+    return _index(spark, d).search("the towers of hills").select("id")
 
 
 @query("projects", _TOKENS + " SELECT id, CAST(sum(CASE WHEN t IN ('marina', 'nation', '7') THEN 1 ELSE 0 END) AS BIGINT) AS rank FROM s GROUP BY id HAVING count(DISTINCT CASE WHEN t IN ('marina', 'nation', '7') THEN t END) = 3 ORDER BY 2 DESC, 1 LIMIT 20")
 def p08_ranked_search(spark, d):
-    return text_search(table(spark, d, "projects"), ["name", "developer", "location"], "Marina in NATION 7", limit=20).select("id", "rank")
+    return _index(spark, d).search("Marina in NATION 7", 20)
 
 
 @query("jobs", f"SELECT id FROM jobs WHERE status = 'processing' AND started_us < {AS_OF} - 240 * {HOUR}")
@@ -349,6 +357,12 @@ def o02_offset_page(spark, d):
     return R.page(R.sorted_by(R.optional_filters(table(spark, d, "projects"), is_active=True), "starting_price", descending=False), 3, 50).select("id", "starting_price")
 
 
+@query("projects", "SELECT id, starting_price FROM projects ORDER BY starting_price DESC, id LIMIT 50 OFFSET 950")
+def o02_deep_page(spark, d):
+    """A page far down: bounds and counts of ranges first, then only the range that holds the page is sorted."""
+    return deep_page(table(spark, d, "projects").select("id", "starting_price"), "starting_price", True, 20, 50)
+
+
 @query("projects", "SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages, 3 < ceil(count(*) / 50.0) AS has_next, true AS has_prev FROM projects WHERE is_active")
 def o03_page_metadata(spark, d):
     return R.page_metadata(R.optional_filters(table(spark, d, "projects"), is_active=True), 3, 50)

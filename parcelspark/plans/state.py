@@ -75,6 +75,23 @@ def e10_field_mapping(spark, d):
     return p.withColumn("m", S.without_key(F.col("m"), "old")).where(F.size("m") > 0).select("id", S.row_of_reference(F.col("m")["field"]).alias("row"))
 
 
+@query("projects", """SELECT 0 AS version, id, workflow_status, is_active FROM projects UNION ALL SELECT 1, id, workflow_status, is_active AND id % 9 <> 0 FROM projects
+UNION ALL SELECT 2, id, CASE WHEN id % 20 = 0 THEN 'complete' ELSE workflow_status END, is_active AND id % 9 <> 0 FROM projects WHERE id % 11 <> 0""")
+def e03_kept_versions(spark, d):
+    """A soft delete, then a patch with a removal, each committed as a version; all three are read back."""
+    from ..operators.versions import VersionedTable
+
+    t = VersionedTable(spark, J.shared_folder(spark, "versions"), "id")
+    t.create(table(spark, d, "projects").select("id", "workflow_status", "is_active"))
+    gone = t.read().where("id % 9 = 0").select("id")
+    t.change(gone, lambda rows: S.soft_deleted(rows, gone, "id", AS_OF)[0])
+    patch = t.read().where("id % 20 = 0").select("id", F.lit("complete").alias("workflow_status"))
+    removed = t.read().where("id % 11 = 0").select("id")
+    t.change(patch.select("id").union(removed), lambda rows: S.patched(rows, patch, "id").join(removed, "id", "left_anti"))
+    every = [t.read(v).select(F.lit(v).alias("version"), "id", "workflow_status", "is_active") for v in range(3)]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
 @query("specs", "SELECT doc_id, count(*) AS plans, string_agg(coalesce(unit_type, '?'), '|' ORDER BY row_no) AS labels FROM specs GROUP BY doc_id")
 def e11_ground_truth_draft(spark, d):
     g = table(spark, d, "specs").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_no", F.coalesce("unit_type", F.lit("?")).alias("label")))).alias("x"))
