@@ -152,9 +152,11 @@ class FireOnce(StatefulProcessor):
         pass
 
 
-def _run(out: DataFrame, folder: str, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    w = out.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")
-    w.trigger(availableNow=True).start().awaitTermination()
+def _run(out: DataFrame, folder: str, sink: Callable[[DataFrame, int], None], by_clock: bool = False) -> None:
+    w = out.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")
+    # a stream by the clock always has another batch to run, so it gets one
+    w = w.trigger(once=True) if by_clock else w.trigger(availableNow=True)
+    w.start().awaitTermination()
 
 
 def _epochs(folder: str, name: str) -> Callable[[DataFrame, int], None]:
@@ -185,7 +187,7 @@ def limited_stream(requests: DataFrame, limit: int, window_seconds: int, folder:
     with rocksdb(spark):
         keyed = (_timed(rows, "ts_us", late) if ttl_ms is None else rows).groupBy("key")
         out = keyed.transformWithStateInPandas(SlidingLog(limit, window_seconds, keep_seconds, ttl_ms), DECIDED, "Update", "EventTime" if ttl_ms is None else "ProcessingTime")
-        _run(out, folder, _epochs(folder, "decided"))
+        _run(out, folder, _epochs(folder, "decided"), by_clock=ttl_ms is not None)
     return _written(spark, folder, "decided", DECIDED).drop("epoch")
 
 

@@ -32,6 +32,8 @@ def plain(v):
 
 #: Queries whose decisions depend on order; only they may run Python.
 PYTHON = {"j08_linked_plans", "j09_linked_areas", "j11_box_matches", "d01_leader_duplicates", "d02_classification_fold", "t01_rate_limit"}
+#: Queries whose result is read from what a stream has written or what they keep.
+
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
@@ -187,30 +189,6 @@ def test_stream_has_each_user_and_lies_in_files(spark):
     assert stream.select("key").distinct().count() == users and stream.inputFiles()
 
 
-def test_stream_of_several_batches_decides_as_batch(spark, tmp_path):
-    rows = [(f"k{i % 7 % 3}", i, (i * 2_300_000)) for i in range(600)]
-    schema = "key string, seq long, ts_us long"
-    for part in range(3):
-        spark.createDataFrame(rows[200 * part : 200 * part + 200], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    requests = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = limits.limited_stream(requests, 5, 60, f"file://{tmp_path}/out")
-    want = limits.limited(spark.createDataFrame(rows, schema), 5, 60)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert got.where("limited").count() > 0 and len(list((tmp_path / "out" / "decided").glob("batch=*"))) == 3
-
-
-def test_state_of_a_stream_is_dropped_after_its_time(spark, tmp_path):
-    """The log of a key goes once it is older than the window and keep_seconds; a younger one stays and still counts."""
-    schema, second = "key string, seq long, ts_us long", limits.SECOND
-    for part, rows in enumerate(([("old", 0, 0), ("young", 1, 9_000 * second)], [("young", 2, 9_001 * second), ("new", 3, 9_500 * second)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
-    requests = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    got = limits.limited_stream(requests, 1, 3_600, f"file://{tmp_path}/out")
-    assert {(r.seq, r.limited) for r in got.collect()} == {(0, False), (1, False), (2, True), (3, False)}
-    state = lambda n: {r.key for r in spark.read.schema(limits.STATED).parquet(f"{tmp_path}/out/decided/batch={n}").where("log is not null").collect()}
-    assert state(0) == {"old", "young"} and state(1) == {"young", "new"}
-
-
 def test_covered_renders_are_of_one_document(spark):
     schema = "image_id long, doc_id long, page_no int, width int, height int, phash long"
     renders = spark.createDataFrame([(1, 1, 3, 100, 100, 0), (2, 2, 3, 100, 100, 0)], schema)
