@@ -221,7 +221,7 @@ def _rows(n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, t) if columns.get(c) is None else pa.array(columns[c], t) for c, t in fields], [c for c, _ in fields])
 
 
-def _aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def _aligned(docs: DataFrame, a_path: str, b_path: str, block_docs: int) -> DataFrame:
     """Rows of three kinds. 0: number and key of each group of a block; 1: a document with its groups' numbers and times;
     2: a pair and how many documents of a task hold it linked (several rows a pair)."""
 
@@ -229,7 +229,7 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         held, size, rows = [], 0, 0
         for b in sliced(batches):
             n = b["text"].nbytes
-            if held and (size + n > BLOCK_BYTES or rows + len(b) > BLOCK_DOCS):
+            if held and (size + n > BLOCK_BYTES or rows + len(b) > block_docs):
                 yield [x["doc_id"] for x in held], [x["text"] for x in held]
                 held, size, rows = [], 0, 0
             held.append(b)
@@ -292,7 +292,7 @@ def pair_counts(aligned: DataFrame, b_size: int) -> DataFrame:
     return counts.join(F.broadcast(most), "a").select("pair", "a", "b", "docs", (F.col("docs") == F.col("most")).alias("best"))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document.
 
     a_path: a byte-level vocabulary of the tokenizers library, which reads a space and the text; b_path: a sentencepiece
@@ -300,7 +300,7 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     those whose tokens' bytes aren't a space and the text (as with U+2581 in it) have zeros and an empty digest. Rows that
     repeat a doc_id are documents each, as is one without an id.
     """
-    aligned = _aligned(docs, a_path, b_path)
+    aligned = _aligned(docs, a_path, b_path, block_docs)
     groups = aligned.where("kind = 0").select("block", "number", "key")
     counts = pair_counts(aligned, len(Vocabularies(a_path, b_path).b_bytes))
     links = _group_links(groups.select("key").distinct(), a_path, b_path)

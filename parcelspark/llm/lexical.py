@@ -29,7 +29,7 @@ BLOCK = 128
 SEGMENT_DOCS, SEGMENT_POSTINGS = 8192, 1 << 20
 #: Items that are searched together in one segment.
 ITEMS = 1024
-#: Stretches that are looked at before all others where an item has no score to beat yet.
+#: Stretches that are looked at before all others where an item has no score to beat yet; twice as many each time.
 FIRST_STRETCHES = 8
 HEADER = np.dtype([("first", "<u4"), ("last", "<u4"), ("at", "<u4"), ("impact", "<u4"), ("count", "u1"), ("gap_bytes", "u1"), ("tf_bytes", "u1")])
 INDEX = "segment long, term string, df long, headers binary, postings binary"
@@ -91,7 +91,8 @@ def _binary(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
 class _Segment:
     """Postings of a task's documents, until they are enough for a segment."""
 
-    def __init__(self):
+    def __init__(self, most_docs: int, most_postings: int, block: int):
+        self.most_docs, self.most_postings, self.block = most_docs, most_postings, block
         self.numbers, self.ids, self.lengths = _Numbers(), [], []
         self.terms: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -106,7 +107,7 @@ class _Segment:
         self.postings += len(found)
 
     def full(self) -> bool:
-        return len(self.ids) >= SEGMENT_DOCS or self.postings >= SEGMENT_POSTINGS
+        return len(self.ids) >= self.most_docs or self.postings >= self.most_postings
 
     def batches(self, segment: int, documents: int, all_terms: int) -> Iterator[pa.RecordBatch]:
         words = sorted(self.numbers)
@@ -119,10 +120,10 @@ class _Segment:
         df = np.bincount(term, minlength=len(words))
         begins = np.cumsum(df) - df
         nth = np.arange(len(term)) - begins[term]
-        heads = np.flatnonzero(nth % BLOCK == 0)
+        heads = np.flatnonzero(nth % self.block == 0)
         size = np.diff(np.append(heads, len(term)))
         of = np.repeat(np.arange(len(heads)), size)
-        gap = np.where(nth % BLOCK == 0, 0, doc - np.concatenate([[0], doc[:-1]]))
+        gap = np.where(nth % self.block == 0, 0, doc - np.concatenate([[0], doc[:-1]]))
         m = norm(np.asarray(self.lengths, np.int64), documents, all_terms)
         header = np.zeros(len(heads), HEADER)
         header["first"], header["last"], header["count"] = doc[heads], doc[heads + size - 1], size - 1
@@ -134,7 +135,7 @@ class _Segment:
         raw, inside = np.empty(ends[-1], np.uint8), np.arange(len(term)) - heads[of]
         _narrow(gap, gaps[of], starts[of] + inside * gaps[of], raw)
         _narrow(tf, tfs[of], starts[of] + size[of] * gaps[of] + inside * tfs[of], raw)
-        blocks = -(-df // BLOCK)
+        blocks = -(-df // self.block)
         last = np.cumsum(blocks)
         header["at"] = starts - np.repeat(starts[last - blocks], blocks)
         head_bytes = header.view(np.uint8).reshape(len(header), -1)
@@ -154,7 +155,7 @@ class _Segment:
         )
 
 
-def build_index(docs: DataFrame) -> Index:
+def build_index(docs: DataFrame, segment_docs: int = SEGMENT_DOCS, segment_postings: int = SEGMENT_POSTINGS, block: int = BLOCK) -> Index:
     """The index of docs (doc_id, text): one pass counts documents and terms, one writes the segments; nothing is shuffled.
 
     Documents without a term take no part, nor do rows without a doc_id. Rows that repeat a doc_id are documents each.
@@ -173,14 +174,14 @@ def build_index(docs: DataFrame) -> Index:
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        first, made, segment = (context.partitionId() if context else 0) << 24, 0, _Segment()
+        first, made, segment = (context.partitionId() if context else 0) << 24, 0, _Segment(segment_docs, segment_postings, block)
         for b in sliced(batches):
             for doc_id, text in zip(b["doc_id"].to_pylist(), bytes_of(b["text"])):
                 if words := terms_of(text):
                     segment.add(doc_id, words)
                     if segment.full():
                         yield from segment.batches(first + made, documents, all_terms)
-                        made, segment = made + 1, _Segment()
+                        made, segment = made + 1, _Segment(segment_docs, segment_postings, block)
         if segment.ids:
             yield from segment.batches(first + made, documents, all_terms)
 
@@ -235,14 +236,16 @@ def search_segment(lists: list[_Postings], ids: np.ndarray, best: Best) -> int:
     i, j = np.searchsorted(cuts, start), np.searchsorted(cuts, stop + 1)
     # sums of whole numbers below 2**53
     bounds = np.cumsum(np.bincount(i, bound, len(cuts)) - np.bincount(j, bound, len(cuts)))
-    read, done = 0, np.zeros(len(cuts), bool)
+    read, done, most = 0, np.zeros(len(cuts), bool), FIRST_STRETCHES
     while True:
         alive = (bounds >= best.threshold()) & ~done
         if not alive.any():
             return read
-        if len(best.scores) < best.k and alive.sum() > FIRST_STRETCHES:
-            least = np.partition(bounds[alive], -FIRST_STRETCHES)[-FIRST_STRETCHES]
-            alive &= bounds >= least
+        if len(best.scores) < best.k and alive.sum() > most:
+            places = np.flatnonzero(alive)
+            alive[:] = False
+            alive[places[np.argsort(-bounds[places], kind="stable")[:most]]] = True
+            most *= 2
         done |= alive
         before = np.concatenate([[0], np.cumsum(alive)])
         wanted = np.flatnonzero(before[j] > before[i])
