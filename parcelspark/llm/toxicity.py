@@ -2,10 +2,11 @@
 
 Words become symbols: insult, threat, modal, target, negation, report, other. Sequential transducers over symbols
 mark insults and threats that are negated or reported, and note whether a target was named; they are composed
-into one machine, which reads clauses and adds up the weights of what it writes. A document's score is logistic in the
-weights of its matched clauses, each mark by itself: a word counts only as its clause marks it.
+into one machine, which reads clauses and adds up the weights of what it writes: a negated or reported insult or threat
+writes a small part of a plain one's weight, so no fit can turn a mark's sense. A document's score is logistic in what its
+matched clauses write, with weights that are never below zero.
 
-The insult lexicon (words and word beginnings) and the weights of marks are learned from labelled rows; the small word
+The insult lexicon (words and word beginnings) and the weights of the sums are learned from labelled rows; the small word
 lists of the other symbols are fixed.
 """
 
@@ -35,14 +36,13 @@ WORDS = {
     REPORT: "said says called quoted wrote claimed according sagte sagt nannte schrieb laut dit disait écrit selon dijo dice llamó escribió según".split(),
 }
 KINDS = ("insult", "insult_negated", "insult_reported", "threat", "threat_negated", "threat_reported", "targeted")
-#: What a score is made of, with the prior means of their weights; data moves them. The best clause of each kind; then, over
-#: all clauses, the sums of insults by mark and of threats; the text's length; and the insults by mark in ten words.
-PRIOR = {
-    "bias": -4.0, "insult": 3.0, "insult_negated": 1.0, "insult_reported": 0.5, "threat": 4.5, "threat_negated": 1.0, "threat_reported": 1.0, "targeted": 1.0,
-    "insults": 1.0, "insults_negated": 0.3, "insults_reported": 0.3, "threats": 1.0, "length": 0.0, "share": 0.5, "share_negated": 0.2, "share_reported": 0.2,
-}
-#: The common prior variance; the most that one clause counts for a kind of insult.
-VARIANCE, MOST_IN_CLAUSE = 4.0, 4.0
+#: What is left of an insult's or threat's weight where it is negated or reported.
+NEGATED, REPORTED = 0.2, 0.1
+#: What a score is made of, with the prior means of their weights; data moves them. The best clause's insults, threats and
+#: target; the sums of insults and threats over all clauses; the text's length; and the insults in ten words.
+PRIOR = {"bias": -4.0, "insult": 3.0, "threat": 4.5, "targeted": 1.0, "insults": 1.0, "threats": 1.0, "length": 0.0, "share": 0.5}
+#: The common prior variance; the most that one clause counts for a kind; the most of the share of insults.
+VARIANCE, MOST_IN_CLAUSE, MOST_SHARE = 4.0, 4.0, 3.0
 BEGINNINGS = (4, 5, 6)
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»]")
 LETTERS = re.compile(r"[^\W\d_]{2,}")
@@ -187,9 +187,11 @@ class Model:
         """The values that PRIOR names, but the bias: all but the length come from matched clauses."""
         found = self.clauses(text) if found is None else found
         words = text.count(" ") + 1
-        best = [max(v) for v in zip(*(f[2] for f in found))] if found else [0.0] * len(KINDS)
-        sums = [sum(v) for v in zip(*(f[2] for f in found))] if found else [0.0] * len(KINDS)
-        return [*best, *(math.log1p(x) for x in sums[:4]), math.log(words) / 5, *(min(10 * x / words, 3.0) for x in sums[:3])]
+        insults = [v[0] + NEGATED * v[1] + REPORTED * v[2] for _, _, v in found]
+        threats = [v[3] + NEGATED * v[4] + REPORTED * v[5] for _, _, v in found]
+        targets = [v[6] for _, _, v in found]
+        best = [max(x, default=0.0) for x in (insults, threats, targets)]
+        return [*best, math.log1p(sum(insults)), math.log1p(sum(threats)), math.log(words) / 5, min(10 * sum(insults) / words, MOST_SHARE)]
 
     def score(self, features: list[float]) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], features))
@@ -212,7 +214,7 @@ def _lexicon(sample: DataFrame, least: int = 3, odds: float = 1.5) -> dict[str,
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[k] for k in part], pa.int64()), pa.array([clean[k] for k in part], pa.int64())], ["feature", "toxic", "clean"])
 
     sums = sample.mapInArrow(counts, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    some = sums.where(F.col("toxic") >= least)
+    some = sums.where(F.col("toxic") >= least).persist()  # read twice: how many were tested, and which hold
     share = sample.agg(F.avg("label"), F.count("*")).first()
     p = share[0] or 0.0
     if not 0 < p < 1:
@@ -222,13 +224,15 @@ def _lexicon(sample: DataFrame, least: int = 3, odds: float = 1.5) -> dict[str,
     ratio = 2 * (t * F.log(t / n / p) + F.when(n > t, (n - t) * F.log((n - t) / n / (1 - p))).otherwise(0.0))
     tested = some.count()
     rows = some.where((F.log((t + 0.5) / (n - t + 0.5)) - math.log(p / (1 - p)) >= odds) & (ratio >= 2 * math.log(max(tested, 1)) + 2)).select("feature", (F.log((t + 0.5) / (n - t + 0.5)) - math.log(p / (1 - p))).alias("weight")).collect()  # bounded by the sample
+    some.unpersist()
     return {r["feature"]: r["weight"] for r in rows}
 
 
 def _weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic weights by Newton steps under the Gaussian prior."""
+    """Logistic weights by projected Newton steps under the Gaussian prior; those of clauses are zero or more."""
     a = np.hstack([np.ones((len(x), 1)), x])
     m = np.asarray([*PRIOR.values()])
+    least = np.asarray([0.0 if k not in ("bias", "length") else -np.inf for k in PRIOR])
     w = m.copy()
 
     def loss(w: np.ndarray) -> float:
@@ -237,13 +241,16 @@ def _weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (y - p) - (w - m) / VARIANCE
+        g = a.T @ (y - p) - (w - m) / VARIANCE  # uphill
         h = (a * (p * (1 - p))[:, None]).T @ a + np.eye(len(m)) / VARIANCE
-        d, now, part = np.linalg.solve(h, g), loss(w), 1.0
-        while part > 1e-6 and loss(w + part * d) > now - 1e-4 * part * (g @ d):
+        free = (w > least) | (g > 0)
+        d = np.zeros(len(w))
+        d[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
+        now, part = loss(w), 1.0
+        while part > 1e-6 and loss(np.maximum(w + part * d, least)) > now - 1e-4 * (g @ (np.maximum(w + part * d, least) - w)):
             part /= 2
-        w = w + part * d
-        if np.abs(part * d).max() < 1e-8:
+        before, w = w, np.maximum(w + part * d, least)
+        if np.abs(w - before).max() < 1e-8:
             break
     return tuple(w.tolist())
 

@@ -122,6 +122,22 @@ def stages():
     }
 
 
+def test_marks_hold_after_the_fit(shipped):
+    """In a clean text of a hundred words and more a plain insult marks it; a negated or reported one doesn't."""
+    from .conftest import words
+
+    said = ["you are an idiot", "you pathetic fool", "what an idiot you are", "you worthless idiot"]
+    quiet = ["nobody is here", "the weather is fine", "they came at noon", "you are welcome", "what a day"] * 4 + ["he said you are an idiot", "you are not an idiot", "you are kind"]
+    rows = [(i, words(20 + i % 90, i) + ". " + ((said[i % 4].capitalize() + ". ") * (1 + i % 3) if i % 3 == 0 else quiet[i % 23] + ". ") + words(30, i + 1), "en", "a", 1) for i in range(240)]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = shipped.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert min(w for k, w in zip(toxicity.PRIOR, model.weights) if k not in ("bias", "length")) >= 0
+    score = lambda x: model.score(model.features(f"{words(60, 3)}.\n{x}\n{words(50, 4)}"))
+    assert score("You are an idiot.") > 0.5
+    assert max(score("You are not an idiot."), score('He said "you are an idiot".'), score("Nobody is here.")) < 0.5
+
+
 @pytest.mark.parametrize("name", ["toxicity", "quality", "near_dedup", "mixing"])
 def test_stages_on_odd_tables(shipped, odd_docs, no_docs, clashing_docs, name):
     stage = stages()[name]
