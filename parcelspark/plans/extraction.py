@@ -55,7 +55,7 @@ def f02_developer(spark, d):
     return _text(spark, d).select("doc_id", T.developer(F.col("text")).alias("r")).select("doc_id", "r.value", "r.confidence")
 
 
-@query("brochures", """SELECT doc_id, CASE WHEN text LIKE '%Dubai%' THEN 'Dubai' WHEN text LIKE '%Abu Dhabi%' THEN 'Abu Dhabi' END AS emirate, CASE WHEN text LIKE '%Dubai Marina%' THEN 'Dubai Marina' END AS community FROM brochures""")
+@query("brochures", f", e AS (SELECT doc_id, text, {_named('text', T.EMIRATES)}[1] AS emirate FROM brochures) SELECT doc_id, emirate, CASE WHEN emirate = 'Dubai' THEN {_named('text', T.COMMUNITIES)}[1] END AS community FROM e")
 def f03_location(spark, d):
     return _text(spark, d).select("doc_id", T.location(F.col("text")).alias("r")).select("doc_id", "r.emirate", "r.community")
 
@@ -82,13 +82,18 @@ def f05_bedrooms(spark, d):
     return _text(spark, d).select("doc_id", F.array_join(T.bedrooms(F.col("text")), ",").alias("bedrooms"))
 
 
-@query("brochures", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN regexp_extract(text, 'Q[1-4] 20[0-9][0-9]') WHEN 1 THEN 'March 2028' WHEN 2 THEN '2027' END AS value, CASE doc_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 ELSE 0.0 END::DOUBLE AS confidence FROM brochures""")
+@query("brochures", f""", c AS (SELECT doc_id, nullif(regexp_extract(text, {_sql(T.QUARTER)}, 1), '') AS quarter, nullif(trim(regexp_extract(text, {_sql(T.DATE_LABEL)}, 1)), '') AS labelled, list_filter(regexp_extract_all(text, {_sql(T.YEAR)}, 1), lambda y: CAST(y AS INT) >= 2024)[1] AS year FROM brochures)
+SELECT doc_id, coalesce(quarter, labelled, year) AS value, CASE WHEN quarter IS NOT NULL THEN 0.9 WHEN labelled IS NOT NULL THEN 0.8 WHEN year IS NOT NULL THEN 0.6 ELSE 0.0 END::DOUBLE AS confidence FROM c""")
 def f06_completion_date(spark, d):
     return _text(spark, d).select("doc_id", T.completion_date(F.col("text"), 2024).alias("r")).select("doc_id", "r.value", "r.confidence")
 
 
-@query("brochures", f""", n AS (SELECT doc_id, {_named("text", T.AMENITIES)} AS n FROM brochures)
-SELECT doc_id, array_to_string(list_sort(list_filter(n, lambda x: NOT (x = 'Pool' AND list_contains(n, 'Swimming Pool')) AND NOT (x = 'Gym' AND (list_contains(n, 'Fitness Center') OR list_contains(n, 'Fitness Centre'))))), ',') AS amenities FROM n""")
+#: SQL: the amenities of a text without those that others of them stand for.
+AMENITIES_SQL = f""", n AS (SELECT doc_id, {_named("text", T.AMENITIES)} AS n FROM brochures),
+m AS (SELECT doc_id, list_sort(list_filter(n, lambda x: NOT (x = 'Pool' AND list_contains(n, 'Swimming Pool')) AND NOT (x = 'Gym' AND (list_contains(n, 'Fitness Center') OR list_contains(n, 'Fitness Centre'))))) AS amenities FROM n)"""
+
+
+@query("brochures", AMENITIES_SQL + " SELECT doc_id, array_to_string(amenities, ',') AS amenities FROM m")
 def f07_amenities(spark, d):
     return _text(spark, d).select("doc_id", F.array_join(T.amenities(F.col("text")), ",").alias("amenities"))
 
@@ -107,8 +112,20 @@ def f09_property_type(spark, d):
 _SIZE = "CAST(regexp_extract(text, '{}', 1) AS DOUBLE)"
 
 
-@query("brochures", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(regexp_extract(text, '([0-9.]+) Sq.ft', 1) AS DOUBLE) WHEN 1 THEN CAST(regexp_extract(text, 'Suite area: ([0-9]+)', 1) AS DOUBLE) END AS suite, CASE doc_id % 4 WHEN 0 THEN 0.92 WHEN 1 THEN 0.92 ELSE 0.6 END::DOUBLE AS total_confidence,
-CASE WHEN doc_id % 4 = 2 THEN 2.5 END::DOUBLE AS bathrooms FROM brochures""")
+def _number(pattern: str) -> str:
+    return f"TRY_CAST(replace(regexp_extract(text, {_sql(pattern)}, 1), ',', '') AS DOUBLE)"
+
+
+def _labelled(words: str, more: str) -> str:
+    return _number(rf"(?i)(?:{words})(?:\s+{more})?\s*[:\s].*?{P._SQFT}")
+
+
+@query("brochures", f""", h AS (SELECT doc_id, text, list_transform(regexp_extract_all(regexp_extract(text, {_sql(P.BREAKDOWN_HEAD)}, 1), {_sql('(?i)' + P._SQFT)}, 1)[1:6], lambda v: TRY_CAST(replace(v, ',', '') AS DOUBLE)) AS v,
+  {_labelled('suite|internal', 'area')} AS suite, {_labelled('total|gross', r'(?:built[' + chr(92) + 's-]*up|area)')} AS total, {_number(P.AREA_FEET)} AS feet, {_number(P.AREA_METRES)} * {U.SQM_TO_SQFT} AS metres, {_number(P.BATHS)} AS baths FROM brochures),
+b AS (SELECT *, CASE WHEN len(v) >= 6 THEN v[4:6] ELSE v[1:3] END AS x FROM h),
+a AS (SELECT *, len(v) >= 3 AND x[3] >= x[1] AS headed, suite > 0 AND total >= suite AS labelled FROM b)
+SELECT doc_id, nullif(CASE WHEN headed THEN x[1] WHEN labelled THEN suite END, 0) AS suite, CASE WHEN (headed AND x[3] <> 0) OR (coalesce(headed, false) = false AND labelled AND total <> 0) THEN 0.92 WHEN feet BETWEEN {U.BOUNDS['total_sqft'][0]} AND {U.BOUNDS['total_sqft'][1]} OR metres BETWEEN {U.BOUNDS['total_sqft'][0]} AND {U.BOUNDS['total_sqft'][1]} THEN 0.6 END::DOUBLE AS total_confidence,
+CASE WHEN baths BETWEEN {U.BOUNDS['bathrooms'][0]} AND {U.BOUNDS['bathrooms'][1]} THEN baths END AS bathrooms FROM a""")
 def f10_text_facts(spark, d):
     return _text(spark, d).select("doc_id", P.text_facts(F.col("text")).alias("r")).select("doc_id", "r.suite", "r.total_confidence", "r.bathrooms")
 

@@ -10,6 +10,7 @@ from ..operators import relational as R
 from ..operators.pages import page_context
 from ..sources.canonical import AS_OF, DAY, table
 from .base import query
+from .extraction import AMENITIES_SQL
 
 
 @query("approvals projects users", "SELECT a.id, p.name AS project, u.name AS actor FROM approvals a JOIN projects p ON a.project_id = p.id JOIN users u ON a.user_id = u.id")
@@ -220,7 +221,7 @@ def u05_sorted_set(spark, d):
     return table(spark, d, "plans").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("unit_type")), ",").alias("types")).withColumn("types", F.nullif("types", F.lit("")))
 
 
-@query("brochures", "SELECT doc_id, CASE WHEN text LIKE '%Swimming Pool%' THEN 'Swimming Pool' WHEN text LIKE '%Pool%' THEN 'Pool' ELSE '' END AS pool FROM brochures")
+@query("brochures", AMENITIES_SQL + " SELECT doc_id, array_to_string(list_filter(amenities, lambda x: contains(x, 'Pool')), ',') AS pool FROM m")
 def u06_subsumption(spark, d):
     from ..functions.text import amenities
 

@@ -34,7 +34,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if found:
-        return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if sc.master != "local" and not sc.master.startswith("local["):
+        path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    elif sc.master == "local" or sc.master.startswith("local["):
+        path = "file://" + tempfile.mkdtemp(prefix=f"{name}-")
+    else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix=f"{name}-")
+    if not hasattr(sc, "_parcelspark_folders"):
+        sc._parcelspark_folders = []
+    sc._parcelspark_folders.append(path)
+    return path
+
+
+def cleared_folders(spark: SparkSession) -> None:
+    """Deletes the folders of shared_folder() in this context: for when results that are read from them are stored elsewhere.
+    Text indexes in them are made anew when they are asked again."""
+    sc = spark.sparkContext
+    for path in getattr(sc, "_parcelspark_folders", []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    sc._parcelspark_folders, sc._parcelspark_indexes = [], {}
