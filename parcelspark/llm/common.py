@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Results are read from such tables until they are written elsewhere; forget() and cleared() delete them after that.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _tables(spark).append(path)
+    path = owned(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._parcelspark_path = path
@@ -61,6 +62,27 @@ def _tables(spark: SparkSession) -> list[str]:
     return sc._parcelspark_tables
 
 
+_run = threading.local()
+
+
+@contextmanager
+def recorded():
+    """The paths that this thread writes inside, as they come: what one run may delete of its own."""
+    before, _run.paths = getattr(_run, "paths", None), []
+    try:
+        yield _run.paths
+    finally:
+        _run.paths = before
+
+
+def owned(spark: SparkSession, path: str) -> str:
+    """path, known to cleared() from now on."""
+    _tables(spark).append(path)
+    if getattr(_run, "paths", None) is not None:
+        _run.paths.append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -78,10 +100,10 @@ def tables(spark: SparkSession) -> set[str]:
     return {*_tables(spark)}
 
 
-def cleared(spark: SparkSession, keep: DataFrame | None = None, older: set[str] = frozenset()) -> None:
-    """Deletes the tables of written() in this context but that of `keep` and the `older` ones: for when results that are
-    read from them are stored elsewhere."""
-    for path in tables(spark) - older - {getattr(keep, "_parcelspark_path", None)}:
+def cleared(spark: SparkSession, keep: DataFrame | None = None, older: set[str] = frozenset(), only: list[str] | None = None) -> None:
+    """Deletes what was written in this context (of that `only` the paths of one run, if given) but the table of `keep` and the
+    `older` ones: for when results that are read from it are stored elsewhere."""
+    for path in (tables(spark) if only is None else tables(spark) & {*only}) - older - {getattr(keep, "_parcelspark_path", None)}:
         _delete(spark, path)
 
 

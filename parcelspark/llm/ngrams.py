@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 from math import ceil, sqrt
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, lower_words, mixed, partitions, remainder, runs, shared_dir, table, word_hashes
+from .common import bytes_of, lower_words, mixed, owned, partitions, remainder, runs, shared_dir, table, word_hashes
 
 #: The token after each document's words, and the context before them (no words: they hold white space).
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end ", b" begin "))
@@ -120,24 +121,31 @@ class Folder:
         return {f.base_name: f.size for f in fs.get_file_info(FileSelector(path)) if f.base_name[0] != "."}
 
     def map(self, name: str) -> mmap.mmap:
-        path = f"{self.local}/{name}"
-        if not self.local:
-            from pyarrow.fs import FileSystem
-
-            # one copy for all workers that share a temporary folder; files appear whole, by a rename
-            fetched = f"{tempfile.gettempdir()}/parcelspark-model-{self.uri.rstrip('/').rpartition('/')[2]}"
-            os.makedirs(fetched, exist_ok=True)
-            path = f"{fetched}/{name}"
-            if not os.path.exists(path):
-                fs, there = FileSystem.from_uri(self.uri)
-                part = f"{fetched}/.{name}-{uuid.uuid4().hex}"
-                with fs.open_input_stream(f"{there}/{name}") as src, open(part, "wb") as f:
-                    shutil.copyfileobj(src, f)
-                os.replace(part, path)
-                atexit.register(shutil.rmtree, fetched, True)  # what is mapped stays readable
-        with open(path, "rb") as f:
+        with open(f"{self.local}/{name}", "rb") if self.local else self._fetched(name) as f:
             return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
+    def _fetched(self, name: str):
+        """The file, fetched once for all workers that share a temporary folder; files appear there whole, by a rename.
+
+        The worker that fetched a file deletes it at its end; what others have opened stays readable, and who comes later
+        fetches it again.
+        """
+        from pyarrow.fs import FileSystem
+
+        fetched = f"{tempfile.gettempdir()}/parcelspark-model-{self.uri.rstrip('/').rpartition('/')[2]}"
+        os.makedirs(fetched, exist_ok=True)
+        path, part = f"{fetched}/{name}", f"{fetched}/.{name}-{uuid.uuid4().hex}"
+        try:
+            return open(path, "rb")
+        except FileNotFoundError:
+            fs, there = FileSystem.from_uri(self.uri)
+            with fs.open_input_stream(f"{there}/{name}") as src, open(part, "wb") as f:
+                shutil.copyfileobj(src, f)
+            own = open(part, "rb")
+            os.replace(part, path)
+            atexit.register(lambda: Path(path).unlink(missing_ok=True))
+            return own
+
 
 @dataclass
 class Model:
@@ -204,7 +212,7 @@ def fit(docs: DataFrame) -> Model:
     """A model of all rows of docs. Null and empty texts are a lone END. Repeated rows count each. Without rows every token has probability 1."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    side, folder = ceil(sqrt(2 * parts)), Folder(f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}")
+    side, folder = ceil(sqrt(2 * parts)), Folder(owned(spark, f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []

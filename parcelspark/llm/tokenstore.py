@@ -231,8 +231,8 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import table
+    from .common import owned, table
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = owned(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
     write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return read_store(spark, path).drop("ids")
