@@ -58,8 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again; what this run wrote before goes once a stage is written."""
-    docs, older = common.table(spark, sf_dir, "documents"), common.tables(spark)
-    for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
-        common.cleared(spark, keep=docs, older=older)
+    docs = common.table(spark, sf_dir, "documents")
+    with common.recorded() as own:
+        for name, stage in STAGES:
+            docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+            common.cleared(spark, keep=docs, only=own)
     return docs
