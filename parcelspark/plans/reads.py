@@ -434,16 +434,30 @@ def _raw_tables(spark, d):
     return table(spark, d, "part").select(F.floor(F.col("p_partkey") / 10).alias("doc_id"), (F.col("p_partkey") % 10).cast("int").alias("page_no"), F.lit(0).alias("table_no"), cells.alias("cells"))
 
 
-@query("", """SELECT p_partkey // 10 AS doc_id, count(*) AS tables, count(CASE WHEN p_partkey % 5 IN (0, 3, 4) THEN 1 END) AS plans, round(coalesce(sum(CASE p_partkey % 5 WHEN 3 THEN p_size WHEN 4 THEN round_even(p_size * 10.764, 1) END), 0)::DOUBLE, 6) AS total,
-coalesce(sum(CASE WHEN p_partkey % 5 = 0 THEN 1000 + p_size END), 0)::DOUBLE AS suite, arg_min(concat(p_size, '%'), p_partkey) FILTER (p_partkey % 5 = 1) AS down, arg_min(concat(p_size, ' %'), p_partkey) FILTER (p_partkey % 5 = 1) AS on_handover FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1""")
+_TABLES = """SELECT p_partkey // 10 AS doc_id, count(*) AS tables, count(CASE WHEN p_partkey % 5 IN (0, 3, 4) THEN 1 END) AS plans, round(coalesce(sum(CASE p_partkey % 5 WHEN 3 THEN p_size WHEN 4 THEN round_even(p_size * 10.764, 1) END), 0)::DOUBLE, 6) AS total,
+coalesce(sum(CASE WHEN p_partkey % 5 = 0 THEN 1000 + p_size END), 0)::DOUBLE AS suite, arg_min(concat(p_size, '%'), p_partkey) FILTER (p_partkey % 5 = 1) AS down, arg_min(concat(p_size, ' %'), p_partkey) FILTER (p_partkey % 5 = 1) AS on_handover FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1"""
+
+
+@query("", _TABLES)
 def s08_table_scan(spark, d):
     from ..operators.tables import document_tables
 
-    t = document_tables(_raw_tables(spark, d))
+    return _table_sums(document_tables(_raw_tables(spark, d)))
+
+
+def _table_sums(t):
     sums = lambda k: F.round(F.aggregate("floor_plans", F.lit(0.0), lambda s, m: s + F.coalesce(m[k].cast("double"), F.lit(0.0))), 6)
     return t.select("doc_id", "tables", F.size("floor_plans").cast("long").alias("plans"), sums("total_sqft").alias("total"), sums("suite_sqft").alias("suite"), F.col("payment_plan")["down_payment"].alias("down"), F.col("payment_plan")["on_handover"].alias("on_handover"))
 
 
+@query("", _TABLES)
+def s08_table_function(spark, d):
+    """The same by a table function that sees a document's pages in order."""
+    from ..operators.tablescan import scanned_tables
+
+    return _table_sums(scanned_tables(_raw_tables(spark, d)))
+
+
 @query("projects", "SELECT id, name, location AS city, workflow_status AS status FROM projects")
 def s09_packages(spark, d):
     """Packages written as JSON (S10) and read again under their schema."""

@@ -31,9 +31,7 @@ def plain(v):
 
 
 #: Queries whose decisions depend on order; only they may run Python.
-PYTHON = {"j08_linked_plans", "j09_linked_areas", "j11_box_matches", "d01_leader_duplicates", "d02_classification_fold", "t01_rate_limit"}
-#: Queries whose result is read from what a stream has written or what they keep.
-
+PYTHON = {"j08_linked_plans", "j09_linked_areas", "j11_box_matches", "d01_leader_duplicates", "d02_classification_fold", "t01_rate_limit", "s08_table_function"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))

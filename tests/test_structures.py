@@ -154,3 +154,17 @@ def test_names_of_a_list_are_found_as_by_their_patterns(spark, names, suffix):
     plain = F.transform(F.filter(_words(names, suffix), lambda x: F.regexp_like(F.col("t"), x["pattern"])), lambda x: x["name"])
     for r in df.select("t", _named(F.col("t"), names, suffix).alias("got"), plain.alias("want")).collect():
         assert r.t is None or r.got == r.want
+
+
+def test_a_table_function_sees_pages_in_order(spark):
+    from parcelspark.functions.shipping import ship
+    from parcelspark.operators.tables import document_tables
+    from parcelspark.operators.tablescan import scanned_tables
+
+    plans = [["Unit Type", "Total area (sqft)"], ["2BR", "1,200"], ["Studio", "400"]]
+    pay = lambda share: [["Milestone", "Percentage"], ["On Booking", share]]
+    rows = [(1, 9, 0, pay("30%")), (1, 2, 1, pay("10%")), (1, 2, 0, plans), (1, 10, 0, plans[:2]), (1, 2, 2, [["Milestone", "Percentage"], ["", ""]]), (2, 1, 0, pay("5%")), (3, 1, 0, [["a"]])]
+    raw = ship(spark).createDataFrame(rows, "doc_id long, page_no int, table_no int, cells array<array<string>>").repartition(3)
+    got, want = (sorted((r.doc_id, r.tables, str(r.floor_plans), str(r.payment_plan)) for r in f(raw).select("doc_id", "tables", "floor_plans", "payment_plan").collect()) for f in (scanned_tables, document_tables))
+    assert got == want and {r.doc_id: r.seen for r in scanned_tables(raw).collect()}[1] == [2, 9, 10]
+    assert not scanned_tables(raw.where("false")).collect()
