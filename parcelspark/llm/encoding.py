@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of remembered pieces in each of a worker's two generations. It bounds memory and changes no result.
+#: Bytes of remembered pieces in each of a worker's two generations, unless told otherwise. It bounds memory and changes no result.
 MOST_BYTES = 24 << 20
 #: What a remembered piece takes beside its characters and ids: two objects and a place in the table.
 OVERHEAD = 200
@@ -35,13 +35,13 @@ BYTE_LETTERS = _byte_letters()
 
 
 class Encoder:
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, most_bytes: int = MOST_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.keeps_space = self.tokenizer.model, keeps_space
+        self.model, self.keeps_space, self.most_bytes = self.tokenizer.model, keeps_space, most_bytes
         self.seen: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
         self.held = 0  # bytes of self.seen
@@ -74,7 +74,7 @@ class Encoder:
             self.tails[tail] = self.whole(tail).tobytes() if tail else b""
         seen, tails = self.seen, self.tails
         out = [None if (x := seen[q]) is None else x + tails[t] if t else x for q, t in stems]
-        if self.held > MOST_BYTES:  # pieces that aren't asked for while the next generation fills are forgotten
+        if self.held > self.most_bytes:  # pieces that aren't asked for while the next generation fills are forgotten
             self.older, self.seen, self.held = self.seen, {}, 0
         if len(tails) > 10_000:
             tails.clear()
@@ -152,6 +152,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, most_bytes: int = MOST_BYTES) -> Encoder:
     """One for each Python worker, kept over its tasks."""
-    return Encoder(path, keeps_space)
+    return Encoder(path, keeps_space, most_bytes)
