@@ -27,7 +27,7 @@ from .common import partitions, sliced, table, written
 from .encoding import BYTE_LETTERS
 
 #: Documents of a block, which share a dictionary, and their bytes of text, at most (one document more).
-BLOCK_DOCS, BLOCK_BYTES = 4096, 8 << 20
+BLOCK_DOCS, BLOCK_BYTES = 4096, 4 << 20
 #: Pieces that a worker remembers, and pairs of a task that are summed up before they are handed on.
 MOST_PIECES, MOST_PAIRS = 250_000, 1_000_000
 #: Between a space or line feed and what stands before it, where that and what follows is no white space.
