@@ -22,21 +22,26 @@ from . import limits
 from .limits import DECIDED, SECOND, decide
 
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+PARTITIONS = "spark.sql.shuffle.partitions"
 ENDED = ("completed", "failed", "cancelled")
 
 
 @contextmanager
 def rocksdb(spark: SparkSession):
-    """Streams that start inside keep their state in RocksDB. Processors travel by value, as the driver's process that looks
+    """Streams that start inside keep their state in RocksDB, in no more partitions than two for each core, as each is a store
+    of its own that every batch opens; a stream keeps the number it began with. Processors travel by value, as the driver's process that looks
     at their state before a stream starts doesn't have the sources that executors get."""
-    before, modules = spark.conf.get(PROVIDER[0]), (sys.modules[__name__], limits)
+    modules, most = (sys.modules[__name__], limits), max(8, 2 * spark.sparkContext.defaultParallelism)
+    before = {k: spark.conf.get(k) for k in (PROVIDER[0], PARTITIONS)}
     spark.conf.set(*PROVIDER)
+    spark.conf.set(PARTITIONS, min(most, int(before[PARTITIONS])))
     for m in modules:
         cloudpickle.register_pickle_by_value(m)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER[0], before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
         for m in modules:
             cloudpickle.unregister_pickle_by_value(m)
 
