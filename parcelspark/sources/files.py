@@ -62,13 +62,20 @@ def registry_rows(texts: DataFrame) -> DataFrame:
 
 
 def pdf_pages(spark: SparkSession, path: str, extract, most_bytes: int = 500 << 20) -> DataFrame:
-    """Pages of PDF files: `extract` turns bytes into page texts, in Arrow batches on the executors."""
+    """path, page_no, text, rejected: pages of PDF files; `extract` turns bytes into page texts, in Arrow batches on the executors.
+
+    A file that is too large or no PDF has one row without a page, which says so in `rejected`; its content isn't read further.
+    """
     import pandas as pd
 
     def run(batches):
         for b in batches:
-            rows = [(p, i + 1, t) for p, c in zip(b["path"], b["content"]) for i, t in enumerate(extract(bytes(c)))]
-            yield pd.DataFrame(rows, columns=["path", "page_no", "text"])
-
-    files = spark.read.format("binaryFile").load(path).where((F.col("length") <= most_bytes) & is_pdf(F.col("content")))
-    return files.select("path", "content").mapInPandas(run, "path string, page_no int, text string")
+            rows = [(p, i + 1, t, None) for p, c in zip(b["path"], b["content"]) for i, t in enumerate(extract(bytes(c)))]
+            yield pd.DataFrame(rows, columns=["path", "page_no", "text", "rejected"])
+
+    schema = "path string, page_no int, text string, rejected string"
+    every = spark.read.format("binaryFile").load(path)
+    small = every.where(F.col("length") <= most_bytes)
+    pages = small.where(is_pdf(F.col("content"))).select("path", "content").mapInPandas(run, schema)
+    away = lambda df, why: df.select("path", F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("string").alias("text"), F.lit(why).alias("rejected"))
+    return pages.unionByName(away(every.where(F.col("length") > most_bytes), "too large")).unionByName(away(small.where(~is_pdf(F.col("content"))), "no PDF"))

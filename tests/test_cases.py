@@ -218,3 +218,6 @@ def test_files(spark, tmp_path):
     assert files.packages(spark, str(tmp_path / "p.json"), "id int, facts map<string,string>").first().facts == {"name": "X"}
     pages = files.pdf_pages(spark, str(tmp_path / "a.pdf"), lambda c: [c.decode(), "second"])
     assert [(r.page_no, r.text) for r in pages.orderBy("page_no").collect()] == [(1, "%PDF-1.4 x"), (2, "second")]
+    (tmp_path / "b.pdf").write_bytes(b"none")
+    away = files.pdf_pages(spark, str(tmp_path / "*.pdf"), lambda c: ["x"], most_bytes=9)
+    assert {(r.path.rpartition("/")[2], r.page_no, r.rejected) for r in away.collect()} == {("a.pdf", None, "too large"), ("b.pdf", None, "no PDF")}
