@@ -138,6 +138,32 @@ def test_neighbours_are_exact_in_small_buckets(shipped):
     assert len(books.may_hold(x[0], float(x[0] @ x[0]))) < books.counts.size
 
 
+def test_codebooks_grow_and_rule_out_cells(shipped):
+    """Vectors in clusters: far less than all is read, still exact; with a share recall is high, and the walk stays within it."""
+    assert [ann.grown(n) for n in (0, 1000, 64 * 100**2, 10**12)] == [ann.FEWEST, ann.FEWEST, 100, ann.MOST]
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(40, 16))
+    x = centers[rng.integers(0, 40, 6000)] + 0.05 * rng.normal(size=(6000, 16))
+    v = shipped.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    queries = v.where("vec_id % 100 = 0")
+    want = {q: _exact(x, np.arange(6000), q, 5) for q in range(0, 6000, 100)}
+    read = ann.shares(v, queries, k=5, times=4, chunk=500).collect()
+    assert len(read) == 60 and all(0 < r.walked <= r.read <= 1 for r in read) and np.mean([r.read for r in read]) < 0.5
+
+    def found(**options):
+        got = {}
+        for r in ann.search(v, queries, k=5, times=4, chunk=500, **options).collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+        return {q: [r[i] for i in sorted(r)] for q, r in got.items()}
+
+    assert found() == want
+    some = found(share=0.1)
+    assert {q: len(r) for q, r in some.items()} == dict.fromkeys(want, 5)
+    assert sum(len({*some[q]} & {*want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    assert found(share=1.0) == want
+    assert ann.shares(v.where("false"), queries).count() == 0
+
+
 def test_neighbours_of_few_and_none(shipped):
     schema = "vec_id long, embedding array<float>, label int"
     assert ann.search(shipped.createDataFrame([], schema), shipped.createDataFrame([], schema)).count() == 0
