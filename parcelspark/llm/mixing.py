@@ -16,6 +16,8 @@ from .common import GAP, WORD, partitions, table, written
 
 #: Words in a block, documents in a bucket of a source, slots in an output shard, slots in a range that one task fills.
 BLOCK, BUCKET, SHARD, RANGE = 512, 1 << 11, 1 << 13, 1 << 13
+#: The fewest cells that all slots are cut into for draws.
+CELLS = 1 << 16
 WEIGHTS = (5, 2, 1)
 SPACES = " \t\n\x0b\x0c\r"
 SHARE, MOST = 1.5, 2
@@ -105,17 +107,25 @@ def draws(need: DataFrame, parts: int, shard_slots: int = SHARD, seed: int = 17)
     """shard, src, drawn: the multinomial counts of each output shard, none of them 0.
 
     There are as many shards as all slots fill; each has shard_slots draws, the last one the rest. A draw picks one of all
-    needed slots by a hash of the draw's number, and so a source with a chance of its share of them. The sources' bounds
-    travel as one array with each shard, so no draw is joined; counts are combined before they are shuffled.
+    needed slots by a hash of the draw's number, and so a source with a chance of its share of them. The sources, one after
+    another, are cut into cells of equally many slots, with at least as many cells as sources, and draws meet the sources
+    of their own cell. All together, whatever the sources' sizes, that is at most two pairs a draw on average, and hot
+    sources spread over their cells. Spark broadcasts the cells while they are small; counts are combined before they are
+    shuffled.
     """
-    one = need.agg(F.sort_array(F.collect_list(F.struct("src", "n"))).alias("of"), F.max("all").alias("all")).where("all > 0")
-    upto = F.transform("of", lambda x, i: F.aggregate(F.slice("of", F.lit(1), i + 1), F.lit(0).cast("long"), lambda t, y: t + y["n"]))
-    shards = one.withColumn("upto", upto).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("all") - 1, shard_slots)))).repartition(parts, "shard")
+    order = Window.orderBy("src")  # one row for each source
+    n = need.withColumn("high", F.sum("n").over(order)).withColumn("low", F.col("high") - F.col("n"))
+    cells = F.greatest(F.count("*").over(Window.partitionBy()), F.lit(CELLS))
+    n = n.withColumn("cell_slots", _div(F.col("all") + cells - 1, cells))
+    spans = n.select("src", "low", "high", F.explode(F.sequence(_div(F.col("low"), F.col("cell_slots")), _div(F.col("high") - 1, F.col("cell_slots")))).alias("cell"))
+    one = n.agg(F.max("all").alias("all"), F.max("cell_slots").alias("cell_slots")).where("all > 0")
+    shards = one.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("all") - 1, shard_slots)))).repartition(parts, "shard")
     first = F.col("shard") * shard_slots
-    draw = shards.select("of", "upto", "all", "shard", F.explode(F.sequence(first, F.least(first + shard_slots, F.col("all")) - 1)).alias("draw"))
-    ticket = F.pmod(F.xxhash64("draw", F.lit(seed + 1)), F.col("all"))
-    hit = F.size(F.filter("upto", lambda u: u <= ticket))
-    return draw.select("shard", F.col("of")[hit]["src"].alias("src")).groupBy("shard", "src").agg(F.count("*").alias("drawn"))
+    draw = shards.select("all", "cell_slots", "shard", F.explode(F.sequence(first, F.least(first + shard_slots, F.col("all")) - 1)).alias("draw"))
+    draw = draw.select("shard", "cell_slots", F.pmod(F.xxhash64("draw", F.lit(seed + 1)), F.col("all")).alias("ticket"))
+    draw = draw.select("shard", "ticket", _div(F.col("ticket"), F.col("cell_slots")).alias("cell"))
+    hit = draw.join(spans, "cell").where("low <= ticket and ticket < high")
+    return hit.groupBy("shard", "src").agg(F.count("*").alias("drawn"))
 
 
 def dealt(need: DataFrame, drawn: DataFrame, shard_slots: int = SHARD) -> DataFrame:

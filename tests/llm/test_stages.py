@@ -7,6 +7,7 @@ from itertools import product
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from parcelspark.llm import ann, common, lineqc, mixing, neardup, packing, quality, sharding, tokenstore, toxicity
 
@@ -272,6 +273,19 @@ def brute_runs(pieces):
     return out
 
 
+@pytest.mark.parametrize("cells", [1, 64, 1 << 16])
+def test_draws_over_many_sources(shipped, monkeypatch, cells):
+    """Thousands of sources, one with a third of all slots: each draw gets the source that holds its slot, however cells lie."""
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    ns = {f"s{i:04d}": 1 + i % 5 for i in range(3000)} | {"s1500": 4500}
+    total = sum(ns.values())
+    need = shipped.createDataFrame([(src, n, total) for src, n in ns.items()], "src string, n long, all long").repartition(3)
+    got = {(r.shard, r.src): r.drawn for r in mixing.draws(need, 4, shard_slots=500).collect()}
+    tickets = [r[0] for r in shipped.range(total).select(F.pmod(F.xxhash64("id", F.lit(18)), F.lit(total))).collect()]
+    owner = [src for src in sorted(ns) for _ in range(ns[src])]
+    assert got == Counter((draw // 500, owner[ticket]) for draw, ticket in enumerate(tickets))
+
+
 def test_draws_decide_the_shards(shipped):
     """Counts of a shard add up to its slots, differ from shard to shard, follow the needs, and say which slots it holds."""
     need = shipped.createDataFrame([("sa", 6000), ("sb", 3000), ("sc", 1000), ("sd", 1)], "src string, n long").selectExpr("src", "n", "10001L as all")
