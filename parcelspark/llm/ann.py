@@ -24,7 +24,7 @@ from .common import partitions, table, written
 #: Vectors that codebooks are fitted on, drawn by a hash of vec_id; Lloyd steps.
 SAMPLE, STEPS = 20_000, 12
 #: Centroids of each half grow with the square root of the vectors, so that a cell has about PER_CELL of them, between
-#: these bounds: the upper one keeps what the driver and each task know of the cells under 10 MB.
+#: these bounds: the upper one keeps what the driver and each task know of the cells under 12 MB.
 PER_CELL, FEWEST, MOST = 64, 16, 512
 #: A query's floor comes from cells that hold at least so many times k vectors.
 TIMES = 25

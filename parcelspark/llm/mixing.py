@@ -109,7 +109,7 @@ def draws(need: DataFrame, parts: int, shard_slots: int = SHARD, seed: int = 17)
     There are as many shards as all slots fill; each has shard_slots draws, the last one the rest. A draw picks one of all
     needed slots by a hash of the draw's number, and so a source with a chance of its share of them. The sources, one after
     another, are cut into cells of equally many slots, with at least as many cells as sources, and draws meet the sources
-    of their own cell. All together, whatever the sources' sizes, that is at most two pairs a draw on average, and hot
+    of their own cell. All together, whatever the sources' sizes, that is at most three pairs a draw on average, and hot
     sources spread over their cells. Spark broadcasts the cells while they are small; counts are combined before they are
     shuffled.
     """
