@@ -249,7 +249,9 @@ def w02_latest_of_pair(spark, d):
 
 @query("projects runs", "SELECT p.id, r.drive_url FROM projects p LEFT JOIN (SELECT project_id, max_by(coalesce(drive_url, ''), completed_us) AS drive_url FROM runs WHERE status = 'completed' GROUP BY project_id) r ON r.project_id = p.id")
 def w03_back_fill(spark, d):
-    r = table(spark, d, "runs").where("status = 'completed'").groupBy("project_id").agg(F.max_by(F.coalesce("drive_url", F.lit("")), "completed_us").alias("drive_url"))
+    """Of runs that were completed at the same time, the first by id, as max_by in the SQL keeps the first it meets."""
+    latest = F.struct("completed_us", (-F.col("id")).alias("before"))
+    r = table(spark, d, "runs").where("status = 'completed'").groupBy("project_id").agg(F.max_by(F.coalesce("drive_url", F.lit("")), latest).alias("drive_url"))
     return table(spark, d, "projects").join(r, F.col("id") == F.col("project_id"), "left").select("id", "drive_url")
 
 
