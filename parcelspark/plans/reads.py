@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import relational as R
 from ..operators.paging import deep_page
 from ..operators.textindex import kept_index
-from ..sources.canonical import AS_OF, DAY, HOUR, table
+from ..sources.canonical import AS_OF, DAY, HOUR, spread, table
 from ..streaming.jobs import shared_folder
 from .base import query
 
@@ -431,7 +431,7 @@ def _raw_tables(spark, d):
     paid = [a("On Booking", F.concat(size, F.lit("%")), ""), a("Handover", "40%", "x"), a("At completion", F.concat(size, F.lit(" %")), "x"), a("Post Handover")]
     rows = F.when(i == 1, F.array(*paid)).otherwise(F.array(home, a("", " ", "\t")))
     cells = F.when(F.col("p_partkey") % 7 == 0, F.array(headers)).otherwise(F.concat(F.array(headers), rows))
-    return table(spark, d, "part").select(F.floor(F.col("p_partkey") / 10).alias("doc_id"), (F.col("p_partkey") % 10).cast("int").alias("page_no"), F.lit(0).alias("table_no"), cells.alias("cells"))
+    return spread(table(spark, d, "part"), "p_partkey").select(F.floor(F.col("p_partkey") / 10).alias("doc_id"), (F.col("p_partkey") % 10).cast("int").alias("page_no"), F.lit(0).alias("table_no"), cells.alias("cells"))
 
 
 _TABLES = """SELECT p_partkey // 10 AS doc_id, count(*) AS tables, count(CASE WHEN p_partkey % 5 IN (0, 3, 4) THEN 1 END) AS plans, round(coalesce(sum(CASE p_partkey % 5 WHEN 3 THEN p_size WHEN 4 THEN round_even(p_size * 10.764, 1) END), 0)::DOUBLE, 6) AS total,
