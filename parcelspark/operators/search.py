@@ -42,10 +42,14 @@ def stem(t: Column) -> Column:
     return F.when(F.length(t) <= 2, t).otherwise(_let(_let(plural(t), verb), final))
 
 
+def search_words(text: Column) -> Column:
+    """The words of a text that count, in order, with repeats."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*STOP))
+
+
 def search_terms(text: Column) -> Column:
     """The stemmed terms of a text, in order, with repeats."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*STOP))
-    return F.transform(words, stem)
+    return F.transform(search_words(text), stem)
 
 
 def text_search(df: DataFrame, columns: list[str], asked: str, limit: int | None = None) -> DataFrame:

@@ -12,10 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .search import search_terms
+from .search import search_terms, search_words, stem
 
 #: Ids of one range; a block has at most as many postings.
 RANGE = 8192
+#: Ranges whose blocks of a term go to one file, so that a frequent term is written by many tasks.
+RANGES_TOGETHER = 64
 #: Ranges that are ranked first.
 FIRST_RANGES = 16
 SCHEMA = "term string, range long, most_hits int, ids array<long>, hits array<int>, positions array<array<int>>, part long"
@@ -31,12 +33,18 @@ class TextIndex:
 
     def add(self, df: DataFrame, columns: list[str], key: str = "id") -> None:
         """Indexes more rows. Ids are whole numbers that the index hasn't got yet; rows without one take no part."""
-        terms = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.posexplode(search_terms(F.concat_ws(" ", *columns))).alias("at", "term"))
-        postings = terms.groupBy("term", "id").agg(F.array_sort(F.collect_list("at")).alias("at"))
-        sorted_ = F.array_sort(F.collect_list(F.struct("id", F.size("at").alias("hits"), "at"))).alias("p")
-        blocks = postings.groupBy("term", F.floor(F.col("id") / RANGE).alias("range")).agg(sorted_)
-        out = blocks.select("term", "range", F.array_max("p.hits").alias("most_hits"), F.col("p.id").alias("ids"), F.col("p.hits").alias("hits"), F.col("p.at").alias("positions"))
-        out = out.repartitionByRange("term", "range").sortWithinPartitions("term", "range")
+        texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.concat_ws(" ", *columns).alias("text"))
+        # texts move once, to their range of ids; all that is gathered from there on is gathered within a range
+        texts = texts.withColumn("range", F.floor(F.col("id") / RANGE)).repartition("range")
+        places = texts.select("range", "id", F.posexplode(search_words(F.col("text"))).alias("at", "word")).groupBy("range", "word").agg(F.collect_list(F.struct("id", "at")).alias("p"))
+        # a word is stemmed once for a range, not at each place; several words may have one stem
+        terms = places.groupBy("range", stem(F.col("word")).alias("term")).agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("p"))
+        # where the places of each id begin
+        terms = terms.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (i == 0) | (F.get("p", i)["id"] != F.get("p", i - 1)["id"])))
+        at = F.transform("starts", lambda s, i: F.transform(F.slice("p", s + 1, F.coalesce(F.get("starts", i + 1), F.size("p")) - s), lambda x: x["at"]))
+        blocks = terms.select("term", "range", F.transform("starts", lambda s: F.get("p", s)["id"]).alias("ids"), at.alias("positions")).withColumn("hits", F.transform("positions", F.size))
+        out = blocks.select("term", "range", F.array_max("hits").alias("most_hits"), "ids", "hits", "positions")
+        out = out.repartition("term", F.floor(F.col("range") / RANGES_TOGETHER)).sortWithinPartitions("term", "range")
         # small row groups, so that a term's blocks are few of them
         out.write.option("parquet.block.size", 1 << 20).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.folder}/part={self.parts}")
         self.parts += 1
