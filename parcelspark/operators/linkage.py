@@ -67,36 +67,71 @@ def link_plans(plans: DataFrame, specs: DataFrame) -> DataFrame:
     row that fits a later one better. A plan without a label takes none.
     """
 
-    def side(df: DataFrame, number: int, at: str) -> DataFrame:
-        key = unit_key(F.col("unit_type"))
-        return df.select("doc_id", F.lit(number).alias("side"), F.col(at).cast("long").alias("at"), key["bed"].alias("bed"), key["sub"].alias("sub"), type_letter(F.col("unit_type")).alias("letter"), F.col("bedrooms").cast("int").alias("beds"))
-
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, offers = None, Offers()
+        doc, offers, keys_of = None, Offers(), Keys()
         for b in batches:
             out = []
-            for doc_id, plan, at, bed, sub, letter, beds in _rows(b):
+            for doc_id, plan, at, *label in _rows(b):
                 if doc_id != doc:
                     doc, offers = doc_id, Offers()
-                keys = _likeness(bed, sub, letter, beds)
                 if not plan:
-                    offers.add(at, keys)
+                    offers.add(at, keys_of[*label])
                 else:
-                    out.append((doc_id, at, offers.take(keys) if bed else None))
+                    out.append((doc_id, at, offers.take(keys_of[*label]) if label[0] else None))
             if out:
                 yield _batch(out, "doc_id seq row_no", (pa.int64(), pa.int32(), pa.int64()))
 
-    both = side(specs, 0, "row_no").unionByName(side(plans, 1, "seq"))
+    both = _side(specs, 0, "row_no").unionByName(_side(plans, 1, "seq"))
     return _streamed(both, link, "doc_id long, seq int, row_no long", "doc_id", "side", "at")
 
 
-def linked_areas(plans: DataFrame, specs: DataFrame, links: DataFrame) -> DataFrame:
-    """Plans with the areas of their rows (confidence 0.99; zero and null give nothing), then rows that no plan took (0.95)."""
-    s = specs.select("doc_id", "row_no", F.col("total_sqft").alias("t"), F.col("balcony_sqft").alias("b"), F.col("unit_type").alias("label"))
-    j = plans.join(links, ["doc_id", "seq"]).join(s, ["doc_id", "row_no"], "full_outer")
-    over = lambda new, old: F.coalesce(F.nullif(new, F.lit(0.0)), old)
-    sure = F.when(F.col("seq").isNull(), 0.95).when(F.col("row_no").isNotNull() & (F.coalesce(F.nullif("t", F.lit(0.0)), F.nullif("b", F.lit(0.0))).isNotNull()), 0.99).otherwise(F.col("confidence"))
-    return j.select("doc_id", "seq", "row_no", F.coalesce("unit_type", "label").alias("unit_type"), over(F.col("t"), F.col("total_sqft")).alias("total_sqft"), over(F.col("b"), F.col("balcony_sqft")).alias("balcony_sqft"), sure.alias("confidence"))
+class Keys(dict):
+    """_likeness() of labels, each found once; labels of one task are few beside its rows, and no more than 100,000 are held."""
+
+    def __missing__(self, label: tuple) -> list[tuple]:
+        if len(self) >= 100_000:
+            self.clear()
+        self[label] = found = _likeness(*label)
+        return found
+
+
+def _side(df: DataFrame, number: int, at: str, *more) -> DataFrame:
+    key = unit_key(F.col("unit_type"))
+    return df.select("doc_id", F.lit(number).alias("side"), F.col(at).cast("long").alias("at"), key["bed"].alias("bed"), key["sub"].alias("sub"), type_letter(F.col("unit_type")).alias("letter"), F.col("bedrooms").cast("int").alias("beds"), *more)
+
+
+def linked_areas(plans: DataFrame, specs: DataFrame) -> DataFrame:
+    """Plans linked as by link_plans() with the areas of their rows (confidence 0.99; zero and null give nothing), then rows
+    that no plan took (0.95). Labels and areas travel with the rows that are linked, so nothing is joined afterwards."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, offers, keys_of, rest = None, Offers(), Keys(), {}
+        left = lambda: [(doc, None, row, name, t or None, b or None, 0.95) for row, (name, t, b) in rest.items()]
+        packed = lambda out: _batch(out, "doc_id seq row_no unit_type total_sqft balcony_sqft confidence", (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64()))
+        for batch in batches:
+            out = []
+            for doc_id, plan, at, bed, sub, letter, beds, name, total, balcony, sure in _rows(batch):
+                if doc_id != doc:
+                    out += left()
+                    doc, offers, rest = doc_id, Offers(), {}
+                keys = keys_of[bed, sub, letter, beds]
+                if not plan:
+                    offers.add(at, keys)
+                    rest[at] = (name, total, balcony)
+                    continue
+                hit = offers.take(keys) if bed else None
+                if hit is not None:
+                    its, t, b = rest.pop(hit)
+                    name, total, balcony, sure = its if name is None else name, t or total, b or balcony, 0.99 if t or b else sure
+                out.append((doc_id, at, hit, name, total, balcony, sure))
+            if out:
+                yield packed(out)
+        if rest:
+            yield packed(left())
+
+    areas = [F.col("unit_type").alias("name"), F.col("total_sqft").cast("double").alias("total"), F.col("balcony_sqft").cast("double").alias("balcony")]
+    both = _side(specs, 0, "row_no", *areas, F.lit(None).cast("double").alias("sure")).unionByName(_side(plans, 1, "seq", *areas, F.col("confidence").cast("double").alias("sure")))
+    return _streamed(both, link, "doc_id long, seq int, row_no long, unit_type string, total_sqft double, balcony_sqft double, confidence double", "doc_id", "side", "at")
 
 
 class Leaders:

@@ -121,8 +121,7 @@ def j08_linked_plans(spark, d):
 SELECT coalesce(p.doc_id, s.doc_id) AS doc_id, p.seq::INT AS seq, coalesce(p.hit, s.row_no) AS row_no, coalesce(p.unit_type, s.unit_type) AS unit_type, coalesce(nullif(s.total_sqft, 0), p.total_sqft) AS total_sqft, coalesce(nullif(s.balcony_sqft, 0), p.balcony_sqft) AS balcony_sqft,
 CASE WHEN p.doc_id IS NULL THEN 0.95 WHEN coalesce(nullif(s.total_sqft, 0), nullif(s.balcony_sqft, 0)) IS NOT NULL THEN 0.99 ELSE p.confidence END::DOUBLE AS confidence FROM p FULL JOIN specs s ON s.doc_id = p.doc_id AND s.row_no = p.hit""")
 def j09_linked_areas(spark, d):
-    p, s = table(spark, d, "plans"), table(spark, d, "specs")
-    return L.linked_areas(p, s, L.link_plans(p, s))
+    return L.linked_areas(table(spark, d, "plans"), table(spark, d, "specs"))
 
 
 # box by box, first for equal labels and then for contained ones; what is left is matched in order
