@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import partitions, runs, shared_dir
 from .encoding import encoder
 
-#: Bytes of pieces that a worker's encoder remembers in each of two generations; most of the time goes into pieces it forgot.
-REMEMBERED = 72 << 20
+#: Bytes of texts that are encoded together: the more, the fewer pieces are distinct in several slices. That saves more time
+#: than remembering more pieces, and memory.
+TOGETHER = 4_000_000
 BLOCK = "part int, block int, first_key long, last_key long, n_docs int, n_null int, n_ids long, width int, payload binary, index binary, keys binary"
 #: Stands for a null doc_id among keys; a block's first n_null documents are those with null.
 NULL_KEY = -(2**63)
@@ -123,7 +124,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer, keeps_space, REMEMBERED), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, keeps_space), TaskContext.get().partitionId()
         end = np.asarray([end_id], "<u4").tobytes()
         keys: list[int] = []
         ids: list[bytes] = []
@@ -145,7 +146,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
 
         for b in batches:
             texts, doc_ids = b["text"], b["doc_id"].to_pylist()
-            for lo, hi in runs(texts):
+            for lo, hi in runs(texts, TOGETHER):
                 for doc_id, x in zip(doc_ids[lo:hi], enc.encode(texts.slice(lo, hi - lo))):
                     keys.append(NULL_KEY if doc_id is None else doc_id)
                     nulls += doc_id is None
@@ -162,8 +163,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
     dealt.mapInArrow(blocks, BLOCK).write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Each document of a store: doc_id, start (ids before it in the whole store), n_tokens, ids_crc32, ids (uint32)."""
+def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Each document of a store: doc_id, start (ids before it in the whole store), n_tokens, ids_crc32, ids (uint32; without
+    with_ids they are read for the checksum and stay in the worker)."""
     store = spark.read.parquet(path)
     sizes = store.select("part", "block", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -172,8 +174,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     starts = inside.join(before, "part").select("part", "block", (F.col("part_start") + F.col("block_start")).alias("start"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "block", "doc_id", "at", "n_tokens", "ids_crc32", "ids"]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["part", "block", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
         for b in batches:
             for row in b.to_pylist():
                 ix, keys = Index(row["index"]), np.frombuffer(row["keys"], "<i8")
@@ -184,13 +186,15 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 ordinal = first + at - np.maximum.accumulate(np.where(new, at, 0))
                 payload = np.frombuffer(row["payload"], f"<u{row['width']}").astype("<u4")
                 lo, hi = ix.offsets[ordinal].astype(np.int64), ix.offsets[ordinal + 1].astype(np.int64)
-                ids = [payload[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())]
+                ids = [payload[x:y].tobytes() if with_ids else payload[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
                 n = len(keys)
-                cols = [[row["part"]] * n, [row["block"]] * n, [None] * row["n_null"] + keys[row["n_null"] :].tolist(), lo, hi - lo, [zlib.crc32(x) for x in ids], ids]
+                cols = [[row["part"]] * n, [row["block"]] * n, [None] * row["n_null"] + keys[row["n_null"] :].tolist(), lo, hi - lo, [zlib.crc32(x) for x in ids]] + [ids] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    found = store.select("part", "block", "n_null", "width", "payload", "index", "keys").mapInArrow(documents, "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
-    return found.join(starts, ["part", "block"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    more = ["ids"] * with_ids
+    schema = "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    found = store.select("part", "block", "n_null", "width", "payload", "index", "keys").mapInArrow(documents, schema)
+    return found.join(starts, ["part", "block"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *more)
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
@@ -237,4 +241,4 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = owned(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
     write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return read_store(spark, path).drop("ids")
+    return read_store(spark, path, with_ids=False)

@@ -5,10 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from parcelspark.llm import mixing, packing, sharding, tokenstore
+from parcelspark.llm import encoding, mixing, packing, sharding, tokenstore
 
 from .conftest import DOCUMENTS, ROWS, words
 
@@ -152,3 +153,24 @@ def test_empty_tables(shipped, no_docs, tmp_path):
     path = f"file://{tmp_path}/none"
     tokenstore.write_store(no_docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     assert tokenstore.read_store(shipped, path).count() == 0
+
+
+@pytest.mark.parametrize(("name", "keeps_space"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_stops_are_no_part_of_what_is_remembered(name, keeps_space):
+    """op8 over its CPU seconds: a word is encoded and remembered once, whatever stops follow it; characters whose normal form
+    ends with a mark keep their stops, as the vocabulary doesn't cut there."""
+    path = public_tokenizers.path(name)
+    enc = encoding.Encoder(path, keeps_space)
+    texts = ["a wordly wordly. wordly### wordly.%%% wordly!) wordly'", "a İ. ड़.# é? 日本. ½, wordly", "a\twordly\t's! b", "a  wordly. b", "", None]
+    assert enc.encode(pa.array(texts)) == [np.asarray(x[:-1], "<u4").tobytes() for x in ids_of(name, texts, 0)]
+    assert [k for k in enc.seen if k.startswith("wordly")] == ["wordly"]
+
+
+def test_store_is_read_without_ids(shipped, odd_docs, tmp_path):
+    """op8 over its CPU seconds: ids stay in the worker where only their digest is wanted."""
+    path = f"file://{tmp_path}/store"
+    tokenstore.write_store(odd_docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, block_ids=500)
+    bare = tokenstore.read_store(shipped, path, with_ids=False)
+    key = lambda r: r.start
+    assert sorted(bare.collect(), key=key) == sorted(tokenstore.read_store(shipped, path).drop("ids").collect(), key=key)
+    assert "ids" not in bare.columns
