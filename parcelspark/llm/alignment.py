@@ -5,8 +5,11 @@ Texts repeat few groups many times, so each distinct group is interned, and its
 are expanded once: in a task for counting the documents that hold a pair, and once in the whole corpus for the sums over
 the counts. Documents keep the numbers of their groups with frequencies, and get the groups' sums by the groups' key.
 
-Neither tokenizer merges over a space or line feed that stands between two other characters, which is checked of B's
-vocabulary, so ids and groups of a text are those of its pieces between such cuts, and a worker remembers them by piece.
+Neither tokenizer merges over what stands before a space or line feed that follows another character than white space, or
+before a line feed that one follows; this is checked of B's vocabulary. So ids and groups of a text are those of its pieces
+between such cuts. Where B's vocabulary doesn't merge them either, the stops that end a piece after a letter or digit are cut
+off too. A worker remembers the groups of each stem and of each row of stops; new ones are cut into groups together, by the
+places in their joined bytes where tokens of both end.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from codecs import charmap_decode
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, sliced, table, written
-from .encoding import BYTE_LETTERS
+from .encoding import BYTE_LETTERS, LETTERS, PLAIN, STOPS, _ends_of, _tails
 
 #: Documents of a block, which share a dictionary, and their bytes of text, at most (one document more).
 BLOCK_DOCS, BLOCK_BYTES = 4096, 4 << 20
 #: Pieces that a worker remembers, and pairs of a task that are summed up before they are handed on.
 MOST_PIECES, MOST_PAIRS = 250_000, 1_000_000
-#: Between a space or line feed and what stands before it, where that and what follows is no white space.
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Bytes that are white space, and numbers of three bytes (the last two, if two) that are.
+_SPACES = np.asarray([i < 128 and chr(i).isspace() for i in range(256)])
+_WIDE_SPACES = np.asarray([int.from_bytes(chr(i).encode(), "big") for i in range(128, 0x10000) if chr(i).isspace()])
+#: Letters below U+02B0 and digits, after which stops are cut off.
+_LETTERS = "0-9A-Za-zÀ-ÖØ-öø-įı-ʯ"
+#: Pieces of such letters alone, one piece to A as well.
+_WORD = PLAIN.replace(r"^\n?", r"^[ \n]")
+#: Between A ids and B ids of a group in a row.
+_BETWEEN = 0xFFFFFFFF
 _ALIGNED = "kind int, block long, number int, key string, pair long, docs long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups binary, times binary"
 
 
@@ -53,25 +65,47 @@ def links_of(a: tuple[int, ...], b: tuple[int, ...], a_bytes: list[bytes], b_byt
             return out
 
 
-def groups_of(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-    """The groups of two token rows over the same bytes."""
-    out, i, j, a_from, b_from, a_end, b_end = [], 0, 0, 0, 0, 0, 0
-    while i < len(a):
-        a_end += len(a_bytes[a[i]])
-        i += 1
-        while b_end < a_end:
-            b_end += len(b_bytes[b[j]])
-            j += 1
-        if a_end == b_end:
-            out.append((tuple(a[a_from:i]), tuple(b[b_from:j])))
-            a_from, b_from = i, j
-    return out
-
-
 def key_of(group: tuple[tuple[int, ...], tuple[int, ...]]) -> str:
     return ",".join(map(str, group[0])) + "|" + ",".join(map(str, group[1]))
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """counts[i] places from starts[i] on, one after another."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Ids:
+    """Ids of pieces in a row, and how many each piece has."""
+
+    def __init__(self, flat: np.ndarray, counts: np.ndarray):
+        self.flat, self.counts = flat, counts
+
+    @staticmethod
+    def of(lists: list[list[int]]) -> _Ids:
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        return _Ids(np.fromiter(chain.from_iterable(lists), np.int64, counts.sum()), counts)
+
+    def some(self, rows: np.ndarray) -> _Ids:
+        starts = np.cumsum(self.counts) - self.counts
+        return _Ids(self.flat[_spread(starts[rows], self.counts[rows])], self.counts[rows])
+
+    def sums(self, sizes: np.ndarray) -> np.ndarray:
+        """Of each piece, the sizes of its ids."""
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[self.flat])])[np.concatenate([[0], np.cumsum(self.counts)])])
+
+
+class _Bytes:
+    """The bytes of each id of a vocabulary."""
+
+    def __init__(self, of: list[bytes]):
+        self.sizes = np.fromiter(map(len, of), np.int64, len(of))
+        self.starts, self.raw = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(of), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        return self.raw[_spread(self.starts[ids], self.sizes[ids])]
+
+
 class Vocabularies:
     """Both tokenizers, and the bytes of each of their ids."""
 
@@ -82,6 +116,7 @@ class Vocabularies:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        self.a_model = self.a.model
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = {c: b for b, c in BYTE_LETTERS.items()}
         self.a_bytes = [bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode() for token in (self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size()))]
@@ -90,118 +125,188 @@ class Vocabularies:
         if any(re.search(r"[^▁]▁|.\n|\n.", p) for p in pieces):
             raise ValueError("the second vocabulary merges over spaces or line feeds")
         self.space = self.b.piece_to_id("▁")
+        text = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        #: whether stops after these letters are tokens of their own
+        self.cuts_stops = not any(re.search(rf"[{_LETTERS}][{re.escape(STOPS)}]", p) for p in text) and len(self.b.encode("a")) == len(self.a.encode("a").ids) == 1
+
+    def _a_ids(self, pieces: list[str]) -> list[list[int]]:
+        """A word of letters is one piece to A, so the model alone is asked."""
+        plain = pc.match_substring_regex(pa.array(pieces, pa.large_string()), _WORD).to_numpy(zero_copy_only=False).tolist()
+        out: list[list[int]] = [[]] * len(pieces)
+        words = [i for i, ok in enumerate(plain) if ok]
+        feed, tokenize = [self.a_model.token_to_id(BYTE_LETTERS[10])], self.a_model.tokenize
+        if words:
+            # what follows a line feed has no space
+            coded = charmap_decode("\n".join([pieces[i].removeprefix("\n") for i in words]).encode(), "strict", LETTERS)[0].split(BYTE_LETTERS[10])
+            for i, x in zip(words, coded):
+                ids = [t.id for t in tokenize(x)]
+                out[i] = feed + ids if pieces[i][0] == "\n" else ids
+        others = [i for i, ok in enumerate(plain) if not ok]
+        for i, code in zip(others, self.a.encode_batch([pieces[i] for i in others], add_special_tokens=False)):
+            out[i] = code.ids
+        return out
 
-    def encode(self, pieces: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """A and B ids of pieces that begin with a space or line feed; None where their bytes aren't those of the piece."""
-        out: list[tuple[list[int], list[int]] | None] = []
+    def encode(self, pieces: list[str]) -> tuple[_Ids, _Ids]:
+        """A and B ids of pieces that begin with a space or line feed."""
         # B puts a space before each text: it takes the place of a piece's own, or goes before a line feed
-        found = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
-        for p, code, b in zip(pieces, self.a.encode_batch(pieces, add_special_tokens=False), found):
-            a, raw = code.ids, p.encode()
-            if p[0] != " ":
-                b = b[1:] if b and b[0] == self.space else []
-            same = b"".join([self.a_bytes[x] for x in a]) == raw and b"".join([self.b_bytes[x] for x in b]) == raw
-            out.append((a, b) if same else None)
-        return out
+        found = self.b.encode([p[p[0] == " " :] for p in pieces], num_threads=1)
+        b = [(x if len(p) > 1 else [self.space]) if p[0] == " " else x[1:] if x and x[0] == self.space else [] for p, x in zip(pieces, found)]
+        return _Ids.of(self._a_ids(pieces)), _Ids.of(b)
+
+    def encode_stops(self, stops: list[str]) -> tuple[_Ids, _Ids]:
+        """A and B ids of rows of stops after a letter."""
+        after = ["a" + x for x in stops]
+        return _Ids.of([x.ids[1:] for x in self.a.encode_batch(after, add_special_tokens=False)]), _Ids.of([x[1:] for x in self.b.encode(after, num_threads=1)])
 
 
 class Aligner:
-    """Groups of texts, remembered by piece."""
+    """Groups of texts, remembered by stems and rows of stops."""
 
     def __init__(self, a_path: str, b_path: str):
         self.v = Vocabularies(a_path, b_path)
+        self.a_bytes, self.b_bytes = _Bytes(self.v.a_bytes), _Bytes(self.v.b_bytes)
         self.b_size = len(self.v.b_bytes)
         self.forget()
 
     def forget(self) -> None:
-        #: piece: numbers of A ids and B ids, its groups' numbers and their keys in a row; None without tokens
-        self.pieces: dict[str, tuple[int, int, tuple[int, ...], str] | None] = {}
-        self.numbers: dict[tuple, int] = {}
+        #: rows of stems and of the stops after them
+        self.stems: dict[str, int] = {}
+        self.stops: dict[str, int] = {"": 0}
+        #: of each row, its groups' numbers and whether its ids' bytes aren't its own
+        self.held, self.lost = _Ids(np.empty(0, np.int32), np.zeros(1, np.int64)), np.zeros(1, bool)
+        #: of each group: its number by its ids, its key, its links, its numbers of A ids and B ids
+        self.numbers: dict[bytes, int] = {}
         self.keys: list[str] = []
         self.links: list[np.ndarray] = []
-
-    def _learn(self, pieces: list[str]) -> None:
-        v = self.v
-        for p, ids in zip(pieces, v.encode(pieces)):
-            if ids is None:
-                self.pieces[p] = None
-                continue
-            numbers = []
-            for g in groups_of(*ids, v.a_bytes, v.b_bytes):
-                n = self.numbers.get(g)
-                if n is None:
-                    n = self.numbers[g] = len(self.keys)
-                    self.keys.append(key_of(g))
-                    self.links.append(np.asarray([a * self.b_size + b for a, b in links_of(*g, v.a_bytes, v.b_bytes)], np.int64))
-                numbers.append(n)
-            self.pieces[p] = len(ids[0]), len(ids[1]), tuple(numbers), ";".join([self.keys[n] for n in numbers])
-
-    def cut(self, texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
-        """The distinct pieces of texts, and their places among these in each text; none for null and empty ones."""
+        self.sizes: list[tuple[int, int]] = []
+
+    def _groups(self, a: _Ids, b: _Ids, ends: np.ndarray) -> _Ids:
+        """Numbers of the groups of pieces that end at these bytes of all pieces in a row."""
+        a_ends, b_ends = np.cumsum(self.a_bytes.sizes[a.flat]), np.cumsum(self.b_bytes.sizes[b.flat])
+        marks = np.zeros((2, (ends[-1] if len(ends) else 0) + 1), bool)
+        marks[0, a_ends] = marks[1, b_ends] = True
+        both = marks.all(0)
+        n_a, n_b = (np.diff(np.flatnonzero(both[x]), prepend=-1) for x in (a_ends, b_ends))
+        counts = n_a + n_b + 1
+        starts = np.cumsum(counts) - counts
+        ids = np.full(counts.sum(), _BETWEEN, "<u4")
+        ids[_spread(starts, n_a)] = a.flat
+        ids[_spread(starts + n_a + 1, n_b)] = b.flat
+        bounds = 4 * np.concatenate([[0], np.cumsum(counts)])
+        groups = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(ids)]).dictionary_encode()
+        numbers = np.fromiter(map(self._number, groups.dictionary.to_pylist()), np.int32, len(groups.dictionary))
+        return _Ids(numbers[groups.indices.to_numpy()], np.diff(np.searchsorted(np.flatnonzero(both), ends, side="right"), prepend=0))
+
+    def _number(self, ids: bytes) -> int:
+        n = self.numbers.get(ids)
+        if n is None:
+            n = self.numbers[ids] = len(self.keys)
+            row = np.frombuffer(ids, "<u4").tolist()
+            at = row.index(_BETWEEN)
+            a, b = tuple(row[:at]), tuple(row[at + 1 :])
+            self.keys.append(key_of((a, b)))
+            self.links.append(np.asarray([x * self.b_size + y for x, y in links_of(a, b, self.v.a_bytes, self.v.b_bytes)], np.int64))
+            self.sizes.append((len(a), len(b)))
+        return n
+
+    def _learn(self, pieces: list[str], a: _Ids, b: _Ids) -> None:
+        """Rows of new pieces, after the others."""
+        raw = pa.array(pieces, pa.large_string())
+        sizes = np.diff(_ends_of(raw))
+        same = np.flatnonzero((a.sums(self.a_bytes.sizes) == sizes) & (b.sums(self.b_bytes.sizes) == sizes))
+        own = _ends_of(raw)[:-1]
+        own = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[_spread(own[same], sizes[same])]
+        a, b = a.some(same), b.some(same)
+        differ = (self.a_bytes.joined(a.flat) != own) | (self.b_bytes.joined(b.flat) != own)
+        if differ.any():
+            ends = np.concatenate([[0], np.cumsum(sizes[same])])
+            right = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(differ)])[ends]) == 0)
+            same, a, b = same[right], a.some(right), b.some(right)
+        groups = self._groups(a, b, np.cumsum(sizes[same]))
+        counts, lost = np.zeros(len(pieces), np.int64), np.ones(len(pieces), bool)
+        counts[same], lost[same] = groups.counts, False
+        self.held = _Ids(np.concatenate([self.held.flat, groups.flat]), np.concatenate([self.held.counts, counts]))
+        self.lost = np.concatenate([self.lost, lost])
+
+    def _rows(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row of the stem and row of the stops of each of these distinct pieces."""
+        stems = pieces
+        if self.v.cuts_stops:
+            cut = pc.utf8_rtrim(pieces, STOPS)
+            stems = pc.if_else(pc.match_substring_regex(cut, rf"[{_LETTERS}]\z"), cut, pieces)
+        stops = _tails(pieces, np.diff(_ends_of(pieces)) - np.diff(_ends_of(stems))).dictionary_encode()
+        stems = stems.dictionary_encode()
+        out = []
+        for column, known, encode in ((stems, self.stems, self.v.encode), (stops, self.stops, self.v.encode_stops)):
+            keys = column.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
+            new = [k for k in keys if k not in known]
+            if new:
+                known.update(zip(new, range(len(self.lost), len(self.lost) + len(new))))
+                self._learn(new, *encode(new))
+            out.append(np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[column.indices.to_numpy()])
+        return out[0], out[1]
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct pieces of texts (with a space before each), and in a row the places of each text's pieces among these,
+        with the text's number; none for null and empty ones. A piece begins with a space or line feed after another character
+        than white space (but at the end), or with a line feed before one."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if not len(texts):
-            return [], []
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        ends, coded = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
-        ends, at, words = ends - ends[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        odd = np.zeros(len(words), bool)  # white space meets white space there
-        feeds = np.zeros(len(words), bool)
-        for i, w in enumerate(words):
-            feeds[i] = w[:1] == "\n"
-            x = w[1:] if feeds[i] else w
-            odd[i] = not x or x[0].isspace() or x[-1].isspace()
-        pieces = [w if f else " " + w for w, f in zip(words, feeds.tolist())]
-        bad = np.concatenate([[0], np.cumsum(odd[at])])[ends]
-        bad = (np.diff(bad) > 0) | feeds[at[ends[:-1]]]
-        places, more = [at[lo:hi] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())], {}
-        for i in np.flatnonzero(bad).tolist():
-            text = texts[i].as_py()
-            found = _CUT.split(" " + text) if text else []
-            for p in found:
-                if p not in more:
-                    more[p] = len(pieces)
-                    pieces.append(p)
-            places[i] = np.asarray([more[p] for p in found], np.int64)
-        return pieces, places
+        texts = pc.binary_join_element_wise(pc.if_else(pc.equal(texts, ""), "", " ").cast(pa.large_string()), texts, pa.scalar("", pa.large_string()))
+        bounds = _ends_of(texts)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        space, bounds = _SPACES[raw], bounds - bounds[0]
+        two = np.flatnonzero(raw == 0xC2)  # what begins U+0080 to U+00BF
+        two = two[np.isin(0xC200 | raw[two + 1].astype(np.int64), _WIDE_SPACES)]
+        three = np.flatnonzero((raw >= 0xE1) & (raw <= 0xE3))
+        three = three[np.isin(raw[three].astype(np.int64) << 16 | raw[three + 1].astype(np.int64) << 8 | raw[three + 2], _WIDE_SPACES)]
+        space[np.concatenate([two, two + 1, three, three + 1, three + 2])] = True
+        # each text begins with a space, so what stands last in one has white space after it
+        first = np.zeros(len(raw) + 1, bool)
+        first[bounds[:-1]] = True
+        feed, last = raw == 10, first[1:].copy()
+        last[-1:] = True
+        begins = (feed | (raw == 32)) & ~np.concatenate([[True], space[:-1]]) & ~last | feed & ~np.concatenate([space[1:], [True]])[: len(raw)]
+        starts = np.flatnonzero(begins | first[:-1])
+        counts = np.diff(np.searchsorted(starts, bounds))
+        ends = np.concatenate([starts, [len(raw)]]).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), counts)
 
     def block(self, texts: pa.Array) -> dict[str, object]:
         """Of each text: n_a, n_b, n_groups, n_links, sha; of the block: numbers and times of the groups in each text (with
         ends), their keys, and the pairs linked with how many of the texts hold them."""
-        if len(self.pieces) > MOST_PIECES:
+        if len(self.stems) + len(self.stops) > MOST_PIECES:
             self.forget()
-        pieces, places = self.cut(texts)
-        used = np.zeros(len(pieces), bool)
-        for x in places:
-            used[x] = True
-        self._learn([p for p, u in zip(pieces, used.tolist()) if u and p not in self.pieces])
-        known = [self.pieces[p] if u else None for p, u in zip(pieces, used.tolist())]
-        lost = np.asarray([x is None for x in known], bool)
-        places = [x if len(x) and not lost[x].any() else x[:0] for x in places]
-        none = (0, 0, (), "")
-        known = [x or none for x in known]
-        n_a, n_b = (np.asarray([x[i] for x in known], np.int64) for i in (0, 1))
-        sizes, names = np.asarray([len(x[2]) for x in known], np.int64), [x[3] for x in known]
-        flat, starts = np.asarray([n for x in known for n in x[2]], np.int64), np.cumsum(sizes) - sizes
-        sha = [hashlib.sha256(";".join([names[i] for i in x.tolist()]).encode()).hexdigest() if len(x) else "" for x in places]
-        at = np.concatenate(places).astype(np.int64) if places else np.empty(0, np.int64)
-        owner = np.repeat(np.arange(len(places)), [len(x) for x in places])
-        sums = lambda of: np.bincount(owner, of[at], len(places)).astype(np.int64) if len(at) else np.zeros(len(places), np.int64)
-        m = sizes[at]
-        groups = flat[np.repeat(starts[at] - np.cumsum(m) + m, m) + np.arange(m.sum())] if len(at) else flat[:0]
-        held, number = np.unique(groups, return_inverse=True)
+        size = len(texts)
+        pieces, at, owner = self.cut(texts)
+        rows = self._rows(pieces)
+        lost = np.zeros(size, bool)
+        lost[owner[self.lost[rows[0]][at]]] = True
+        at, owner = at[~lost[owner]], owner[~lost[owner]]
+        at = self.held.some(np.stack(rows, 1)[at].ravel())
+        owner, groups = np.repeat(np.repeat(owner, 2), at.counts), at.flat
+        seen = np.zeros(len(self.keys), bool)
+        seen[groups] = True
+        held = np.flatnonzero(seen)
+        number, keys = (np.cumsum(seen) - 1)[groups], [self.keys[g] for g in held.tolist()]
+        sums = lambda of: np.bincount(owner, of, size).astype(np.int64)
+        n_groups = np.bincount(owner, minlength=size).astype(np.int64)
+        n_a, n_b = np.asarray([self.sizes[g] for g in held.tolist()], np.int64).reshape(-1, 2).T
+        names = pa.array([k + ";" for k in keys], pa.large_string()).take(pa.array(number))
+        bounds, raw = _ends_of(names)[np.concatenate([[0], np.cumsum(n_groups)])].tolist(), memoryview(names.buffers()[2] or b"")
+        sha = [hashlib.sha256(raw[lo : hi - 1]).hexdigest() if lo < hi else "" for lo, hi in zip(bounds[:-1], bounds[1:])]
         k = max(len(held), 1)
-        entries, times = np.unique(np.repeat(owner, m) * k + number, return_counts=True)
-        text, number = entries // k, entries % k
+        entries, times = np.unique(owner * k + number, return_counts=True)
+        text, local = entries // k, entries % k
         links = [self.links[g] for g in held.tolist()]
         n = np.asarray([len(x) for x in links], np.int64)
-        of = np.concatenate(links) if links else np.empty(0, np.int64)
-        begins, wide = np.cumsum(n) - n, n[number] if len(entries) else n[:0]
-        pairs = of[np.repeat(begins[number] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())] if len(entries) else of
-        each = np.unique((np.repeat(text, wide) << 32) | pairs)  # a pair counts once in a text
-        pairs, docs = np.unique(each & 0xFFFFFFFF, return_counts=True)
+        pairs, linked = np.unique(np.concatenate(links) if links else np.empty(0, np.int64), return_inverse=True)
+        wide, p = n[local], max(len(pairs), 1)
+        each = np.sort(np.repeat(text, wide) * p + linked[_spread((np.cumsum(n) - n)[local], wide)])
+        each = each[np.diff(each, prepend=-1) > 0]  # a pair counts once in a text
         return {
-            "n_a": sums(n_a), "n_b": sums(n_b), "n_groups": sums(sizes), "n_links": np.bincount(text, times * wide, len(places)).astype(np.int64), "sha": sha,
-            "numbers": number.astype("<i4"), "times": times, "ends": np.searchsorted(text, np.arange(len(places)), side="right"), "keys": [self.keys[g] for g in held.tolist()], "pairs": pairs, "docs": docs,
+            "n_a": sums(n_a[number]), "n_b": sums(n_b[number]), "n_groups": n_groups, "n_links": np.bincount(text, times * wide, size).astype(np.int64), "sha": sha,
+            "numbers": local.astype("<i4"), "times": times, "ends": np.searchsorted(text, np.arange(size), side="right"), "keys": keys, "pairs": pairs, "docs": np.bincount(each % p, minlength=len(pairs)).astype(np.int64),
         }
 
 
