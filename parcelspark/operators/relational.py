@@ -84,6 +84,31 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
+#: Values of a key that stand in one array, and tasks that the keys are dealt to.
+PAIR_BLOCK, PAIR_TASKS = 256, 200
+
+
+def _blocks(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key and arrays of PAIR_BLOCK of its distinct values at most; one shuffle, on the key."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1
+    placed = df.dropna().repartition(PAIR_TASKS, key).distinct().withColumn("_block", F.floor(place / PAIR_BLOCK))
+    return placed.groupBy(key, "_block").agg(F.collect_list(value).alias("_" + value)).drop("_block")
+
+
+def pairs_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The distinct pairs of a left and a right value of equal key, for keys that are frequent on both sides.
+
+    left and right have the key and one more column. Arrays of values are joined, not values, and a task holds a pair of
+    arrays. In the rows that come out a right value stands still while the values of one left array pass, again and again:
+    a Parquet file holds that in a fraction of a byte a pair. The number of tasks is given, as Spark would join shuffled
+    parts by their bytes, which are few beside the pairs.
+    """
+    (a,), (b,) = ([c for c in df.columns if c != key] for df in (left, right))
+    met = _blocks(left, key, a).join(_blocks(right, key, b).hint("merge"), key)
+    by_one = met.select(F.inline(F.transform("_" + b, lambda x: F.struct(x.alias(b), F.col("_" + a)))))
+    return by_one.select(F.explode("_" + a).alias(a), b)
+
+
 def counts_over(df: DataFrame, column: str, values: tuple[str, ...], name: str = "n") -> DataFrame:
     """Rows of each value of a fixed domain, 0 where there are none."""
     domain = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
